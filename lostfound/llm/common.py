@@ -66,3 +66,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], seed: int = 0)
     before = salted.groupBy(*keys, "_salt").agg(F.count("*").alias("_n")).select(*keys, "_salt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_salt").orderBy("_h", *order)
     return salted.join(before, [*keys, "_salt"]).withColumn("_rank", (F.row_number().over(inside) - 1 + F.col("_before")).cast("long")).drop("_h", "_salt", "_before")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, doc_id: str, text: str, folds: int, class_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(rows ``_id, _t, _y`` to learn from, number of all labelled rows by class).
+
+    Of each class the ``class_rows`` rows outside fold 0 with the smallest hash of the text, equal texts once. Only ids and hashes
+    are shuffled for the choice; the ids chosen, 2 x class_rows at most, then pick the texts by a broadcast. Rows with a null
+    text, id or label take no part; of an id with several labels the smallest counts.
+    """
+    spark = docs.sparkSession
+    marked = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter((fold(F.col("_id"), folds) != 0) & F.col("_t").isNotNull())
+    known = written(own.select("_id", F.xxhash64(F.lit(11), "_t").alias("_h")).join(marked, "_id"), "labelled")
+    shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    once = known.groupBy("_y", "_h").agg(F.min("_id").alias("_id"))
+    ids = [(r["_id"], y) for y in (0, 1) for r in once.filter(F.col("_y") == y).orderBy("_h").limit(class_rows).collect()]
+    chosen = spark.createDataFrame(ids, "_id long, _y int")
+    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]) if ids else own.limit(0).withColumn("_y", F.lit(0)), shares

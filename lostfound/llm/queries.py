@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
-from .common import table
+from . import compression, langid, mixing, packing, warc
+from .common import fold, scratch, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,45 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    scored = compression.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, slim = scratch(spark, "warc-raw"), scratch(spark, "warc-slim")
+    warc.write_archives(warc.responses(table(spark, sf_dir, "pages")), raw)
+    warc.dedup_archives(spark, raw, slim)
+    return warc.resolved(spark, slim).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "lang_spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_warc": op7_warc,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+OP7_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, lower(sha1(body)) AS hex FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest FROM d),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> keep THEN keep END AS refers_to FROM k
+"""
+
+ORACLE: dict[str, str] = {
+    "op7_warc": OP7_SQL,
+}
