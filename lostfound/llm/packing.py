@@ -8,8 +8,11 @@ while the counts allow and removed. Pieces then take their places by rank inside
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -19,10 +22,14 @@ from pyspark.sql import functions as F
 from .common import WORDS, rank_within, written
 
 CAPACITY = 2048
-#: Words whose ids a Python worker keeps; beyond it the memory is emptied and filled anew.
+#: Distinct runs or words whose ids a Python worker keeps; beyond it the memory is emptied and filled anew.
 CACHE_WORDS = 400_000
-_ids: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Letters that lower-casing and composing leave alone, and signs that never join with letters. In a text of these, digits and white
+#: space only, the tokenizer encodes each run of letters, each digit and each run of signs by itself.
+LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
+SIGNS = r"!-&(-/:-@\[-^`{-~"
+PLAIN = re.compile(rf"[{LETTERS}{SIGNS}0-9\x20\x09-\x0D]*")
+RUNS = re.compile(rf"[{LETTERS}]+|[0-9]|[{SIGNS}]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,26 +38,63 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(words_of: list[list[str]], name: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, then the closing id 0.
+class Encoder:
+    """Ids of texts by way of their distinct parts: runs of a plain text, words of any other.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row
-    and each distinct word is encoded once.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row, and
+    those of a plain text are those of its runs. New runs are encoded many at a time; the vocabulary's mark of a
+    word's end tells them apart.
     """
-    if name not in _tokenizers:
+
+    def __init__(self, name: str) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers[name] = Tokenizer.from_file(tokenizer_path(name))
-    known = _ids.setdefault(name, {})
-    new = list(set().union(*words_of) - known.keys())
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list(set().union(*words_of))
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, _tokenizers[name].encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) + b"\0\0\0\0" for ws in words_of]
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(runs):
+            return self._encode_words(runs)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _look_up(self, known: dict[str, bytes], split: list[list[str]], encode) -> list[bytes]:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        got = [list(map(known.get, parts)) for parts in split]
+        holes = [i for i, x in enumerate(got) if None in x]
+        new = list(set().union(*(compress(split[i], map(is_, got[i], repeat(None))) for i in holes)))
+        if new:
+            known.update(zip(new, encode(new), strict=True))
+        for i in holes:
+            got[i] = map(known.__getitem__, split[i])
+        return [b"".join(x) + b"\0\0\0\0" for x in got]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, then the closing id 0."""
+        low = [t.lower() if isinstance(t, str) else "" for t in texts]
+        plain = [PLAIN.fullmatch(t) is not None and "<|" not in t for t in low]
+        of_runs = iter(self._look_up(self.runs, [RUNS.findall(t) for t, p in zip(low, plain, strict=True) if p], self._encode_runs))
+        of_words = iter(self._look_up(self.words, [WORDS.findall(t) for t, p in zip(texts, plain, strict=True) if not p], self._encode_words))
+        return [next(of_runs if p else of_words) for p in plain]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encode(texts: list[str | None], name: str) -> list[bytes]:
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name].encode(texts)
 
 
 def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
@@ -66,7 +110,7 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
                 rows = []
-                for d, b in zip(part["doc_id"], _encode([WORDS.findall(t) if isinstance(t, str) else [] for t in part["text"]], tokenizer), strict=True):
+                for d, b in zip(part["doc_id"], _encode(list(part["text"]), tokenizer), strict=True):
                     for k in range(0, len(b) // 4, capacity):
                         own = b[4 * k : 4 * (k + capacity)]
                         rows.append((d, k // capacity, k, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
