@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold
@@ -209,24 +209,26 @@ def label(texts: list[str | None], model: Model | None, switch: float = SWITCH)
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, lang_rows: int = LANG_ROWS, row_chars: int = ROW_CHARS) -> Model | None:
     """Learns from rows with text and lang outside fold ``held_out``: of each language at most ``lang_rows`` rows by a hash of the text, ``row_chars`` characters from the middle of each."""
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter((fold(F.col("_id"), folds) != held_out) & F.col("_t").isNotNull() & F.col("_l").isNotNull())
-    middle = F.substring(F.col("_t"), F.greatest(F.lit(1), ((F.length("_t") - row_chars) / 2).cast("int")), F.lit(row_chars))
-    # each task keeps its own first rows of a language, so few rows are shuffled and the choice is that of the whole table
-    by_hash = known.select("_l", middle.alias("_m"), F.xxhash64(F.lit(5), "_t").alias("_h"))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter((fold(F.col("_id"), folds) != held_out) & F.col("_t").isNotNull() & F.col("_l").isNotNull())
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for pdf in batches:
             kept = pdf if kept is None else pd.concat([kept, pdf])
-            kept = kept.sort_values(["_l", "_h"], kind="stable").groupby("_l").head(lang_rows)
+            kept = kept.sort_values(["_l", "_h", "_id"], kind="stable").groupby("_l").head(lang_rows)
         if kept is not None:
             yield kept
 
-    from pyspark.sql import Window
-
-    near = by_hash.mapInPandas(first, "_l string, _m string, _h long")
-    chosen = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_m"))).filter(F.col("_n") <= lang_rows)
-    return learn([(r[0], r[1]) for r in chosen.select("_m", "_l").orderBy("_l", "_n").collect()])
+    # ids and hashes only: each task passes on its own first rows of a language, then the first of all are kept
+    near = own.select("_l", F.xxhash64(F.lit(5), "_t").alias("_h"), "_id").mapInPandas(first, "_l string, _h long, _id long")
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).filter(F.col("_n") <= lang_rows)
+    ids = [(r[0], r[1]) for r in ranked.select("_id", "_l").collect()]
+    if not ids:
+        return None
+    chosen = docs.sparkSession.createDataFrame(ids, "_id long, _l string")
+    middle = F.substring(F.col("_t"), F.greatest(F.lit(1), ((F.length("_t") - row_chars) / 2).cast("int")), F.lit(row_chars))
+    rows = own.join(F.broadcast(chosen), ["_id", "_l"]).select("_id", middle.alias("_m"), "_l").dropDuplicates(["_id"]).orderBy("_id").collect()
+    return learn([(r["_m"], r["_l"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", switch: float = SWITCH) -> DataFrame:
