@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     d = tmp_path_factory.mktemp("spark")
     s = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[3]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", str(d))
