@@ -2,8 +2,8 @@
 
 Each shingle is hashed once. The hash picks a register, whose content is the smallest rest of the hash seen there, kept as a
 count of leading zeros and a few mantissa bits. Empty registers of short texts borrow from full ones in a fixed order.
-Equal sets meet first and go on as one. Each band of registers is a key; the members of a key are compared with its first
-member, and then only across groups that are not yet linked, so a group of copies costs as many pairs as it has members.
+Equal sets meet first and go on as one. Each band of registers is a key; the members of a key are compared with a head, the
+one that shares most keys, and then only across groups that are not yet linked.
 """
 
 from __future__ import annotations
@@ -66,13 +66,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     if len(full) < REGISTERS:
         taken = np.zeros(REGISTERS, dtype=bool)
         taken[full] = True
-        for i in np.flatnonzero(~taken):
-            out[i] = out[next(j for j in _ORDER[i] if taken[j])]
+        order = _ORDER[~taken]
+        out[~taken] = out[order[np.arange(len(order)), taken[order].argmax(axis=1)]]
     return out
 
 
 #: Where an empty register looks for a full one: a fixed shuffled order for each.
-_ORDER = [np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)]
+_ORDER = np.array([np.random.default_rng(1000 + i).permutation(REGISTERS) for i in range(REGISTERS)])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
@@ -85,18 +85,20 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
     return max(0.0, min((share - chance) / (1 - chance), min(n, m) / max(n, m)))
 
 
-def sets(docs: DataFrame, *, doc_id: str, text: str, size: int) -> DataFrame:
-    """(_id, _n, _key): id, number of shingles and a 128-bit key of the set; null key without words."""
+def sketches(docs: DataFrame, *, doc_id: str, text: str, size: int) -> DataFrame:
+    """(_id, _n, _key, _reg): id, number of shingles, a 128-bit key of the set and its registers; key and registers are null without words."""
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h = [shingle_hashes(t, size) for t in pdf["_t"]]
-            yield pd.DataFrame({"_id": pdf["_id"].astype("Int64"), "_n": [len(x) for x in h], "_key": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in h]})
+            rows = [(len(h), xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None, registers(h).tobytes() if len(h) else None) for h in (shingle_hashes(t, size) for t in pdf["_t"])]
+            out = pd.DataFrame(rows, columns=["_n", "_key", "_reg"])
+            out.insert(0, "_id", pdf["_id"].astype("Int64").to_numpy())
+            yield out
 
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).mapInPandas(keyed, "_id long, _n long, _key binary")
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).mapInPandas(sketched, "_id long, _n long, _key binary, _reg binary")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(_id, _label): the smallest id that each linked node reaches. ``links`` has (a, b), a < b.
 
     Links are turned towards the smallest neighbour, large ones first and then small ones, until nothing changes; each round
@@ -127,63 +129,77 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     repeat an id are one document for the links and are all returned; ties are equal sets and always linked. A null id is in no
     component: its component_id is null and it is kept. An empty table gives no rows; other columns are not read.
     """
-    all_ = written(sets(docs, doc_id=doc_id, text=text, size=size), "mh-sets")
+    all_ = written(sketches(docs, doc_id=doc_id, text=text, size=size), "mh-sketches")
     named = all_.filter(F.col("_id").isNotNull() & F.col("_key").isNotNull())
     # equal sets: the smallest id stands for all
-    first = written(named.groupBy("_key").agg(F.min("_id").alias("_rep"), F.max("_n").alias("_n")), "mh-first")
-
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo : lo + 1024]
-                h = [shingle_hashes(t, size) for t in part["_t"]]
-                keep = [i for i, x in enumerate(h) if len(x)]
-                if keep:
-                    yield pd.DataFrame({"_id": part["_id"].to_numpy()[keep], "_n": [len(h[i]) for i in keep], "_reg": [registers(h[i]).tobytes() for i in keep], "_set": [h[i].tobytes() for i in keep]})
-
+    first = written(named.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_reg")).alias("_f")).select("_key", "_f.*"), "mh-first")
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
-    chosen = first.select(F.col("_rep").alias("_id")).distinct()
-    sketched = texts.mapInPandas(banded, "_id long, _n long, _reg binary, _set binary")
-    sketches = written(sketched.drop("_set").join(chosen, "_id", "left_semi").dropDuplicates(["_id"]), "mh-sketches")
-    links = linked(sketches, sketched.select("_id", "_set"), percent)
-    same = named.join(first.select("_key", "_rep"), "_key").filter(F.col("_id") > F.col("_rep")).select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
-    labels = components(named, links.unionByName(same))
+    links = linked(first.drop("_key").dropDuplicates(["_id"]), texts, size, percent)
+    same = named.select("_id", "_key").join(first.select("_key", F.col("_id").alias("_rep")), "_key").filter(F.col("_id") > F.col("_rep")).select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
+    labels = components(links.unionByName(same))
     label = F.coalesce(F.col("_label"), F.col("_id"))
-    return all_.join(labels, "_id", "left").select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("_id"), F.lit(True)).alias("kept"))
+    return all_.select("_id", "_n").join(labels, "_id", "left").select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), label.alias("component_id"), F.coalesce(label == F.col("_id"), F.lit(True)).alias("kept"))
+
+
+#: Rounds in which the members of a key meet one head each, before all that are still apart meet.
+HEADS = 2
 
 
-def linked(sketches: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b), a < b, that join all linked sketches (_id, _n, _reg) into their components.
 
-    Two rounds. In the first, the members of a band key meet its first member. In the second, members of a key meet that are still
-    in different components, unless their similarities to the first member rule a link out (Jaccard distance is a metric).
+    In each of the first rounds the members of a band key meet one head: the member that shares most keys with others, from a
+    component that no earlier head of the key was in. At last the members of a key meet that are still in different components,
+    unless their similarities to a head rule a link out (Jaccard distance is a metric).
     """
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("_reg"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    keys = sketches.select("_id", "_n", bands.alias("_band", "_bits")).select("_id", "_n", F.xxhash64("_band", "_bits").alias("_k"))
-    heads = keys.groupBy("_k").agg(F.min(F.struct("_id", "_n")).alias("_head"), F.count("*").alias("_m")).filter("_m > 1")
-    met = keys.join(heads, "_k").select("_k", "_id", "_n", "_m", F.col("_head._id").alias("_h"), F.col("_head._n").alias("_hn"))
-    met = written(met, "mh-met")
-    sizes = 100 * F.least("_n", "_hn") >= percent * F.greatest("_n", "_hn")
-    pairs = met.filter((F.col("_id") != F.col("_h")) & sizes).select(F.col("_h").alias("a"), F.col("_id").alias("b")).distinct()
-    known = written(verified(pairs, sketches, sets_, percent), "mh-known")
-    links = known.filter("linked").select("a", "b")
-    more = met.filter("_m > 2")
-    labels = components(sketches, links)
-    near = known.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "similarity")
-    # of a key with other members than its first: what each is linked to so far, and how near the first member it is
-    placed = more.filter(F.col("_id") != F.col("_h")).join(labels, "_id", "left").join(near, ["_h", "_id"], "left").select("_k", "_id", "_n", F.coalesce("_label", "_id").alias("_label"), F.coalesce("similarity", F.lit(0.0)).alias("_s"), (F.col("similarity").isNotNull()).alias("_sure"))
-    mixed = placed.groupBy("_k").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).filter("lo <> hi").select("_k")
-    placed = written(placed.join(mixed, "_k", "left_semi"), "mh-placed")
+    keys = reps.select("_id", "_n", bands.alias("_band", "_bits")).select("_id", "_n", F.xxhash64("_band", "_bits").alias("_k"))
+    shared = keys.groupBy("_k").agg(F.count("*").alias("_m")).filter("_m > 1")
+    met = written(keys.join(shared, "_k"), "mh-met")
+    popular = met.groupBy("_id").agg(F.sum("_m").alias("_p"))
+    met = written(met.join(popular, "_id"), "mh-met")
+    # only texts that share a key are shuffled on to full sets, once for all rounds
+    full = written(texts.join(met.select("_id").distinct(), "_id", "left_semi").mapInPandas(_full_sets(size), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    links = known = used = None
+    for _ in range(HEADS):
+        labels = components(links) if links is not None else None
+        own = met.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id")) if labels is not None else met.withColumn("_label", F.col("_id"))
+        free = own if used is None else own.join(used.join(labels.withColumnRenamed("_id", "_h"), "_h", "left").select("_k", F.coalesce("_label", "_h").alias("_label")).distinct(), ["_k", "_label"], "left_anti")
+        heads = free.groupBy("_k").agg(F.max(F.struct("_p", (-F.col("_id")).alias("_i"), "_n", "_label")).alias("_x")).select("_k", (-F.col("_x._i")).alias("_h"), F.col("_x._n").alias("_hn"), F.col("_x._label").alias("_hl"))
+        heads = written(heads, "mh-heads")
+        pairs = own.join(heads, "_k").filter((F.col("_label") != F.col("_hl")) & near(F.col("_n"), F.col("_hn"))).select(F.least("_h", "_id").alias("a"), F.greatest("_h", "_id").alias("b")).distinct()
+        pairs = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        new = written(verified(pairs, reps, full, percent), "mh-known")
+        known = new if known is None else known.unionByName(new)
+        used = heads.select("_k", "_h") if used is None else used.unionByName(heads.select("_k", "_h"))
+        links = known.filter("linked").select("a", "b")
+    labels = components(links)
+    own = met.filter("_m > 2").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    mixed = own.groupBy("_k").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).filter("lo <> hi").select("_k")
+    both = known.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "similarity").unionByName(known.select(F.col("b").alias("_h"), F.col("a").alias("_id"), "similarity"))
+    # how near each member is to the heads of its key, where that was measured
+    to_heads = own.join(mixed, "_k", "left_semi").join(used, "_k").join(both, ["_h", "_id"], "left").groupBy("_k", "_id", "_n", "_label").agg(F.map_from_entries(F.collect_set(F.when(F.col("similarity").isNotNull(), F.struct("_h", "similarity")))).alias("_s"))
+    placed = written(to_heads, "mh-placed")
     x, y = placed.alias("x"), placed.alias("y")
-    reach = 1 - percent / 100
-    apart = F.col("x._sure") & F.col("y._sure") & (F.abs(F.col("x._s") - F.col("y._s")) > reach + 1e-9)
-    open_ = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._label") < F.col("y._label")) & (100 * F.least("x._n", "y._n") >= percent * F.greatest("x._n", "y._n")) & ~apart)
-    rest = open_.select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
-    rest = rest.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, sketches, sets_, percent).filter("linked").select("a", "b"))
+    reach = 1 - percent / 100 + 1e-9
+    apart = F.exists(F.map_entries(F.col("x._s")), lambda e: F.coalesce(F.abs(e["value"] - F.try_element_at(F.col("y._s"), e["key"])) > reach, F.lit(False)))
+    open_ = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._label") < F.col("y._label")) & near(F.col("x._n"), F.col("y._n")) & ~apart)
+    rest = open_.select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    return links.unionByName(verified(rest, reps, full, percent).filter("linked").select("a", "b"))
+
+
+def _full_sets(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": [shingle_hashes(t, size).tobytes() for t in part["_t"]]})
+
+    return run
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(a, b, similarity, linked) of candidate pairs whose estimate is near enough: exact, on the full sets."""
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,8 +207,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets_: DataFrame, percent: i
             ok = [estimate(np.frombuffer(x, dtype=np.uint16), np.frombuffer(y, dtype=np.uint16), n, m) >= percent / 100 - MARGIN for x, y, n, m in zip(pdf["ra"], pdf["rb"], pdf["na"], pdf["nb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
-    left = sketches.select(F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("_reg").alias("ra"))
-    right = sketches.select(F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("_reg").alias("rb"))
+    left = reps.select(F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("_reg").alias("ra"))
+    right = reps.select(F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("_reg").alias("rb"))
     wanted = written(pairs.join(left, "a").join(right, "b").mapInPandas(likely, "a long, b long"), "mh-likely")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +221,5 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets_: DataFrame, percent: i
                 out.append((a, b, shared / union, 100 * shared >= percent * union))
             yield pd.DataFrame(out, columns=["a", "b", "similarity", "linked"])
 
-    ids = wanted.select(F.col("a").alias("_id")).union(wanted.select(F.col("b").alias("_id"))).distinct()
-    full = written(sets_.join(ids, "_id", "left_semi").dropDuplicates(["_id"]), "mh-full")
     sa, sb = full.select(F.col("_id").alias("a"), F.col("_set").alias("sa")), full.select(F.col("_id").alias("b"), F.col("_set").alias("sb"))
     return wanted.join(sa, "a").join(sb, "b").mapInPandas(compare, "a long, b long, similarity double, linked boolean")
