@@ -22,7 +22,7 @@ from .common import written
 SAMPLE = 20_000
 TREES = 4
 #: Vectors a leaf should hold, and rows of a leaf in one group at most: larger leaves are cut into several groups.
-LEAF, GROUP = 256, 8_192
+LEAF, GROUP = 512, 8_192
 #: Share of the vectors that a query's leaves hold, in each tree on average. Vectors without clusters need a large one for a recall of 0.9.
 SHARE = 0.25
 
@@ -102,19 +102,18 @@ def exact_top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray
 
     A matrix product finds what may be among the best; those are measured again one by one, so equal vectors get equal scores.
     """
-    out = []
     qn, xn = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     scores = (q / qn[:, None]) @ (x / xn[:, None]).T
-    for i in range(len(q)):
-        s = np.where(x_ids == q_ids[i], -np.inf, scores[i])
-        n = min(k, int((s > -np.inf).sum()))
-        if n:
-            least = -np.partition(-s, n - 1)[n - 1] if n < len(s) else s[s > -np.inf].min()
-            hit = np.flatnonzero(s >= least - 1e-9)
-            exact = (x[hit] * q[i]).sum(axis=1) / (xn[hit] * qn[i])
-            best = np.lexsort((x_ids[hit], -exact))[:n]
-            out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": x_ids[hit][best], "score": exact[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    scores[q_ids[:, None] == x_ids[None, :]] = -np.inf
+    n = min(k, len(x))
+    least = -np.partition(-scores, n - 1, axis=1)[:, n - 1] if n < len(x) else scores.min(axis=1, initial=np.inf)
+    row, hit = np.nonzero((scores >= least[:, None] - 1e-9) & (scores > -np.inf))
+    exact = (x[hit] * q[row]).sum(axis=1) / (xn[hit] * qn[row])
+    order = np.lexsort((x_ids[hit], -exact, row))
+    row, hit, exact = row[order], hit[order], exact[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    best = np.arange(len(row)) - first[row] < k
+    return pd.DataFrame({"query_id": q_ids[row[best]].astype(np.int64), "vec_id": x_ids[hit[best]].astype(np.int64), "score": exact[best]})
 
 
 def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, trees: int = TREES, leaf: int = LEAF, share: float = SHARE, sample: int = SAMPLE, group: int = GROUP, seed: int = 3) -> DataFrame:
@@ -173,7 +172,7 @@ def search(vectors: DataFrame, is_query, *, vec_id: str = "vec_id", embedding: s
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
-            return exact_top(np.zeros((0, dim)), np.zeros(0), np.ones((1, dim)), np.zeros(1), k)
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         x_ids, xs = x["_id"].to_numpy(), np.stack(x["_v"].to_numpy())
         q_ids, qs = q["_id"].to_numpy(), np.stack(q["_v"].to_numpy())
         return pd.concat([exact_top(qs[i : i + 512], q_ids[i : i + 512], xs, x_ids, k) for i in range(0, len(q_ids), 512)])
