@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORDS, written
@@ -149,8 +149,8 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     """Verified links (a, b), a < b, that join all linked sketches (_id, _n, _reg) into their components.
 
     In each of the first rounds the members of a band key meet one head: the member that shares most keys with others, from a
-    component that no earlier head of the key was in. At last the members of a key meet that are still in different components,
-    unless their similarities to a head rule a link out (Jaccard distance is a metric).
+    component that no earlier head of the key was in. At last the members of a key meet that are still in different components, by
+    what sets them apart from the first head (``open_pairs``).
     """
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("_reg"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = reps.select("_id", "_n", bands.alias("_band", "_bits")).select("_id", "_n", F.xxhash64("_band", "_bits").alias("_k"))
@@ -161,7 +161,7 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     # only texts that share a key are shuffled on to full sets, once for all rounds
     full = written(texts.join(met.select("_id").distinct(), "_id", "left_semi").mapInPandas(_full_sets(size), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    links = known = used = None
+    links = known = used = first_heads = None
     for _ in range(HEADS):
         labels = components(links) if links is not None else None
         own = met.join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id")) if labels is not None else met.withColumn("_label", F.col("_id"))
@@ -172,23 +172,54 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
         pairs = pairs if known is None else pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = written(verified(pairs, reps, full, percent), "mh-known")
         known = new if known is None else known.unionByName(new)
+        first_heads = heads.select("_k", "_h") if first_heads is None else first_heads
         used = heads.select("_k", "_h") if used is None else used.unionByName(heads.select("_k", "_h"))
         links = known.filter("linked").select("a", "b")
     labels = components(links)
     own = met.filter("_m > 2").join(labels, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
     mixed = own.groupBy("_k").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).filter("lo <> hi").select("_k")
-    both = known.select(F.col("a").alias("_h"), F.col("b").alias("_id"), "similarity").unionByName(known.select(F.col("b").alias("_h"), F.col("a").alias("_id"), "similarity"))
-    # how near each member is to the heads of its key, where that was measured
-    to_heads = own.join(mixed, "_k", "left_semi").join(used, "_k").join(both, ["_h", "_id"], "left").groupBy("_k", "_id", "_n", "_label").agg(F.map_from_entries(F.collect_set(F.when(F.col("similarity").isNotNull(), F.struct("_h", "similarity")))).alias("_s"))
-    placed = written(to_heads, "mh-placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    reach = 1 - percent / 100 + 1e-9
-    apart = F.exists(F.map_entries(F.col("x._s")), lambda e: F.coalesce(F.abs(e["value"] - F.try_element_at(F.col("y._s"), e["key"])) > reach, F.lit(False)))
-    open_ = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._label") < F.col("y._label")) & near(F.col("x._n"), F.col("y._n")) & ~apart)
-    rest = open_.select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    members = own.join(mixed, "_k", "left_semi").join(first_heads, "_k").select("_h", "_id", "_label").distinct()
+    rest = open_pairs(members, full, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
     return links.unionByName(verified(rest, reps, full, percent).filter("linked").select("a", "b"))
 
 
+def open_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of members (_h, _id, _label) of one head in different components whose sets may be near enough.
+
+    The symmetric difference of two sets is that of their differences from the head. With n elements, d of them and of the
+    head's in the difference, and c = (100 - percent) / (100 + percent), a link of x and y needs dx + dy - 2 x shared <= c (nx + ny): the
+    excesses d - c n of both, added and halved, are the least number of shared difference elements. A sum of zero or less is
+    a link of both with the head, found before. For all others an element must be shared early enough in an order from rare
+    to frequent that the rest can still hold that number, so members that differ from the head each in its own way do not meet.
+    """
+    own, off = 100 + percent, 100 - percent
+
+    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for h, i, label, sh, sx in zip(pdf["_h"], pdf["_id"], pdf["_label"], pdf["sh"], pdf["sx"], strict=True):
+                sh, sx = np.frombuffer(sh, dtype=np.int64), np.frombuffer(sx, dtype=np.int64)
+                d = np.setxor1d(sh, sx, assume_unique=True)
+                out.append((h, i, label, len(sx), own * len(d) - off * len(sx), -off * len(sh), d))
+            yield pd.DataFrame(out, columns=["_h", "_id", "_label", "_n", "_w", "_hw", "_all"])
+
+    both = members.join(full.select(F.col("_id").alias("_h"), F.col("_set").alias("sh")), "_h").join(full.select("_id", F.col("_set").alias("sx")), "_id")
+    apart = written(both.mapInPandas(differ, "_h long, _id long, _label long, _n long, _w long, _hw long, _all array<long>"), "mh-apart")
+    apart = apart.withColumn("_e", F.explode("_all")).drop("_all")
+    often = apart.groupBy("_h", "_e").agg(F.count("*").alias("_f")).filter("_f > 1")
+    place = (F.row_number().over(Window.partitionBy("_h", "_id").orderBy("_f", "_e")) - 1).cast("long")
+    # elements of one member only come first in the order and meet nobody: they are counted, not sorted
+    shared = apart.join(often, ["_h", "_e"]).withColumn("_r", place).withColumn("_s", F.count("*").over(Window.partitionBy("_h", "_id")))
+    left = F.col("_s") - F.col("_r")
+    kept = written(shared.withColumn("_left", left).filter(2 * own * F.col("_left") >= F.col("_w") + F.col("_hw")).select("_h", "_e", "_id", "_label", "_n", "_w", "_left"), "mh-shared")
+    x, y = kept.filter("_w > 0").alias("x"), kept.alias("y")
+    near = 100 * F.least("x._n", "y._n") >= percent * F.greatest("x._n", "y._n")
+    once = (F.col("y._w") <= 0) | (F.col("x._id") < F.col("y._id"))
+    enough = F.col("x._w") + F.col("y._w") <= 2 * own * F.least("x._left", "y._left")
+    met = x.join(y, (F.col("x._h") == F.col("y._h")) & (F.col("x._e") == F.col("y._e")) & (F.col("x._label") != F.col("y._label")) & near & once & enough)
+    return met.select(F.least("x._id", "y._id").alias("a"), F.greatest("x._id", "y._id").alias("b")).distinct()
+
+
 def _full_sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
