@@ -2,8 +2,9 @@
 
 Of all suffixes (by word) only those at minimiser positions are kept: in every window of k-grams the one with the smallest hash.
 Two equal passages of ``least`` words or more keep a suffix at the same place inside. Suffixes whose k-gram occurs once in the
-corpus go at once; the others are sorted and compared with their neighbours in order, and with the first
-occurrence of their k-gram, and each match is extended to the left and to the right.
+corpus go at once; the others are sorted. A suffix shares most words ahead with a neighbour in order, so that length bounds
+which windows of ``least`` words around it can be repeated. Each such window has one smallest k-gram and is counted there by
+its hash, so every repeated window is found, however its occurrences are ordered.
 """
 
 from __future__ import annotations
@@ -59,9 +60,10 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(_row, _at, _left, _right, _first): at word ``_at``, the passage from _left words before to _right words after occurs elsewhere.
+    """(_row, _at, _left, _right, _cut_left, _cut_right): at word ``_at``, the passage from _left words before to _right words after occurs elsewhere.
 
-    ``_first`` is true if no earlier occurrence (by doc_id, then row, then place) was found, so it stays when repeats are removed.
+    ``_cut_left`` and ``_cut_right`` say the same of what an earlier occurrence (by doc_id, then row, then place) has; they are null where
+    there is none.
     """
     window = least - gram + 1
 
@@ -79,10 +81,10 @@ def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
     base = keyed(docs, doc_id, text)
     found = base.mapInPandas(sparse, "_h long, _row long, _id long, _at int")
     light = written(found, "sa-sparse")
-    # the first occurrence of each k-gram that occurs more than once
-    twice = light.groupBy("_h").agg(F.min(F.struct("_id", "_row", "_at")).alias("_f"), F.max(F.struct("_id", "_row", "_at")).alias("_l")).filter("_f <> _l").select("_h", "_f")
-    kept = written(light.join(twice, "_h").select("_row", "_at", "_h", (F.struct("_id", "_row", "_at") == F.col("_f")).alias("_lead")), "sa-kept")
-    by_row = kept.groupBy("_row").agg(F.collect_set(F.struct("_at", "_h", "_lead")).alias("_s"))
+    # k-grams that occur more than once
+    twice = light.groupBy("_h").agg(F.min(F.struct("_id", "_row", "_at")).alias("_f"), F.max(F.struct("_id", "_row", "_at")).alias("_l")).filter("_f <> _l").select("_h")
+    kept = written(light.join(twice, "_h").select("_row", "_at", "_h"), "sa-kept")
+    by_row = kept.groupBy("_row").agg(F.collect_set(F.struct("_at", "_h")).alias("_s"))
     size = 4 * least
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,77 +100,88 @@ def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leas
                         c = size + 4 * x["_at"]
                         back = np.frombuffer(whole[c - size : c], dtype=">u4")[::-1].tobytes()
                         ahead = whole[c : c + size]
-                        out.append((x["_h"], -1 if pd.isna(i) else int(i), r, x["_at"], x["_lead"], ahead, back, xxhash.xxh3_64_intdigest(back + ahead) - (1 << 63)))
-                yield pd.DataFrame(out, columns=["_h", "_id", "_row", "_at", "_lead", "_ahead", "_back", "_c"])
+                        out.append((x["_h"], -1 if pd.isna(i) else int(i), r, x["_at"], ahead, back, xxhash.xxh3_64_intdigest(back + ahead) - (1 << 63)))
+                yield pd.DataFrame(out, columns=["_h", "_id", "_row", "_at", "_ahead", "_back", "_c"])
 
-    heavy = base.join(by_row, "_row").mapInPandas(contexts, "_h long, _id long, _row long, _at int, _lead boolean, _ahead binary, _back binary, _c long")
+    heavy = base.join(by_row, "_row").mapInPandas(contexts, "_h long, _id long, _row long, _at int, _ahead binary, _back binary, _c long")
     stored = written(heavy, "sa-contexts")
-    members = stored.select("_h", "_c", "_id", "_row", "_at", "_lead").distinct()
+    members = stored.select("_h", "_c", "_id", "_row", "_at").distinct()
     # equal surroundings on both sides: one goes on for all, and its first member stays
-    distinct = stored.groupBy("_h", "_c").agg(F.min_by(F.struct("_ahead", "_back"), F.struct("_id", "_row", "_at")).alias("_x"), F.min(F.struct("_id", "_row", "_at")).alias("_o"), F.max("_lead").alias("_lead"))
-    flat = distinct.select("_h", "_c", "_lead", F.col("_o._id").alias("_id"), F.col("_o._row").alias("_row"), F.col("_o._at").alias("_at"), F.col("_x._ahead").alias("_ahead"), F.col("_x._back").alias("_back"))
+    distinct = stored.groupBy("_h", "_c").agg(F.min_by(F.struct("_ahead", "_back"), F.struct("_id", "_row", "_at")).alias("_x"), F.min(F.struct("_id", "_row", "_at")).alias("_o"))
+    flat = distinct.select("_h", "_c", F.col("_o._id").alias("_id"), F.col("_o._row").alias("_row"), F.col("_o._at").alias("_at"), F.col("_x._ahead").alias("_ahead"), F.col("_x._back").alias("_back"))
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = flat.repartition(parts, "_h").sortWithinPartitions("_h", F.desc("_lead"), "_ahead", "_id", "_row", "_at")
-    spans = written(ordered.mapInPandas(neighbours(least), "_h long, _c long, _left int, _right int, _earlier boolean"), "sa-spans")
-    best = spans.groupBy("_h", "_c").agg(F.max("_left").alias("_left"), F.max("_right").alias("_right"), F.max("_earlier").alias("_earlier"), F.max(F.when(F.col("_earlier"), F.struct(F.col("_left") + F.col("_right"), "_left", "_right"))).alias("_e"))
+    ordered = flat.repartition(parts, "_h").sortWithinPartitions("_h", "_ahead")
+    windows = written(ordered.mapInPandas(open_windows(least, gram), "_h long, _c long, _w long, _j int, _id long, _row long, _at int"), "sa-windows")
+    # windows that different surroundings share, with their first occurrence
+    shared = written(windows.groupBy("_h", "_w").agg(F.count("*").alias("_k"), F.min(F.struct("_id", "_row", "_at")).alias("_f")).filter("_k > 1").select("_h", "_w", "_f"), "sa-shared")
+    # all of them hold the k-gram, so those of one place cover one stretch
+    late = F.when(F.col("_f") < F.struct("_id", "_row", "_at"), F.col("_j"))
+    best = windows.join(shared, ["_h", "_w"]).groupBy("_h", "_c").agg(F.max("_j").alias("_left"), (least - F.min("_j")).alias("_right"), F.max(late).alias("_late_left"), (least - F.min(late)).alias("_late_right"))
     groups = members.groupBy("_h", "_c").agg(F.min(F.struct("_id", "_row", "_at")).alias("_o"), F.count("*").alias("_n"))
     placed = members.join(groups, ["_h", "_c"]).join(best, ["_h", "_c"], "left")
     copy = (F.struct("_id", "_row", "_at") != F.col("_o"))  # of equal surroundings, all but the first repeat it on both sides
     whole = F.col("_n") > 1
     left = F.when(whole, F.lit(least)).otherwise(F.col("_left"))
     right = F.when(whole, F.lit(least)).otherwise(F.col("_right"))
-    cut_left = F.when(copy, F.lit(least)).when(F.col("_earlier"), F.col("_e._left"))
-    cut_right = F.when(copy, F.lit(least)).when(F.col("_earlier"), F.col("_e._right"))
+    cut_left = F.when(copy, F.lit(least)).otherwise(F.col("_late_left"))
+    cut_right = F.when(copy, F.lit(least)).otherwise(F.col("_late_right"))
     return placed.filter(whole | F.col("_left").isNotNull()).select("_row", "_at", left.alias("_left"), right.alias("_right"), cut_left.alias("_cut_left"), cut_right.alias("_cut_right"))
 
 
-def neighbours(least: int):
-    """The pass over sorted suffixes: each is compared with the one before and with the lead of its k-gram, which comes first.
+def open_windows(least: int, gram: int):
+    """The pass over sorted suffixes: (_h, _c, _w, _j) for each window of ``least`` words from ``_j`` words before a suffix that may be repeated.
 
-    A match is as many equal words ahead (capped at ``least``) and back; longer passages hold several suffixes, whose matches
-    overlap. It carries one row from batch to batch, whatever the size of a group.
+    These are the windows whose first smallest k-gram is the suffix's own, with no more words ahead than it shares with a neighbour
+    in order (no other suffix shares more). It carries one row from batch to batch, whatever the size of a group.
     """
-
-    def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        same = a == b
-        return np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+    far = least - gram
+    powers = np.ones(2 * least, dtype=np.uint64)
+    powers[1:] = np.cumprod(np.full(2 * least - 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+    names = ["_h", "_c", "_id", "_row", "_at", "_ahead", "_back"]
+
+    def emit(rows: pd.DataFrame, shares: np.ndarray) -> pd.DataFrame:
+        use = np.flatnonzero(shares >= gram)
+        rows, shares = rows.iloc[use], shares[use]
+        n = len(rows)
+        ahead = np.frombuffer(b"".join(rows["_ahead"]), dtype=">u4").reshape(n, least)
+        back = np.frombuffer(b"".join(rows["_back"]), dtype=">u4").reshape(n, least)[:, ::-1]
+        codes = np.concatenate([back, ahead], axis=1).astype(np.uint64)  # the suffix begins at column ``least``
+        g = np.zeros((n, 2 * far + 1), dtype=np.uint64)
+        for k in range(gram):
+            g = (g ^ codes[:, least - far + k : least + far + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        own = g[:, far : far + 1]
+        length = lambda ok: np.where(ok.all(axis=1), far, ok.argmin(axis=1)) if far else np.zeros(n, dtype=np.int64)
+        most = length(g[:, :far][:, ::-1] > own)
+        fewest = np.maximum(far - length(g[:, far + 1 :] >= own), least - shares)
+        j = np.arange(far + 1)
+        r, j = np.nonzero((j >= fewest[:, None]) & (j <= most[:, None]))
+        # hash of a window by prefix sums; every word is mixed first, and the place of the window goes by the power
+        mixed = codes * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        sums = np.concatenate([np.zeros((n, 1), dtype=np.uint64), np.cumsum(mixed * powers, axis=1, dtype=np.uint64)], axis=1)
+        w = (sums[r, 2 * least - j] - sums[r, least - j]) * powers[least - 1 + j]
+        pick = lambda c: rows[c].to_numpy()[r]
+        return pd.DataFrame({"_h": pick("_h"), "_c": pick("_c"), "_w": w.astype(np.int64), "_j": j.astype(np.int32), "_id": pick("_id"), "_row": pick("_row"), "_at": pick("_at")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = lead = None
+        held, before = None, 0  # the last row, whose next one is still to come, and what it shares with the one before
         for pdf in batches:
             if not len(pdf):
                 continue
-            ahead = np.frombuffer(b"".join(pdf["_ahead"]), dtype=np.uint32).reshape(len(pdf), -1)
-            back = np.frombuffer(b"".join(pdf["_back"]), dtype=np.uint32).reshape(len(pdf), -1)
-            h, c = pdf["_h"].to_numpy(), pdf["_c"].to_numpy()
-            order = list(zip(pdf["_id"], pdf["_row"], pdf["_at"], strict=True))
-            starts = np.concatenate([[True], h[1:] != h[:-1]])
-            if last is not None and last[0] == h[0]:
-                starts[0] = False
-            # rows, and the rows before them and their leads; -1 stands for what came in an earlier batch
-            group = np.maximum.accumulate(np.where(starts, np.arange(len(h)), -1))
-            for other in (np.arange(len(h)) - 1, group):
-                use = ~starts & (other != np.arange(len(h)))
-                now = np.flatnonzero(use)
-                inside = now[other[now] >= 0]
-                sets = [(inside, ahead[other[inside]], back[other[inside]], [order[j] for j in other[inside]], h[other[inside]], c[other[inside]])]
-                outside = now[other[now] < 0]
-                carried = last if other[0] == -1 and group is not other else lead
-                if len(outside) and carried is not None:
-                    sets.append((outside, np.repeat(carried[3][None], len(outside), axis=0), np.repeat(carried[4][None], len(outside), axis=0), [carried[2]] * len(outside), np.repeat(carried[0], len(outside)), np.repeat(carried[1], len(outside))))
-                for own, a, b, before, oh, oc in sets:
-                    if not len(own):
-                        continue
-                    right, left = lengths(ahead[own], a), lengths(back[own], b)
-                    ok = np.flatnonzero(right + left >= least)
-                    if len(ok):
-                        earlier = np.array([before[k] < order[own[k]] for k in ok])
-                        yield pd.DataFrame({"_h": h[own[ok]], "_c": c[own[ok]], "_left": left[ok].astype(np.int32), "_right": right[ok].astype(np.int32), "_earlier": earlier})
-                        yield pd.DataFrame({"_h": oh[ok], "_c": oc[ok], "_left": left[ok].astype(np.int32), "_right": right[ok].astype(np.int32), "_earlier": ~earlier})
-            last = (h[-1], c[-1], order[-1], ahead[-1].copy(), back[-1].copy())
-            if group[-1] >= 0:
-                g = group[-1]
-                lead = (h[g], c[g], order[g], ahead[g].copy(), back[g].copy())
+            rows = pdf[names] if held is None else pd.concat([held, pdf[names]], ignore_index=True)
+            ahead = np.frombuffer(b"".join(rows["_ahead"]), dtype=np.uint32).reshape(len(rows), -1)
+            h = rows["_h"].to_numpy()
+            same = ahead[1:] == ahead[:-1]
+            shared = np.where(h[1:] == h[:-1], np.where(same.all(axis=1), least, same.argmin(axis=1)), 0)
+            up = np.concatenate([[before], shared])
+            for lo in range(0, len(shared), 4096):
+                part = slice(lo, min(len(shared), lo + 4096))
+                yield emit(rows.iloc[part], np.maximum(up[:-1], shared)[part])
+            held, before = rows.iloc[-1:], up[-1]
+        if held is not None:
+            yield emit(held, np.array([before]))
 
     return run
 

@@ -201,6 +201,28 @@ def test_suffixes_equal_brute_force(spark):
     assert after[30] == texts[30] and done[30]["extra"] == "clash"
 
 
+def test_suffixes_find_all_copies_around_foreign_leads(spark):
+    """Earlier excerpts and lines hold k-grams of a passage without 50 words of it; copies end in different words, in any order."""
+    passage = words(60, 21, 10**6)
+    line = passage[24:36]
+    texts = [" ".join(words(30, 400 + i, 10**6) + passage[i : i + 30] + words(30, 500 + i, 10**6)) for i in range(0, 31, 3)]
+    texts += [" ".join(words(20, 600 + i, 10**6) + line + words(20, 700 + i, 10**6)) for i in range(20)]
+    texts += [" ".join(words(10, 800 + i, 10**6) + passage[: 30 + i % 9] + ["edit"] + passage[31 + i % 9 :] + words(10, 900 + i, 10**6)) for i in range(20)]
+    texts += [" ".join(words(i % 23, 1000 + i, 10**6) + passage[i % 4 : 60 - i % 5] + words(15, 1100 + i, 10**6)) for i in range(60)]
+    done = {r["doc_id"]: r for r in suffixes.clean(frame(spark, texts)).collect()}
+    seen, late = {}, [set() for _ in texts]
+    for i, t in enumerate(texts):
+        w = WORDS.findall(t)
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), (i, k)) != (i, k):
+                late[i].update(range(k, k + 50))
+    want = covered(texts, 50)
+    for i in range(len(texts)):
+        assert {x for s in done[i]["spans"] for x in range(s["start"], s["end"])} == want[i], i
+        assert {x for s in done[i]["removed"] for x in range(s["start"], s["end"])} == late[i], i
+    assert sum(map(bool, late)) > 40
+
+
 def test_suffixes_odd_rows(spark, odd):
     assert suffixes.clean(odd.drop("spans", "_id", "_t")).count() == 7
     assert suffixes.clean(empty(spark)).count() == 0
