@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
 
+#: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
+MISSED, BUCKET = 0.005, 1_000
+
 
 def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str, least: float) -> DataFrame:
     """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; equal sets meet once and are expanded by their smallest id."""
@@ -25,11 +30,19 @@ def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str
     return near.unionByName(same)
 
 
-def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int, least: float, *, vec_id: str = "vec_id", embedding: str = "embedding", dim: int = 64, seed: int = 5) -> DataFrame:
+def tables_for(planes: int, least: float, missed: float = MISSED) -> int:
+    """The tables of ``planes`` hyperplanes after which a pair at cosine ``least`` shares none with probability ``missed`` at most."""
+    met = (1 - math.acos(least) / math.pi) ** planes
+    return 1 if met >= 1 else math.ceil(math.log(missed) / math.log1p(-met))
+
+
+def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: float, *, vec_id: str = "vec_id", embedding: str = "embedding", dim: int = 64, seed: int = 5) -> DataFrame:
     """(a, b, score) of vectors that share the signs of ``planes`` random hyperplanes in one of ``tables`` tables, with an exact cosine of ``least`` or more.
 
-    Equal vectors meet through their smallest id, so copies cost a row each.
+    Without ``tables``, :func:`tables_for` chooses their number. Equal vectors meet through their smallest id, so copies cost a row each.
+    Buckets of more than ``BUCKET`` vectors are dealt to blocks, and each pair of blocks meets on its own.
     """
+    tables = tables_for(planes, least) if tables is None else tables
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
 
     @F.pandas_udf("array<long>")
@@ -39,8 +52,14 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int, least: float, *
 
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
     keyed = own.select("_id", F.posexplode(signatures("_v")).alias("_table", "_bits"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x._table") == F.col("y._table")) & (F.col("x._bits") == F.col("y._bits")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    popular = keyed.groupBy("_table", "_bits").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_m")).filter("_m > 1")
+    m = F.coalesce(F.col("_m"), F.lit(1))
+    dealt = keyed.join(popular, ["_table", "_bits"], "left").withColumn("_s", F.pmod(F.xxhash64("_id"), m).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), m - 1))).select("_id", "_table", "_bits", "_s", F.least("_s", "_o").alias("_lo"), F.greatest("_s", "_o").alias("_hi"))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same_key = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("_table", "_bits", "_lo", "_hi")]
+    once = (F.col("x._s") != F.col("y._s")) | (F.col("x._lo") == F.col("x._hi"))
+    met = x.join(y, [*same_key, F.col("x._id") < F.col("y._id"), once]).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), "a").join(own.select(F.col("_id").alias("b"), F.col("_v").alias("_vb")), "b")
     near = joined.withColumn("score", F.round(dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb")), 6)).filter(F.col("score") >= least).select("a", "b", "score")

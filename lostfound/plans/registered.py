@@ -321,7 +321,7 @@ def e12_embedding_topk(s, d):
 
 @query()
 def e13_embedding_lsh(s, d):
-    return MM.embedding_lsh_pairs(t(s, d, "embeddings"), 12, 8, 0.9)
+    return MM.embedding_lsh_pairs(t(s, d, "embeddings"), 12, None, 0.9)
 
 
 @query("""WITH a AS (SELECT doc_id AS query_id, n_chars AS case_id, (doc_id % 10) / 10.0 AS score FROM documents), b AS (SELECT conv_id AS query_id, turn AS case_id, max((turn % 5) / 5.0) AS score FROM conversations GROUP BY 1, 2)

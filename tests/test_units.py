@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lostfound.functions import columns as C
@@ -141,3 +143,20 @@ def test_help_points_and_lsh(spark):
     v = spark.createDataFrame([(i, [float((i // 2) % 3 == j) for j in range(4)]) for i in range(6)], "vec_id long, embedding array<double>")
     pairs = {(r["a"], r["b"]) for r in MM.embedding_lsh_pairs(v, 4, 4, 0.9, dim=4).collect()}
     assert pairs == {(0, 1), (2, 3), (4, 5)}
+
+
+def test_lsh_recall_near_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    a, other = rng.standard_normal((2, 300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    other -= (other * a).sum(axis=1, keepdims=True) * a
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.tile(np.linspace(0.901, 0.99, 30), 10)[:, None]
+    v = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * other])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    want = {(int(i), int(j)) for i, j in np.argwhere(np.triu(v @ v.T >= 0.9, 1))}
+    assert len(want) >= 300
+    for bucket in (1000, 2):
+        monkeypatch.setattr(MM, "BUCKET", bucket)
+        got = [(r["a"], r["b"]) for r in MM.embedding_lsh_pairs(df, 12, None, 0.9).collect()]
+        assert set(got) <= want and len(got) == len(set(got)) and len(got) >= 0.99 * len(want)
