@@ -1,14 +1,14 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index, distance-weighted votes.
 
-The terms are those whose share of toxic rows stands out in the labelled sample; their document frequencies are counted
-over all documents. A text without any such term has no direction; its score is the toxic share of the labelled rows like it.
+All words of the labelled sample are terms, and so are all words of a text that the sample has. Document frequencies are counted
+over all documents; a word whose share of toxic rows stands out in the sample (likelihood ratio G) weighs 1 + G times as much.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,10 +19,10 @@ from .common import labelled_sample
 
 #: Labelled rows of a class that the terms and the examples are taken from at most.
 CLASS_ROWS = 4_000
-#: Terms at most, least rows of the sample that have one, and least likelihood ratio (G) of its rows by class: at 22, one term in 60,000 by chance.
-TERMS, TERM_ROWS, TERM_G = 512, 3, 22.0
-#: Examples in a block of the index, and neighbours that vote.
-BLOCK, NEIGHBOURS = 64, 15
+#: Least likelihood ratio (G) of the toxic words that a result names: at 22, one word in 60,000 by chance.
+TERM_G = 22.0
+#: Neighbours that vote, and the share of examples from which on a word's weights are kept as a whole row.
+NEIGHBOURS, COMMON = 15, 0.25
 #: Added to a neighbour's distance before its inverse is its vote; and the weight of the sample's share among the votes.
 SOFTEN, PRIOR_VOTES = 0.05, 1.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,84 +33,123 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class Index:
-    """Unit TF-IDF vectors of examples, their postings in aligned blocks, and each block's largest weight of each term.
+    """Unit TF-IDF vectors of examples, as postings by term. All examples that share a term are scored, so the neighbours are exact.
 
-    A block's bound for a query is the sum of its largest weights; blocks are scored from the highest bound down
-    until no bound reaches the last neighbour kept, so the neighbours are exact.
+    ``idf`` are the terms' whole weights, ``named`` the numbers of those that a result names.
     """
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], vectors: np.ndarray, labels: list[int]) -> None:
-        order = np.lexsort((ids, vectors.argmax(axis=1))) if len(ids) else np.zeros(0, dtype=int)  # like with like: tighter bounds
-        self.terms, self.idf, self.number = terms, idf, {t: i for i, t in enumerate(terms)}
-        self.ids, self.labels = np.array(ids, dtype=np.int64)[order], np.array(labels, dtype=float)[order]
-        n = -(-len(ids) // BLOCK)
-        padded = np.zeros((n * BLOCK, len(terms)))
-        padded[: len(ids)] = vectors[order]
-        self.postings = [[(b * BLOCK + (at := np.flatnonzero(padded[b * BLOCK : (b + 1) * BLOCK, t])), padded[b * BLOCK + at, t]) for b in range(n)] for t in range(len(terms))]
-        self.largest = padded.reshape(n, BLOCK, len(terms)).max(axis=1).T if n else np.zeros((len(terms), 0))
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], vectors: np.ndarray | list[tuple[np.ndarray, np.ndarray]], labels: list[int], named: Iterable[int] = ()) -> None:
+        if isinstance(vectors, np.ndarray):
+            vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
+        self.terms, self.idf, self.number, self.named = terms, idf, {t: i for i, t in enumerate(terms)}, frozenset(named)
+        self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=float)
+        own = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, dtype=np.int64)
+        order = np.argsort(own, kind="stable")
+        self.places = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]).astype(np.int32)[order]
+        self.weights = (np.concatenate([v[1] for v in vectors]).astype(float) if vectors else np.zeros(0))[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(terms)))]).astype(np.int64)
         self.share = self.bare = 0.0
-        self._seen: dict = {}
+        self._rows: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_seen": {}}
+        return self.__dict__ | {"_rows": None, "number": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"number": {t: i for i, t in enumerate(state["terms"])}}
 
     def vector(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
         """Numbers of the terms that a text has, and their unit weights (1 + log tf) x idf."""
         number = self.number
         tf = Counter(number[w] for w in terms_of(text) if w in number)
         own = tuple(sorted(tf))
-        w = np.array([(1 + np.log(tf[t])) * self.idf[t] for t in own])
+        w = (1 + np.log(np.array([tf[t] for t in own], dtype=float))) * self.idf[list(own)]
         return own, w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def cosines(self, asked: list[tuple[tuple[int, ...], np.ndarray]]) -> np.ndarray:
+        """The cosines of vectors (rows) to all examples. Common terms go through one product of matrices, the others through their postings."""
+        n, starts = len(self.ids), self.starts
+        if self._rows is None:
+            common = np.flatnonzero(np.diff(starts) >= max(1, COMMON * n))
+            whole = np.zeros((len(common), n))
+            for k, t in enumerate(common):
+                whole[k, self.places[starts[t] : starts[t + 1]]] = self.weights[starts[t] : starts[t + 1]]
+            at = np.full(len(self.terms), -1)
+            at[common] = np.arange(len(common))
+            self._rows = whole, at
+        whole, at = self._rows
+        mine = np.zeros((len(asked), len(whole)))
+        rare = []
+        for k, (own, weights) in enumerate(asked):
+            own = np.array(own, dtype=np.int64)
+            row = at[own]
+            mine[k, row[row >= 0]] = weights[row >= 0]
+            rare.append((own[row < 0], weights[row < 0]))
+        out = mine @ whole
+        for k, (own, weights) in enumerate(rare):
+            size = starts[own + 1] - starts[own]
+            if size.sum():
+                i = np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out[k] += np.bincount(self.places[i], self.weights[i] * np.repeat(weights, size), minlength=n)
+        return out
+
+    def best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k largest, ties to the smaller doc_id."""
+        least = np.partition(cosines, -k)[-k] - 1e-11 if len(cosines) > k else 0.0
+        places = np.flatnonzero((cosines > 0) & (cosines >= least))
+        places = places[np.lexsort((self.ids[places], -np.round(cosines[places], 12)))[:k]]
+        return places, cosines[places]
+
     def nearest(self, own: tuple[int, ...], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first, ties to the smaller doc_id."""
-        bounds = weights @ self.largest[list(own)]
-        places, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), -1.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(places) >= k and bounds[b] < least - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(own, weights, strict=True):
-                at, x = self.postings[t][b]
-                score[at - b * BLOCK] += w * x
-            hit = np.flatnonzero(score > 0)
-            places, cosines = np.concatenate([places, hit + b * BLOCK]), np.concatenate([cosines, score[hit]])
-            best = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-            places, cosines = places[best], cosines[best]
-            least = cosines[-1]
-        return places, cosines
-
-    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]], list[str]]:
-        """(score, evidence as (doc_id, cosine, label) of the neighbours, terms of the text)."""
-        own, weights = self.vector(text)
-        if not own:
-            return self.bare, [], []
-        key = (own, weights.tobytes())
-        if key not in self._seen:
-            if len(self._seen) > 50_000:
-                self._seen.clear()
-            places, cosines = self.nearest(own, weights, k)
-            votes = 1 / (np.maximum(0, 1 - cosines) + SOFTEN)
+        return self.best(self.cosines([(own, weights)])[0], k)
+
+    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[int, float, int]], list[str]]]:
+        """(score, evidence as (doc_id, cosine, label) of the neighbours, toxic words of the text) of each text."""
+        asked = [self.vector(t) for t in texts]
+        out = []
+        for (own, _), cosines in zip(asked, self.cosines(asked), strict=True):
+            if not own:
+                out.append((self.bare, [], []))
+                continue
+            places, near = self.best(cosines, k)
+            votes = 1 / (np.maximum(0, 1 - near) + SOFTEN)
             votes /= votes.max() if len(votes) else 1
             p = (float((votes * self.labels[places]).sum()) + PRIOR_VOTES * self.share) / (float(votes.sum()) + PRIOR_VOTES)
-            self._seen[key] = (min(1.0, p), [(int(self.ids[i]), float(min(1.0, c)), int(self.labels[i])) for i, c in zip(places, cosines, strict=True)])
-        return *self._seen[key], [self.terms[t] for t in own]
+            evidence = [(int(self.ids[i]), float(min(1.0, c)), int(self.labels[i])) for i, c in zip(places, near, strict=True)]
+            out.append((min(1.0, p), evidence, [self.terms[t] for t in own if t in self.named]))
+        return out
 
+    def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]], list[str]]:
+        return self.scores([text], k)[0]
 
-def build(samples: list[tuple[int, str, int]], terms: list[str], frequency: dict[str, int], n_docs: int, shares: dict[int, int]) -> Index:
+
+def standing_out(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio (G) of words with a toxic and b other rows of n1 and n0; 0 for those that do not lean to toxic."""
+    if not (n1 and n0):
+        return np.zeros(len(a))
+    p1 = n1 / (n1 + n0)
+    part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1) / ((a + b) * p)), 0.0)
+    return np.where(a * n0 > b * n1, np.maximum(0.0, 2 * (part(a, p1) + part(b, 1 - p1))), 0.0)
+
+
+def build(samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs: int, shares: dict[int, int]) -> Index:
     """The index of labelled (doc_id, text, label) samples; votes are weighed so that the classes' true shares hold."""
-    idf = np.array([np.log((n_docs + 1) / (frequency.get(t, 0) + 1)) + 1 for t in terms])
-    index = Index(terms, idf, [], np.zeros((0, len(terms))), [])
-    rows = [(i, *index.vector(t), y) for i, t, y in samples]
+    seen = Counter(y for _, _, y in samples)
+    by_class: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for _, t, y in samples:
+        by_class[y].update(set(terms_of(t)))
+    terms = sorted(set(by_class[0]) | set(by_class[1]))
+    a, b = (np.array([by_class[y][t] for t in terms], dtype=float) for y in (1, 0))
+    g = standing_out(a, b, seen[1], seen[0])
+    idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in terms], dtype=float) + 1)) + 1
+    weights, named = idf * (1 + g), np.flatnonzero(g >= TERM_G).tolist()
+    words = Index(terms, weights, [], [], [])
+    rows = [(i, *words.vector(t), y) for i, t, y in samples]
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.0
     kept = [r for r in rows if r[1]]
-    vectors = np.zeros((len(kept), len(terms)))
-    for k, (_, own, w, _) in enumerate(kept):
-        vectors[k, list(own)] = w
-    built = Index(terms, idf, [r[0] for r in kept], vectors, [r[3] for r in kept])
+    built = Index(terms, weights, [r[0] for r in kept], [(np.array(r[1], dtype=np.int32), r[2]) for r in kept], [r[3] for r in kept], named)
     # rows of a class in the sample stand for so many rows of the table
-    seen = Counter(r[3] for r in rows)
     weight = {y: shares.get(y, 0) / seen[y] for y in seen}
     mass = lambda rs: (sum(weight[r[3]] for r in rs if r[3]), sum(weight[r[3]] for r in rs))
     one, all_ = mass([r for r in rows if not r[1]])
@@ -121,37 +160,18 @@ def build(samples: list[tuple[int, str, int]], terms: list[str], frequency: dict
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", folds: int = 5, class_rows: int = CLASS_ROWS) -> Index:
-    """Learns from rows with a label outside fold 0, at most ``class_rows`` of each class; document frequencies of the chosen terms are counted over all documents.
+    """Learns from rows with a label outside fold 0, at most ``class_rows`` of each class; document frequencies of their words are counted over all documents.
 
-    What reaches the driver of a labelled row are its distinct terms, with counts.
+    The words of the sample reach the driver.
     """
     sample, shares = labelled_sample(docs, labels, label, doc_id=doc_id, text=text, folds=folds, class_rows=class_rows)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(i, y, list(c), list(c.values())) for i, t, y in zip(pdf["_id"], pdf["_t"], pdf["_y"], strict=True) for c in [Counter(terms_of(t))]]
-            yield pd.DataFrame(out, columns=["id", "y", "terms", "n"])
-
-    # in two steps: terms with their counts by class come summed, and only then the rows' counts of the few chosen
-    counted = sample.mapInPandas(words, "id long, y int, terms array<string>, n array<int>")
-    n = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    by_term = counted.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    if n1 and n0:
-        p1 = n1 / (n1 + n0)
-        g = 2 * (a * F.ln(a / ((a + b) * p1)) + F.when(b > 0, b * F.ln(b / ((a + b) * (1 - p1)))).otherwise(0.0))
-        chosen = by_term.filter((a > 0) & (a + b >= TERM_ROWS) & (a * n0 > b * n1)).withColumn("g", g).filter(F.col("g") >= TERM_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    else:
-        chosen = []
-    terms = [r["term"] for r in chosen]
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
-
-    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(i, y, " ".join(w for w in terms_of(t) if w in wanted.value)) for i, t, y in zip(pdf["_id"], pdf["_t"], pdf["_y"], strict=True)], columns=["id", "y", "t"])
+            yield pd.DataFrame([(i, y, " ".join(terms_of(t))) for i, t, y in zip(pdf["_id"], pdf["_t"], pdf["_y"], strict=True)], columns=["id", "y", "t"])
 
-    rows = [(r["id"], r["t"], r["y"]) for r in sample.mapInPandas(only, "id long, y int, t string").orderBy("id").collect()]
+    rows = [(r["id"], r["t"], r["y"]) for r in sample.mapInPandas(words, "id long, y int, t string").orderBy("id").collect()]
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(w for _, t, _ in rows for w in t.split(" ") if w))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -163,20 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
 
     counts = docs.select(F.col(text).alias("_t")).mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     frequency = {r["term"]: r["n"] for r in counts}
-    return build(rows, terms, frequency, frequency.get("", 0), shares)
+    return build(rows, frequency, frequency.get("", 0), shares)
 
 
 def score(docs: DataFrame, index: Index, *, text: str = "text", cut: float = 0.5, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``docs`` with ``score``, ``predicted`` (1 where score >= cut), ``evidence`` (neighbours with doc_id, cosine and label) and ``terms``, in one pass without a shuffle.
+    """``docs`` with ``score``, ``predicted`` (1 where score >= cut), ``evidence`` (neighbours with doc_id, cosine and label) and ``terms`` (its toxic words), in one pass without a shuffle.
 
-    Null and empty texts, like all texts without a known term, get the toxic share of the labelled rows without one.
+    Null and empty texts, like all texts without a word of the sample, get the toxic share of the labelled rows without one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<struct<doc_id: long, cosine: double, label: int>>, terms array<string>")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            found = [sent.value.score(x, neighbours) for x in t]
+            found = [f for lo in range(0, len(t), 128) for f in sent.value.scores(t.iloc[lo : lo + 128].tolist(), neighbours)]
             yield pd.DataFrame({"score": [f[0] for f in found], "evidence": [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in f[1]] for f in found], "terms": [f[2] for f in found]})
 
     got = docs.withColumn("_f", scored(F.col(text)))

@@ -173,6 +173,16 @@ def test_toxicity_held_out_and_exact_neighbours(spark, odd):
     assert toxicity.score(docs, toxicity.fit(empty(spark), labels)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_sees_all_words():
+    """Too few toxic rows for any word to stand out: the nearest examples decide, and all words count in the cosine."""
+    mean = "du bist so ein elender dummkopf und ich will dass du hier verschwindest"
+    samples = [(i, mean, 1) for i in range(2)] + [(10, "brot und butter", 0), (11, "wasser aus dem fluss", 0), (12, "der zug nach bonn", 0)]
+    index = toxicity.build(samples, {}, 5, {1: 2, 0: 3})
+    near, far = index.score(f"{mean} anders"), index.score(samples[3][1])
+    assert near[0] > far[0] and [e[0] for e in near[1]][:2] == [0, 1]
+    assert far[1][0][0] == 11 and far[1][0][1] > 0.999 and {w for _, t, _ in samples for w in toxicity.terms_of(t)} == set(index.terms)
+
+
 # 5 suffix arrays
 
 
