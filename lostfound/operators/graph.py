@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -47,15 +48,16 @@ def avoid(edges: DataFrame, blocked: DataFrame, penalty: float | None = None) ->
     return edges.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", (F.col("km") + more).alias("km"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 32) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, node, km, path) from every source (G5): each round relaxes the nodes that improved in the last, until none does.
 
-    ``edges`` are directed (see :func:`directed`); a tie in length keeps the smaller path. One checkpoint a round.
+    ``edges`` are directed (see :func:`directed`); a tie in length keeps the smaller path. One checkpoint a round. Raises if nodes still improve
+    after ``max_hops`` rounds; without ``max_hops`` there is no such bound.
     """
     edges = edges.select("src", "dst", "km").checkpoint()
     best = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("km"), F.array("id").alias("path")).distinct()
     front = best
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         step = front.join(edges.select(F.col("src").alias("node"), "dst", F.col("km").alias("_e")), "node").select("source", F.col("dst").alias("node"), F.round(F.col("km") + F.col("_e"), 6).alias("km"), F.concat("path", F.array("dst")).alias("path"))
         offer = step.groupBy("source", "node").agg(F.min(F.struct("km", "path")).alias("_n"))
         old = best.select("source", "node", F.struct("km", "path").alias("_o"))
@@ -65,11 +67,11 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int = 32) ->
         best = merged.drop("_better")
         front = merged.filter("_better").drop("_better")
         if not front.limit(1).count():
-            break
-    return best
+            return best
+    raise ValueError(f"nodes still improve after {max_hops} rounds; paths have more edges than max_hops")
 
 
-def best_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_hops: int = 32) -> DataFrame:
+def best_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
     """(start, goal, distance_km, path, steps) of a batch of requests (G6). Blocked places are avoided unless a request starts or ends there; an unreachable goal has a null distance."""
     usable = directed(edges)
     if blocked is not None:

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-
+import pytest
 from pyspark.sql import functions as F
 
 from lostfound.functions import columns as C
@@ -160,3 +160,11 @@ def test_lsh_recall_near_the_threshold(spark, monkeypatch):
         monkeypatch.setattr(MM, "BUCKET", bucket)
         got = [(r["a"], r["b"]) for r in MM.embedding_lsh_pairs(df, 12, None, 0.9).collect()]
         assert set(got) <= want and len(got) == len(set(got)) and len(got) >= 0.99 * len(want)
+
+
+def test_long_routes_are_whole(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(35)], "src int, dst int, km double")
+    start = spark.createDataFrame([(0,)], "id int")
+    assert {r["node"]: r["km"] for r in N.shortest_paths(chain, start).collect()} == {i: float(i) for i in range(36)}
+    with pytest.raises(ValueError, match="max_hops"):
+        N.shortest_paths(chain, start, 3)
