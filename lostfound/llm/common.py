@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,48 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: Tables of :func:`written` and their folders.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Spark frees the shuffle files of a query at its end while this is on.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to Python at once; whole texts go there, so they are fewer than Spark's own 10,000.
+PYTHON_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, and safe when executors are lost."""
+    """``df`` written to the shared folder and read again: computed once, and safe when executors are lost. Its shuffle files go at once."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = {k: spark.conf.get(k) for k in (FREE_SHUFFLES, PYTHON_ROWS)}
+    spark.conf.set(FREE_SHUFFLES, "true")
+    spark.conf.set(PYTHON_ROWS, "2000")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that no later job reads."""
+    for df in tables:
+        path = _folders.pop(df, None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made from ``names`` that ``df`` doesn't have, nor any name that begins with them."""
+    taken = [c.lower() for c in df.columns]
+    mark = "_"
+    while any(c.startswith(mark + n.lower()) for c in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def n_parts(spark: SparkSession) -> int:
@@ -72,15 +109,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, doc_id: s
     """(rows ``_id, _t, _y`` to learn from, number of all labelled rows by class).
 
     Of each class the ``class_rows`` rows outside fold 0 with the smallest hash of the text, equal texts once. Only ids and hashes
-    are shuffled for the choice; the ids chosen, 2 x class_rows at most, then pick the texts by a broadcast. Rows with a null
-    text, id or label take no part; of an id with several labels the smallest counts.
+    are shuffled for the choice; the ids and hashes chosen, 2 x class_rows at most, then pick the texts by a broadcast. Rows with a null
+    text, id or label take no part; of an id with several labels the smallest counts, and each of its texts is a row of its own.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter((fold(F.col("_id"), folds) != 0) & F.col("_t").isNotNull())
-    known = written(own.select("_id", F.xxhash64(F.lit(11), "_t").alias("_h")).join(marked, "_id"), "labelled")
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter((fold(F.col("_id"), folds) != 0) & F.col("_t").isNotNull()).withColumn("_h", F.xxhash64(F.lit(11), "_t"))
+    known = written(own.select("_id", "_h").join(marked, "_id"), "labelled")
     shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     once = known.groupBy("_y", "_h").agg(F.min("_id").alias("_id"))
-    ids = [(r["_id"], y) for y in (0, 1) for r in once.filter(F.col("_y") == y).orderBy("_h").limit(class_rows).collect()]
-    chosen = spark.createDataFrame(ids, "_id long, _y int")
-    return own.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]) if ids else own.limit(0).withColumn("_y", F.lit(0)), shares
+    ids = [(r["_id"], r["_h"], y) for y in (0, 1) for r in once.filter(F.col("_y") == y).orderBy("_h").limit(class_rows).collect()]
+    forget(known)
+    chosen = spark.createDataFrame(ids, "_id long, _h long, _y int")
+    return (own.join(F.broadcast(chosen), ["_id", "_h"]).dropDuplicates(["_id", "_h"]) if ids else own.limit(0).withColumn("_y", F.lit(0))).select("_id", "_t", "_y"), shares
