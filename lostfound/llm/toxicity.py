@@ -1,7 +1,10 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 All words of the labelled sample are terms, and so are all words of a text that the sample has. Document frequencies are counted
-over all documents; a word whose share of toxic rows stands out in the sample (likelihood ratio G) weighs 1 + G times as much.
+over all documents; a word whose share of toxic rows stands out in the sample (likelihood ratio G) weighs 1 + log(1 + G) times as much.
+
+The examples stand in blocks. Short postings are summed as they are; of the frequent words the index has the largest weight in each block, which
+bounds the cosines there. The blocks with the largest bounds are measured first, then all others whose bound reaches the k-th best.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import fresh_names, labelled_sample
 
 #: Labelled rows of a class that the terms and the examples are taken from at most.
 CLASS_ROWS = 4_000
 #: Least likelihood ratio (G) of the toxic words that a result names: at 22, one word in 60,000 by chance.
 TERM_G = 22.0
-#: Neighbours that vote, and the share of examples from which on a word's weights are kept as a whole row.
-NEIGHBOURS, COMMON = 15, 0.25
+#: Neighbours that vote, and the share of examples from which on a word's postings are long: bounded by blocks instead of summed at once.
+NEIGHBOURS, COMMON = 15, 0.05
+#: Examples in a block, and blocks that are measured first.
+BLOCK, FIRST = 32, 3
 #: Added to a neighbour's distance before its inverse is its vote; and the weight of the sample's share among the votes.
 SOFTEN, PRIOR_VOTES = 0.05, 1.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,7 +38,7 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class Index:
-    """Unit TF-IDF vectors of examples, as postings by term. All examples that share a term are scored, so the neighbours are exact.
+    """Unit TF-IDF vectors of examples, as postings by term. The neighbours are exact: no example that may be among them is left out.
 
     ``idf`` are the terms' whole weights, ``named`` the numbers of those that a result names.
     """
@@ -42,12 +47,24 @@ class Index:
         if isinstance(vectors, np.ndarray):
             vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
         self.terms, self.idf, self.number, self.named = terms, idf, {t: i for i, t in enumerate(terms)}, frozenset(named)
-        self.ids, self.labels = np.array(ids, dtype=np.int64), np.array(labels, dtype=float)
+        n, sizes = len(vectors), np.array([len(v[0]) for v in vectors], dtype=np.int64)
         own = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, dtype=np.int64)
-        order = np.argsort(own, kind="stable")
-        self.places = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]).astype(np.int32)[order]
-        self.weights = (np.concatenate([v[1] for v in vectors]).astype(float) if vectors else np.zeros(0))[order]
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(terms)))]).astype(np.int64)
+        weights = np.concatenate([v[1] for v in vectors]).astype(float) if vectors else np.zeros(0)
+        # examples that have the same of the most frequent words stand together, so that a block's bounds are close
+        frequency = np.bincount(own, minlength=len(terms))
+        lead = np.argsort(-frequency, kind="stable")[:24]
+        held = np.zeros((n, len(lead)), dtype=bool)
+        column = np.full(len(terms), -1)
+        column[lead] = np.arange(len(lead))
+        row = np.repeat(np.arange(n), sizes)
+        held[row[column[own] >= 0], column[own][column[own] >= 0]] = True
+        order = np.lexsort(held.T[::-1]) if n else np.zeros(0, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+        self.ids, self.labels = np.array(ids, dtype=np.int64)[order], np.array(labels, dtype=float)[order]
+        by_term = np.lexsort((rank[row], own))
+        self.places, self.weights = rank[row][by_term].astype(np.int32), weights[by_term]
+        self.starts = np.concatenate([[0], np.cumsum(frequency)]).astype(np.int64)
         self.share = self.bare = 0.0
         self._rows: tuple | None = None
 
@@ -65,31 +82,48 @@ class Index:
         w = (1 + np.log(np.array([tf[t] for t in own], dtype=float))) * self.idf[list(own)]
         return own, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def cosines(self, asked: list[tuple[tuple[int, ...], np.ndarray]]) -> np.ndarray:
-        """The cosines of vectors (rows) to all examples. Common terms go through one product of matrices, the others through their postings."""
-        n, starts = len(self.ids), self.starts
+    def _frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weights of the frequent terms in all examples, their largest weight in each block, row of each term or -1)."""
         if self._rows is None:
+            n, starts = len(self.ids), self.starts
             common = np.flatnonzero(np.diff(starts) >= max(1, COMMON * n))
             whole = np.zeros((len(common), n))
             for k, t in enumerate(common):
                 whole[k, self.places[starts[t] : starts[t + 1]]] = self.weights[starts[t] : starts[t + 1]]
             at = np.full(len(self.terms), -1)
             at[common] = np.arange(len(common))
-            self._rows = whole, at
-        whole, at = self._rows
-        mine = np.zeros((len(asked), len(whole)))
-        rare = []
-        for k, (own, weights) in enumerate(asked):
+            self._rows = whole, np.maximum.reduceat(whole, np.arange(0, n, BLOCK), axis=1) if n else whole, at
+        return self._rows
+
+    def cosines(self, asked: list[tuple[tuple[int, ...], np.ndarray]], k: int) -> np.ndarray:
+        """The cosines of vectors (rows) to the examples; of those that can't be among the k nearest some are -inf instead."""
+        n, starts = len(self.ids), self.starts
+        whole, most, at = self._frequent()
+        mine, rare = np.zeros((len(asked), len(whole))), np.zeros((len(asked), n))
+        for q, (own, weights) in enumerate(asked):
             own = np.array(own, dtype=np.int64)
             row = at[own]
-            mine[k, row[row >= 0]] = weights[row >= 0]
-            rare.append((own[row < 0], weights[row < 0]))
-        out = mine @ whole
-        for k, (own, weights) in enumerate(rare):
+            mine[q, row[row >= 0]] = weights[row >= 0]
+            own, weights = own[row < 0], weights[row < 0]
             size = starts[own + 1] - starts[own]
             if size.sum():
                 i = np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                out[k] += np.bincount(self.places[i], self.weights[i] * np.repeat(weights, size), minlength=n)
+                rare[q] = np.bincount(self.places[i], self.weights[i] * np.repeat(weights, size), minlength=n)
+        out = np.full((len(asked), n), -np.inf)
+        if not n:
+            return out
+        bounds = np.maximum.reduceat(rare, np.arange(0, n, BLOCK), axis=1) + mine @ most
+        first = np.zeros(bounds.shape, dtype=bool)
+        np.put_along_axis(first, np.argpartition(-bounds, min(FIRST, bounds.shape[1]) - 1, axis=1)[:, : max(FIRST, -(-k // BLOCK))], True, axis=1)
+
+        def measure(use: np.ndarray) -> None:
+            for b in np.flatnonzero(use.any(axis=0)):
+                rows, part = np.flatnonzero(use[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                out[rows, part] = rare[rows, part] + mine[rows] @ whole[:, part]
+
+        measure(first)
+        least = -np.partition(-out, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(asked), -np.inf)
+        measure(~first & (bounds >= least[:, None] - 1e-9))
         return out
 
     def best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +135,13 @@ class Index:
 
     def nearest(self, own: tuple[int, ...], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first, ties to the smaller doc_id."""
-        return self.best(self.cosines([(own, weights)])[0], k)
+        return self.best(self.cosines([(own, weights)], k)[0], k)
 
     def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[int, float, int]], list[str]]]:
         """(score, evidence as (doc_id, cosine, label) of the neighbours, toxic words of the text) of each text."""
         asked = [self.vector(t) for t in texts]
         out = []
-        for (own, _), cosines in zip(asked, self.cosines(asked), strict=True):
+        for (own, _), cosines in zip(asked, self.cosines(asked, k), strict=True):
             if not own:
                 out.append((self.bare, [], []))
                 continue
@@ -142,7 +176,7 @@ def build(samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs
     a, b = (np.array([by_class[y][t] for t in terms], dtype=float) for y in (1, 0))
     g = standing_out(a, b, seen[1], seen[0])
     idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in terms], dtype=float) + 1)) + 1
-    weights, named = idf * (1 + g), np.flatnonzero(g >= TERM_G).tolist()
+    weights, named = idf * (1 + np.log1p(g)), np.flatnonzero(g >= TERM_G).tolist()
     words = Index(terms, weights, [], [], [])
     rows = [(i, *words.vector(t), y) for i, t, y in samples]
     n = sum(shares.values())
@@ -186,10 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     return build(rows, frequency, frequency.get("", 0), shares)
 
 
-def score(docs: DataFrame, index: Index, *, text: str = "text", cut: float = 0.5, neighbours: int = NEIGHBOURS) -> DataFrame:
+def score(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text: str = "text", cut: float = 0.5, neighbours: int = NEIGHBOURS) -> DataFrame:
     """``docs`` with ``score``, ``predicted`` (1 where score >= cut), ``evidence`` (neighbours with doc_id, cosine and label) and ``terms`` (its toxic words), in one pass without a shuffle.
 
-    Null and empty texts, like all texts without a word of the sample, get the toxic share of the labelled rows without one.
+    Null and empty texts, like all texts without a word of the sample, get the toxic share of the labelled rows without one. A text of
+    any length is read as a whole. Neighbours of equal cosine go by the smaller doc_id. The score depends on the text alone, so rows that
+    repeat a text get the same; the evidence leaves out the row's own doc_id. All other columns are kept, those of the four names replaced; an
+    empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -199,5 +236,7 @@ def score(docs: DataFrame, index: Index, *, text: str = "text", cut: float = 0.5
             found = [f for lo in range(0, len(t), 128) for f in sent.value.scores(t.iloc[lo : lo + 128].tolist(), neighbours)]
             yield pd.DataFrame({"score": [f[0] for f in found], "evidence": [[{"doc_id": i, "cosine": c, "label": y} for i, c, y in f[1]] for f in found], "terms": [f[2] for f in found]})
 
-    got = docs.withColumn("_f", scored(F.col(text)))
-    return got.withColumns({"score": F.col("_f.score"), "predicted": (F.col("_f.score") >= cut).cast("int"), "evidence": F.col("_f.evidence"), "terms": F.col("_f.terms")}).drop("_f")
+    (found,) = fresh_names(docs, "found")
+    got = docs.withColumn(found, scored(F.col(text)))
+    others = F.filter(F.col(f"{found}.evidence"), lambda e: ~e["doc_id"].eqNullSafe(F.col(doc_id).cast("long")))
+    return got.withColumns({"score": F.col(f"{found}.score"), "predicted": (F.col(f"{found}.score") >= cut).cast("int"), "evidence": others, "terms": F.col(f"{found}.terms")}).drop(found)
