@@ -14,55 +14,44 @@ from pyspark.sql import functions as F
 
 from .common import count_words, rank_within, written
 
-#: Budget in words that the dynamic programming covers exactly; the counts above it are taken greedily.
-DP_WORDS = 1 << 16
+#: Words that the dynamic programming covers at least, sizes of the largest document that it covers, and sums that it holds at most.
+DP_WORDS, DP_SIZES, DP_SUMS = 1 << 16, 8, 1 << 26
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each size to take (at most ``counts``) so that their sum comes as near below ``budget`` as it can.
+def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each size to take so that their sum is the largest up to ``budget``: bounded knapsack by dynamic programming.
 
-    The first takes are the same share of every size, so the mix keeps the lengths of its source. What is left
-    is brought under ``window`` from the largest size down, and the rest is a bounded knapsack: sums are marked
-    with the item that first reached them, so the way back uses each item once.
+    Counts are split into powers of two. Sums are marked with the item that first reached them, so the way back uses each item once. With a
+    budget above ``DP_SUMS`` sums are counted in coarser units, rounded up, and the sum may stay below the best by one unit a document.
     """
     take = np.zeros(len(sizes), dtype=np.int64)
-    total = int((sizes * counts).sum())
-    if budget <= 0 or total <= 0:
+    use = [i for i in np.argsort(-sizes, kind="stable") if 0 < sizes[i] <= budget and counts[i] > 0]
+    if not use:
         return take
-    if budget >= total:
-        return counts.astype(np.int64)
-    take[:] = (counts.astype(object) * budget // total).astype(np.int64)
-    take[sizes <= 0] = 0
-    rest = budget - int((sizes * take).sum())
-    order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        if rest <= window:
-            break
-        if sizes[i] > 0:
-            n = min(int(counts[i] - take[i]), max(0, (rest - window // 2) // int(sizes[i])))
-            take[i] += n
-            rest -= n * int(sizes[i])
-    rest_dp = min(rest, window)
+    unit = max(int(np.gcd.reduce(sizes[use])), -(-budget // DP_SUMS))
+    goal = budget // unit
     items: list[tuple[int, int, int]] = []
-    for i in order:
-        size, left = int(sizes[i]), int(counts[i] - take[i])
-        if 0 < size <= rest_dp:
-            left, k = min(left, rest_dp // size), 1
-            while left > 0:
-                n = min(k, left)
-                items.append((size * n, int(i), n))
-                left, k = left - n, k * 2
-    reached = np.zeros(rest_dp + 1, dtype=bool)
+    for i in use:
+        size = -(-int(sizes[i]) // unit)
+        left, k = min(int(counts[i]), goal // size), 1
+        while left > 0:
+            n = min(k, left)
+            items.append((size * n, int(i), n))
+            left, k = left - n, k * 2
+    reached = np.zeros(goal + 1, dtype=bool)
     reached[0] = True
-    first = np.full(rest_dp + 1, -1, dtype=np.int64)
+    first = np.full(goal + 1, -1, dtype=np.int32)
+    top = 0
     for j, (w, _, _) in enumerate(items):
-        if w <= rest_dp:
-            new = np.flatnonzero(reached[: rest_dp + 1 - w] & ~reached[w:]) + w
+        if w <= goal:
+            lo = min(goal, top + w)
+            new = np.flatnonzero(reached[: lo + 1 - w] & ~reached[w : lo + 1]) + w
             reached[new] = True
             first[new] = j
-            if reached[rest_dp]:
+            top = max(top, int(new[-1]) if len(new) else 0)
+            if top == goal:
                 break
-    at = int(np.flatnonzero(reached)[-1])
+    at = top
     while at > 0:
         w, i, n = items[first[at]]
         take[i] += n
@@ -70,6 +59,38 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     return take
 
 
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = DP_WORDS) -> np.ndarray:
+    """How many documents of each size to take (at most ``counts``) so that their sum comes as near below ``budget`` as it can.
+
+    The first takes are the same share of every size, so the mix keeps the lengths of its source. They are then opened again, from the
+    largest size down, until the budget left is a window: ``window`` words, or ``DP_SIZES`` of the largest document if that is more. Over it all
+    counts left are fitted exactly. If that misses a budget up to the window, it is fitted exactly as a whole.
+    """
+    sizes, counts = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64)
+    take = np.zeros(len(sizes), dtype=np.int64)
+    total = int((sizes * counts).sum())
+    if budget <= 0 or total <= 0:
+        return take
+    if budget >= total:
+        return counts.copy()
+    window = max(window, DP_SIZES * int(sizes[counts > 0].max()))
+    take[:] = (counts.astype(object) * budget // total).astype(np.int64)
+    take[sizes <= 0] = 0
+    rest = budget - int((sizes * take).sum())
+    for i in np.argsort(-sizes, kind="stable"):
+        size = int(sizes[i])
+        if size > 0 and rest > window:  # whole documents of this size while more than half a window stays open
+            n = min(int(counts[i] - take[i]), (rest - window // 2) // size)
+        elif size > 0 and rest < window // 2:
+            n = -min(int(take[i]), -(-(window // 2 - rest) // size))
+        else:
+            continue
+        take[i] += n
+        rest -= n * size
+    take += subset_sum(sizes, counts - take, rest)
+    return take if budget > window or int((sizes * take).sum()) == budget else subset_sum(sizes, counts, budget)
+
+
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, max_repeats: int) -> DataFrame:
     """(_src, source_size, target) per source: ``share`` of all words dealt by weight, no source above ``max_repeats`` times its own words.
 
