@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, fresh_names
 
-#: Rows of a language that the model is learned from at most, chosen by a hash of the text, and characters of each, from its middle.
-LANG_ROWS = 2_000
-ROW_CHARS = 4_000
+#: Rows of a language that the model is learned from at most, chosen by a hash of the id; of all languages together; and characters of each, from its middle.
+LANG_ROWS, ALL_ROWS, ROW_CHARS = 2_000, 32_000, 4_000
+#: Languages that are learned at most, the most frequent ones: the model takes 1 MB for each.
+LANGS = 64
 #: Hash slots of n-grams of 1 to 4 characters.
 SLOTS = 1 << 18
 #: Cost of changing the language between two words, in units of the summed log-probability of a word.
@@ -207,34 +208,36 @@ def label(texts: list[str | None], model: Model | None, switch: float = SWITCH)
     return found
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, lang_rows: int = LANG_ROWS, row_chars: int = ROW_CHARS) -> Model | None:
-    """Learns from rows with text and lang outside fold ``held_out``: of each language at most ``lang_rows`` rows by a hash of the text, ``row_chars`` characters from the middle of each."""
-    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter((fold(F.col("_id"), folds) != held_out) & F.col("_t").isNotNull() & F.col("_l").isNotNull())
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_out: int = 2, lang_rows: int = LANG_ROWS, all_rows: int = ALL_ROWS, row_chars: int = ROW_CHARS, langs: int = LANGS) -> Model | None:
+    """Learns from rows with id, text and lang outside fold ``held_out``, at most ``lang_rows`` rows a language and ``all_rows`` in all, ``row_chars`` characters from the middle of each.
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in batches:
-            kept = pdf if kept is None else pd.concat([kept, pdf])
-            kept = kept.sort_values(["_l", "_h", "_id"], kind="stable").groupby("_l").head(lang_rows)
-        if kept is not None:
-            yield kept
-
-    # ids and hashes only: each task passes on its own first rows of a language, then the first of all are kept
-    near = own.select("_l", F.xxhash64(F.lit(5), "_t").alias("_h"), "_id").mapInPandas(first, "_l string, _h long, _id long")
-    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).filter(F.col("_n") <= lang_rows)
-    ids = [(r[0], r[1]) for r in ranked.select("_id", "_l").collect()]
-    if not ids:
+    The ``langs`` most frequent languages are learned, ties by name. Their rows are counted first; those whose hash of the id is under a bound that some
+    more than the wanted number reach are ranked, so no task sees more than these. Rows that repeat an id and a lang count once for
+    the choice; of an id with several texts the smallest hash of a text is taken. An empty table gives no model.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter((fold(F.col("_id"), folds) != held_out) & F.col("_t").isNotNull() & F.col("_l").isNotNull())
+    counts = own.groupBy("_l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_l").limit(langs).collect()
+    if not counts:
         return None
-    chosen = docs.sparkSession.createDataFrame(ids, "_id long, _l string")
+    each = max(1, min(lang_rows, all_rows // len(counts)))
+    most = [(r["_l"], min((1 << 63) - 1, int((1.3 * each + 200) / r["n"] * (1 << 63)))) for r in counts]
+    bound = F.broadcast(spark.createDataFrame(most, "_l string, _most long"))
+    h = F.xxhash64(F.lit(5), "_id").bitwiseAND(F.lit((1 << 63) - 1))
+    near = own.select("_l", "_id", h.alias("_h"), F.xxhash64("_t").alias("_x")).join(bound, "_l").filter("_h <= _most").groupBy("_l", "_id", "_h").agg(F.min("_x").alias("_x"))
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).filter(F.col("_n") <= each)
+    chosen = spark.createDataFrame([tuple(r) for r in ranked.select("_id", "_l", "_x").collect()], "_id long, _l string, _x long")
     middle = F.substring(F.col("_t"), F.greatest(F.lit(1), ((F.length("_t") - row_chars) / 2).cast("int")), F.lit(row_chars))
-    rows = own.join(F.broadcast(chosen), ["_id", "_l"]).select("_id", middle.alias("_m"), "_l").dropDuplicates(["_id"]).orderBy("_id").collect()
+    rows = own.withColumn("_x", F.xxhash64("_t")).join(F.broadcast(chosen), ["_id", "_l", "_x"]).select("_id", "_l", middle.alias("_m")).dropDuplicates(["_id", "_l"]).orderBy("_id", "_l").collect()
     return learn([(r["_m"], r["_l"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", switch: float = SWITCH) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (share of letters in it) and ``lang_spans``, in one pass without a shuffle.
 
-    Null texts and texts without a letter are ``und`` with score 0 and no spans, as is every text if nothing was learned.
+    Null texts and texts without a letter are ``und`` with score 0 and no spans, as is every text if nothing was learned. Texts of any length
+    are read as a whole. Of languages with equally many letters the first by name is predicted, and a tie between paths keeps the language of the word
+    before. Rows that repeat a text get the same. An empty table stays empty; all other columns are kept, those of the three names replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -244,5 +247,6 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", switch
             found = label(list(t), sent.value, switch)
             yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "spans": [[{"lang": a, "start": b, "end": c} for a, b, c in x[2]] for x in found]})
 
-    got = docs.withColumn("_found", labelled(F.col(text)))
-    return got.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score"), "lang_spans": F.col("_found.spans")}).drop("_found")
+    (found,) = fresh_names(docs, "found")
+    got = docs.withColumn(found, labelled(F.col(text)))
+    return got.withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score"), "lang_spans": F.col(f"{found}.spans")}).drop(found)
