@@ -2,8 +2,9 @@
 
 Texts are cut into blocks of about ``BLOCK`` bytes, so a long text is judged by all of it and not by its own repeats.
 Each block is compressed with both dictionaries; a document's figures are (bad size - good size) / (bad size + good
-size) over all its blocks, and both sizes a byte of text, which show a text that repeats itself. A logistic curve,
-fitted on labelled rows that no dictionary has seen, turns them into a score.
+size) over all its blocks, and both sizes a byte of text. The difference says little of a text that repeats one word, which is small
+with either dictionary; the sizes show it. A logistic curve over the three, fitted on whole labelled texts that no dictionary
+has seen, turns them into a score. README has the figures with the difference alone.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample
+from .common import forget, labelled_sample, written
 
 #: Bytes of a block.
 BLOCK = 1024
 #: Labelled rows of a class that the dictionaries are made from, and as many more for the calibration.
 CLASS_ROWS = 1500
-#: Characters of a labelled row that reach the driver: whole blocks, dealt evenly over the text.
+#: Pieces of ``BLOCK`` characters, dealt evenly over the text, that a labelled row gives to a dictionary at most.
 ROW_BLOCKS = 6
 DICTIONARY_BYTES = 112 * 1024
 LEVEL = 3
@@ -94,24 +95,39 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e-
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", folds: int = 5, class_rows: int = CLASS_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Learns from rows with a label outside fold 0, at most 2 x ``class_rows`` of each class, chosen by a hash of the text.
 
-    A row brings at most ``ROW_BLOCKS`` blocks of its text to the driver, so what reaches it is bounded by
-    4 x class_rows x ROW_BLOCKS x BLOCK bytes. Without rows of both classes every score is the share of good rows (0.5 without any).
+    One half of them goes to the dictionaries, ``ROW_BLOCKS`` pieces of a row, so what reaches the driver is bounded by 4 x class_rows x ROW_BLOCKS x
+    BLOCK characters. The other half calibrates: its whole texts are compressed in tasks, and three figures of each are returned. Without rows of
+    both classes every score is the share of good rows (0.5 without any). Of an id with several labels the smallest counts; equal
+    texts are learned once.
     """
-    sample, shares = labelled_sample(docs, labels, label, doc_id=doc_id, text=text, folds=folds, class_rows=2 * class_rows)
+    drawn, shares = labelled_sample(docs, labels, label, doc_id=doc_id, text=text, folds=folds, class_rows=2 * class_rows)
+    sample = written(drawn.withColumn("_half", F.pmod(F.xxhash64(F.lit(23), "_t"), F.lit(2)).cast("int")), "labelled-texts")
     n, step = F.length("_t"), (F.length("_t") - BLOCK) / (ROW_BLOCKS - 1)
     pieces = F.concat(*[F.substring(F.col("_t"), (i * step + 1).cast("int"), F.lit(BLOCK)) for i in range(ROW_BLOCKS)])
-    rows = sample.select("_id", "_y", F.when(n <= ROW_BLOCKS * BLOCK, F.col("_t")).otherwise(pieces).alias("_p")).orderBy("_id").collect()
-    return learn([r["_p"] for r in rows if r["_y"] == 1], [r["_p"] for r in rows if r["_y"] == 0], shares, dictionary_bytes)
+    rows = sample.filter("_half = 0").select("_id", "_y", F.when(n <= ROW_BLOCKS * BLOCK, F.col("_t")).otherwise(pieces).alias("_p")).orderBy("_id", "_p").collect()
+    model = train([r["_p"] for r in rows if r["_y"] == 1], [r["_p"] for r in rows if r["_y"] == 0], dictionary_bytes)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def figures(texts: pd.Series) -> pd.Series:
+        return texts.map(sent.value.figures)
+
+    known = sample.filter("_half = 1").select("_id", "_y", figures("_t").alias("_f")).filter("_f is not null").orderBy("_id", "_f").collect()
+    forget(sample)
+    return calibrate(model, [(r["_f"], r["_y"]) for r in known], shares)
+
+
+def train(good: list[str], bad: list[str], dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
+    """Dictionaries of good and bad texts."""
+    return Model(*(_dictionary([b for t in x for b in blocks(t)], dictionary_bytes) for x in (good, bad)))
 
 
-def learn(good: list[str], bad: list[str], shares: dict[int, int], dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
-    """Dictionaries from every second text, the curve from the others, its intercept moved to the classes' true shares."""
-    model = Model(*(_dictionary([b for t in x[::2] for b in blocks(t)], dictionary_bytes) for x in (good, bad)))
+def calibrate(model: Model, pairs: list[tuple], shares: dict[int, int]) -> Model:
+    """The curve over (figures, label) pairs of texts that the dictionaries have not seen, its intercept moved to the classes' true shares."""
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.5
     model.empty = prior
-    pairs = [(f, y) for x, y in ((good, 1), (bad, 0)) for t in x[1::2] if (f := model.figures(t)) is not None]
-    x, y = np.array([f for f, _ in pairs]).reshape(-1, 3), np.array([y for _, y in pairs], dtype=float)
+    x, y = np.array([f for f, _ in pairs], dtype=float).reshape(-1, 3), np.array([y for _, y in pairs], dtype=float)
     if len(set(y)) < 2:
         model.shift = float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
         return model
@@ -124,7 +140,8 @@ def learn(good: list[str], bad: list[str], shares: dict[int, int], dictionary_by
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", cut: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 where score >= cut), in one pass without a shuffle.
 
-    Null and blank texts get the share of good rows. All columns of ``docs`` are kept; columns of these names are replaced.
+    Null and blank texts get the share of good rows; texts of any length are compressed as a whole. Rows that repeat a text get the same score, and a
+    score of exactly ``cut`` counts as good. An empty table stays empty. All columns of ``docs`` are kept; columns of these two names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
