@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lostfound.functions.columns import normalize_name
+
 
 def completeness(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """(by.., column, n_rows, blanks, blank_share), one pass over the rows."""
@@ -25,11 +27,17 @@ def domain_check(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     return long.withColumn("allowed", F.coalesce(ok, F.lit(False)))
 
 
-def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float = 1e-6) -> DataFrame:
-    """(key, state) of two lists of the same things: only_left, only_right, moved or equal (C4)."""
-    a, b = left.select(F.col(key), F.col(value).alias("_a")), right.select(F.col(key), F.col(value).alias("_b"), F.lit(1).alias("_r"))
-    both = a.withColumn("_l", F.lit(1)).join(b, key, "full_outer")
-    return both.select(key, F.when(F.col("_r").isNull(), "only_left").when(F.col("_l").isNull(), "only_right").when(F.abs(F.col("_a") - F.col("_b")) > tolerance, "moved").otherwise("equal").alias("state"))
+def reconcile(left: DataFrame, right: DataFrame, key: str, value: str, tolerance: float = 1e-6, *, fold: bool = False, attributes: tuple[str, ...] = ()) -> DataFrame:
+    """(key, state, attributes..) of two lists of the same things: only_left, only_right, moved or equal, with the right side's ``attributes`` (C4).
+
+    With ``fold``, keys meet by :func:`normalize_name` and the left spelling is returned, or the right one where the left has none.
+    """
+    fit = (lambda c: normalize_name(F.col(c))) if fold else F.col
+    a = left.select(fit(key).alias("_k"), F.col(key).alias("_lk"), F.col(value).alias("_a"), F.lit(1).alias("_l"))
+    b = right.select(fit(key).alias("_k"), F.col(key).alias("_rk"), F.col(value).alias("_b"), F.lit(1).alias("_r"), *attributes)
+    both = a.join(b, "_k", "full_outer")
+    state = F.when(F.col("_r").isNull(), "only_left").when(F.col("_l").isNull(), "only_right").when(F.abs(F.col("_a") - F.col("_b")) > tolerance, "moved").otherwise("equal")
+    return both.select(F.coalesce("_lk", "_rk").alias(key), state.alias("state"), *attributes)
 
 
 def unknown_keys(cases: DataFrame, places: DataFrame, key: str, place_key: str) -> DataFrame:
@@ -77,6 +85,12 @@ def center_overlap(pairs: DataFrame, a: str = "center_a", b: str = "center_b") -
     return both.groupBy("center", "other").agg(F.count("*").alias("shared"))
 
 
+def center_matrix(pairs: DataFrame, centers: list[str], a: str = "center_a", b: str = "center_b") -> DataFrame:
+    """A row per center and a column for each of ``centers``: persons that the two share, 0 where none."""
+    wide = center_overlap(pairs, a, b).groupBy("center").pivot("other", centers).agg(F.sum("shared"))
+    return wide.na.fill(0, centers)
+
+
 def origin_rollup(cases: DataFrame, levels: list[str]) -> DataFrame:
     """Counts at every level of a hierarchy with its subtotals and ``level`` (grouping id)."""
     return cases.rollup(*levels).agg(F.count("*").alias("cases"), F.grouping_id().cast("long").alias("level"))
@@ -87,8 +101,15 @@ def cube_counts(cases: DataFrame, dims: list[str]) -> DataFrame:
     return cases.cube(*dims).agg(F.count("*").alias("cases"), F.grouping_id().cast("long").alias("level"))
 
 
+def grouping_counts(cases: DataFrame, dims: list[str], sets: list[list[str]]) -> DataFrame:
+    """Counts of the given grouping sets only, with ``level`` (grouping id)."""
+    return cases.groupingSets([[F.col(c) for c in x] for x in sets], *dims).agg(F.count("*").alias("cases"), F.grouping_id().cast("long").alias("level"))
+
+
 def resource_needs(load: DataFrame, rates: DataFrame, n: str = "cases") -> DataFrame:
     """Units per slot and resource: ceil(load / rate), with each zone's peak (F8). ``rates`` is a small (resource, cases_per_unit) table."""
+    if rates.limit(1_001).count() > 1_000:
+        raise ValueError("more than 1,000 rates")
     units = load.crossJoin(F.broadcast(rates)).withColumn("units", F.ceil(F.col(n) / F.col("cases_per_unit")).cast("long"))
     return units.groupBy("zone", "resource").agg(F.sum("units").alias("units"), F.max("units").alias("peak_units"), F.min_by("slot", F.struct(-F.col("units"), F.col("slot"))).alias("peak_slot"))
 
@@ -102,20 +123,27 @@ def project_load(profile: DataFrame, pilgrims: int, rate: float, hours: int) ->
     return joined.select("zone", "hour", (F.coalesce("cases", F.lit(0)) * float(pilgrims) * rate / F.col("_all")).alias("expected"))
 
 
-def bootstrap_hotspots(cases: DataFrame, zone: str, key: str, reps: int, seed: int = 1) -> DataFrame:
-    """(zone, p05, p50, p95) of case counts over ``reps`` resamples with a Poisson(1) weight from a hash of (key, replicate)."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.col("rep"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):
-        total += term
-        steps.append((total, k))
-        term /= k
-    weight = F.lit(0)
-    for bound, k in steps:
-        weight = F.when(u >= bound, F.lit(k)).otherwise(weight)
-    drawn = cases.select(zone, key, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", weight)
-    per = drawn.groupBy(zone, "rep").agg(F.sum("w").alias("n"))
-    return per.groupBy(zone).agg(*[F.percentile("n", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)])
+def bootstrap_hotspots(cases: DataFrame, zone: str, key: str, reps: int, k: int, seed: int = 1) -> DataFrame:
+    """(zone, p05, p50, p95, in_top): case counts over ``reps`` resamples with a Poisson(1) weight from a hash of (key, replicate), and the share of resamples in which the zone is among the ``k`` largest, ties by zone.
+
+    A replicate is a sum per zone, so rows are not multiplied and each task passes on a row a zone. ``reps`` are columns of that sum: some hundreds at most.
+    """
+
+    def weight(rep: int) -> Column:
+        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.lit(rep))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        total, term = 0.0, 0.36787944117144233
+        steps = []
+        for n in range(1, 9):
+            total += term
+            steps.append(total)
+            term /= n
+        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda n, x: n + (u >= x).cast("int"))
+
+    per = cases.groupBy(zone).agg(*[F.sum(weight(r)).alias(f"_{r}") for r in range(1, reps + 1)])
+    drawn = per.select(zone, F.posexplode(F.array(*[f"_{r}" for r in range(1, reps + 1)])).alias("rep", "n"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), zone))
+    ranked = drawn.withColumn("_top", (place <= k).cast("double"))
+    return ranked.groupBy(zone).agg(*[F.percentile("n", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)], F.avg("_top").alias("in_top"))
 
 
 def open_backlog(cases: DataFrame, by: str, opened: Column, closed: Column) -> DataFrame:
@@ -132,9 +160,11 @@ def top_locations(cases: DataFrame, place: str, by: str, k: int) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), place))).filter(F.col("rank") <= k)
 
 
-def distinct_persons(cases: DataFrame, person: str, by: str) -> DataFrame:
-    """Reports, persons and reports per person of each group."""
-    out = cases.groupBy(by).agg(F.count("*").alias("reports"), F.countDistinct(person).alias("persons"))
+def distinct_persons(cases: DataFrame, person: str, by: str, clusters: DataFrame | None = None) -> DataFrame:
+    """Reports, persons, approximate persons and reports per person of each group (F13). With ``clusters`` (id, cluster), ``person`` is an id and members of a cluster are one person."""
+    if clusters is not None:
+        cases = cases.join(clusters.select(F.col("id").alias(person), "cluster"), person, "left").withColumn(person, F.coalesce("cluster", person))
+    out = cases.groupBy(by).agg(F.count("*").alias("reports"), F.countDistinct(person).alias("persons"), F.approx_count_distinct(person).alias("approx_persons"))
     return out.withColumn("per_person", F.col("reports") / F.col("persons"))
 
 

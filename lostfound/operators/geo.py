@@ -3,43 +3,88 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lostfound.functions.columns import haversine_km, name_key, normalize_name
+from lostfound.functions.columns import EARTH_KM, haversine_km, name_key, normalize_name
 
-#: Rows of a place table that may be broadcast.
+#: Rows of a place table that may go to every task.
 PLACE_ROWS = 20_000
 
 
 def small(places: DataFrame, rows: int = PLACE_ROWS) -> DataFrame:
-    """``places`` marked for broadcast if it has at most ``rows`` rows; larger tables go through :func:`within_radius`."""
+    """``places`` marked for broadcast if it has at most ``rows`` rows; raises otherwise."""
     if places.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} places: use within_radius")
+        raise ValueError(f"more than {rows} places")
     return F.broadcast(places)
 
 
-def nearest_k(left: DataFrame, places: DataFrame, k: int, *, id_: str, place: str) -> DataFrame:
-    """(id, place, km, rank): the k nearest places of each row with lat, lng; ties by place (D2). The places are few and their number is checked."""
-    p = places.select(F.col(place).alias("_p"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    pairs = left.select(id_, "lat", "lng").crossJoin(small(p)).select(id_, F.struct(F.round(haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 6).alias("km"), F.col("_p").alias("p")).alias("x"))
-    if k == 1:
-        return pairs.groupBy(id_).agg(F.min("x").alias("x")).select(id_, F.col("x.p").alias(place), F.col("x.km").alias("km"), F.lit(1).alias("rank"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(id_).orderBy("x"))).filter(F.col("rank") <= k)
-    return ranked.select(id_, F.col("x.p").alias(place), F.col("x.km").alias("km"), "rank")
+def nearest_k(left: DataFrame, places: DataFrame, k: int, *, id_: str, place: str, rows: int = PLACE_ROWS) -> DataFrame:
+    """(id, place, km, rank): the k nearest places of each row with lat, lng; ties by place (D2). All places, if there are fewer.
+
+    Up to ``rows`` places, a number that is checked, go to all tasks as one array, and each row picks its own without a shuffle. More
+    places are searched in rings: pairs within a radius that doubles for the rows that still lack k places. The results are the same.
+    """
+    p = places.select(F.col(place).alias("p"), F.col("lat").alias("a"), F.col("lng").alias("o")).filter("a is not null and o is not null")
+    own = left.select(id_, "lat", "lng").filter("lat is not null and lng is not null")
+    if p.limit(rows + 1).count() > rows:
+        return _nearest_by_rings(own, places, k, id_=id_, place=place)
+    every = p.agg(F.collect_list(F.struct("p", "a", "o")).alias("_all"))
+    km = lambda x: F.round(haversine_km(F.col("lat"), F.col("lng"), x["a"], x["o"]), 6)
+    near = F.transform("_all", lambda x: F.struct(km(x).alias("km"), x["p"].alias("p")))
+    best = F.array(F.array_min(near)) if k == 1 else F.slice(F.array_sort(near), 1, k)
+    found = own.crossJoin(F.broadcast(every)).filter(F.size("_all") > 0).select(id_, F.posexplode(best).alias("_i", "_x"))
+    return found.select(id_, F.col("_x.p").alias(place), F.col("_x.km").alias("km"), (F.col("_i") + 1).cast("int").alias("rank"))
+
+
+#: First radius of the search in rings, and one that reaches around the earth.
+FIRST_KM, ALL_KM = 0.5, 20_100.0
+
+
+def _nearest_by_rings(left: DataFrame, places: DataFrame, k: int, *, id_: str, place: str) -> DataFrame:
+    most = min(k, places.limit(k).count())
+    rank = F.row_number().over(Window.partitionBy(id_).orderBy("km", place))
+    todo, km, done = left, FIRST_KM, []
+    while True:
+        near = within_radius(todo, places, km, id_=id_, other=place).withColumn("rank", rank).filter(F.col("rank") <= k)
+        near = near.checkpoint()
+        whole = near.filter(F.col("rank") == most).select(id_)
+        done.append(near.join(whole, id_, "left_semi"))
+        if km >= ALL_KM:
+            break
+        todo = todo.join(whole, id_, "left_anti").checkpoint()
+        if not todo.limit(1).count():
+            break
+        km = min(2 * km, ALL_KM)
+    return reduce(DataFrame.unionByName, done)
 
 
 def within_radius(left: DataFrame, right: DataFrame, km: float, *, id_: str, other: str) -> DataFrame:
-    """(id, other, km) of all pairs within ``km``, large x large (D3): grid cells as wide as the radius, the right side dealt to its nine cells."""
-    lat_step = km / 111.0
-    lng_step = lat_step / max(0.05, math.cos(math.radians(60)))
-    cell = lambda c, s: F.floor(F.col(c) / F.lit(s))
-    a = left.select(id_, "lat", "lng", cell("lat", lat_step).alias("_r"), cell("lng", lng_step).alias("_c"))
-    near = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    b = right.select(F.col(other).alias("_o"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    b = b.withColumn("_dr", F.explode(near)).withColumn("_dc", F.explode(near))
-    b = b.select("_o", "_lat", "_lng", (F.floor(F.col("_lat") / lat_step) + F.col("_dr")).alias("_r"), (F.floor(F.col("_lng") / lng_step) + F.col("_dc")).alias("_c"))
+    """(id, other, km) of all pairs within ``km``, large x large (D3): grid cells as wide as the radius, the right side dealt to its nine cells.
+
+    Rows of the grid are bands of latitude; each has as many columns as the radius allows at its own latitude, and columns go around the
+    earth. Rows without a position match nothing.
+    """
+    reach = km * (1 + 1e-6) + 1e-6  # distances are rounded to 6 digits
+    half = min(reach / (2 * EARTH_KM), math.pi / 2)
+    step = max(math.degrees(2 * half), 1e-6)
+    band = lambda lat: F.floor((lat + 90) / F.lit(step))
+
+    def columns(row):
+        """Columns of a band: none is narrower than the radius at the latitude nearest to a pole of its own and the next bands."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * step - 90), F.abs((row + 2) * step - 90)))
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(half)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
+
+    column = lambda lng, n: F.least(n - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) * n / 360.0))
+    a = left.filter("lat is not null and lng is not null").select(id_, "lat", "lng", band(F.col("lat")).alias("_r"))
+    a = a.withColumn("_c", column(F.col("lng"), columns(F.col("_r"))))
+    b = right.select(F.col(other).alias("_o"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).filter("_lat is not null and _lng is not null")
+    b = b.withColumn("_r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("_lat")) + i))).withColumn("_n", columns(F.col("_r")))
+    at = column(F.col("_lng"), F.col("_n"))
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + i, F.col("_n")) for i in (-1, 0, 1)])))).drop("_n")
     d = F.round(haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 6)
     return a.join(b, ["_r", "_c"]).withColumn("km", d).filter(F.col("km") <= km).select(id_, F.col("_o").alias(other), "km")
 
@@ -49,8 +94,8 @@ def place_aliases(places: DataFrame, name: str = "name") -> DataFrame:
     return places.withColumn("alias", F.explode(F.split(F.col(name), " / "))).withColumn("alias", F.trim("alias"))
 
 
-def geocode(cases: DataFrame, places: DataFrame, *, text: str = "last_seen_location", name: str = "name", distance: int = 2) -> DataFrame:
-    """Cases with ``place, lat, lng, method`` (D4): by exact alias, then name skeleton, then edit distance; null where none fits.
+def geocode(cases: DataFrame, places: DataFrame, zones: DataFrame | None = None, *, text: str = "last_seen_location", name: str = "name", zone: str = "zone", distance: int = 2) -> DataFrame:
+    """Cases with ``place, lat, lng, method`` and, with ``zones``, the nearest ``zone`` of the place (D4): by exact alias, then name skeleton, then edit distance; null where none fits.
 
     Only distinct texts are matched. The smallest place name wins a tie, so each text has one place at most.
     """
@@ -64,7 +109,11 @@ def geocode(cases: DataFrame, places: DataFrame, *, text: str = "last_seen_locat
     found = staged.join(close, text, "left")
     pick = lambda f: F.coalesce(F.col(f"__n.{f}"), F.col(f"__k.{f}"), F.col(f"_e.{f}"))
     method = F.when(F.col("__n").isNotNull(), "exact").when(F.col("__k").isNotNull(), "skeleton").when(F.col("_e").isNotNull(), "edit")
-    return cases.join(found.select(text, pick("place").alias("place"), pick("lat").alias("lat"), pick("lng").alias("lng"), method.alias("method")), text, "left")
+    out = found.select(text, pick("place").alias("place"), pick("lat").alias("lat"), pick("lng").alias("lng"), method.alias("method"))
+    if zones is not None:
+        near = nearest_k(places.groupBy(F.col(name).alias("place")).agg(F.min(F.struct("lat", "lng")).alias("_x")).select("place", "_x.*"), zones, 1, id_="place", place=zone)
+        out = out.join(near.select("place", zone), "place", "left")
+    return cases.join(out, text, "left")
 
 
 def coordinate_outliers(points: DataFrame, zones: DataFrame, km: float, *, id_: str, zone: str) -> DataFrame:
@@ -77,11 +126,19 @@ def shared_coordinates(points: DataFrame, name: str) -> DataFrame:
     return points.groupBy("lat", "lng").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(name)).alias("names")).filter("n > 1")
 
 
-def zone_coverage(zones: DataFrame, cameras: DataFrame, km: float, *, zone: str, camera: str) -> DataFrame:
-    """(zone, in_zone, in_reach): cameras whose nearest zone it is, and cameras within ``km``; 0 where none."""
+def zone_coverage(zones: DataFrame, cameras: DataFrame, km: float, stations: DataFrame | None = None, *, zone: str, camera: str, camera_zone: str | None = None, station: str = "station") -> DataFrame:
+    """(zone, in_zone, in_reach): cameras whose nearest zone it is, and cameras within ``km``; 0 where none.
+
+    With ``camera_zone``, the zone in a camera's id (see ``parse_ids``), ``by_id`` counts by it; with ``stations``, ``stations`` counts those within ``km``.
+    """
     own = nearest_k(cameras, zones, 1, id_=camera, place=zone).groupBy(zone).agg(F.count("*").alias("in_zone"))
     reach = within_radius(cameras, zones, km, id_=camera, other=zone).groupBy(zone).agg(F.count("*").alias("in_reach"))
-    return zones.select(zone).join(own, zone, "left").join(reach, zone, "left").na.fill(0)
+    out = zones.select(zone).join(own, zone, "left").join(reach, zone, "left")
+    if camera_zone:
+        out = out.join(cameras.groupBy(F.col(camera_zone).cast(dict(zones.dtypes)[zone]).alias(zone)).agg(F.count("*").alias("by_id")), zone, "left")
+    if stations is not None:
+        out = out.join(within_radius(stations, zones, km, id_=station, other=zone).groupBy(zone).agg(F.count("*").alias("stations")), zone, "left")
+    return out.na.fill(0)
 
 
 def response_coverage(cases: DataFrame, stations: DataFrame, km: float, *, id_: str, station: str) -> DataFrame:

@@ -17,11 +17,19 @@ def graph_nodes(**kinds: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def graph_triples(nodes: DataFrame, zones: DataFrame, stations: DataFrame, km: float) -> DataFrame:
-    """(subject, predicate, object): located_in the nearest zone, served_by the nearest station, near every node within ``km``."""
+def graph_triples(nodes: DataFrame, zones: DataFrame, stations: DataFrame, km: float, cases: DataFrame | None = None) -> DataFrame:
+    """(subject, predicate, object): located_in the nearest zone, served_by the nearest station, near every node within ``km``.
+
+    With ``cases`` (id, center, place), also reported_at the center and last_seen_at the place; nulls give no triple.
+    """
     pick = lambda places, p: nearest_k(nodes, places.select(F.col("id").alias("object"), "lat", "lng"), 1, id_="id", place="object").select(F.col("id").alias("subject"), F.lit(p).alias("predicate"), "object")
     near = within_radius(nodes, nodes.select(F.col("id").alias("object"), "lat", "lng"), km, id_="id", other="object").filter("id <> object").select(F.col("id").alias("subject"), F.lit("near").alias("predicate"), "object")
-    return pick(zones, "located_in").unionByName(pick(stations, "served_by")).unionByName(near)
+    out = pick(zones, "located_in").unionByName(pick(stations, "served_by")).unionByName(near)
+    if cases is None:
+        return out
+    said = F.array(*[F.struct(F.lit(p).alias("predicate"), F.concat(F.lit(f"{c}:"), F.col(c).cast("string")).alias("object")) for p, c in (("reported_at", "center"), ("last_seen_at", "place"))])
+    of_cases = cases.select(F.concat(F.lit("case:"), F.col("id").cast("string")).alias("subject"), F.explode(said).alias("_x")).select("subject", "_x.*").filter("object is not null")
+    return out.unionByName(of_cases)
 
 
 def proximity_edges(nodes: DataFrame, km: float, k: int) -> DataFrame:

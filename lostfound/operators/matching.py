@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lostfound.functions.columns import ages_overlap
 
-#: Query vectors that one block holds.
-QUERY_BLOCK = 4_096
+#: Vectors that a block of queries and a block of the gallery hold on average.
+QUERY_BLOCK, GALLERY_BLOCK = 4_096, 32_768
 
 
 def unify_registry(*centers: DataFrame) -> DataFrame:
@@ -74,18 +74,57 @@ def score_pairs(pairs: DataFrame, fields: list[tuple[str, str, float]], least: i
     return pairs.withColumn("score", score).withColumn("compared", compared)
 
 
-def match_found(missing: DataFrame, found: DataFrame, *, block: list[str], hours: float, k: int, id_: str = "case_id", at: str = "reported_at", agree: Callable[[], Column] | None = None) -> DataFrame:
-    """(missing_id, found_id, gap_hours, rank): found cases of the same block within ``hours`` of the missing report, nearest in time first."""
-    m = missing.select(F.col(id_).alias("missing_id"), F.unix_seconds(F.col(at).cast("timestamp")).alias("_tm"), *block)
-    f = found.select(F.col(id_).alias("found_id"), F.unix_seconds(F.col(at).cast("timestamp")).alias("_tf"), *block)
-    width = int(hours * 3600)
-    slot = lambda c: F.floor(F.col(c) / width)
-    dealt = f.withColumn("_s", F.explode(F.array(slot("_tf") - 1, slot("_tf"), slot("_tf") + 1)))
-    near = m.withColumn("_s", slot("_tm")).join(dealt, [*block, "_s"]).withColumn("gap_hours", F.abs(F.col("_tm") - F.col("_tf")) / F.lit(3600.0)).filter(F.col("gap_hours") <= hours)
+def match_found(missing: DataFrame, found: DataFrame, *, block: list[str], hours: float, k: int, id_: str = "case_id", at: str = "reported_at", agree: Callable[[str, str], Column] | None = None, compare: tuple[str, ...] = ()) -> DataFrame:
+    """(missing_id, found_id, gap_hours, rank): found cases of the same block within ``hours`` of the missing report, nearest in time first, ties by found_id.
+
+    Without ``agree`` no block is multiplied out: reports of a block are numbered in order of time, and a missing case meets the k found ones
+    before it and the k after it. ``agree(a, b)``, a condition over the columns ``compare`` prefixed a_ (missing) and b_ (found), as
+    :func:`agreeing` makes one of genders and ages, is tested on all pairs within ``hours`` before the k best are taken. A null block or time matches nothing.
+    """
+    seconds = F.unix_seconds(F.col(at).cast("timestamp"))
+    m = missing.select(F.col(id_).alias("missing_id"), seconds.alias("_tm"), *block, *[F.col(c).alias(f"a_{c}") for c in compare]).dropna(subset=["_tm", *block])
+    f = found.select(F.col(id_).alias("found_id"), seconds.alias("_tf"), *block, *[F.col(c).alias(f"b_{c}") for c in compare]).dropna(subset=["_tf", *block])
+    if agree is None:
+        near = _next_in_time(m, f, block, k)
+    else:
+        width = int(hours * 3600) + 1
+        slot = lambda c: F.floor(F.col(c) / width)
+        dealt = f.withColumn("_s", F.explode(F.array(slot("_tf") - 1, slot("_tf"), slot("_tf") + 1)))
+        near = m.withColumn("_s", slot("_tm")).join(dealt, [*block, "_s"]).filter(agree("a_", "b_"))
+    near = near.withColumn("gap_hours", F.abs(F.col("_tm") - F.col("_tf")) / F.lit(3600.0)).filter(F.col("gap_hours") <= hours)
     rank = F.row_number().over(Window.partitionBy("missing_id").orderBy("gap_hours", "found_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("missing_id", "found_id", "gap_hours", "rank")
 
 
+def _next_in_time(m: DataFrame, f: DataFrame, block: list[str], k: int) -> DataFrame:
+    """Pairs of each missing case with the k found ones of its block up to its time and the k after it."""
+    w = Window.partitionBy(*block)
+    # of equal times the smallest id is nearest: it comes last before and first after
+    numbered = f.withColumn("_up", F.row_number().over(w.orderBy("_tf", F.desc("found_id")))).withColumn("_down", F.row_number().over(w.orderBy("_tf", "found_id")))
+    both = numbered.select(*block, F.col("_tf").alias("_t"), F.lit(None).cast(dict(m.dtypes)["missing_id"]).alias("missing_id"), F.lit(1).alias("_is")).unionByName(m.select(*block, F.col("_tm").alias("_t"), "missing_id", F.lit(0).alias("_is")))
+    # number of found cases up to the time, those of the same second included
+    passed = both.withColumn("_n", F.sum("_is").over(w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter("_is = 0").select(*block, "missing_id", F.col("_t").alias("_tm"), "_n")
+    before = passed.withColumn("_up", F.explode(F.sequence(F.col("_n") - (k - 1), F.col("_n")))).filter("_up > 0")
+    after = passed.withColumn("_down", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)))
+    take = lambda x, c: x.join(numbered.select(*block, c, "found_id", "_tf"), [*block, c]).select("missing_id", "found_id", "_tm", "_tf")
+    return take(before, "_up").unionByName(take(after, "_down"))
+
+
+def agreeing(gender: str | None = "gender", age: str | None = "age") -> Callable[[str, str], Column]:
+    """The condition of :func:`match_found` that genders are equal and age intervals overlap; Unknown or null contradicts nothing."""
+
+    def agree(a: str, b: str) -> Column:
+        ok = F.lit(True)
+        if gender:
+            x, y = F.col(a + gender), F.col(b + gender)
+            ok = ok & ((x == y) | x.isNull() | y.isNull() | (x == "Unknown") | (y == "Unknown"))
+        if age:
+            ok = ok & F.coalesce(ages_overlap(F.col(a + age), F.col(b + age)), F.lit(True))
+        return ok
+
+    return agree
+
+
 def search_registry(queries: DataFrame, cases: DataFrame, *, block: list[str], fields: list[tuple[str, str, float]], k: int, id_: str = "case_id", query_id: str = "query_id") -> DataFrame:
     """(query_id, case_id, score, rank): family queries against all centers' cases of the same block."""
     names = [n for n, _, _ in fields]
@@ -135,77 +174,102 @@ def evaluate_duplicates(pairs: DataFrame, truth: DataFrame, thresholds: list[flo
     return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).drop("_all")
 
 
+def evaluate_cases(pairs: DataFrame, cases: DataFrame, thresholds: list[float], *, id_: str, flag: str) -> DataFrame:
+    """(threshold, found, right, precision, recall, f1) of cases: those in a pair of the threshold or better, against the cases' own duplicate flag (E8). A null flag is false."""
+    both = pairs.select(F.col("a").alias("_id"), "score").unionByName(pairs.select(F.col("b").alias("_id"), "score")).groupBy("_id").agg(F.max("score").alias("_s"))
+    own = cases.groupBy(F.col(id_).alias("_id")).agg(F.max(F.coalesce(F.col(flag), F.lit(False))).alias("_f")).join(both, "_id", "left")
+    sums = []
+    for i, t in enumerate(thresholds):
+        hit = F.coalesce(F.col("_s") >= t, F.lit(False))
+        sums += [F.sum(hit.cast("long")).alias(f"_a{i}"), F.sum((hit & F.col("_f")).cast("long")).alias(f"_b{i}")]
+    one = own.agg(F.sum(F.col("_f").cast("long")).alias("_all"), *sums)
+    rows = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_a{i}").alias("found"), F.col(f"_b{i}").alias("right")) for i, t in enumerate(thresholds)]))
+    out = one.select("_all", rows.alias("_x")).select("_all", "_x.*")
+    out = out.withColumn("precision", F.try_divide(F.col("right"), F.col("found"))).withColumn("recall", F.try_divide(F.col("right"), F.col("_all"))).drop("_all")
+    return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def equal_sets(df: DataFrame, id_: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(sets ``_id, _t`` with the smallest id and the tokens' sorted hashes; pairs (a, b, jaccard) of that id with the others of an equal set). Rows without tokens are left out."""
+    rows = df.select(F.col(id_).alias("_id"), F.array_sort(F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))).alias("_t")).filter(F.size("_t") > 0)
+    rows = rows.withColumn("_k", F.xxhash64(F.lit(3), "_t")).checkpoint()
+    first = rows.groupBy("_k").agg(F.min("_id").alias("_o"))
+    owned = rows.join(first, "_k")
+    return owned.filter("_id = _o").dropDuplicates(["_id"]).select("_id", "_t"), owned.filter("_id <> _o").select(F.col("_o").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("jaccard"))
+
+
 def token_join(df: DataFrame, *, id_: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard), a < b, of all rows with token sets at least ``least`` similar, exactly.
+    """(a, b, jaccard), a < b, of token sets at least ``least`` similar, exactly.
 
-    Equal sets meet as one row first. Tokens are ordered by rarity and only a row's rarest ones are indexed: two sets this similar
-    must share one of them. Rows with no tokens match nothing.
+    Equal sets meet as one row first: their smallest id stands for all in the pairs with other sets, and has a pair of similarity 1 with each of the others,
+    so n copies give n - 1 pairs. Tokens are compared by 64-bit hashes, ordered by rarity, and only a row's rarest ones are
+    indexed: two sets this similar must share one of them. Rows with no tokens match nothing.
     """
-    rows = df.select(F.col(id_).alias("_id"), F.array_distinct(tokens).alias("_t")).filter(F.size("_t") > 0)
-    rank = rows.select(F.explode("_t").alias("_w")).groupBy("_w").agg(F.count("*").alias("_f"))
-    long = rows.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_w")).join(rank, "_w")
-    ordered = long.withColumn("_p", F.row_number().over(Window.partitionBy("_id").orderBy("_f", "_w")))
-    prefix = ordered.filter(F.col("_p") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).select("_id", "_n", "_w")
+    rows, same = equal_sets(df, id_, tokens)
+    rows = rows.checkpoint()
+    long = rows.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
+    ordered = long.join(long.groupBy("_w").agg(F.count("*").alias("_f")), "_w").withColumn("_p", F.row_number().over(Window.partitionBy("_id").orderBy("_f", "_w")))
+    prefix = ordered.filter(F.col("_p") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).filter("_f > 1").select("_id", "_n", "_w").checkpoint()
     x, y = prefix.alias("x"), prefix.alias("y")
     close = F.least("x._n", "y._n") >= F.lit(least) * F.greatest("x._n", "y._n") - 1e-9
     met = x.join(y, (F.col("x._w") == F.col("y._w")) & (F.col("x._id") < F.col("y._id")) & close).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     joined = met.join(rows.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(rows.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
-    j = F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb"))
-    return joined.withColumn("jaccard", j).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
+    shared = F.size(F.array_intersect("_ta", "_tb"))
+    near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
+    return near.unionByName(same)
 
 
 def transcript_candidates(transcripts: DataFrame, cases: DataFrame, k: int, *, query_id: str, case_id: str, tokens: str = "tokens") -> DataFrame:
-    """(query_id, case_id, score, rank): cases by TF-IDF cosine to each transcript (E11). Frequencies are counted over all cases."""
-    terms = cases.select(F.col(case_id).alias("_c"), F.explode(tokens).alias("_w")).groupBy("_c", "_w").agg(F.count("*").alias("_tf"))
+    """(query_id, case_id, score, rank): cases by TF-IDF cosine to each transcript (E11). Frequencies are counted over all cases.
+
+    The cases' words are stored once. Every case keeps its norm; only the words that a transcript has meet the transcripts.
+    """
+    terms = cases.select(F.col(case_id).alias("_c"), F.explode(tokens).alias("_w")).groupBy("_c", "_w").agg(F.count("*").alias("_tf")).checkpoint()
     n = cases.agg(F.count("*").alias("_n"))
     idf = terms.groupBy("_w").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(n)).select("_w", F.ln((F.col("_n") + 1) / (F.col("_df") + 1)).alias("_idf"))
-    weighed = terms.join(idf, "_w").withColumn("_x", F.col("_tf") * F.col("_idf"))
-    norms = weighed.groupBy("_c").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_cn"))
-    asked = transcripts.select(F.col(query_id).alias("_q"), F.explode(tokens).alias("_w")).groupBy("_q", "_w").agg(F.count("*").alias("_qf")).join(idf, "_w").select("_q", "_w", (F.col("_qf") * F.col("_idf")).alias("_y"))
-    qnorms = asked.groupBy("_q").agg(F.sqrt(F.sum(F.col("_y") * F.col("_y"))).alias("_qn"))
-    dots = asked.join(weighed.select("_c", "_w", "_x"), "_w").groupBy("_q", "_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("_d"))
+    asked = transcripts.select(F.col(query_id).alias("_q"), F.explode(tokens).alias("_w")).groupBy("_q", "_w").agg(F.count("*").alias("_qf"))
+    known = asked.select("_w").distinct().withColumn("_in", F.lit(True))
+    weighed = terms.join(idf.join(known, "_w", "left"), "_w").select("_c", "_w", "_in", (F.col("_tf") * F.col("_idf")).alias("_x")).checkpoint()
+    norms = weighed.groupBy("_c").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_cn"), F.max("_in").alias("_in")).filter("_in").drop("_in")
+    mine = asked.join(idf, "_w").select("_q", "_w", (F.col("_qf") * F.col("_idf")).alias("_y"))
+    qnorms = mine.groupBy("_q").agg(F.sqrt(F.sum(F.col("_y") * F.col("_y"))).alias("_qn"))
+    dots = mine.join(weighed.filter("_in").select("_c", "_w", "_x"), "_w").groupBy("_q", "_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("_d"))
     scored = dots.join(norms, "_c").join(qnorms, "_q").withColumn("score", F.round(F.try_divide(F.col("_d"), F.col("_cn") * F.col("_qn")), 6)).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_c"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), F.col("_c").alias(case_id), "score", "rank")
 
 
-def embedding_topk(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, *, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank) by exact cosine (E12, I2): blocks of queries are sent to the gallery, each batch keeps its own best, the best of all are kept.
+def embedding_topk(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, *, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", query_block: int = QUERY_BLOCK, gallery_block: int = GALLERY_BLOCK) -> DataFrame:
+    """(query_id, vec_id, score, rank) by exact cosine (E12, I2): queries and gallery are dealt to blocks, each pair of blocks meets in one task and keeps its own best, the best of all are kept.
 
-    The queries pass through the driver in blocks of ``QUERY_BLOCK``; for a large query side use :func:`embedding_lsh_pairs`.
+    Null and zero vectors and such with null components take no part; ties go by the smaller id. Only the two row counts reach the driver.
     """
     spark = gallery.sparkSession
-    rows = queries.select(query_id, embedding).orderBy(query_id).toLocalIterator()
-    parts, block = [], []
-
-    def ask(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block])
-        q = np.array([r[1] for r in block], dtype=float)
-        sent = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, unit = sent.value
-            for pdf in batches:
-                if len(pdf):
-                    x = np.array(pdf[embedding].tolist(), dtype=float)
-                    s = np.round(unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-                    v = pdf[vec_id].to_numpy()
-                    top = np.stack([np.lexsort((v, -row))[:k] for row in s])
-                    out = pd.DataFrame({query_id: np.repeat(q_ids, top.shape[1]), vec_id: v[top].ravel(), "score": np.take_along_axis(s, top, axis=1).ravel()})
-                    yield out[out["score"] >= least]
-
-        return gallery.select(vec_id, embedding).mapInPandas(best, f"{query_id} long, {vec_id} long, score double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(ask(block))
-            block = []
-    if block:
-        parts.append(ask(block))
-    if not parts:
-        return spark.createDataFrame([], f"{query_id} long, {vec_id} long, score double, rank int")
-    near = reduce(DataFrame.unionAll, parts)
+    usable = lambda c: F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
+    q = queries.select(F.col(query_id).alias("_q"), F.col(embedding).cast("array<double>").alias("_v")).filter(F.coalesce(usable("_v"), F.lit(False)))
+    g = gallery.select(F.col(vec_id).alias("_g"), F.col(embedding).cast("array<double>").alias("_v")).filter(F.coalesce(usable("_v"), F.lit(False)))
+    deal = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n <= 64 else F.sequence(F.lit(0), F.lit(n - 1))
+    nq, ng = max(1, -(-q.count() // query_block)), max(1, -(-g.count() // gallery_block), min(spark.sparkContext.defaultParallelism, 64))
+    q = q.withColumn("_a", F.pmod(F.xxhash64("_q"), F.lit(nq)).cast("int")).withColumn("_b", F.explode(deal(ng)))
+    g = g.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(ng)).cast("int")).withColumn("_a", F.explode(deal(nq)))
+
+    def best(asked: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(pdf):
+            return pd.DataFrame({query_id: [], vec_id: [], "score": []}).astype({query_id: "int64", vec_id: "int64", "score": "float64"})
+        unit = lambda c: (x := np.stack(c.to_numpy())) / np.linalg.norm(x, axis=1, keepdims=True)
+        x, ids, v = unit(pdf["_v"]), asked["_q"].to_numpy(), pdf["_g"].to_numpy()
+        parts = []
+        for lo in range(0, len(asked), 256):
+            s = np.round(unit(asked["_v"].iloc[lo : lo + 256]) @ x.T, 6)
+            cut = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < len(v) else s.min(axis=1)
+            row, hit = np.nonzero(s >= np.maximum(cut, least)[:, None])
+            order = np.lexsort((v[hit], -s[row, hit], row))
+            row, hit = row[order], hit[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            parts.append(pd.DataFrame({query_id: ids[lo + row[keep]], vec_id: v[hit[keep]], "score": s[row[keep], hit[keep]]}))
+        return pd.concat(parts)
+
+    near = q.groupBy("_a", "_b").cogroup(g.groupBy("_a", "_b")).applyInPandas(best, f"{query_id} long, {vec_id} long, score double")
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), vec_id))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 

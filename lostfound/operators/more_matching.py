@@ -10,23 +10,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
+from lostfound.operators.matching import equal_sets
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
 
 
 def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; equal sets meet once and are expanded by their smallest id."""
-    plain = df.select(F.col(id_).alias("_id"), F.array_sort(F.array_distinct(tokens)).alias("_t")).filter(F.size("_t") > 0)
-    own = plain.groupBy("_t").agg(F.min("_id").alias("_id"))
-    hashes = F.array(*[F.array_min(F.transform("_t", lambda w, s=s: F.xxhash64(F.lit(s), w))) for s in range(bands * rows)])
+    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; of equal sets the smallest id stands for all and has a pair with each of the others."""
+    own, same = equal_sets(df, id_, tokens)
+    own = own.checkpoint()
+    least_hash = lambda seed: F.array_min(F.transform("_t", lambda w: F.xxhash64(F.lit(seed), w)))
+    hashes = F.array(*[least_hash(seed) for seed in range(bands * rows)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("_m", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
-    keyed = own.withColumn("_m", hashes).select("_id", "_t", F.explode(keys).alias("_k"))
-    x, y = keyed.select("_id", "_k").alias("x"), keyed.select("_id", "_k").alias("y")
+    keyed = own.withColumn("_m", hashes).select("_id", F.explode(keys).alias("_k")).checkpoint()
+    x, y = keyed.alias("x"), keyed.alias("y")
     met = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
-    near = joined.withColumn("jaccard", F.size(F.array_intersect("_ta", "_tb")) / F.size(F.array_union("_ta", "_tb"))).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
-    same = plain.join(own.select("_t", F.col("_id").alias("_o")), "_t").filter("_id <> _o").select(F.col("_o").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("jaccard"))
+    shared = F.size(F.array_intersect("_ta", "_tb"))
+    near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
     return near.unionByName(same)
 
 
@@ -50,6 +52,7 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
         bits = (np.array(v.tolist(), dtype=float).reshape(-1, dim) @ normals.T > 0).reshape(-1, tables, planes)
         return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2)))
 
+    df = df.filter(F.size(embedding) == dim)
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
     keyed = own.select("_id", F.posexplode(signatures("_v")).alias("_table", "_bits"))
     popular = keyed.groupBy("_table", "_bits").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_m")).filter("_m > 1")
@@ -80,7 +83,7 @@ def duplicate_share(cases: DataFrame, clusters: DataFrame, *, id_: str, center:
     return marked.groupBy("center").agg(F.count("*").alias("cases"), F.sum(extra).alias("duplicates"), F.avg(extra.cast("double")).alias("share"))
 
 
-def person_timeline(cases: DataFrame, person: str, at: str) -> DataFrame:
-    """Each report's number within its person, and the hours since the one before."""
-    w = Window.partitionBy(person).orderBy(at)
+def person_timeline(cases: DataFrame, person: str, at: str, id_: str) -> DataFrame:
+    """Each report's number within its person, and the hours since the one before; ties in time by id."""
+    w = Window.partitionBy(person).orderBy(at, id_)
     return cases.withColumn("seen", F.row_number().over(w)).withColumn("hours_since", (F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(w).cast("timestamp"))) / F.lit(3600.0))

@@ -18,6 +18,7 @@ from lostfound.operators import geo as G
 from lostfound.operators import graph as N
 from lostfound.operators import matching as M
 from lostfound.operators import more_matching as MM
+from lostfound.plans import inputs as I
 from lostfound.plans.streams import STREAM_ORACLE, STREAM_QUERIES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,9 +143,24 @@ def b_tokens(s, d):
     return described(s, d).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens"))
 
 
-@query("SELECT c_custkey, c_name AS latin FROM customer")
+# ten consonants of the blocks of Devanagari, Gujarati and Tamil, and how they are written in Latin letters
+LETTERS = (0x15, 0x17, 0x1C, 0x1F, 0x24, 0x28, 0x2A, 0x2E, 0x30, 0x38)
+LATIN = ("k", "g", "j", "t", "t", "n", "p", "m", "r", "s")
+
+
+@query(f"""SELECT c_custkey, c_name || ' ' || array_to_string(list_transform(string_split(c_custkey::VARCHAR, ''), lambda x: list_extract([{", ".join(map(repr, LATIN))}], x::INT + 1)), 'a') || 'ee' AS latin FROM customer""")
 def i1_transliterate(s, d):
-    return t(s, d, "customer").select("c_custkey", transliterate("c_name").alias("latin"))
+    key = F.col("c_custkey").cast("string")
+    spelt = [F.concat(F.translate(key, "0123456789", "".join(chr(base + x) for x in LETTERS)), F.lit(chr(base + 0x40))) for base in (0x0900, 0x0A80, 0x0B80)]
+    name = F.concat(F.col("c_name"), F.lit(" "), F.when(F.col("c_custkey") % 3 == 0, spelt[0]).when(F.col("c_custkey") % 3 == 1, spelt[1]).otherwise(spelt[2]))
+    return t(s, d, "customer").select("c_custkey", transliterate(name).alias("latin"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE * 0.5 + l_discount::DOUBLE * 4 AS score FROM lineitem")
+def i3_score_with(s, d):
+    """A linear model stands in for the caller's own."""
+    rows = t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("p"))
+    return M.score_with(rows, lambda pdf: pdf[["l_orderkey", "l_linenumber"]].assign(score=pdf["q"] * 0.5 + pdf["p"] * 4), f"l_orderkey {dict(rows.dtypes)['l_orderkey']}, l_linenumber {dict(rows.dtypes)['l_linenumber']}, score double")
 
 
 # --- data quality ---
@@ -178,9 +194,19 @@ def c4_reconcile(s, d):
     return A.reconcile(t(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("v")), t(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("v")), "key", "v")
 
 
-@query("SELECT c_custkey AS key, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT coalesce(l.c_name, lower(r.c_name) || '.') AS name, CASE WHEN r.c_custkey IS NULL THEN 'only_left' WHEN l.c_custkey IS NULL THEN 'only_right' WHEN r.c_custkey % 7 = 0 THEN 'moved' ELSE 'equal' END AS state, r.c_mktsegment AS segment
+FROM (SELECT * FROM customer WHERE c_custkey % 4 <> 0) l FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) r ON l.c_custkey = r.c_custkey""")
+def c4_reconcile_folded(s, d):
+    c = t(s, d, "customer")
+    left = c.filter("c_custkey % 4 <> 0").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("v"))
+    right = c.filter("c_custkey % 3 <> 0").select(F.concat(F.lower("c_name"), F.lit(".")).alias("name"), (F.col("c_custkey") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0)).alias("v"), F.col("c_mktsegment").alias("segment"))
+    return A.reconcile(left, right, "name", "v", fold=True, attributes=("segment",))
+
+
+@query("SELECT event_id AS case_id, user_id AS key FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
 def c5_unknown_keys(s, d):
-    return A.unknown_keys(t(s, d, "customer").select(F.col("c_custkey").alias("key"), "c_name"), t(s, d, "orders"), "key", "o_custkey")
+    cases = t(s, d, "events").select(F.col("event_id").alias("case_id"), F.col("user_id").alias("key"))
+    return A.unknown_keys(cases, t(s, d, "customer").filter("c_custkey % 3 <> 0"), "key", "c_custkey").select("case_id", "key")
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -219,6 +245,21 @@ def d4_geocode(s, d):
     return G.geocode(cases, places)
 
 
+@query(f"""WITH {P}, {Z}, a AS (SELECT 'Ghat ' || point AS place, lat, lng FROM p), j AS (SELECT point, zone, {km('p', 'z')} AS km FROM p, z), o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, zone) AS n FROM j)
+SELECT event_id, 'GHAT ' || user_id AS last_seen_location, place, lat, lng, CASE WHEN place IS NOT NULL THEN 'exact' END AS method, o.zone FROM events LEFT JOIN a ON place = 'Ghat ' || user_id LEFT JOIN o ON o.point = user_id AND o.n = 1""")
+def d4_geocode_zone(s, d):
+    places = points(s, d).select(F.concat(F.lit("Ghat "), F.col("point").cast("string")).alias("name"), "lat", "lng")
+    cases = t(s, d, "events").select("event_id", F.concat(F.lit("GHAT "), F.col("user_id").cast("string")).alias("last_seen_location"))
+    return G.geocode(cases, places, zones(s, d))
+
+
+@query(f"""WITH {P}, {S}, {Z}, j AS (SELECT point, zone, {km('p', 'z')} AS km FROM p, z), q AS (SELECT station, zone, {km('s', 'z')} AS km FROM s, z), o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, zone) AS n FROM j)
+SELECT z.zone, (SELECT count(*) FROM o WHERE n = 1 AND o.zone = z.zone) AS in_zone, (SELECT count(*) FROM j WHERE km <= 1 AND j.zone = z.zone) AS in_reach, (SELECT count(*) FROM p WHERE point % 32 + 1 = z.zone) AS by_id, (SELECT count(*) FROM q WHERE km <= 1 AND q.zone = z.zone) AS stations FROM z""")
+def d5_zone_coverage_by_id(s, d):
+    cameras = C.parse_ids(points(s, d).withColumn("camera", F.concat(F.lit("Z"), (F.col("point") % 32 + 1).cast("string"), F.lit("-C"), F.col("point").cast("string"))), None, camera_id="camera")
+    return G.zone_coverage(zones(s, d), cameras, 1.0, stations(s, d), zone="zone", camera="point", camera_zone="zone_no")
+
+
 @query(f"""WITH {P}, {Z}, j AS (SELECT point, zone, {km('p', 'z')} AS km FROM p, z), o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, zone) AS n FROM j)
 SELECT z.zone, coalesce((SELECT count(*) FROM o WHERE n = 1 AND o.zone = z.zone), 0) AS in_zone, coalesce((SELECT count(*) FROM j WHERE km <= 1 AND j.zone = z.zone), 0) AS in_reach FROM z""")
 def d5_zone_coverage(s, d):
@@ -232,7 +273,16 @@ def d6_response(s, d):
     return out.withColumns({c: F.round(c, 5) for c in ("mean_km", "p50_km", "p90_km")})
 
 
-@query()
+def _greedy(k: int) -> str:
+    """The greedy choice of ``k`` points, a step at a time."""
+    out = ["c AS MATERIALIZED (SELECT point, station FROM (SELECT point, station, " + km("p", "s") + " AS km FROM p, s) WHERE km <= 0.75)", "l1 AS MATERIALIZED (SELECT * FROM c)"]
+    for i in range(1, k + 1):
+        out.append(f"b{i} AS MATERIALIZED (SELECT {i} AS step, station, count(DISTINCT point) AS covered FROM l{i} GROUP BY station ORDER BY covered DESC, station LIMIT 1)")
+        out.append(f"l{i + 1} AS MATERIALIZED (SELECT * FROM l{i} WHERE point NOT IN (SELECT point FROM l{i} JOIN b{i} USING (station)))")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT step, station, covered FROM b{i}" for i in range(1, k + 1))
+
+
+@query(f"WITH {P}, {S}, {_greedy(5)}")
 def d7_help_points(s, d):
     return G.place_help_points(points(s, d), stations(s, d), 0.75, 5, id_="point", candidate="station")
 
@@ -250,7 +300,7 @@ def e1_search(s, d):
 @query(f"""WITH {R}, x AS (SELECT * FROM r WHERE event_type = 'error') SELECT DISTINCT a.case_id AS a, b.case_id AS b FROM x a JOIN x b ON a.case_id < b.case_id AND a.center <> b.center
 AND ((a.zone = b.zone AND a.age = b.age AND date_trunc('day', a.reported_at) = date_trunc('day', b.reported_at)) OR a.user_id = b.user_id)""")
 def e2_candidates(s, d):
-    keys = [F.concat_ws("/", "zone", "age", F.date_format("reported_at", "yyyy-MM-dd")), F.col("user_id")]
+    keys = [F.concat(F.col("zone").cast("string"), F.lit("/"), F.col("age").cast("string"), F.lit("/"), F.date_format("reported_at", "yyyy-MM-dd")), F.col("user_id")]
     return M.candidate_pairs(reports(s, d).filter("event_type = 'error'"), keys, id_="case_id", center="center")
 
 
@@ -261,6 +311,38 @@ def e5_one_to_one(s, d):
     return M.one_to_one(flagship_match(s, d))
 
 
+LOW, HIGH = (0, 13, 18, 41, 61, 71, 80), (12, 17, 40, 60, 70, 80, 200)
+LOW2, HIGH2 = (0, 13, 26, 41, 61, 71, 80), (12, 25, 40, 60, 70, 80, 200)
+
+
+@query(f"""WITH {R}, m AS (SELECT case_id, reported_at, zone, case_id % 3 AS g, {list(LOW)}[case_id % 7 + 1] AS lo, {list(HIGH)}[case_id % 7 + 1] AS hi FROM r WHERE event_type = 'error'), f AS (SELECT case_id, reported_at, zone, case_id % 3 AS g, {list(LOW2)}[case_id % 7 + 1] AS lo, {list(HIGH2)}[case_id % 7 + 1] AS hi FROM r WHERE event_type = 'signup'),
+j AS (SELECT m.case_id AS missing_id, f.case_id AS found_id, abs(floor(epoch(m.reported_at)) - floor(epoch(f.reported_at))) / 3600.0 AS gap_hours FROM m JOIN f ON m.zone = f.zone AND (m.g = f.g OR m.g = 2 OR f.g = 2) AND m.lo <= f.hi AND f.lo <= m.hi),
+k AS (SELECT *, row_number() OVER (PARTITION BY missing_id ORDER BY gap_hours, found_id) AS rank FROM j WHERE gap_hours <= 24) SELECT missing_id, found_id, gap_hours, rank::INT AS rank FROM k WHERE rank <= 3""")
+def e4_match_agreeing(s, d):
+    """The two sides name age bands differently."""
+    r = reports(s, d).withColumn("gender", I.pick(("Male", "Female", "Unknown"), F.col("case_id") % 3))
+    side = lambda kind, bands: r.filter(F.col("event_type") == kind).withColumn("age", C.age_bounds(I.pick(bands, F.col("case_id") % 7)))
+    return M.match_found(side("error", I.BANDS), side("signup", I.OTHER_BANDS), block=["zone"], hours=24, k=3, agree=M.agreeing(), compare=("gender", "age"))
+
+
+@query(f"""WITH {R}, x AS (SELECT * FROM r WHERE event_type = 'error'), p AS (SELECT DISTINCT a.case_id AS a, b.case_id AS b FROM x a JOIN x b ON a.case_id < b.case_id AND a.center <> b.center AND a.zone = b.zone AND a.age = b.age AND date_trunc('day', a.reported_at) = date_trunc('day', b.reported_at)),
+w AS (SELECT case_id, {list(LOW)}[case_id % 7 + 1] AS lo, {list(HIGH)}[case_id % 7 + 1] AS hi, ['red', 'bag'] || ['t' || case_id % 5] AS ts FROM r)
+SELECT a, b, round(((a.lo <= b.hi AND b.lo <= a.hi)::INT * 2 + len(list_intersect(a.ts, b.ts)) / len(list_distinct(a.ts || b.ts))::DOUBLE) / 3, 9)::DOUBLE AS score, 2 AS compared FROM p JOIN w a ON a.case_id = a JOIN w b ON b.case_id = b""")
+def e3_score_pairs(s, d):
+    """Ages and tokens of the pairs that meet in a block."""
+    r = reports(s, d)
+    key = F.concat(F.col("zone").cast("string"), F.lit("/"), F.col("age").cast("string"), F.lit("/"), F.date_format("reported_at", "yyyy-MM-dd"))
+    pairs = M.candidate_pairs(r.filter("event_type = 'error'"), [key], id_="case_id", center="center")
+    own = r.select("case_id", C.age_bounds(I.pick(I.BANDS, F.col("case_id") % 7)).alias("age"), C.describe_tokens(F.concat(F.lit("A red bag, T"), (F.col("case_id") % 5).cast("string"))).alias("tokens"))
+    both = pairs.join(own.select(F.col("case_id").alias("a"), F.col("age").alias("a_age"), F.col("tokens").alias("a_tokens")), "a").join(own.select(F.col("case_id").alias("b"), F.col("age").alias("b_age"), F.col("tokens").alias("b_tokens")), "b")
+    return M.score_pairs(both, [("age", "ages", 2.0), ("tokens", "tokens", 1.0)]).select("a", "b", "score", "compared")
+
+
+@query(f"WITH {R}, k AS (SELECT '0:' || zone || '/' || age AS key FROM r) SELECT key, count(*) AS n FROM k GROUP BY 1 HAVING count(*) > 40")
+def e2_block_sizes(s, d):
+    return M.block_sizes(reports(s, d), [F.concat(F.col("zone").cast("string"), F.lit("/"), F.col("age").cast("string"))], 40)
+
+
 def _equal_texts(s, d):
     x = t(s, d, "documents").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("h"))
     first = x.groupBy("h").agg(F.min("doc_id").alias("a"))
@@ -290,15 +372,31 @@ def e8_evaluate(s, d):
     return M.evaluate_duplicates(pairs, _equal_texts(s, d)[1], [0.5, 0.8])
 
 
-@query(f"""WITH x AS {TOKENS}, w AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS w FROM x), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)
-SELECT a, b, round(k / (m - k)::DOUBLE, 9) AS jaccard FROM p WHERE k / (m - k)::DOUBLE >= 0.8 - 1e-9""")
+@query("""WITH l AS (SELECT n_chars, lang, min(doc_id) AS a FROM documents GROUP BY 1, 2), q AS (SELECT l.a, doc_id AS b, CASE WHEN documents.doc_id % 2 = 0 THEN 0.9 ELSE 0.7 END AS score FROM documents JOIN l USING (n_chars, lang) WHERE doc_id <> l.a),
+m AS (SELECT id, max(score) AS s FROM (SELECT a AS id, score FROM q UNION ALL SELECT b, score FROM q) GROUP BY 1), f AS (SELECT doc_id, count(*) OVER (PARTITION BY text) > 1 AS flag, m.s FROM documents LEFT JOIN m ON id = doc_id), h AS (SELECT unnest([0.5, 0.8])::DOUBLE AS threshold),
+g AS (SELECT threshold, count(*) FILTER (s >= threshold) AS found, count(*) FILTER (s >= threshold AND flag) AS "right", count(*) FILTER (flag) AS total FROM f, h GROUP BY 1)
+SELECT threshold, found, "right", "right" / found::DOUBLE AS precision, "right" / total::DOUBLE AS recall, 2 * ("right" / found::DOUBLE) * ("right" / total::DOUBLE) / ("right" / found::DOUBLE + "right" / total::DOUBLE) AS f1 FROM g""")
+def e8_evaluate_cases(s, d):
+    docs = t(s, d, "documents")
+    first = docs.groupBy("n_chars", "lang").agg(F.min("doc_id").alias("a"))
+    pairs = docs.join(first, ["n_chars", "lang"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.when(F.col("doc_id") % 2 == 0, 0.9).otherwise(0.7).alias("score"))
+    copies = docs.groupBy(F.xxhash64("text").alias("_h")).agg((F.count("*") > 1).alias("flag"))
+    return M.evaluate_cases(pairs, docs.select("doc_id", F.xxhash64("text").alias("_h")).join(copies, "_h"), [0.5, 0.8], id_="doc_id", flag="flag")
+
+
+_JACCARD = f"""WITH x AS {TOKENS}, o AS (SELECT doc_id, tokens, min(doc_id) OVER (PARTITION BY tokens) AS o FROM x WHERE len(tokens) > 0), w AS (SELECT doc_id, len(tokens) AS n, unnest(tokens) AS w FROM o WHERE doc_id = o), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS m, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2, 3)
+SELECT a, b, round(k / (m - k)::DOUBLE, 9) AS jaccard FROM p WHERE k / (m - k)::DOUBLE >= 0.8 - 1e-9 UNION ALL SELECT o, doc_id, 1.0 FROM o WHERE doc_id <> o"""
+
+
+@query(_JACCARD)
 def e9_token_join(s, d):
     return M.token_join(described(s, d), id_="doc_id", tokens="tokens", least=0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
+@query(_JACCARD)
 def e10_minhash(s, d):
-    return MM.minhash_pairs(described(s, d), 16, 4, id_="doc_id", tokens="tokens", least=0.8)
+    """A pair at the threshold is missed with a probability of 2 in a million."""
+    return MM.minhash_pairs(described(s, d), 25, 4, id_="doc_id", tokens="tokens", least=0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(f"""WITH x AS {TOKENS}, b AS (SELECT item_id, list_filter(list_distinct(string_split(trim(regexp_replace(translate(lower(text), '{C.ACCENTED}', '{C.PLAIN}'), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w NOT IN ('', {", ".join(repr(w) for w in C.STOP_WORDS)})) AS tokens FROM benchmark),
@@ -319,9 +417,13 @@ def e12_embedding_topk(s, d):
     return M.embedding_topk(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 3)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, v FROM e UNION ALL SELECT vec_id + 1000000000, list_transform(v, lambda x, i: x + 0.25 * v[i % 64 + 1]) FROM e)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM u a JOIN u b ON a.vec_id < b.vec_id AND round(list_cosine_similarity(a.v, b.v), 6) >= 0.9""")
 def e13_embedding_lsh(s, d):
-    return MM.embedding_lsh_pairs(t(s, d, "embeddings"), 12, None, 0.9)
+    """The vectors and a turned copy of each, at a cosine of some 0.97: the vectors themselves have no near pairs."""
+    e = t(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.transform("embedding", lambda x, i: x + F.lit(0.25) * F.get(F.col("embedding"), (i + 1) % 64))
+    return MM.embedding_lsh_pairs(e.unionByName(e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), turned.alias("embedding"))), 18, None, 0.9)
 
 
 @query("""WITH a AS (SELECT doc_id AS query_id, n_chars AS case_id, (doc_id % 10) / 10.0 AS score FROM documents), b AS (SELECT conv_id AS query_id, turn AS case_id, max((turn % 5) / 5.0) AS score FROM conversations GROUP BY 1, 2)
@@ -339,11 +441,11 @@ def e15_route_matches(s, d):
     return MM.route_matches(found, points(s, d), stations(s, d), camera="point", station="station")
 
 
-@query(f"WITH {R}, e AS (SELECT max(reported_at) AS now FROM r) SELECT case_id, reported_at, zone FROM r, e WHERE floor(epoch(now)) - floor(epoch(reported_at)) > 72 * 3600 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query(f"WITH {R}, e AS (SELECT max(reported_at) AS now FROM r) SELECT case_id, reported_at, zone FROM r, e WHERE floor(epoch(now)) - floor(epoch(reported_at)) > 72 * 3600 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 100)")
 def e16_open_cases(s, d):
     r = reports(s, d)
     now = r.agg(F.max("reported_at").alias("_now"))
-    return M.open_cases(r.crossJoin(F.broadcast(now)), r.filter("event_type = 'signup'").select("user_id"), 72, F.col("_now"), id_="user_id").select("case_id", "reported_at", "zone")
+    return M.open_cases(r.crossJoin(F.broadcast(now)), r.filter("event_type = 'signup' and resolution_hours > 100").select("user_id"), 72, F.col("_now"), id_="user_id").select("case_id", "reported_at", "zone")
 
 
 @query("SELECT event_id AS case_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')")
@@ -395,6 +497,17 @@ def f5_center_overlap(s, d):
     return A.center_overlap(named)
 
 
+_SOURCES = ["src0", "src1", "src2", "src3"]
+
+
+@query("WITH x AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS a FROM documents), p AS (SELECT y.source AS s1, x.source AS s2 FROM x JOIN documents y ON y.doc_id = x.a WHERE x.doc_id <> x.a), b AS (SELECT s1 AS center, s2 AS other FROM p UNION ALL SELECT s2, s1 FROM p) SELECT center, " + ", ".join(f"count(*) FILTER (other = '{x}') AS {x}" for x in _SOURCES) + " FROM b GROUP BY 1")
+def f5_center_matrix(s, d):
+    x, pairs = _equal_texts(s, d)
+    own = x.select("doc_id", "source")
+    named = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("source").alias("center_a")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("source").alias("center_b")), "b")
+    return A.center_matrix(named, _SOURCES)
+
+
 @query("WITH x AS (SELECT doc_id, source AS center, min(doc_id) OVER (PARTITION BY text) AS a FROM documents) SELECT center, count(*) AS cases, sum(CASE WHEN doc_id <> a THEN 1 ELSE 0 END)::BIGINT AS duplicates, round(avg(CASE WHEN doc_id <> a THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS share FROM x GROUP BY 1")
 def f5_duplicate_share(s, d):
     clusters = M.duplicate_clusters(_equal_texts(s, d)[1])
@@ -413,6 +526,11 @@ def f6_cube(s, d):
     return A.cube_counts(reports(s, d), ["zone", "age", "event_type"])
 
 
+@query(f"WITH {R} SELECT center, age, zone, count(*) AS cases, grouping_id(center, age, zone)::BIGINT AS level FROM r GROUP BY GROUPING SETS ((center), (age), (zone, center), ())")
+def f6_grouping_sets(s, d):
+    return A.grouping_counts(reports(s, d), ["center", "age", "zone"], [["center"], ["age"], ["zone", "center"], []])
+
+
 @query(f"""WITH {R}, {P}, {Z}, l AS (SELECT zone - 1 AS zone, count(*) AS n FROM r GROUP BY 1), j AS (SELECT point, zone, {km('p', 'z')} AS km FROM p, z), w AS (SELECT zone, sum((point % 3 + 1)::DOUBLE) AS w FROM j WHERE km <= 1 GROUP BY 1),
 x AS (SELECT z.zone, lat, lng, coalesce(n, 0) / sum(n) OVER () * (1 + coalesce(w, 0.0)) AS r FROM z LEFT JOIN l USING (zone) LEFT JOIN w USING (zone)), y AS (SELECT zone, lat, lng, round(r / max(r) OVER (), 9) AS risk FROM x)
 SELECT *, (row_number() OVER (ORDER BY risk DESC, zone))::INT AS rank FROM y ORDER BY risk DESC, zone LIMIT 10""")
@@ -441,9 +559,9 @@ _STEPS = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for b, k in ((0.367879441
 
 
 @query(f"""WITH {R}, g AS (SELECT zone, ('0x' || substr(md5('1:' || case_id || ':' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, rep FROM r, (SELECT unnest(range(1, 21)) AS rep)),
-n AS (SELECT zone, rep, sum({_STEPS}) AS n FROM g GROUP BY 1, 2) SELECT zone, round(quantile_cont(n, 0.05), 6)::DOUBLE AS p05, round(quantile_cont(n, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95 FROM n GROUP BY 1""")
+n AS (SELECT zone, rep, sum({_STEPS}) AS n FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY n DESC, zone) <= 5 AS top FROM n) SELECT zone, round(quantile_cont(n, 0.05), 6)::DOUBLE AS p05, round(quantile_cont(n, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95, round(avg(top::INT), 6)::DOUBLE AS in_top FROM k GROUP BY 1""")
 def f10_bootstrap(s, d):
-    return A.bootstrap_hotspots(reports(s, d), "zone", "case_id", 20).withColumns({c: F.round(c, 6) for c in ("p05", "p50", "p95")})
+    return A.bootstrap_hotspots(reports(s, d), "zone", "case_id", 20, 5).withColumns({c: F.round(c, 6) for c in ("p05", "p50", "p95", "in_top")})
 
 
 @query(f"""WITH {R}, e AS (SELECT center, reported_at AS "at", 1 AS d FROM r UNION ALL SELECT center, reported_at + INTERVAL 1 HOUR * (case_id % 48), -1 FROM r WHERE event_type = 'signup'), n AS (SELECT center, "at", sum(d)::BIGINT AS d FROM e GROUP BY 1, 2), o AS (SELECT center, "at", sum(d) OVER (PARTITION BY center ORDER BY "at")::BIGINT AS open FROM n)
@@ -461,7 +579,14 @@ def f12_top_locations(s, d):
 
 @query(f"WITH {R} SELECT zone, count(*) AS reports, count(DISTINCT user_id) AS persons, count(*) / count(DISTINCT user_id)::DOUBLE AS per_person FROM r GROUP BY 1")
 def f13_persons(s, d):
-    return A.distinct_persons(reports(s, d), "user_id", "zone")
+    return A.distinct_persons(reports(s, d), "user_id", "zone").drop("approx_persons")
+
+
+@query("WITH x AS (SELECT source, count(*) AS reports, count(DISTINCT text) AS persons FROM documents GROUP BY 1) SELECT source, reports, persons, reports / persons::DOUBLE AS per_person, true AS near FROM x")
+def f13_persons_merged(s, d):
+    """Equal texts are one person; the approximate count lies within a fifth of the exact one."""
+    out = A.distinct_persons(t(s, d, "documents").select("doc_id", "source"), "doc_id", "source", M.duplicate_clusters(_equal_texts(s, d)[1]))
+    return out.withColumn("near", F.abs(F.col("approx_persons") - F.col("persons")) <= 0.2 * F.col("persons")).drop("approx_persons")
 
 
 @query("""WITH c AS (SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY 1) SELECT *, (en + fr + de + es) / sum(en + fr + de + es) OVER ()::DOUBLE AS share FROM c""")
@@ -471,11 +596,7 @@ def f14_language_need(s, d):
 
 @query("WITH x AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seen, floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS l FROM events) SELECT event_id, seen::INT AS seen, (floor(epoch(ts)) - l) / 3600.0 AS hours_since FROM x")
 def f13_person_timeline(s, d):
-    e = t(s, d, "events").withColumn("_at", F.col("ts"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.withColumn("seen", F.row_number().over(w)).withColumn("hours_since", (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(w).cast("timestamp"))) / F.lit(3600.0)).select("event_id", "seen", "hours_since")
+    return MM.person_timeline(t(s, d, "events"), "user_id", "ts", "event_id").select("event_id", "seen", "hours_since")
 
 
 # --- sets ---
@@ -513,9 +634,9 @@ def g1_nodes(s, d):
     return nodes(s, d)
 
 
-def _triples(s, d):
+def _triples(s, d, cases=None):
     ids = lambda df, kind: df.select(F.concat(F.lit(kind + ":"), F.col(kind).cast("string")).alias("id"), "lat", "lng")
-    return N.graph_triples(nodes(s, d), ids(zones(s, d), "zone"), ids(stations(s, d), "station"), 0.75)
+    return N.graph_triples(nodes(s, d), ids(zones(s, d), "zone"), ids(stations(s, d), "station"), 0.75, cases)
 
 
 T = f"""a AS (SELECT x.id, y.id AS dst, y.kind, {km('x', 'y')} AS km FROM v x, v y), b AS (SELECT *, row_number() OVER (PARTITION BY id, kind ORDER BY km, dst) AS n FROM a),
@@ -527,31 +648,61 @@ def g2_triples(s, d):
     return _triples(s, d)
 
 
+@query(f"WITH {V}, {T}, {R} SELECT * FROM t UNION ALL SELECT 'case:' || case_id, 'reported_at', 'center:' || center FROM r UNION ALL SELECT 'case:' || case_id, 'last_seen_at', 'place:' || zone FROM r WHERE zone % 4 <> 0")
+def g2_triples_of_cases(s, d):
+    cases = reports(s, d).select(F.col("case_id").alias("id"), "center", F.when(F.col("zone") % 4 != 0, F.col("zone")).alias("place"))
+    return _triples(s, d, cases)
+
+
+@query(f"WITH {V}, {E}, b2 AS (SELECT src AS id, dst FROM e UNION ALL SELECT dst, src FROM e), n AS (SELECT id, count(DISTINCT dst) AS n FROM b2 GROUP BY 1) SELECT id, n, (rank() OVER (ORDER BY n DESC))::INT AS rank FROM n")
+def g3_degree(s, d):
+    return N.degree(N.proximity_edges(nodes(s, d), 1.0, 2))
+
+
 @query(f"WITH {V}, {E} SELECT * FROM e")
 def g3_edges(s, d):
     return N.proximity_edges(nodes(s, d), 1.0, 2)
 
 
+@query(f"WITH {V}, {E} SELECT src, dst, km + 5.0 * ((src LIKE 'zone:%')::INT + (dst LIKE 'zone:%')::INT) AS km FROM e")
+def g4_penalty(s, d):
+    v = nodes(s, d)
+    return N.avoid(N.proximity_edges(v, 1.0, 2), v.filter("kind = 'zone'"), 5.0)
+
+
 @query(f"WITH {V}, {E} SELECT * FROM e WHERE src NOT LIKE 'zone:%' AND dst NOT LIKE 'zone:%'")
 def g4_avoid(s, d):
     v = nodes(s, d)
     return N.avoid(N.proximity_edges(v, 1.0, 2), v.filter("kind = 'zone'"))
 
 
-@query()
+def _shortest(rounds: int) -> str:
+    """Distances from every zone, one round of relaxing at a time; distances are rounded, so on a straight line many short steps may win."""
+    near = E.replace("km <= 1 ", "km <= 4 ").replace("a AS (", "a AS MATERIALIZED (", 1).replace(", e AS (", ", e AS MATERIALIZED (", 1)
+    out = [near, "w AS MATERIALIZED (SELECT src, dst, km FROM e UNION ALL SELECT dst, src, km FROM e)", "d0 AS MATERIALIZED (SELECT id AS source, id AS node, 0.0::DOUBLE AS km FROM v WHERE kind = 'zone')"]
+    for i in range(1, rounds + 1):
+        out.append(f"d{i} AS MATERIALIZED (SELECT source, node, min(km) AS km FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, round(d{i - 1}.km + w.km, 6) FROM d{i - 1} JOIN w ON src = node) GROUP BY 1, 2)")
+    return ", ".join(out)
+
+
+@query(f"WITH {V}, {_shortest(80)} SELECT source, node, round(km, 6) AS km FROM d80")
 def g5_shortest(s, d):
     v = nodes(s, d)
     edges = N.directed(N.proximity_edges(v, 4.0, 2))
-    return N.shortest_paths(edges, v.filter("kind = 'zone'")).select("source", "node", "km")
+    return N.shortest_paths(edges, v.filter("kind = 'zone'")).select("source", "node", F.round("km", 6).alias("km"))
 
 
-@query()
+@query(f"WITH {V}, {_shortest(80)}, g AS (SELECT min(id) AS goal FROM v WHERE kind = 'zone') SELECT id AS start, goal, round(d80.km, 6) AS distance_km, d80.km IS NOT NULL AS whole FROM v, g LEFT JOIN d80 ON source = v.id AND node = goal WHERE kind = 'zone'")
 def g6_routes(s, d):
+    """Starts and goal are zones, so no zone is blocked for them. A whole route begins at its start, ends at its goal, and has a step for each place."""
     v = nodes(s, d)
     z = v.filter("kind = 'zone'")
     ends = z.agg(F.min("id").alias("goal"))
     asked = z.select(F.col("id").alias("start")).crossJoin(F.broadcast(ends))
-    return N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2), blocked=z).select("start", "goal", "distance_km", F.size("path").alias("stops"))
+    found = N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2), blocked=z)
+    name = lambda c: F.substring_index(c, ":", -1)
+    whole = (F.element_at("path", 1)["name"] == name(F.col("start"))) & (F.element_at("path", -1)["name"] == name(F.col("goal"))) & (F.size("steps") == F.size("path"))
+    return found.select("start", "goal", F.round("distance_km", 6).alias("distance_km"), F.coalesce(whole, F.lit(False)).alias("whole"))
 
 
 @query(f"WITH {V}, {T} SELECT x.subject AS n0, x.object AS n1, y.object AS n2 FROM t x JOIN t y ON x.object = y.subject WHERE x.predicate = 'near' AND y.predicate = 'located_in'")
@@ -559,5 +710,5 @@ def g7_pattern(s, d):
     return N.match_pattern(_triples(s, d), ["near", "located_in"])
 
 
-QUERIES |= STREAM_QUERIES
-ORACLE |= STREAM_ORACLE
+QUERIES |= I.QUERIES | STREAM_QUERIES
+ORACLE |= I.ORACLE | STREAM_ORACLE

@@ -39,8 +39,14 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def h1_stream(s, d):
-    return drained(source(s, d)).select("case_id", "center", "status")
+def h1_stream_reports(s, d):
+    from lostfound.plans.inputs import report_files
+
+    return drained(H.stream_reports(s, report_files(s, d))).select("case_id", "type", "name_normalized", "reporting_center", "status", F.col("reported_at").cast("timestamp_ntz").alias("reported_at"))
+
+
+def h1_stream_table(s, d):
+    return drained(H.stream_table(s, f"{d}/events*.parquet", EVENTS, "ts")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def h2_dedup(s, d):
@@ -70,15 +76,54 @@ def h6_stream_match(s, d):
     return drained(H.stream_match(own.filter("status = 'error'"), other.filter("status = 'signup'"), "12 hours", "user_id")).select("missing_id", "found_id")
 
 
+def h3_sliding_counts(s, d):
+    slid = H.windowed_counts(source(s, d), "2 days", "center", "1 day")
+    return drained(slid).select(F.col("slot_start").cast("timestamp_ntz").alias("slot_start"), F.col("slot_end").cast("timestamp_ntz").alias("slot_end"), "center", "cases")
+
+
+def h6_stream_match_outer(s, d):
+    """Errors with no signup of the user within an hour are emitted alone, once no partner can come any more."""
+    out = drained(H.stream_match(source(s, d).filter("status = 'error'"), source(s, d).filter("status = 'signup'"), "1 hours", "user_id", how="left_outer"))
+    # those near the end wait for the watermark
+    return out.filter("found_id is not null").select("missing_id", "found_id").unionByName(out.filter("found_id is null").join(t_last(s, d), F.col("missing_at") <= F.col("_last") - F.expr("interval 24 hours")).select("missing_id", "found_id"))
+
+
+def t_last(s, d):
+    return F.broadcast(source_table(s, d).agg(F.max("reported_at").alias("_last")))
+
+
+def source_table(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("case_id"), F.col("ts").cast("timestamp").alias("reported_at"))
+
+
+def h7_late_reports(s, d):
+    """Each batch of the stream is split at six hours behind its newest report; the late rows are merged into the registry afterwards."""
+    path = shared_dir(s)
+    put = lambda name: lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/{name}/{number}")
+    split = H.late_reports(put("now"), put("late"), 6)
+    own = source(s, d).select("case_id", "reported_at", F.col("reported_at").alias("updated_at"))
+    own.writeStream.foreachBatch(split).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    late = s.read.parquet(f"{path}/late/*")
+    merged = H.merge_late(s.read.parquet(f"{path}/now/*"), late)
+    return merged.join(late.select("case_id", F.round("delay_hours", 6).alias("delay_hours")), "case_id", "left").select("case_id", "delay_hours")
+
+
 def h8_case_tracker(s, d):
     own = source(s, d).select(F.col("user_id").alias("case_id"), "reported_at", "center", "status")
     return drained(H.case_tracker(own, 24))
 
 
-STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (h1_stream, h2_dedup, h3_windowed_counts, h4_surge_alerts, h5_sessions, h6_stream_match, h8_case_tracker)}
+STREAM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (h1_stream_reports, h1_stream_table, h2_dedup, h3_windowed_counts, h3_sliding_counts, h4_surge_alerts, h5_sessions, h6_stream_match, h6_stream_match_outer, h7_late_reports, h8_case_tracker)}
 
 STREAM_ORACLE = {
-    "h1_stream": "SELECT event_id AS case_id, user_id % 10 AS center, event_type AS status FROM events",
+    "h1_stream_reports": "SELECT CASE WHEN event_type = 'signup' THEN 'FOUND-' || lpad(event_id::VARCHAR, 9, '0') ELSE 'KMP-2027-' || lpad(event_id::VARCHAR, 9, '0') END AS case_id, CASE WHEN event_type = 'signup' THEN 'found' ELSE 'missing' END AS type, CASE WHEN event_id % 7 <> 0 THEN 'laxmi v' || user_id % 13 END AS name_normalized, 'Center ' || user_id % 10 AS reporting_center, CASE WHEN event_id % 4 = 0 THEN 'Reunited' ELSE 'Active' END AS status, CASE WHEN event_id % 50 <> 0 THEN date_trunc('minute', ts) END AS reported_at FROM events",
+    "h1_stream_table": "SELECT event_id, ts FROM events",
+    # of windows that overlap by a day, an append stream keeps those that ended before the watermark
+    "h3_sliding_counts": "WITH w AS (SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS slot_start, user_id % 10 AS center FROM events, (SELECT unnest([0, 1]) AS k)) SELECT slot_start, slot_start + INTERVAL 2 DAY AS slot_end, center, count(*) AS cases FROM w GROUP BY 1, 2, 3 HAVING slot_start + INTERVAL 2 DAY <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)",
+    "h6_stream_match_outer": "SELECT m.event_id AS missing_id, f.event_id AS found_id FROM events m LEFT JOIN events f ON m.user_id = f.user_id AND f.event_type = 'signup' AND f.ts BETWEEN m.ts - INTERVAL 1 HOUR AND m.ts + INTERVAL 1 HOUR WHERE m.event_type = 'error' AND (f.event_id IS NOT NULL OR m.ts <= (SELECT max(ts) - INTERVAL 24 HOUR FROM events))",
+    "h7_late_reports": "SELECT event_id AS case_id, CASE WHEN (floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(ts))) / 3600.0 > 6 THEN round((floor(epoch((SELECT max(ts) FROM events))) - floor(epoch(ts))) / 3600.0, 6)::DOUBLE END AS delay_hours FROM events",
+    # all reports in one batch; a case is overdue once the watermark is a day past its first report
+    "h8_case_tracker": "WITH c AS (SELECT user_id AS case_id, 1 AS centers, arg_max(event_type, ts) AS status, min(ts) AS first FROM events GROUP BY 1) SELECT case_id, centers, status, false AS overdue FROM c UNION ALL SELECT case_id, centers, status, true FROM c WHERE first + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "h2_dedup": "SELECT event_id AS case_id FROM events",
     "h5_sessions": "WITH x AS (SELECT user_id % 10 AS center, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id % 10 ORDER BY ts)), y AS (SELECT *, sum(n) OVER (PARTITION BY center ORDER BY ts) AS g FROM x) SELECT center, min(ts) AS session_start, count(*) AS cases FROM y GROUP BY center, g HAVING max(ts) + INTERVAL 20 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)",
     "h6_stream_match": "SELECT m.event_id AS missing_id, f.event_id AS found_id FROM events m JOIN events f ON m.user_id = f.user_id AND f.ts BETWEEN m.ts - INTERVAL 12 HOUR AND m.ts + INTERVAL 12 HOUR WHERE m.event_type = 'error' AND f.event_type = 'signup'",

@@ -76,7 +76,7 @@ def merge_late(registry: DataFrame, late: DataFrame, key: str = "case_id", versi
 
 
 class CaseTracker(StatefulProcessor):
-    """First report, centers and last status of each case; a timer emits cases still open after ``hours`` (H8)."""
+    """First report, centers and last status of each case; a timer emits cases still open after ``hours`` and frees their state (H8)."""
 
     def __init__(self, hours: float) -> None:
         self.hours = hours
@@ -100,7 +100,10 @@ class CaseTracker(StatefulProcessor):
         yield pd.DataFrame({"case_id": [key[0]], "centers": [len(seen)], "status": [status], "overdue": [False]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if not self.state.exists():
+            return
         _, centers, status = self.state.get()
+        self.state.clear()  # a case that is reported again begins anew
         if status != "Reunited":
             yield pd.DataFrame({"case_id": [key[0]], "centers": [len(centers.split("|"))], "status": [status], "overdue": [True]})
 

@@ -110,15 +110,49 @@ def test_routes_equal_bellman_ford(spark):
 
 def test_token_join_and_minhash(spark):
     rng = random.Random(4)
-    base = [[f"w{rng.randrange(40)}" for _ in range(10)] for _ in range(20)]
-    data = [(i, base[i % 20] if i < 20 else base[i % 20][:9]) for i in range(40)] + [(99, [])]
+    base = [[f"w{rng.randrange(400)}" for _ in range(20)] for _ in range(20)]
+    data = [(i, base[i % 20] if i < 20 else base[i % 20][: 19 - i % 3]) for i in range(40)] + [(99, []), (98, None)] + [(100 + i, base[3][::-1]) for i in range(1000)]
     df = spark.createDataFrame(data, "id long, t array<string>")
-    sets = {i: set(x) for i, x in data if x}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    got = {(r["a"], r["b"]) for r in M.token_join(df, id_="id", tokens="t", least=0.8).collect()}
-    assert got == want
-    near = {(r["a"], r["b"]) for r in MM.minhash_pairs(df, 16, 2, id_="id", tokens="t", least=0.8).collect()}
-    assert near <= want
+    first, same = {}, set()
+    for i, x in data:
+        if x and first.setdefault(frozenset(x), i) != i:
+            same.add((first[frozenset(x)], i))
+    reps = {i: s for s, i in first.items()}
+    want = {(a, b) for a in reps for b in reps if a < b and len(reps[a] & reps[b]) / len(reps[a] | reps[b]) >= 0.8}
+    assert len(want) >= 19 and len(same) >= 1000
+    # a thousand equal sets give a thousand pairs, not half a million
+    got = [(r["a"], r["b"]) for r in M.token_join(df, id_="id", tokens="t", least=0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want | same
+    near = {(r["a"], r["b"]) for r in MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8).collect()}
+    assert near == want | same
+
+
+def test_match_found_numbers_instead_of_pairs(spark):
+    """The k before and the k after are the nearest, with ties in time and hot blocks; and genders and ages contradict."""
+    rng = random.Random(6)
+    at = lambda: f"2027-08-{rng.randrange(1, 4):02d} {rng.randrange(24):02d}:{rng.randrange(0, 60, 20):02d}:00"
+    rows = [(i, rng.choice("ab"), at(), rng.choice(["Male", "Female", "Unknown", None]), rng.choice(["0-12", "13-25", "80+", None])) for i in range(240)] + [(900, None, at(), "Male", "0-12"), (901, "a", None, "Male", "0-12")]
+    df = spark.createDataFrame(rows, "case_id long, z string, t string, gender string, band string").withColumn("reported_at", F.to_timestamp("t")).withColumn("age", C.age_bounds(F.col("band")))
+    m, f = df.filter("case_id % 3 = 0"), df.filter("case_id % 3 <> 0")
+    for agree in (None, M.agreeing()):
+        got = {(r["missing_id"], r["rank"]): (r["found_id"], r["gap_hours"]) for r in M.match_found(m, f, block=["z"], hours=5, k=3, agree=agree, compare=("gender", "age") if agree else ()).collect()}
+        j = m.alias("m").join(f.alias("f"), "z").select(F.col("m.case_id").alias("m"), F.col("f.case_id").alias("f"), (F.abs(F.unix_seconds("m.reported_at") - F.unix_seconds("f.reported_at")) / 3600).alias("gap"), F.col("m.gender").alias("a_gender"), F.col("f.gender").alias("b_gender"), F.col("m.age").alias("a_age"), F.col("f.age").alias("b_age"))
+        near = {}
+        for r in (j.filter(agree("a_", "b_")) if agree else j).filter("gap <= 5").collect():
+            near.setdefault(r["m"], []).append((r["gap"], r["f"]))
+        want = {(i, n + 1): (x, gap) for i, xs in near.items() for n, (gap, x) in enumerate(sorted(xs)[:3])}
+        assert got == want and len(got) > 50
+
+
+def test_topk_leaves_out_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((60, 5))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 5), (102, [None] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = M.embedding_topk(df.withColumnRenamed("vec_id", "query_id"), df, 4, query_block=16, gallery_block=10).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {(q, n + 1): int(g) for q in range(60) for n, g in enumerate(np.lexsort((np.arange(60), -s[q]))[:4])}
 
 
 def test_scores_need_two_fields(spark):
@@ -168,3 +202,28 @@ def test_long_routes_are_whole(spark):
     assert {r["node"]: r["km"] for r in N.shortest_paths(chain, start).collect()} == {i: float(i) for i in range(36)}
     with pytest.raises(ValueError, match="max_hops"):
         N.shortest_paths(chain, start, 3)
+
+
+@pytest.mark.parametrize("box", [(69.0, 69.4, 18.0, 18.8), (-1.0, 1.0, 179.0, 181.0), (88.5, 89.99, 0.0, 360.0)])
+def test_radius_far_north_and_around_the_earth(spark, box):
+    rng = random.Random(4)
+    lng = lambda x: (x + 180) % 360 - 180
+    p = [(i, rng.uniform(*box[:2]), lng(rng.uniform(*box[2:]))) for i in range(300)]
+    a, b = spark.createDataFrame(p[:200], "i long, lat double, lng double"), spark.createDataFrame(p[100:], "j long, lat double, lng double")
+    km = 2.0 if box[0] == 69.0 else 25.0
+    got = [(r["i"], r["j"]) for r in G.within_radius(a, b, km, id_="i", other="j").collect()]
+    d = C.haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng"))
+    want = {(r["i"], r["j"]) for r in a.alias("x").join(b.alias("y"), F.round(d, 6) <= km).select("i", "j").collect()}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+
+
+def test_nearest_in_rings_equals_the_array(spark):
+    rng = random.Random(5)
+    left = spark.createDataFrame([(i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(40)] + [(99, None, 1.0)], "i long, lat double, lng double")
+    places = spark.createDataFrame([(j, 20 + rng.random() * 0.2, 73 + rng.random() * 0.2) for j in range(60)] + [(60, 20.0, 73.0), (61, 20.0, 73.0)], "j long, lat double, lng double")
+    near = left.unionByName(spark.createDataFrame([(50, 20.0, 73.0)], "i long, lat double, lng double"))
+    for k in (1, 3):
+        one, two = ({(r["i"], r["rank"]): (r["j"], r["km"]) for r in G.nearest_k(near, places, k, id_="i", place="j", rows=n).collect()} for n in (100, 10))
+        assert one == two and len(one) == 41 * k and one[50, 1] == (60, 0.0)
+    assert G.nearest_k(left, places.limit(2), 5, id_="i", place="j", rows=1).count() == 80
+    assert G.nearest_k(left, places.limit(0), 1, id_="i", place="j").count() == 0
