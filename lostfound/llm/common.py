@@ -39,17 +39,22 @@ _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to Python at once; whole texts go there, so they are fewer than Spark's own 10,000.
 PYTHON_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a partition that the driver sees to choose the bounds of ranges.
+RANGE_ROWS = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+#: Bytes of a row group of stored tables, which a task holds while it writes.
+BLOCK_BYTES = 32 << 20
+STORING = {FREE_SHUFFLES: "true", PYTHON_ROWS: "2000", RANGE_ROWS: "20"}
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and safe when executors are lost. Its shuffle files go at once."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    before = {k: spark.conf.get(k) for k in (FREE_SHUFFLES, PYTHON_ROWS)}
-    spark.conf.set(FREE_SHUFFLES, "true")
-    spark.conf.set(PYTHON_ROWS, "2000")
+    before = {k: spark.conf.get(k) for k in STORING}
+    for k, v in STORING.items():
+        spark.conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
