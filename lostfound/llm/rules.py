@@ -24,6 +24,8 @@ STOPS = frozenset(".,;:?!'\"-()")
 SIGNS = frozenset("#*$%&|<>")
 #: Common words of a language: its most frequent ones in the corpus.
 COMMON = 50
+#: Languages that have a reference at most: those with most text. Any other is compared with the nearest one.
+LANGS = 256
 #: Least characters and words for the two measures, and their largest distances.
 LEAST_CHARS, LEAST_WORDS = 200, 100
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.18, 0.45
@@ -159,8 +161,10 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def references(docs: DataFrame, *, common: int = COMMON) -> References:
-    """The references of ``docs`` (``_t, _lang, _ok``): sums over all its rows with ``_ok``. The driver gets ``common`` words and the class counts of each language."""
+    """The references of ``docs`` (``_t, _lang, _ok``): sums over all its rows with ``_ok``. The driver gets ``common`` words and the class counts of each of at most ``LANGS`` languages."""
     sums = written(docs.mapInPandas(_sums, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "rule-sums")
+    most = sums.filter("kind = 'c'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    sums = sums.filter(F.col("lang").isin([r["lang"] for r in most.collect()]))
     chars, words, totals = {}, {}, {}
     for r in sums.filter("kind = 'c'").collect():
         chars.setdefault(r["lang"], np.zeros(CLASSES))[int(r["key"])] = r["n"]
