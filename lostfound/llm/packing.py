@@ -11,11 +11,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from .common import WORDS, rank_within, written
 
 CAPACITY = 2048
 #: Distinct runs or words whose ids a Python worker keeps; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Letters that lower-casing and composing leave alone, and signs that never join with letters. In a text of these, digits and white
 #: space only, the tokenizer encodes each run of letters, each digit and each run of signs by itself.
 LETTERS = "a-zß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĵķĺļľłńņňōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž"
@@ -70,14 +69,10 @@ class Encoder:
     def _look_up(self, known: dict[str, bytes], split: list[list[str]], encode) -> list[bytes]:
         if len(known) > CACHE_WORDS:
             known.clear()
-        got = [list(map(known.get, parts)) for parts in split]
-        holes = [i for i, x in enumerate(got) if None in x]
-        new = list(set().union(*(compress(split[i], map(is_, got[i], repeat(None))) for i in holes)))
+        new = list(set().union(*split).difference(known))
         if new:
             known.update(zip(new, encode(new), strict=True))
-        for i in holes:
-            got[i] = map(known.__getitem__, split[i])
-        return [b"".join(x) + b"\0\0\0\0" for x in got]
+        return [b"".join(map(known.__getitem__, parts)) + b"\0\0\0\0" for parts in split]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, then the closing id 0."""
@@ -98,12 +93,12 @@ def _encode(texts: list[str | None], name: str) -> list[bytes]:
 
 
 def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` and, with ``ids``, the ids as little-endian 32-bit binary.
+    """``doc_id, piece, start, length, ids_crc32`` and, with ``ids``, ``ids_zstd`` (see :func:`packed_ids`).
 
     Each text's ids are closed by id 0; a null text is empty, so its only id is 0. Only texts longer than ``capacity``
     are cut. Rows that repeat are packed as often as they stand there; a null doc_id stays null.
     """
-    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids_zstd binary" * ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,7 +108,7 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 for d, b in zip(part["doc_id"], _encode(list(part["text"]), tokenizer), strict=True):
                     for k in range(0, len(b) // 4, capacity):
                         own = b[4 * k : 4 * (k + capacity)]
-                        rows.append((d, k // capacity, k, len(own) // 4, zlib.crc32(own), *([own] if ids else [])))
+                        rows.append((d, k // capacity, k, len(own) // 4, zlib.crc32(own), *([packed_ids(own)] if ids else [])))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in columns.split(", ")])
                 out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
                 yield out
@@ -200,6 +195,37 @@ def pack(pieces: DataFrame, *, length: str = "length", order: tuple[str, ...] =
     return ranked.mapInPandas(place, out)
 
 
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
-    """All documents cut and packed; with ``ids`` each row carries its token ids."""
-    return pack(written(tokenize_pieces(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, capacity=capacity, ids=ids), "pack-pieces"), capacity=capacity)
+def packed_ids(ids: bytes) -> bytes:
+    """Little-endian 32-bit ids, as 16-bit ones if all are small enough, compressed by zstandard: some 1.3 bytes a token."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    narrow = not len(wide) or wide.max() < 1 << 16
+    return (b"\2" if narrow else b"\4") + zstandard.compress(wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def unpacked_ids(data: bytes) -> bytes:
+    """The little-endian 32-bit ids of :func:`packed_ids`."""
+    ids = zstandard.decompress(data[1:])
+    return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if data[:1] == b"\2" else ids
+
+
+def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, ids: bool | str = True) -> DataFrame:
+    """All documents cut and packed: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, with ``ids``, each piece's token ids: ``ids``, or with "zstd" compressed as ``ids_zstd``.
+
+    A null or empty text is a piece of the closing id alone; texts of any length are encoded as a whole. Rows that repeat an id are packed as
+    often as they stand there, and a null id stays null. Pieces of equal length are interchangeable: they take places by a hash of id and
+    piece. Other columns are not read. An empty table gives no rows. The ids themselves wait, compressed, in the stored pieces until places are known.
+    """
+    pieces = tokenize_pieces(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, capacity=capacity, ids=bool(ids))
+    if not ids:
+        return pack(written(pieces, "pack-pieces"), capacity=capacity)
+    stored = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
+    placed = pack(stored.drop("ids_zstd"), order=("doc_id", "piece", "_row"), capacity=capacity)
+    both = placed.join(stored.select("_row", "ids_zstd"), "_row").drop("_row")
+    if ids == "zstd":
+        return both
+
+    @F.pandas_udf("binary")
+    def unpack(data: pd.Series) -> pd.Series:
+        return data.map(unpacked_ids)
+
+    return both.withColumn("ids", unpack("ids_zstd")).drop("ids_zstd")
