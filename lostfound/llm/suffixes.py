@@ -2,186 +2,254 @@
 
 Of all suffixes (by word) only those at minimiser positions are kept: in every window of k-grams the one with the smallest hash.
 Two equal passages of ``least`` words or more keep a suffix at the same place inside. Suffixes whose k-gram occurs once in the
-corpus go at once; the others are sorted. A suffix shares most words ahead with a neighbour in order, so that length bounds
-which windows of ``least`` words around it can be repeated. Each such window has one smallest k-gram and is counted there by
-its hash, so every repeated window is found, however its occurrences are ordered.
+corpus go at once. The others are sorted with ``least`` words to both sides. Neighbours that are equal as far as that repeat each other
+and go on as one; what a suffix shares with a neighbour of other surroundings bounds which windows of ``least`` words
+around it can be repeated. Each such window has one smallest k-gram and is counted there by its hash, so every repeated window
+is found, however its occurrences are ordered. Equal texts meet first, by the hash of the text, and go on as one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, written
+from .common import WORDS, forget, fresh_names, n_parts, written
 
 #: Least words of a repeated passage; words of a k-gram.
 LEAST, GRAM = 50, 8
+#: Bytes of a word's code; code 0 stands for no word.
+CODE = 3
+#: Distinct words whose codes a Python worker remembers; texts that are taken side by side; characters and words of a long text that are taken at once.
+CACHE_WORDS, SIDE_BY_SIDE, PIECE_CHARS, PIECE_WORDS = 100_000, 256, 1 << 20, 1 << 18
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    """A 32-bit code for each word."""
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
-    own = np.fromiter((h & 0xFFFFFFFF for h in map(xxhash.xxh3_64_intdigest, number)), dtype=np.uint32, count=len(number))
-    return own[ids] if len(words) else np.zeros(0, dtype=np.uint32)
+class _Codes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word) % ((1 << 8 * CODE) - 1) + 1
+        return code
+
+
+_codes = _Codes()
+
+
+def word_codes(text: str) -> np.ndarray:
+    """A code of 1 to 2 ** 24 - 1 for each word of a text. A long one is taken piece by piece, so its words never stand side by side."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        space = _SPACE.search(text, at + PIECE_CHARS) if len(text) > at + PIECE_CHARS else None
+        end = space.start() if space else len(text)
+        words = WORDS.findall(text, at, end)
+        parts.append(np.fromiter(map(_codes.__getitem__, words), dtype=np.uint32, count=len(words)))
+        at = max(end, at + 1)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def gram_hashes(codes: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """64-bit hash of each k-gram."""
-    n = max(0, len(codes) - gram + 1)
-    h = np.zeros(n, dtype=np.uint64)
+    """64-bit hash of each k-gram along the last axis."""
+    n = max(0, codes.shape[-1] - gram + 1)
+    h = np.zeros((*codes.shape[:-1], n), dtype=np.uint64)
     for k in range(gram):
-        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ codes[..., k : k + n]) * _ODD
         h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+    return h * _MIX
 
 
 def minimisers(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the first smallest of some ``window`` k-grams in a row."""
+    """For each ``window`` k-grams in a row the place of the first smallest."""
     if len(h) < window:
         return np.zeros(0, dtype=np.int64)
-    # smallest of each window by doubling, then the first place that has it
     best, width = np.arange(len(h)), 1
-    while width < window:
+    while width < window:  # smallest of each window by doubling, then the first place that has it
         step = min(width, window - width)
         a, b = best[: len(best) - step], best[step:]
         best, width = np.where(h[b] < h[a], b, a), width + step
-    return np.unique(best)
+    return best
+
 
+def sparse_suffixes(texts: list[str], least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of all texts with ``least`` zeros around each, text of each kept suffix, its place there, its place in the codes, its k-gram's hash)."""
+    own = [word_codes(t) for t in texts]
+    gap = np.zeros(least, dtype=np.uint32)
+    codes = np.concatenate([x for c in own for x in (gap, c)] + [gap])
+    lengths = np.array([len(c) for c in own], dtype=np.int64)
+    starts = np.cumsum(lengths + least) - lengths
+    found, hashes = [], []
+    for lo in range(0, max(1, len(codes) - least + 1), PIECE_WORDS):
+        h = gram_hashes(codes[lo : lo + PIECE_WORDS + least - 1], gram)
+        best = minimisers(h, least - gram + 1)
+        # windows of ``least`` words that lie inside one text hold no zero
+        zeros = np.concatenate([[0], np.cumsum(codes[lo : lo + len(best) + least - 1] == 0)])
+        places = np.unique(best[zeros[least : least + len(best)] == zeros[: len(best)]])
+        found.append(places + lo), hashes.append(h[places])
+    places, first = np.unique(np.concatenate(found), return_index=True)
+    which = np.searchsorted(starts, places, side="right") - 1
+    return codes, which, places - starts[which], places, np.concatenate(hashes)[first]
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_row, _id, _t): rows of equal id and text are one occurrence, with one ``_row``."""
-    return docs.select(F.xxhash64(F.lit(7), F.col(doc_id), F.col(text)).alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
 
+def _known_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a text that the task has had before go; the others come in parts."""
+    seen: set[int] = set()
+    for pdf in batches:
+        pdf = pdf[~pdf["_t"].duplicated().to_numpy() & ~pdf["_t"].isin(seen).to_numpy()]
+        seen.update(pdf["_t"].tolist())
+        for lo in range(0, len(pdf), SIDE_BY_SIDE):
+            yield pdf.iloc[lo : lo + SIDE_BY_SIDE]
 
-def matches(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(_row, _at, _left, _right, _cut_left, _cut_right): at word ``_at``, the passage from _left words before to _right words after occurs elsewhere.
 
-    ``_cut_left`` and ``_cut_right`` say the same of what an earlier occurrence (by doc_id, then row, then place) has; they are null where
-    there is none.
+def text_key(text: Column) -> Column:
+    """Equal texts have equal keys, and others but for collisions of 64-bit hashes."""
+    return F.xxhash64(F.lit(7), text)
+
+
+def _ordered(doc_id: Column) -> Column:
+    """The id by which first occurrences are chosen; a null id comes before all others."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """One row per distinct text with repeated passages: ``_t, _first, _copied, _spans, _repeats``, places as lists of (start, end) in words.
+
+    ``_t`` is the :func:`text_key`, ``_first`` the smallest doc_id that has the text, ``_copied`` whether several have it (then all of it
+    is repeated). ``_spans`` are all passages of ``least`` words or more that occur in another text or again in this one;
+    ``_repeats`` those of which an earlier occurrence stays, by doc_id, then text key, then place.
     """
-    window = least - gram + 1
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                rows, ids, places, hashes = [], [], [], []
-                for r, i, t in pdf.iloc[lo : lo + 512][["_row", "_id", "_t"]].itertuples(index=False):
-                    h = gram_hashes(word_codes(WORDS.findall(t)), gram)
-                    at = minimisers(h, window)
-                    rows.append(np.full(len(at), r)), ids.append(np.full(len(at), -1 if pd.isna(i) else i)), places.append(at), hashes.append(h[at])
-                if rows:
-                    yield pd.DataFrame({"_h": np.concatenate(hashes).astype(np.int64), "_row": np.concatenate(rows), "_id": np.concatenate(ids).astype(np.int64), "_at": np.concatenate(places).astype(np.int32)})
-
-    base = keyed(docs, doc_id, text)
-    found = base.mapInPandas(sparse, "_h long, _row long, _id long, _at int")
-    light = written(found, "sa-sparse")
-    # k-grams that occur more than once
-    twice = light.groupBy("_h").agg(F.min(F.struct("_id", "_row", "_at")).alias("_f"), F.max(F.struct("_id", "_row", "_at")).alias("_l")).filter("_f <> _l").select("_h")
-    kept = written(light.join(twice, "_h").select("_row", "_at", "_h"), "sa-kept")
-    by_row = kept.groupBy("_row").agg(F.collect_set(F.struct("_at", "_h")).alias("_s"))
-    size = 4 * least
-
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                out = []
-                for r, i, t, s in pdf.iloc[lo : lo + 256][["_row", "_id", "_t", "_s"]].itertuples(index=False):
-                    # big-endian codes: bytes sort as words do; a text's ends are padded by its own row, so they match nothing
-                    codes = word_codes(WORDS.findall(t)).astype(">u4").tobytes()
-                    pad = xxhash.xxh3_128_digest(str(r)) * (size // 16 + 1)
-                    whole = pad[:size] + codes + pad[:size]
-                    for x in s:
-                        c = size + 4 * x["_at"]
-                        back = np.frombuffer(whole[c - size : c], dtype=">u4")[::-1].tobytes()
-                        ahead = whole[c : c + size]
-                        out.append((x["_h"], -1 if pd.isna(i) else int(i), r, x["_at"], ahead, back, xxhash.xxh3_64_intdigest(back + ahead) - (1 << 63)))
-                yield pd.DataFrame(out, columns=["_h", "_id", "_row", "_at", "_ahead", "_back", "_c"])
-
-    heavy = base.join(by_row, "_row").mapInPandas(contexts, "_h long, _id long, _row long, _at int, _ahead binary, _back binary, _c long")
-    stored = written(heavy, "sa-contexts")
-    members = stored.select("_h", "_c", "_id", "_row", "_at").distinct()
-    # equal surroundings on both sides: one goes on for all, and its first member stays
-    distinct = stored.groupBy("_h", "_c").agg(F.min_by(F.struct("_ahead", "_back"), F.struct("_id", "_row", "_at")).alias("_x"), F.min(F.struct("_id", "_row", "_at")).alias("_o"))
-    flat = distinct.select("_h", "_c", F.col("_o._id").alias("_id"), F.col("_o._row").alias("_row"), F.col("_o._at").alias("_at"), F.col("_x._ahead").alias("_ahead"), F.col("_x._back").alias("_back"))
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = flat.repartition(parts, "_h").sortWithinPartitions("_h", "_ahead")
-    windows = written(ordered.mapInPandas(open_windows(least, gram), "_h long, _c long, _w long, _j int, _id long, _row long, _at int"), "sa-windows")
+        for pdf in _known_once(batches):
+            _, which, _, _, h = sparse_suffixes(list(pdf["_x"]), least, gram)
+            both = pd.DataFrame({"_h": h.astype(np.int64), "_t": pdf["_t"].to_numpy()[which]})
+            yield both.groupby(["_h", "_t"], as_index=False, sort=False).size().rename(columns={"size": "_n"}).astype({"_n": "int32"})
+
+    texts = docs.select(text_key(F.col(text)).alias("_t"), _ordered(F.col(doc_id)).alias("_id"), F.col(text).alias("_x")).filter(F.col("_x").isNotNull())
+    owners = written(texts.groupBy("_t").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")), "sa-owners")
+    light = written(texts.select("_t", "_x").mapInPandas(sparse, "_h long, _t long, _n int"), "sa-sparse")
+    # k-grams that occur more than once; no task sees all occurrences of one
+    twice = light.groupBy("_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.max("_n").alias("_n")).filter("_a <> _b or _n > 1").select("_h")
+    twice = written(twice, "sa-twice")
+    by_text = light.join(twice, "_h").groupBy("_t").agg(F.collect_set("_h").alias("_hs"))
+    wanted = written(by_text.join(owners.select("_t", "_id"), "_t"), "sa-wanted")
+    forget(light, twice)
+    kind = pa.schema([("_s", pa.binary()), ("_t", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32())])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = np.lib.stride_tricks.sliding_window_view
+        wide = 2 * least * CODE
+        for pdf in _known_once(b.to_pandas() for b in batches):
+            codes, which, at, places, h = sparse_suffixes(list(pdf["_x"]), least, gram)
+            use = np.isin(h.astype(np.int64), np.concatenate(list(pdf["_hs"])))
+            which, at, places = which[use], at[use], places[use]
+            for lo in range(0, len(at), 8192):
+                part = slice(lo, lo + 8192)
+                both = np.concatenate([view(codes, least)[places[part]], view(codes, least)[places[part] - least][:, ::-1]], axis=1)
+                data = np.ascontiguousarray(both.astype(">u4").view(np.uint8).reshape(-1, 2 * least, 4)[:, :, 4 - CODE :])
+                n = len(data)
+                s = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * wide).tobytes()), pa.py_buffer(data.tobytes())])
+                own = which[part]
+                yield pa.RecordBatch.from_arrays([s, pa.array(pdf["_t"].to_numpy()[own]), pa.array(pdf["_id"].to_numpy()[own]), pa.array(at[part].astype(np.int32))], schema=kind)
+
+    found = texts.join(wanted, ["_t", "_id"]).mapInArrow(contexts, "_s binary, _t long, _id long, _at int")
+    found = written(found, "sa-contexts")
+    forget(wanted)
+    order = ["_s", "_id", "_t", "_at"]  # by all columns, so that no number of equal surroundings has to fit a task
+    ordered = found.repartitionByRange(n_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    opened = written(ordered.mapInPandas(open_windows(least, gram), "_w long, _t long, _id long, _at int, _from int, _to int, _late boolean"), "sa-windows")
+    forget(found)
+    windows = opened.filter("_w is not null").select("_w", "_t", "_id", "_at", "_from", "_to")
     # windows that different surroundings share, with their first occurrence
-    shared = written(windows.groupBy("_h", "_w").agg(F.count("*").alias("_k"), F.min(F.struct("_id", "_row", "_at")).alias("_f")).filter("_k > 1").select("_h", "_w", "_f"), "sa-shared")
-    # all of them hold the k-gram, so those of one place cover one stretch
-    late = F.when(F.col("_f") < F.struct("_id", "_row", "_at"), F.col("_j"))
-    best = windows.join(shared, ["_h", "_w"]).groupBy("_h", "_c").agg(F.max("_j").alias("_left"), (least - F.min("_j")).alias("_right"), F.max(late).alias("_late_left"), (least - F.min(late)).alias("_late_right"))
-    groups = members.groupBy("_h", "_c").agg(F.min(F.struct("_id", "_row", "_at")).alias("_o"), F.count("*").alias("_n"))
-    placed = members.join(groups, ["_h", "_c"]).join(best, ["_h", "_c"], "left")
-    copy = (F.struct("_id", "_row", "_at") != F.col("_o"))  # of equal surroundings, all but the first repeat it on both sides
-    whole = F.col("_n") > 1
-    left = F.when(whole, F.lit(least)).otherwise(F.col("_left"))
-    right = F.when(whole, F.lit(least)).otherwise(F.col("_right"))
-    cut_left = F.when(copy, F.lit(least)).otherwise(F.col("_late_left"))
-    cut_right = F.when(copy, F.lit(least)).otherwise(F.col("_late_right"))
-    return placed.filter(whole | F.col("_left").isNotNull()).select("_row", "_at", left.alias("_left"), right.alias("_right"), cut_left.alias("_cut_left"), cut_right.alias("_cut_right"))
+    place = F.struct("_id", "_t", "_from")
+    shared = written(windows.groupBy("_w").agg(F.count("*").alias("_k"), F.min(place).alias("_f")).filter("_k > 1").select("_w", "_f"), "sa-shared")
+    counted = windows.join(shared, "_w").select("_t", "_at", "_from", "_to", (F.col("_f") < place).alias("_late"))
+    both = counted.unionByName(opened.filter("_w is null").select("_t", "_at", "_from", "_to", "_late"))
+    # all windows of a suffix hold its k-gram, so together they are one passage
+    late = lambda c: F.when(F.col("_late"), F.col(c))
+    joined = both.groupBy("_t", "_at").agg(F.min("_from").alias("_a"), F.max("_to").alias("_b"), F.min(late("_from")).alias("_c"), F.max(late("_to")).alias("_d"))
+    pair = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("start"), F.col(b).alias("end")))
+    spans = joined.groupBy("_t").agg(F.collect_list(pair("_a", "_b")).alias("_spans"), F.collect_list(pair("_c", "_d")).alias("_repeats"))
+    out = owners.join(spans, "_t", "left").filter("_id <> _last or _spans is not null").select("_t", F.col("_id").alias("_first"), (F.col("_id") != F.col("_last")).alias("_copied"), "_spans", "_repeats")
+    out = written(out, "sa-spans")
+    forget(owners, opened, shared)
+    return out
 
 
 def open_windows(least: int, gram: int):
-    """The pass over sorted suffixes: (_h, _c, _w, _j) for each window of ``least`` words from ``_j`` words before a suffix that may be repeated.
+    """The pass over sorted suffixes.
 
-    These are the windows whose first smallest k-gram is the suffix's own, with no more words ahead than it shares with a neighbour
-    in order (no other suffix shares more). It carries one row from batch to batch, whatever the size of a group.
+    Of neighbours with equal surroundings each but the first gives a late passage without a hash, as wide as they are, and the first a
+    passage that isn't late. Each first one also gives (hash, text, id, place, start, end) for every window of ``least`` words that may be
+    repeated: those whose first smallest k-gram is the suffix's own, with no more words ahead than it shares with a neighbour
+    (no other suffix shares more). At the edges of a task a neighbour is unknown and taken to share everything. One row is
+    carried from batch to batch.
     """
     far = least - gram
     powers = np.ones(2 * least, dtype=np.uint64)
-    powers[1:] = np.cumprod(np.full(2 * least - 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
-    names = ["_h", "_c", "_id", "_row", "_at", "_ahead", "_back"]
-
-    def emit(rows: pd.DataFrame, shares: np.ndarray) -> pd.DataFrame:
-        use = np.flatnonzero(shares >= gram)
-        rows, shares = rows.iloc[use], shares[use]
-        n = len(rows)
-        ahead = np.frombuffer(b"".join(rows["_ahead"]), dtype=">u4").reshape(n, least)
-        back = np.frombuffer(b"".join(rows["_back"]), dtype=">u4").reshape(n, least)[:, ::-1]
-        codes = np.concatenate([back, ahead], axis=1).astype(np.uint64)  # the suffix begins at column ``least``
-        g = np.zeros((n, 2 * far + 1), dtype=np.uint64)
-        for k in range(gram):
-            g = (g ^ codes[:, least - far + k : least + far + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            g ^= g >> np.uint64(29)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
+    powers[1:] = np.cumprod(np.full(2 * least - 1, _ODD, dtype=np.uint64), dtype=np.uint64)
+    names = ["_w", "_t", "_id", "_at", "_from", "_to", "_late"]
+
+    def table(rows: pd.DataFrame, w, first: np.ndarray, end: np.ndarray, late) -> pd.DataFrame:
+        return pd.DataFrame({"_w": w, "_t": rows["_t"].to_numpy(), "_id": rows["_id"].to_numpy(), "_at": rows["_at"].to_numpy(), "_from": first.astype(np.int32), "_to": end.astype(np.int32), "_late": late}, columns=names)
+
+    def emit(rows: pd.DataFrame, codes: np.ndarray, shares: np.ndarray, after: np.ndarray, before: np.ndarray) -> Iterator[pd.DataFrame]:
+        """``after``: equal to the row before; ``before``: equal to the next one."""
+        at = rows["_at"].to_numpy().astype(np.int64)
+        ahead, back = (codes[:, :least] > 0).sum(axis=1), (codes[:, least:] > 0).sum(axis=1)
+        whole = np.flatnonzero(after | before)
+        if len(whole):
+            yield table(rows.iloc[whole], pd.array([None] * len(whole), dtype="Int64"), (at - back)[whole], (at + ahead)[whole], after[whole])
+        use = np.flatnonzero((shares >= gram) & ~after)
+        if not len(use):
+            return
+        codes, shares, ahead, back, at, rows = codes[use], shares[use], ahead[use], back[use], at[use], rows.iloc[use]
+        n = len(use)
+        line = np.concatenate([codes[:, least:][:, ::-1], codes[:, :least]], axis=1).astype(np.uint64)  # the suffix begins at column ``least``
+        g = gram_hashes(line[:, least - far : least + far + gram], gram)
         own = g[:, far : far + 1]
         length = lambda ok: np.where(ok.all(axis=1), far, ok.argmin(axis=1)) if far else np.zeros(n, dtype=np.int64)
-        most = length(g[:, :far][:, ::-1] > own)
-        fewest = np.maximum(far - length(g[:, far + 1 :] >= own), least - shares)
+        most = np.minimum(length(g[:, :far][:, ::-1] > own), back)
+        fewest = np.maximum(far - length(g[:, far + 1 :] >= own), least - np.minimum(shares, ahead))
         j = np.arange(far + 1)
         r, j = np.nonzero((j >= fewest[:, None]) & (j <= most[:, None]))
         # hash of a window by prefix sums; every word is mixed first, and the place of the window goes by the power
-        mixed = codes * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = line * _MIX
         mixed ^= mixed >> np.uint64(31)
         sums = np.concatenate([np.zeros((n, 1), dtype=np.uint64), np.cumsum(mixed * powers, axis=1, dtype=np.uint64)], axis=1)
         w = (sums[r, 2 * least - j] - sums[r, least - j]) * powers[least - 1 + j]
-        pick = lambda c: rows[c].to_numpy()[r]
-        return pd.DataFrame({"_h": pick("_h"), "_c": pick("_c"), "_w": w.astype(np.int64), "_j": j.astype(np.int32), "_id": pick("_id"), "_row": pick("_row"), "_at": pick("_at")})
+        yield table(rows.iloc[r], pd.array(w.astype(np.int64), dtype="Int64"), at[r] - j, at[r] - j + least, False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, before = None, 0  # the last row, whose next one is still to come, and what it shares with the one before
+        held, held_codes, share, equal = None, None, least, False  # the last row, whose next one is still to come, and how it compares with the one before
         for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = pdf[names] if held is None else pd.concat([held, pdf[names]], ignore_index=True)
-            ahead = np.frombuffer(b"".join(rows["_ahead"]), dtype=np.uint32).reshape(len(rows), -1)
-            h = rows["_h"].to_numpy()
-            same = ahead[1:] == ahead[:-1]
-            shared = np.where(h[1:] == h[:-1], np.where(same.all(axis=1), least, same.argmin(axis=1)), 0)
-            up = np.concatenate([[before], shared])
-            for lo in range(0, len(shared), 4096):
-                part = slice(lo, min(len(shared), lo + 4096))
-                yield emit(rows.iloc[part], np.maximum(up[:-1], shared)[part])
-            held, before = rows.iloc[-1:], up[-1]
+            for lo in range(0, len(pdf), 4096):
+                rows = pdf.iloc[lo : lo + 4096]
+                raw = np.frombuffer(b"".join(rows["_s"]), dtype=np.uint8).reshape(len(rows), 2 * least, CODE).astype(np.uint32)
+                codes = sum(raw[:, :, k] << np.uint32(8 * (CODE - 1 - k)) for k in range(CODE))
+                if held is not None:
+                    rows, codes = pd.concat([held, rows], ignore_index=True), np.concatenate([held_codes, codes])
+                # a place that stands there twice is one
+                twin = np.zeros(len(rows), dtype=bool)
+                twin[1:] = (codes[1:] == codes[:-1]).all(axis=1)
+                for c in ("_id", "_t", "_at"):
+                    v = rows[c].to_numpy()
+                    twin[1:] &= v[1:] == v[:-1]
+                rows, codes = rows[~twin], codes[~twin]
+                same = codes[1:] == codes[:-1]
+                equals = same.all(axis=1)
+                shared = np.where(same[:, :least].all(axis=1), least, same[:, :least].argmin(axis=1))
+                up, twins = np.concatenate([[share], shared]), np.concatenate([[equal], equals])
+                yield from emit(rows.iloc[:-1], codes[:-1], np.maximum(up[:-1], shared), twins[:-1], equals)
+                held, held_codes, share, equal = rows.iloc[-1:], codes[-1:], int(up[-1]), bool(twins[-1])
         if held is not None:
-            yield emit(held, np.array([before]))
+            yield from emit(held, held_codes, np.array([least]), np.array([equal]), np.array([False]))
 
     return run
 
@@ -198,51 +266,42 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """One row per document with repeated passages: ``_row, spans, repeats``, as lists of (start, end) in words.
-
-    ``spans`` are all passages of ``least`` words or more that occur elsewhere in the corpus (or again in the text); ``repeats``
-    those of which an earlier occurrence stays, by doc_id, then row, then place.
-    """
-    found = matches(docs, doc_id=doc_id, text=text, least=least, gram=gram)
-    cut = F.when(F.col("_cut_left").isNotNull(), F.struct((F.col("_at") - F.col("_cut_left")).alias("start"), (F.col("_at") + F.col("_cut_right")).alias("end")))
-    return found.groupBy("_row").agg(F.collect_set(F.struct((F.col("_at") - F.col("_left")).alias("start"), (F.col("_at") + F.col("_right")).alias("end"))).alias("spans"), F.collect_set(cut).alias("repeats"))
-
-
 def clean(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """``docs`` with ``text`` freed of repeats, and ``spans`` and ``removed`` as arrays of (start, end) in words of the old text.
 
-    Null texts stay null and empty ones empty; texts under ``least`` words are never touched. What is removed ends at a word, and
-    the white space after it goes too. Rows that repeat an id and a text are one occurrence and are treated alike. An empty table stays
-    empty. All other columns are kept as they are.
+    The first occurrence stays, in order of doc_id (a null id is first), then of a hash of the text, then of place. Null texts stay null
+    and empty ones empty; texts under ``least`` words are never touched, and texts of any length are searched as a whole. What is removed ends at
+    a word, and the white space after it goes too. Rows that repeat an id and a text are one occurrence and are treated alike. An empty
+    table stays empty. All other columns are kept as they are, whatever their names; only columns named ``spans`` and ``removed`` are
+    replaced.
     """
-    row = F.xxhash64(F.lit(7), F.col(doc_id), F.col(text))
     found = repeated_spans(docs, doc_id=doc_id, text=text, least=least, gram=gram)
     pair = "array<struct<start: int, end: int>>"
 
     @F.pandas_udf(f"text string, spans {pair}, removed {pair}")
-    def cut(texts: pd.Series, spans: pd.Series, repeats: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, copied: pd.Series, first: pd.Series, spans: pd.Series, repeats: pd.Series) -> pd.DataFrame:
         out = []
-        for t, s, r in zip(texts, spans, repeats, strict=True):
-            if s is None or not len(s) or not isinstance(t, str):
-                out.append((t, [], []))
+        for t, c, own, s, r in zip(texts, copied, first, spans, repeats, strict=True):
+            if not isinstance(t, str) or not (c or s is not None and len(s)):
+                out.append((t if isinstance(t, str) else None, [], []))
                 continue
-            places = [m.span() for m in WORDS.finditer(t)]
-            both = []
-            for xs in (s, r):
-                xs = [] if xs is None else list(xs)
-                a = np.clip(np.array([x["start"] for x in xs], dtype=np.int64), 0, len(places))
-                b = np.clip(np.array([x["end"] for x in xs], dtype=np.int64), 0, len(places))
-                both.append(merged(a, b))
+            places = np.fromiter((x for m in WORDS.finditer(t) for x in m.span()), dtype=np.int64).reshape(-1, 2)
+            n = len(places)
+            both = [merged(np.array([x["start"] for x in xs], dtype=np.int64), np.array([x["end"] for x in xs], dtype=np.int64)) for xs in ([] if x is None else [y for y in x if y is not None] for x in (s, r))]
+            if c and n >= least:  # all of a text that stands there again, all but the first time
+                both = [[(0, n)], both[1] if own else [(0, n)]]
             parts, at = [], 0
             for a, b in both[1]:
-                if b > a:
-                    parts.append(t[at : places[a][0]])
-                    at = places[b][0] if b < len(places) else len(t)
+                parts.append(t[at : int(places[a, 0])])
+                at = int(places[b, 0]) if b < n else len(t)
             parts.append(t[at:])
             out.append(("".join(parts) if both[1] else t, *([{"start": a, "end": b} for a, b in x] for x in both)))
         return pd.DataFrame(out, columns=["text", "spans", "removed"])
 
-    joined = docs.withColumn("_row", row).join(found.withColumnsRenamed({"spans": "_spans", "repeats": "_repeats"}), "_row", "left")
-    done = joined.withColumn("_cut", cut(F.col(text), "_spans", "_repeats"))
-    return done.withColumns({text: F.col("_cut.text"), "spans": F.col("_cut.spans"), "removed": F.col("_cut.removed")}).drop("_row", "_spans", "_repeats", "_cut")
+    key, done = fresh_names(docs, "key", "cut")
+    own = found.withColumnsRenamed({"_t": key, **{c: f"{key}{c}" for c in found.columns if c != "_t"}})
+    first = _ordered(F.col(doc_id)) == F.col(f"{key}_first")
+    joined = docs.withColumn(key, text_key(F.col(text))).join(own, key, "left")
+    whole = joined.withColumn(done, cut(F.col(text), F.coalesce(f"{key}_copied", F.lit(False)), F.coalesce(first, F.lit(True)), f"{key}_spans", f"{key}_repeats"))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.col(f"{done}.text"), "spans": F.col(f"{done}.spans"), "removed": F.col(f"{done}.removed")}
+    return whole.select(*[c.alias(name) for name, c in columns.items()])
