@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lostfound.functions.columns import haversine_km
 from lostfound.operators.geo import nearest_k, within_radius
 
 
@@ -32,13 +33,20 @@ def graph_triples(nodes: DataFrame, zones: DataFrame, stations: DataFrame, km: f
     return out.unionByName(of_cases)
 
 
-def proximity_edges(nodes: DataFrame, km: float, k: int) -> DataFrame:
-    """(src, dst, km), src < dst: all pairs within ``km``, and each node's k nearest so that none is alone."""
+def proximity_edges(nodes: DataFrame, km: float, k: int, exact: bool = False) -> DataFrame:
+    """(src, dst, km), src < dst: all pairs within ``km``, and each node's k nearest so that none is alone.
+
+    Distances have six digits; with ``exact`` they are not rounded, so that on a straight line many short steps are never shorter than a long one.
+    """
     other = nodes.select(F.col("id").alias("dst"), "lat", "lng")
     near = within_radius(nodes, other, km, id_="id", other="dst").filter("id <> dst")
     close = nearest_k(nodes, other, k + 1, id_="id", place="dst").filter("id <> dst").select("id", "dst", "km")
     both = near.select("id", "dst", "km").unionByName(close)
-    return both.select(F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"), "km").dropDuplicates(["src", "dst"])
+    edges = both.select(F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"), "km").dropDuplicates(["src", "dst"])
+    if not exact:
+        return edges
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("lat").alias(f"_{end}a"), F.col("lng").alias(f"_{end}o"))
+    return edges.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", haversine_km(F.col("_srca"), F.col("_srco"), F.col("_dsta"), F.col("_dsto")).alias("km"))
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     best = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("km"), F.array("id").alias("path")).distinct()
     front = best
     for _ in itertools.count() if max_hops is None else range(max_hops):
-        step = front.join(edges.select(F.col("src").alias("node"), "dst", F.col("km").alias("_e")), "node").select("source", F.col("dst").alias("node"), F.round(F.col("km") + F.col("_e"), 6).alias("km"), F.concat("path", F.array("dst")).alias("path"))
+        step = front.join(edges.select(F.col("src").alias("node"), "dst", F.col("km").alias("_e")), "node").select("source", F.col("dst").alias("node"), (F.col("km") + F.col("_e")).alias("km"), F.concat("path", F.array("dst")).alias("path"))
         offer = step.groupBy("source", "node").agg(F.min(F.struct("km", "path")).alias("_n"))
         old = best.select("source", "node", F.struct("km", "path").alias("_o"))
         both = old.join(offer, ["source", "node"], "full_outer").withColumn("_better", F.col("_o").isNull() | F.coalesce(F.col("_n.km") < F.col("_o.km") - 1e-9, F.lit(False)))

@@ -677,29 +677,30 @@ def g4_avoid(s, d):
 
 
 def _shortest(rounds: int) -> str:
-    """Distances from every zone, one round of relaxing at a time; distances are rounded, so on a straight line many short steps may win."""
-    near = E.replace("km <= 1 ", "km <= 4 ").replace("a AS (", "a AS MATERIALIZED (", 1).replace(", e AS (", ", e AS MATERIALIZED (", 1)
+    """Distances from every zone, one round of relaxing at a time; nodes 4 km apart or less are joined, so paths are short."""
+    raw = km("x", "y").removeprefix("round(").removesuffix(", 6)")
+    near = f"a AS MATERIALIZED (SELECT x.id, y.id AS dst, {km('x', 'y')} AS km, {raw} AS raw FROM v x, v y), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, dst) AS n FROM a), e AS MATERIALIZED (SELECT least(id, dst) AS src, greatest(id, dst) AS dst, min(raw) AS km FROM b WHERE id <> dst AND (km <= 4 OR n <= 3) GROUP BY 1, 2)"
     out = [near, "w AS MATERIALIZED (SELECT src, dst, km FROM e UNION ALL SELECT dst, src, km FROM e)", "d0 AS MATERIALIZED (SELECT id AS source, id AS node, 0.0::DOUBLE AS km FROM v WHERE kind = 'zone')"]
     for i in range(1, rounds + 1):
-        out.append(f"d{i} AS MATERIALIZED (SELECT source, node, min(km) AS km FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, round(d{i - 1}.km + w.km, 6) FROM d{i - 1} JOIN w ON src = node) GROUP BY 1, 2)")
+        out.append(f"d{i} AS MATERIALIZED (SELECT source, node, min(km) AS km FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, d{i - 1}.km + w.km FROM d{i - 1} JOIN w ON src = node) GROUP BY 1, 2)")
     return ", ".join(out)
 
 
-@query(f"WITH {V}, {_shortest(80)} SELECT source, node, round(km, 6) AS km FROM d80")
+@query(f"WITH {V}, {_shortest(24)} SELECT source, node, round(km, 6) AS km FROM d24")
 def g5_shortest(s, d):
     v = nodes(s, d)
-    edges = N.directed(N.proximity_edges(v, 4.0, 2))
+    edges = N.directed(N.proximity_edges(v, 4.0, 2, exact=True))
     return N.shortest_paths(edges, v.filter("kind = 'zone'")).select("source", "node", F.round("km", 6).alias("km"))
 
 
-@query(f"WITH {V}, {_shortest(80)}, g AS (SELECT min(id) AS goal FROM v WHERE kind = 'zone') SELECT id AS start, goal, round(d80.km, 6) AS distance_km, d80.km IS NOT NULL AS whole FROM v, g LEFT JOIN d80 ON source = v.id AND node = goal WHERE kind = 'zone'")
+@query(f"WITH {V}, {_shortest(24)}, g AS (SELECT min(id) AS goal FROM v WHERE kind = 'zone') SELECT id AS start, goal, round(d24.km, 6) AS distance_km, d24.km IS NOT NULL AS whole FROM v, g LEFT JOIN d24 ON source = v.id AND node = goal WHERE kind = 'zone'")
 def g6_routes(s, d):
     """Starts and goal are zones, so no zone is blocked for them. A whole route begins at its start, ends at its goal, and has a step for each place."""
     v = nodes(s, d)
     z = v.filter("kind = 'zone'")
     ends = z.agg(F.min("id").alias("goal"))
     asked = z.select(F.col("id").alias("start")).crossJoin(F.broadcast(ends))
-    found = N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2), blocked=z)
+    found = N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2, exact=True), blocked=z)
     name = lambda c: F.substring_index(c, ":", -1)
     whole = (F.element_at("path", 1)["name"] == name(F.col("start"))) & (F.element_at("path", -1)["name"] == name(F.col("goal"))) & (F.size("steps") == F.size("path"))
     return found.select("start", "goal", F.round("distance_km", 6).alias("distance_km"), F.coalesce(whole, F.lit(False)).alias("whole"))
