@@ -48,7 +48,7 @@ class Index:
             vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in vectors]
         self.terms, self.idf, self.number, self.named = terms, idf, {t: i for i, t in enumerate(terms)}, frozenset(named)
         n, sizes = len(vectors), np.array([len(v[0]) for v in vectors], dtype=np.int64)
-        own = np.concatenate([v[0] for v in vectors]).astype(np.int64) if vectors else np.zeros(0, dtype=np.int64)
+        own = np.concatenate([v[0] for v in vectors]).astype(np.int32) if vectors else np.zeros(0, dtype=np.int32)
         weights = np.concatenate([v[1] for v in vectors]).astype(float) if vectors else np.zeros(0)
         # examples that have the same of the most frequent words stand together, so that a block's bounds are close
         frequency = np.bincount(own, minlength=len(terms))
@@ -56,14 +56,16 @@ class Index:
         held = np.zeros((n, len(lead)), dtype=bool)
         column = np.full(len(terms), -1)
         column[lead] = np.arange(len(lead))
-        row = np.repeat(np.arange(n), sizes)
-        held[row[column[own] >= 0], column[own][column[own] >= 0]] = True
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        leading = np.flatnonzero(column[own] >= 0)
+        held[row[leading], column[own[leading]]] = True
         order = np.lexsort(held.T[::-1]) if n else np.zeros(0, dtype=np.int64)
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int32)
         rank[order] = np.arange(n)
+        row = rank[row]
         self.ids, self.labels = np.array(ids, dtype=np.int64)[order], np.array(labels, dtype=float)[order]
-        by_term = np.lexsort((rank[row], own))
-        self.places, self.weights = rank[row][by_term].astype(np.int32), weights[by_term]
+        by_term = np.lexsort((row, own))
+        self.places, self.weights = row[by_term], weights[by_term]
         self.starts = np.concatenate([[0], np.cumsum(frequency)]).astype(np.int64)
         self.share = self.bare = 0.0
         self._rows: tuple | None = None
@@ -174,19 +176,21 @@ def build(samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs
         by_class[y].update(set(terms_of(t)))
     terms = sorted(set(by_class[0]) | set(by_class[1]))
     a, b = (np.array([by_class[y][t] for t in terms], dtype=float) for y in (1, 0))
+    by_class.clear()
     g = standing_out(a, b, seen[1], seen[0])
     idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in terms], dtype=float) + 1)) + 1
     weights, named = idf * (1 + np.log1p(g)), np.flatnonzero(g >= TERM_G).tolist()
     words = Index(terms, weights, [], [], [])
-    rows = [(i, *words.vector(t), y) for i, t, y in samples]
+    rows = [(i, np.array(own, dtype=np.int32), w, y) for i, t, y in samples for own, w in (words.vector(t),)]
+    del words
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.0
-    kept = [r for r in rows if r[1]]
-    built = Index(terms, weights, [r[0] for r in kept], [(np.array(r[1], dtype=np.int32), r[2]) for r in kept], [r[3] for r in kept], named)
+    kept = [r for r in rows if len(r[1])]
+    built = Index(terms, weights, [r[0] for r in kept], [(r[1], r[2]) for r in kept], [r[3] for r in kept], named)
     # rows of a class in the sample stand for so many rows of the table
     weight = {y: shares.get(y, 0) / seen[y] for y in seen}
     mass = lambda rs: (sum(weight[r[3]] for r in rs if r[3]), sum(weight[r[3]] for r in rs))
-    one, all_ = mass([r for r in rows if not r[1]])
+    one, all_ = mass([r for r in rows if not len(r[1])])
     built.bare = one / all_ if all_ else prior
     one, all_ = mass(kept)
     built.share = one / all_ if all_ else prior
@@ -204,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
         for pdf in batches:
             yield pd.DataFrame([(i, y, " ".join(terms_of(t))) for i, t, y in zip(pdf["_id"], pdf["_t"], pdf["_y"], strict=True)], columns=["id", "y", "t"])
 
-    rows = [(r["id"], r["t"], r["y"]) for r in sample.mapInPandas(words, "id long, y int, t string").orderBy("id").collect()]
+    drawn = sample.mapInPandas(words, "id long, y int, t string").orderBy("id", "t").toArrow()
+    rows = list(zip(*(drawn[c].to_pylist() for c in ("id", "t", "y")), strict=True))
+    del drawn
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(w for _, t, _ in rows for w in t.split(" ") if w))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
                 found.update(wanted.value.intersection(terms_of(t)))
         yield pd.DataFrame(list(found.items()), columns=["term", "n"])
 
-    counts = docs.select(F.col(text).alias("_t")).mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    frequency = {r["term"]: r["n"] for r in counts}
+    counts = docs.select(F.col(text).alias("_t")).mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = dict(zip(counts["term"].to_pylist(), counts["n"].to_pylist(), strict=True))
+    del counts
+    wanted.unpersist()
     return build(rows, frequency, frequency.get("", 0), shares)
 
 
