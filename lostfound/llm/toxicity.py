@@ -25,7 +25,7 @@ CLASS_ROWS = 4_000
 #: Least likelihood ratio (G) of the toxic words that a result names: at 22, one word in 60,000 by chance.
 TERM_G = 22.0
 #: Neighbours that vote, and the share of examples from which on a word's postings are long: bounded by blocks instead of summed at once.
-NEIGHBOURS, COMMON = 15, 0.05
+NEIGHBOURS, COMMON = 15, 0.1
 #: Examples in a block, and blocks that are measured first.
 BLOCK, FIRST = 32, 3
 #: Added to a neighbour's distance before its inverse is its vote; and the weight of the sample's share among the votes.
@@ -76,12 +76,15 @@ class Index:
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {"number": {t: i for i, t in enumerate(state["terms"])}}
 
-    def vector(self, text: str | None) -> tuple[tuple[int, ...], np.ndarray]:
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the terms that a text has, and their unit weights (1 + log tf) x idf."""
-        number = self.number
-        tf = Counter(number[w] for w in terms_of(text) if w in number)
-        own = tuple(sorted(tf))
-        w = (1 + np.log(np.array([tf[t] for t in own], dtype=float))) * self.idf[list(own)]
+        tf, number = Counter(terms_of(text)), self.number
+        own = np.fromiter((number.get(w, -1) for w in tf), dtype=np.int64, count=len(tf))
+        times = np.fromiter(tf.values(), dtype=float, count=len(tf))[own >= 0]
+        own = own[own >= 0]
+        order = np.argsort(own)
+        own, times = own[order], times[order]
+        w = (1 + np.log(times)) * self.idf[own]
         return own, w / np.sqrt((w * w).sum()) if len(w) else w
 
     def _frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +100,7 @@ class Index:
             self._rows = whole, np.maximum.reduceat(whole, np.arange(0, n, BLOCK), axis=1) if n else whole, at
         return self._rows
 
-    def cosines(self, asked: list[tuple[tuple[int, ...], np.ndarray]], k: int) -> np.ndarray:
+    def cosines(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
         """The cosines of vectors (rows) to the examples; of those that can't be among the k nearest some are -inf instead."""
         n, starts = len(self.ids), self.starts
         whole, most, at = self._frequent()
@@ -135,7 +138,7 @@ class Index:
         places = places[np.lexsort((self.ids[places], -np.round(cosines[places], 12)))[:k]]
         return places, cosines[places]
 
-    def nearest(self, own: tuple[int, ...], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, own: np.ndarray | tuple[int, ...], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, nearest first, ties to the smaller doc_id."""
         return self.best(self.cosines([(own, weights)], k)[0], k)
 
@@ -144,7 +147,7 @@ class Index:
         asked = [self.vector(t) for t in texts]
         out = []
         for (own, _), cosines in zip(asked, self.cosines(asked, k), strict=True):
-            if not own:
+            if not len(own):
                 out.append((self.bare, [], []))
                 continue
             places, near = self.best(cosines, k)
@@ -181,7 +184,7 @@ def build(samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs
     idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in terms], dtype=float) + 1)) + 1
     weights, named = idf * (1 + np.log1p(g)), np.flatnonzero(g >= TERM_G).tolist()
     words = Index(terms, weights, [], [], [])
-    rows = [(i, np.array(own, dtype=np.int32), w, y) for i, t, y in samples for own, w in (words.vector(t),)]
+    rows = [(i, own.astype(np.int32), w, y) for i, t, y in samples for own, w in (words.vector(t),)]
     del words
     n = sum(shares.values())
     prior = shares.get(1, 0) / n if n else 0.0
