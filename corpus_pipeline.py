@@ -6,11 +6,11 @@ next stage. All but the last return the columns of documents. Part of the subpac
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lostfound.llm import compression, minhash, mixing, packing, suffixes
-from lostfound.llm.common import scratch, table
+from lostfound.llm.common import count_words, fresh_names, scratch, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,25 +34,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat an id are counted one by one: the takes of an id are dealt to its rows in order of size."""
-    repeats = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "repeats").filter("repeats > 0")
-    by_id = repeats.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.sum("repeats").alias("_all"), F.count("*").alias("_taken"), F.max("repeats").alias("_most"))
-    from pyspark.sql import Window
-
-    from lostfound.llm.common import count_words
-
-    sized = docs.withColumn("_size2", count_words(F.col("text")))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_size2").orderBy("source", "text"))
-    ranked = sized.withColumn("_place", place)
-    joined = ranked.join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size2") == F.col("_size")))
-    # with one row of an id its takes are _all; with several, as many each until they are used up
-    own = F.greatest(F.lit(0), F.least(F.col("_most"), F.col("_all") - (F.col("_place") - 1) * F.col("_most")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.when(own > 0, own).cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it. Rows that repeat an id are counted one by one: the takes of an id are dealt to its rows of a size in order of source and text."""
+    id_, size, all_, most, place, copy = fresh_names(docs, "id", "size", "all", "most", "place", "copy")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    repeats = mixing.mix(docs.select("doc_id", "text", "source")).select(key.alias(id_), F.col("size").alias(size), "repeats").filter("repeats > 0")
+    taken = written(repeats.groupBy(id_, size).agg(F.sum("repeats").alias(all_), F.max("repeats").alias(most)), "mix-taken")
+    # texts are shuffled once: the window has the partitions of the join
+    joined = docs.withColumn(id_, key).withColumn(size, count_words(F.col("text"))).join(taken, [id_, size])
+    ranked = joined.withColumn(place, F.row_number().over(Window.partitionBy(id_, size).orderBy("source", "text")))
+    own = F.least(F.col(most), F.col(all_) - (F.col(place) - 1) * F.col(most))
+    return ranked.withColumn(copy, F.explode(F.sequence(F.lit(1), F.when(own > 0, own).cast("int")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their places in the sequences."""
-    return packing.pack_documents(docs, ids=False)
+    """Pieces of at most 2048 tokens with their ids, compressed, and their places in the sequences. A null text is a piece of the closing id alone."""
+    return packing.pack_documents(docs, ids="zstd")
 
 
 STAGES = [
@@ -63,7 +59,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: The classifier, the mix and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier, the mix and the tokenizer are beyond SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
