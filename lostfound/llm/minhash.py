@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, written
+from .common import WORDS, forget, written
 
 #: Registers by band and bands: at similarity 0.8 a pair shares no band with probability 3e-6.
 ROWS, BANDS = 5, 32
@@ -113,8 +113,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least2, "b")
         turned = small.filter("a <> m").select(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b")).unionByName(least2.select(F.col("m").alias("a"), "b")).distinct()
         new = written(turned, "cc-links")
+        forget(edges)
         # done when every node has one link and no target has a smaller one itself
-        open_ = new.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count() or new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        ends = new.select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.lit(1).alias("up")), F.struct(F.col("a").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        open_ = ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("least")).filter("n > 1 or n = 1 and least = 0").limit(1).count()
         edges = new
         if not open_:
             break
@@ -126,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Documents are linked if 100 x shared shingles >= percent x all shingles of both; ``component_id`` is the smallest doc_id
     reachable and ``kept`` marks the document that has it. Without words or text a document has no shingles and stands alone. Rows that
-    repeat an id are one document for the links and are all returned; ties are equal sets and always linked. A null id is in no
+    repeat an id are one document for the links and are all returned (of different texts of an id, one is compared with others and each with equal sets); ties are equal sets and always linked. A null id is in no
     component: its component_id is null and it is kept. An empty table gives no rows; other columns are not read.
     """
     all_ = written(sketches(docs, doc_id=doc_id, text=text, size=size), "mh-sketches")
@@ -134,7 +136,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # equal sets: the smallest id stands for all
     first = written(named.groupBy("_key").agg(F.min(F.struct("_id", "_n", "_reg")).alias("_f")).select("_key", "_f.*"), "mh-first")
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t"))
-    links = linked(first.drop("_key").dropDuplicates(["_id"]), texts, size, percent)
+    # stored, so that the pairs of a head that meets very many can be dealt to several tasks; of an id with several texts the smallest key counts
+    reps = written(first.groupBy("_id").agg(F.min(F.struct("_key", "_n", "_reg")).alias("_f")).select("_id", "_f.*"), "mh-reps")
+    links = linked(reps, texts, size, percent)
+    forget(reps)
     same = named.select("_id", "_key").join(first.select("_key", F.col("_id").alias("_rep")), "_key").filter(F.col("_id") > F.col("_rep")).select(F.col("_rep").alias("a"), F.col("_id").alias("b"))
     labels = components(links.unionByName(same))
     label = F.coalesce(F.col("_label"), F.col("_id"))
@@ -155,11 +160,13 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("_reg"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     keys = reps.select("_id", "_n", bands.alias("_band", "_bits")).select("_id", "_n", F.xxhash64("_band", "_bits").alias("_k"))
     shared = keys.groupBy("_k").agg(F.count("*").alias("_m")).filter("_m > 1")
-    met = written(keys.join(shared, "_k"), "mh-met")
-    popular = met.groupBy("_id").agg(F.sum("_m").alias("_p"))
-    met = written(met.join(popular, "_id"), "mh-met")
+    both = written(keys.join(shared, "_k"), "mh-met")
+    popular = both.groupBy("_id").agg(F.sum("_m").alias("_p"))
+    met = written(both.join(popular, "_id"), "mh-met")
+    forget(both)
     # only texts that share a key are shuffled on to full sets, once for all rounds
-    full = written(texts.join(met.select("_id").distinct(), "_id", "left_semi").mapInPandas(_full_sets(size), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
+    wanted = reps.select("_id", "_key").join(met.select("_id").distinct(), "_id", "left_semi")
+    full = written(texts.join(wanted, "_id").mapInPandas(_full_sets(size), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     links = known = used = first_heads = None
     for _ in range(HEADS):
@@ -180,7 +187,9 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     mixed = own.groupBy("_k").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).filter("lo <> hi").select("_k")
     members = own.join(mixed, "_k", "left_semi").join(first_heads, "_k").select("_h", "_id", "_label").distinct()
     rest = open_pairs(members, full, percent).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, reps, full, percent).filter("linked").select("a", "b"))
+    out = written(links.unionByName(verified(rest, reps, full, percent).filter("linked").select("a", "b")), "mh-links")
+    forget(met, full)
+    return out
 
 
 def open_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -224,8 +233,8 @@ def _full_sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                yield pd.DataFrame({"_id": part["_id"].to_numpy(), "_set": [shingle_hashes(t, size).tobytes() for t in part["_t"]]})
+                sets = [(i, k, shingle_hashes(t, size).tobytes()) for i, k, t in pdf.iloc[lo : lo + 512][["_id", "_key", "_t"]].itertuples(index=False)]
+                yield pd.DataFrame([(i, x) for i, k, x in sets if xxhash.xxh3_128_digest(x) == k], columns=["_id", "_set"])
 
     return run
 
