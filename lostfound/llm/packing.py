@@ -101,6 +101,12 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids_zstd binary" * ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from encoded(batches)
+        finally:
+            _encoders.clear()  # a worker that waits for other tasks holds no vocabulary
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo : lo + 256]
