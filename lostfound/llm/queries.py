@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, langid, minhash, mixing, neighbours, packing, rules, suffixes, toxicity, warc
+from . import compression, langid, licenses, minhash, mixing, neighbours, packing, phrases, rules, suffixes, toxicity, tries, warc
 from .common import fold, scratch, table
 
 
@@ -68,6 +68,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score", "lang_spans")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.rebuilt(table(spark, sf_dir, "conversations"))
+    return tries.prefix_trie(*turns).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_license_scan": op13_license_scan,
 }
 
 OP7_SQL = """
@@ -104,7 +121,40 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY 1, 2, 3), t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, n AS a FROM f WHERE k > 1 AND n >= 10),
+h AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3) GROUP BY 1, 2),
+s AS (SELECT c.* FROM c LEFT JOIN h USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+x AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, ws, k FROM s),
+y AS (SELECT x.lang, x.phrase, a, cut, l.n AS l, r.n AS r, 1000000::HUGEINT * a * a // (l.n::HUGEINT * r.n) AS score FROM x JOIN f l ON l.lang = x.lang AND l.k = cut AND l.phrase = array_to_string(ws[1:cut], ' ') JOIN f r ON r.lang = x.lang AND r.k = x.k - cut AND r.phrase = array_to_string(ws[cut + 1:x.k], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM y),
+q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score FROM b WHERE o = 1)
+SELECT q.lang, rank, phrase, a, l, r, t.n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000
+"""
+
+# crc32 a bit at a time: each byte is followed by eight steps
+_CRC = "xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({0}::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+OP12_SQL = f"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id")} % 6 AS h, count(*) AS own FROM o GROUP BY 1), m AS (SELECT c.*, least(h, coalesce(b.own, 0)) AS g FROM c LEFT JOIN (SELECT conv_id AS base, own FROM c) b USING (base)),
+r AS (SELECT m.conv_id, o.pos AS d, role, text FROM m JOIN o ON o.conv_id = m.base AND o.pos <= h UNION ALL SELECT m.conv_id, g + o.pos - h, role, text FROM m JOIN o ON o.conv_id = m.conv_id AND o.pos > h),
+k AS (SELECT conv_id, d, md5(length(role) || ':' || role || text) AS k, length(text) AS n FROM r),
+l AS (SELECT m.conv_id, coalesce(list(k.k ORDER BY d) FILTER (k.k IS NOT NULL), []) AS ks, coalesce(list(k.n ORDER BY d) FILTER (k.k IS NOT NULL), []) AS ns FROM m LEFT JOIN k ON k.conv_id = m.conv_id GROUP BY 1),
+p AS (SELECT conv_id, unnest(range(0, len(ks) + 1)) AS d, ks, ns FROM l),
+v AS MATERIALIZED (SELECT d, ks[1:d] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN (count(*) - 1) * any_value(ns[d]) ELSE 0 END AS saved, string_agg(CASE WHEN len(ks) = d THEN conv_id END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY 1, 2),
+u AS (SELECT v.*, w.conv_id AS parent_conv_id, (SELECT count(*) FROM v y WHERE y.d = v.d + 1 AND y.path[1:v.d] = v.path) AS n_children FROM v LEFT JOIN v w ON w.d = v.d - 1 AND w.path = v.path[1:v.d - 1]),
+a AS (SELECT path, unnest(range(0, d + 1)) AS d, (n_children = 0)::INT AS leaf, saved FROM u), s AS (SELECT d, path[1:d] AS path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM a GROUP BY 1, 2)
+SELECT conv_id, u.d AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM u JOIN s ON s.d = u.d AND s.path = u.path
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_collocations": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op8_minhash_near_dedup": OP8_SQL,
     "op7_warc": OP7_SQL,
 }
