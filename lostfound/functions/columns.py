@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0088
 #: Accented letters and the plain ones that stand for them.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: White space of any script at either end of a text.
+OUTER_SPACE = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
 #: Words that say nothing in a description.
 STOP_WORDS = ("a", "an", "and", "the", "of", "in", "is", "with", "was", "has", "had", "on", "at", "to", "for")
 
 
 def blank_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Blank or white-space text is missing."""
-    return df.withColumns({c: F.nullif(F.trim(F.col(c)), F.lit("")) for c in cols})
+    """Blank or white-space text is missing, and no text begins or ends with white space: blanks, tabs, line ends, those of other scripts."""
+    return df.withColumns({c: F.nullif(strip(F.col(c)), F.lit("")) for c in cols})
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space at its ends."""
+    return F.regexp_replace(text, OUTER_SPACE, "")
 
 
 def normalize_name(name: Column) -> Column:
@@ -87,6 +94,6 @@ def mask_person(df: DataFrame, *, name: str = "name", mobile: str = "reporter_mo
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle distance in km."""
+    """Great-circle distance in km (D1); null where a coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))

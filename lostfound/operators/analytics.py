@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lostfound.functions.columns import normalize_name
+from lostfound.functions.columns import normalize_name, strip
 
 
 def completeness(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """(by.., column, n_rows, blanks, blank_share), one pass over the rows."""
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    """(by.., column, n_rows, blanks, blank_share), one pass over the rows (C1). White space of any kind is blank, as for ``blank_to_null``."""
+    blank = lambda c: F.col(c).isNull() | (strip(F.col(c).cast("string")) == "")
     counts = df.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), *[F.sum(blank(c).cast("long")).alias(f"_{i}") for i, c in enumerate(cols)])
     pairs = ", ".join(f"'{c}', _{i}" for i, c in enumerate(cols))
     long = counts.select(*(by or []), "n_rows", F.expr(f"stack({len(cols)}, {pairs}) as (column, blanks)"))
@@ -123,35 +125,46 @@ def project_load(profile: DataFrame, pilgrims: int, rate: float, hours: int) ->
     return joined.select("zone", "hour", (F.coalesce("cases", F.lit(0)) * float(pilgrims) * rate / F.col("_all")).alias("expected"))
 
 
-def bootstrap_hotspots(cases: DataFrame, zone: str, key: str, reps: int, k: int, seed: int = 1) -> DataFrame:
-    """(zone, p05, p50, p95, in_top): case counts over ``reps`` resamples with a Poisson(1) weight from a hash of (key, replicate), and the share of resamples in which the zone is among the ``k`` largest, ties by zone.
+def log_factorial(k: Column) -> Column:
+    """ln k!: exact to 9, then Stirling's series (relative error below 1e-12)."""
+    x = F.greatest(k, F.lit(10)).cast("double")
+    series = x * F.ln(x) - x + F.lit(0.5) * F.ln(F.lit(2 * math.pi) * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(k >= 10, series).otherwise(F.ln(F.factorial(F.least(k, F.lit(9)).cast("int")).cast("double")))
 
-    A replicate is a sum per zone, so rows are not multiplied and each task passes on a row a zone. ``reps`` are columns of that sum: some hundreds at most.
-    """
 
-    def weight(rep: int) -> Column:
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.lit(rep))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-        total, term = 0.0, 0.36787944117144233
-        steps = []
-        for n in range(1, 9):
-            total += term
-            steps.append(total)
-            term /= n
-        return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda n, x: n + (u >= x).cast("int"))
-
-    per = cases.groupBy(zone).agg(*[F.sum(weight(r)).alias(f"_{r}") for r in range(1, reps + 1)])
-    drawn = per.select(zone, F.posexplode(F.array(*[f"_{r}" for r in range(1, reps + 1)])).alias("rep", "n"))
+def bootstrap_hotspots(cases: DataFrame, zone: str, reps: int, k: int, seed: int = 1) -> DataFrame:
+    """(zone, p05, p50, p95, in_top): case counts over ``reps`` resamples of the cases, and the share of resamples in which the zone is among the ``k`` largest, ties by zone.
+
+    A resample gives each case a weight that is Poisson of mean 1, so a zone's count is Poisson of its number of cases: it is drawn once for each zone and
+    replicate, from a hash of (seed, zone, replicate), by the inverse of its distribution within ten deviations of the mean. Cases are read once.
+    """
+    n = cases.groupBy(zone).agg(F.count("*").alias("_n"))
+    n = n.withColumn("_lo", F.greatest(F.lit(0), F.floor(F.col("_n") - 10 * F.sqrt("_n") - 10))).withColumn("_hi", F.ceil(F.col("_n") + 10 * F.sqrt("_n") + 10))
+    steps = n.withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).withColumn("_p", F.exp(F.col("_k") * F.ln(F.col("_n").cast("double")) - F.col("_n") - log_factorial(F.col("_k"))))
+    upto = Window.partitionBy(zone).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = steps.withColumn("_to", F.sum("_p").over(upto)).withColumn("_from", F.lag("_to", 1, 0.0).over(Window.partitionBy(zone).orderBy("_k")))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(zone), F.col("rep"))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    draws = n.select(zone, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("_u", u)
+    drawn = draws.join(below.select(zone, "_k", "_from", "_to"), zone).filter((F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).select(zone, "rep", F.col("_k").alias("n"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), zone))
     ranked = drawn.withColumn("_top", (place <= k).cast("double"))
     return ranked.groupBy(zone).agg(*[F.percentile("n", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)], F.avg("_top").alias("in_top"))
 
 
 def open_backlog(cases: DataFrame, by: str, opened: Column, closed: Column) -> DataFrame:
-    """(by, at, open, peak): open cases after each change, and the most so far (F11). Changes at one time are netted first."""
+    """(by, at, open, peak): open cases after each change, and the most so far (F11). Changes at one time are netted first.
+
+    Two levels: sums and peaks inside each day of a group, then a scan over its days, so a task holds a day of a group, or a row for each of its days.
+    """
     changes = cases.select(by, opened.alias("at"), F.lit(1).alias("d")).unionAll(cases.filter(closed.isNotNull()).select(by, closed.alias("at"), F.lit(-1).alias("d")))
-    net = changes.groupBy(by, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return net.withColumn("open", F.sum("d").over(w)).withColumn("peak", F.max("open").over(w)).select(by, "at", "open", "peak")
+    net = changes.groupBy(by, "at").agg(F.sum("d").alias("d")).withColumn("_day", F.date_trunc("day", "at"))
+    inside = Window.partitionBy(by, "_day").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = net.withColumn("_open", F.sum("d").over(inside)).withColumn("_peak", F.max("_open").over(inside))
+    earlier = Window.partitionBy(by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = own.groupBy(by, "_day").agg(F.sum("d").alias("_sum"), F.max("_open").alias("_top")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    days = days.select(F.col(by).alias("_g"), F.col("_day").alias("_on"), "_before", F.max(F.col("_before") + F.col("_top")).over(earlier).alias("_most"))
+    out = own.join(days, F.col(by).eqNullSafe(F.col("_g")) & F.col("_day").eqNullSafe(F.col("_on")))
+    return out.select(by, "at", (F.col("_before") + F.col("_open")).alias("open"), F.greatest(F.col("_before") + F.col("_peak"), "_most").alias("peak"))
 
 
 def top_locations(cases: DataFrame, place: str, by: str, k: int) -> DataFrame:

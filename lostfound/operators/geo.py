@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.functions.columns import EARTH_KM, haversine_km, name_key, normalize_name
@@ -14,29 +15,68 @@ from lostfound.functions.columns import EARTH_KM, haversine_km, name_key, normal
 PLACE_ROWS = 20_000
 
 
-def small(places: DataFrame, rows: int = PLACE_ROWS) -> DataFrame:
-    """``places`` marked for broadcast if it has at most ``rows`` rows; raises otherwise."""
-    if places.limit(rows + 1).count() > rows:
-        raise ValueError(f"more than {rows} places")
-    return F.broadcast(places)
-
-
 def nearest_k(left: DataFrame, places: DataFrame, k: int, *, id_: str, place: str, rows: int = PLACE_ROWS) -> DataFrame:
     """(id, place, km, rank): the k nearest places of each row with lat, lng; ties by place (D2). All places, if there are fewer.
 
-    Up to ``rows`` places, a number that is checked, go to all tasks as one array, and each row picks its own without a shuffle. More
-    places are searched in rings: pairs within a radius that doubles for the rows that still lack k places. The results are the same.
+    Up to ``rows`` places, a number that is checked, go to all tasks as a map from grid cells to the places around them, and each row picks its own without a
+    shuffle. Cells are as wide as a circle of some four k places; a row whose k-th place lies within a cell's width has seen all that can be
+    nearer, the others look at all places. More places are searched in rings: pairs within a radius that doubles for the rows that
+    still lack k places. The results are the same.
     """
     p = places.select(F.col(place).alias("p"), F.col("lat").alias("a"), F.col("lng").alias("o")).filter("a is not null and o is not null")
     own = left.select(id_, "lat", "lng").filter("lat is not null and lng is not null")
-    if p.limit(rows + 1).count() > rows:
+    box = p.limit(rows + 1).agg(F.count("*").alias("n"), F.max("a").alias("north"), F.min("a").alias("south"), F.max("o").alias("east"), F.min("o").alias("west")).first()
+    if box["n"] > rows:
         return _nearest_by_rings(own, places, k, id_=id_, place=place)
+    if not box["n"]:
+        return own.select(id_, F.lit(None).cast(dict(places.dtypes)[place]).alias(place), F.lit(0.0).alias("km"), F.lit(1).alias("rank")).limit(0)
+    wide = max(math.cos(math.radians((box["north"] + box["south"]) / 2)) * (box["east"] - box["west"]), 1e-3) * DEGREE_KM
+    km = min(max(0.05, math.sqrt(4 * k * wide * max((box["north"] - box["south"]) * DEGREE_KM, 0.1) / (math.pi * box["n"]))), 500.0)
+    band, columns, column = grid(km)
+    cells = around(p, "a", "o", km).groupBy("_r", "_c").agg(F.collect_list(F.struct("p", "a", "o")).alias("_near"))
     every = p.agg(F.collect_list(F.struct("p", "a", "o")).alias("_all"))
-    km = lambda x: F.round(haversine_km(F.col("lat"), F.col("lng"), x["a"], x["o"]), 6)
-    near = F.transform("_all", lambda x: F.struct(km(x).alias("km"), x["p"].alias("p")))
-    best = F.array(F.array_min(near)) if k == 1 else F.slice(F.array_sort(near), 1, k)
-    found = own.crossJoin(F.broadcast(every)).filter(F.size("_all") > 0).select(id_, F.posexplode(best).alias("_i", "_x"))
-    return found.select(id_, F.col("_x.p").alias(place), F.col("_x.km").alias("km"), (F.col("_i") + 1).cast("int").alias("rank"))
+    celled = own.withColumn("_r", band(F.col("lat"))).withColumn("_c", column(F.col("lng"), columns(F.col("_r"))))
+    met = celled.join(F.broadcast(cells), ["_r", "_c"], "left").crossJoin(F.broadcast(every))
+    far = lambda x: F.round(haversine_km(F.col("lat"), F.col("lng"), x["a"], x["o"]), 6)
+
+    def best(c: str) -> Column:
+        near = F.transform(c, lambda x: F.struct(far(x).alias("km"), x["p"].alias("p")))
+        return F.array(F.array_min(near)) if k == 1 else F.slice(F.array_sort(near), 1, k)
+
+    found = met.withColumn("_b", best("_near"))
+    whole = (F.size("_b") == k) & (F.element_at("_b", k)["km"] <= km)
+    picked = found.withColumn("_b", F.when(F.size("_near") >= k, F.when(whole, F.col("_b")))).withColumn("_b", F.when(F.col("_b").isNotNull(), F.col("_b")).otherwise(best("_all")))
+    return picked.select(id_, F.posexplode("_b").alias("_i", "_x")).select(id_, F.col("_x.p").alias(place), F.col("_x.km").alias("km"), (F.col("_i") + 1).cast("int").alias("rank"))
+
+
+#: Kilometres of a degree of latitude.
+DEGREE_KM = math.pi * EARTH_KM / 180
+
+
+def grid(km: float) -> tuple[Callable[[Column], Column], Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """(band of a latitude, columns of a band, column of a longitude): cells so wide that all within ``km`` of a place lie in its own or the next ones.
+
+    Rows of the grid are bands of latitude; each has as many columns as the radius allows at its own latitude, and columns go around the earth.
+    """
+    reach = km * (1 + 1e-6) + 1e-6  # distances are rounded to 6 digits
+    half = min(reach / (2 * EARTH_KM), math.pi / 2)
+    step = max(math.degrees(2 * half), 1e-6)
+
+    def columns(row: Column) -> Column:
+        """Columns of a band: none is narrower than the radius at the latitude nearest to a pole of its own and the next bands."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * step - 90), F.abs((row + 2) * step - 90)))
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(half)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
+
+    return lambda lat: F.floor((lat + 90) / F.lit(step)), columns, lambda lng, n: F.least(n - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) * n / 360.0))
+
+
+def around(places: DataFrame, lat: str, lng: str, km: float) -> DataFrame:
+    """``places`` once for each cell ``_r, _c`` of the grid that holds rows within ``km`` of it: its own and the eight next to it."""
+    band, columns, column = grid(km)
+    b = places.withColumn("_r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col(lat)) + i))).withColumn("_n", columns(F.col("_r")))
+    at = column(F.col(lng), F.col("_n"))
+    return b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + i, F.col("_n")) for i in (-1, 0, 1)])))).drop("_n")
 
 
 #: First radius of the search in rings, and one that reaches around the earth.
@@ -62,31 +102,13 @@ def _nearest_by_rings(left: DataFrame, places: DataFrame, k: int, *, id_: str, p
 
 
 def within_radius(left: DataFrame, right: DataFrame, km: float, *, id_: str, other: str) -> DataFrame:
-    """(id, other, km) of all pairs within ``km``, large x large (D3): grid cells as wide as the radius, the right side dealt to its nine cells.
-
-    Rows of the grid are bands of latitude; each has as many columns as the radius allows at its own latitude, and columns go around the
-    earth. Rows without a position match nothing.
-    """
-    reach = km * (1 + 1e-6) + 1e-6  # distances are rounded to 6 digits
-    half = min(reach / (2 * EARTH_KM), math.pi / 2)
-    step = max(math.degrees(2 * half), 1e-6)
-    band = lambda lat: F.floor((lat + 90) / F.lit(step))
-
-    def columns(row):
-        """Columns of a band: none is narrower than the radius at the latitude nearest to a pole of its own and the next bands."""
-        far = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * step - 90), F.abs((row + 2) * step - 90)))
-        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(half)) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))))
-        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / width))
-
-    column = lambda lng, n: F.least(n - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) * n / 360.0))
+    """(id, other, km) of all pairs within ``km``, large x large (D3): cells of :func:`grid`, the right side dealt to its nine cells. Rows without a position match nothing."""
+    band, columns, column = grid(km)
     a = left.filter("lat is not null and lng is not null").select(id_, "lat", "lng", band(F.col("lat")).alias("_r"))
     a = a.withColumn("_c", column(F.col("lng"), columns(F.col("_r"))))
     b = right.select(F.col(other).alias("_o"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).filter("_lat is not null and _lng is not null")
-    b = b.withColumn("_r", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(F.col("_lat")) + i))).withColumn("_n", columns(F.col("_r")))
-    at = column(F.col("_lng"), F.col("_n"))
-    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + i, F.col("_n")) for i in (-1, 0, 1)])))).drop("_n")
     d = F.round(haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 6)
-    return a.join(b, ["_r", "_c"]).withColumn("km", d).filter(F.col("km") <= km).select(id_, F.col("_o").alias(other), "km")
+    return a.join(around(b, "_lat", "_lng", km), ["_r", "_c"]).withColumn("km", d).filter(F.col("km") <= km).select(id_, F.col("_o").alias(other), "km")
 
 
 def place_aliases(places: DataFrame, name: str = "name") -> DataFrame:
@@ -94,18 +116,56 @@ def place_aliases(places: DataFrame, name: str = "name") -> DataFrame:
     return places.withColumn("alias", F.explode(F.split(F.col(name), " / "))).withColumn("alias", F.trim("alias"))
 
 
+#: Characters of a name whose deletions are listed.
+NAME_CHARS = 48
+
+
+def shortened(text: Column, distance: int) -> Column:
+    """Hashes of all texts that ``distance`` or fewer deletions make of the first ``NAME_CHARS`` characters.
+
+    Two texts within that edit distance share one of them: what an edit changes is deleted on both sides, and of longer texts only the beginnings are held together.
+    """
+    less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+    now = F.array(F.substring(text, 1, NAME_CHARS))
+    out = now
+    for _ in range(distance):
+        now = F.array_distinct(F.flatten(F.transform(F.filter(now, lambda s: F.length(s) > 0), less)))
+        out = F.concat(out, now)
+    return F.array_distinct(F.transform(out, lambda s: F.xxhash64(s)))
+
+
+def close_names(texts: DataFrame, aliases: DataFrame, text: str, distance: int) -> DataFrame:
+    """(text, _e): the alias (_a) with the smallest edit distance to the text (_n), ``distance`` at most, ties by place; an equi-join of deletions.
+
+    One edit is tried first, and only texts without a hit go on to two, so dense names (numbers, say) don't meet all that differ in two places.
+    """
+    found, todo = None, texts.select(text, "_n")
+    for d in range(1, distance + 1):
+        lengths = aliases.select(F.explode(F.sequence(F.length("_a") - d, F.length("_a") + d)).alias("_l")).distinct()
+        # long texts that no name is as long as aren't taken apart
+        fit = todo.withColumn("_l", F.length("_n")).join(lengths, "_l", "left_semi")
+        left = fit.select(text, "_n", F.explode(shortened(F.col("_n"), d)).alias("_h"))
+        right = aliases.select("place", "lat", "lng", "_a", F.explode(shortened(F.col("_a"), d)).alias("_h"))
+        near = left.join(right, "_h").withColumn("_d", F.levenshtein("_n", "_a", d)).filter("_d >= 0")
+        hit = near.groupBy(text).agg(F.min(F.struct("_d", "place", "lat", "lng")).alias("_e")).checkpoint()
+        found = hit if found is None else found.unionByName(hit)
+        if d < distance:
+            todo = todo.join(hit, text, "left_anti").checkpoint()
+    return found
+
+
 def geocode(cases: DataFrame, places: DataFrame, zones: DataFrame | None = None, *, text: str = "last_seen_location", name: str = "name", zone: str = "zone", distance: int = 2) -> DataFrame:
     """Cases with ``place, lat, lng, method`` and, with ``zones``, the nearest ``zone`` of the place (D4): by exact alias, then name skeleton, then edit distance; null where none fits.
 
-    Only distinct texts are matched. The smallest place name wins a tie, so each text has one place at most.
+    Only distinct texts are matched. The smallest place name wins a tie, so each text has one place at most. A gazetteer of any size will do.
     """
     aliases = place_aliases(places, name).select(F.col(name).alias("place"), "lat", "lng", normalize_name(F.col("alias")).alias("_n"), name_key(F.col("alias")).alias("_k"))
     texts = cases.select(text).distinct().filter(F.col(text).isNotNull()).withColumns({"_n": normalize_name(F.col(text)), "_k": name_key(F.col(text))})
     first = lambda df, key: df.groupBy(key).agg(F.min(F.struct("place", "lat", "lng")).alias("_" + key))
     exact, skeleton = first(aliases, "_n"), first(aliases, "_k")
-    staged = texts.join(exact, "_n", "left").join(skeleton, "_k", "left")
-    fuzzy = staged.filter("__n is null and __k is null").crossJoin(small(aliases.select("place", "lat", "lng", F.col("_n").alias("_a"))))
-    close = fuzzy.withColumn("_d", F.levenshtein("_n", "_a")).filter(F.col("_d") <= distance).groupBy(text).agg(F.min(F.struct("_d", "place", "lat", "lng")).alias("_e"))
+    staged = texts.join(exact, "_n", "left").join(skeleton, "_k", "left").checkpoint()
+    named = aliases.filter("_n is not null").groupBy(F.col("_n").alias("_a")).agg(F.min(F.struct("place", "lat", "lng")).alias("_p")).select("_p.*", "_a")
+    close = close_names(staged.filter("__n is null and __k is null and _n is not null"), named, text, distance) if distance else staged.select(text, F.col("__n").alias("_e")).limit(0)
     found = staged.join(close, text, "left")
     pick = lambda f: F.coalesce(F.col(f"__n.{f}"), F.col(f"__k.{f}"), F.col(f"_e.{f}"))
     method = F.when(F.col("__n").isNotNull(), "exact").when(F.col("__k").isNotNull(), "skeleton").when(F.col("_e").isNotNull(), "edit")
@@ -147,18 +207,50 @@ def response_coverage(cases: DataFrame, stations: DataFrame, km: float, *, id_:
     return near.groupBy(station).agg(F.count("*").alias("cases"), F.avg("km").alias("mean_km"), F.percentile("km", F.lit(0.5)).alias("p50_km"), F.percentile("km", F.lit(0.9)).alias("p90_km"), F.max("km").alias("max_km"), F.avg((F.col("km") <= km).cast("double")).alias("share_within"))
 
 
-def place_help_points(demand: DataFrame, candidates: DataFrame, km: float, k: int, *, id_: str, candidate: str) -> DataFrame:
-    """(step, candidate, covered): k points chosen one by one, each covering most demand not yet covered; ties by candidate."""
+def place_help_points(demand: DataFrame, candidates: DataFrame, km: float, k: int, *, id_: str, candidate: str, top: int = 32) -> DataFrame:
+    """(step, candidate, covered): k points chosen one by one, each covering most demand not yet covered; ties by candidate.
+
+    What a candidate covers only shrinks, so counts of earlier steps are upper bounds. A step counts again the ``top`` candidates of the largest bounds; the best of
+    them is chosen if no other bound can beat it, else the next ones are counted too. Covered demand and bounds are written every
+    few steps, so the lineage doesn't grow with k.
+    """
     spark = demand.sparkSession
-    left = within_radius(demand, candidates, km, id_=id_, other=candidate).select(id_, candidate).cache()
+    kind = dict(candidates.dtypes)[candidate]
+    pairs = within_radius(demand, candidates, km, id_=id_, other=candidate).select(id_, candidate).distinct().checkpoint()
+    bounds = pairs.groupBy(candidate).agg(F.count("*").alias("n")).checkpoint()
+    pending: list[tuple] = []
     chosen: list[tuple] = []
-    for step in range(1, k + 1):
-        best = left.groupBy(candidate).agg(F.countDistinct(id_).alias("n")).orderBy(F.desc("n"), candidate).limit(1).collect()
-        if not best:
+    while len(chosen) < k:
+        if len(pending) == top:
+            pairs, bounds, pending = _uncovered(pairs, pending, id_, candidate).checkpoint(), bounds.checkpoint(), []
+        left = _uncovered(pairs, pending, id_, candidate)
+        n, best = top, None
+        while True:
+            first = [(r[candidate], r["n"]) for r in bounds.orderBy(F.desc("n"), candidate).limit(n + 1).collect()]
+            asked = spark.createDataFrame([(c,) for c, _ in first[:n]], f"{candidate} {kind}")
+            now = {r[candidate]: r["n"] for r in left.join(F.broadcast(asked), candidate).groupBy(candidate).agg(F.count("*").alias("n")).collect()}
+            counted = [(now.get(c, 0), c) for c, _ in first[:n]]
+            fresh = spark.createDataFrame([(c, m) for m, c in counted], f"{candidate} {kind}, _m long")
+            bounds = bounds.join(F.broadcast(fresh), candidate, "left").select(candidate, F.coalesce("_m", "n").alias("n")).filter("n > 0").checkpoint()
+            best = min(counted, key=lambda x: (-x[0], x[1]), default=None)
+            rest = first[n] if len(first) > n else None
+            # the next bound may only win by more, or by an equal count of a smaller candidate
+            if rest is None or best[0] > rest[1] or (best[0] == rest[1] and best[1] < rest[0]):
+                break
+            n *= 2
+        if not best or not best[0]:
             break
-        chosen.append((step, best[0][candidate], best[0]["n"]))
-        left = left.join(left.filter(F.col(candidate) == best[0][candidate]).select(id_), id_, "left_anti")
-    return spark.createDataFrame(chosen, f"step int, {candidate} {dict(candidates.dtypes)[candidate]}, covered long")
+        chosen.append((len(chosen) + 1, best[1], best[0]))
+        pending.append((best[1],))
+    return spark.createDataFrame(chosen, f"step int, {candidate} {kind}, covered long")
+
+
+def _uncovered(pairs: DataFrame, chosen: list[tuple], id_: str, candidate: str) -> DataFrame:
+    """``pairs`` of demand that no chosen candidate covers."""
+    if not chosen:
+        return pairs
+    done = pairs.join(F.broadcast(pairs.sparkSession.createDataFrame(chosen, f"{candidate} {dict(pairs.dtypes)[candidate]}")), candidate)
+    return pairs.join(done.select(id_).distinct(), id_, "left_anti")
 
 
 def zone_hotspots(cases: DataFrame, points: DataFrame, zones: DataFrame, km: float, k: int, *, zone: str, point: str, risk: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from lostfound.functions.columns import haversine_km
 from lostfound.operators.geo import nearest_k, within_radius
 
+#: Goals of a start up to which its search is bounded by landmarks; starts x nodes from which that pays.
+MOST_GOALS, MANY_STATES = 64, 2_000_000
+
 
 def graph_nodes(**kinds: DataFrame) -> DataFrame:
     """(id, kind, name, lat, lng) of all kinds; ids are ``kind:name`` (G1). Each table has name, lat, lng."""
@@ -64,18 +68,24 @@ def avoid(edges: DataFrame, blocked: DataFrame, penalty: float | None = None) ->
     return edges.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", (F.col("km") + more).alias("km"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, closed: DataFrame | None = None, prune: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """(source, node, km, path) from every source (G5): each round relaxes the nodes that improved in the last, until none does.
 
-    ``edges`` are directed (see :func:`directed`); a tie in length keeps the smaller path. One checkpoint a round. Raises if nodes still improve
-    after ``max_hops`` rounds; without ``max_hops`` there is no such bound.
+    ``edges`` are directed (see :func:`directed`). Paths within 1e-9 km of each other tie: that with fewer steps is kept, of two found in one round the shorter, then
+    the smaller. A node of ``closed`` (id) ends every path that reaches it, but for paths from itself. ``prune`` (offers, best so far) may
+    drop offers (source, node, km, path) that nobody asks for. One checkpoint a round. Raises if nodes still improve after ``max_hops``
+    rounds; without ``max_hops`` there is no such bound.
     """
-    edges = edges.select("src", "dst", "km").checkpoint()
+    edges = edges.select("src", "dst", "km")
+    shut = edges.sparkSession.createDataFrame([], f"src {dict(edges.dtypes)['src']}") if closed is None else closed.select(F.col("id").alias("src")).distinct()
+    edges = edges.join(shut.withColumn("_shut", F.lit(True)), "src", "left").select(F.col("src").alias("node"), "dst", F.col("km").alias("_e"), F.coalesce("_shut", F.lit(False)).alias("_shut")).checkpoint()
     best = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("km"), F.array("id").alias("path")).distinct()
     front = best
     for _ in itertools.count() if max_hops is None else range(max_hops):
-        step = front.join(edges.select(F.col("src").alias("node"), "dst", F.col("km").alias("_e")), "node").select("source", F.col("dst").alias("node"), (F.col("km") + F.col("_e")).alias("km"), F.concat("path", F.array("dst")).alias("path"))
+        step = front.join(edges, "node").filter(~F.col("_shut") | (F.col("node") == F.col("source"))).select("source", F.col("dst").alias("node"), (F.col("km") + F.col("_e")).alias("km"), F.concat("path", F.array("dst")).alias("path"))
         offer = step.groupBy("source", "node").agg(F.min(F.struct("km", "path")).alias("_n"))
+        if prune is not None:
+            offer = prune(offer.select("source", "node", "_n.km", "_n.path"), best).select("source", "node", F.struct("km", "path").alias("_n"))
         old = best.select("source", "node", F.struct("km", "path").alias("_o"))
         both = old.join(offer, ["source", "node"], "full_outer").withColumn("_better", F.col("_o").isNull() | F.coalesce(F.col("_n.km") < F.col("_o.km") - 1e-9, F.lit(False)))
         pick = F.when(F.col("_better"), F.col("_n")).otherwise(F.col("_o"))
@@ -87,13 +97,40 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
     raise ValueError(f"nodes still improve after {max_hops} rounds; paths have more edges than max_hops")
 
 
-def best_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """(start, goal, distance_km, path, steps) of a batch of requests (G6). Blocked places are avoided unless a request starts or ends there; an unreachable goal has a null distance."""
-    usable = directed(edges)
-    if blocked is not None:
-        ends = requests.select(F.col("start").alias("id")).union(requests.select(F.col("goal").alias("id"))).distinct()
-        usable = avoid(usable, blocked.select("id").join(ends, "id", "left_anti"))
-    found = shortest_paths(usable, requests.select(F.col("start").alias("id")), max_hops)
+def landmark_bounds(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, far): distances of each node from the northernmost, southernmost, easternmost and westernmost one, null where there is no way. |far(a) - far(b)| is never more than the way from a to b."""
+    ends = nodes.agg(*[f("id", c).alias(f"{c}{i}") for c in ("lat", "lng") for i, f in enumerate((F.min_by, F.max_by))])
+    marks = ends.select(F.posexplode(F.array("lat0", "lat1", "lng0", "lng1")).alias("_i", "id")).filter("id is not null").checkpoint()
+    ways = shortest_paths(directed(edges), marks.select("id").distinct(), max_hops).join(marks.withColumnRenamed("id", "source"), "source")
+    return ways.groupBy(F.col("node").alias("id")).agg(F.array(*[F.max(F.when(F.col("_i") == i, F.col("km"))) for i in range(4)]).alias("far"))
+
+
+def best_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_hops: int | None = None, *, landmarks: bool | None = None) -> DataFrame:
+    """(start, goal, distance_km, path, steps) of a batch of requests (G6). A request may start or end at a blocked place, but never passes through one, whatever the others ask for; an unreachable goal has a null distance.
+
+    Requests of one start share its search: a blocked place ends each of its paths, and so does what no goal needs. With ``landmarks``, a place is
+    left out once its distance and the least way from it to any goal of the start, by :func:`landmark_bounds`, exceed the longest
+    route the start still needs; by default for more than ``MANY_STATES`` starts x nodes. Routes are the same either way. Edges are the same in both directions.
+    """
+    asked = requests.select("start", "goal").distinct()
+    prune = None
+    if landmarks is None:
+        landmarks = asked.select("start").distinct().count() * nodes.count() > MANY_STATES
+    if landmarks:
+        far = landmark_bounds(nodes, edges, max_hops).checkpoint()
+        # a start with many goals is searched in full, so no row holds a long list
+        few = asked.groupBy("start").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_GOALS)
+        goals = asked.join(few, "start").join(far.select(F.col("id").alias("goal"), F.col("far").alias("_goal_far")), "goal", "left").groupBy(F.col("start").alias("source"), "_n").agg(F.collect_set("_goal_far").alias("_fars")).checkpoint()
+        gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x.isNull() != y.isNull(), F.lit(float("inf"))).otherwise(F.coalesce(F.abs(x - y), F.lit(0.0)))), F.lit(0.0), lambda x, y: F.greatest(x, y))
+
+        def prune(offers: DataFrame, best: DataFrame) -> DataFrame:
+            reached = best.join(asked.select(F.col("start").alias("source"), F.col("goal").alias("node")), ["source", "node"]).groupBy("source").agg(F.max("km").alias("_most"), F.count("*").alias("_got"))
+            known = goals.join(reached, "source").filter("_got = _n").select("source", "_fars", "_most")
+            held = offers.join(known, "source", "left").join(far.select(F.col("id").alias("node"), "far"), "node", "left")
+            least = F.col("km") + F.coalesce(F.array_min(F.transform("_fars", lambda g: gap(F.col("far"), g))), F.lit(0.0))
+            return held.filter(F.coalesce(least <= F.col("_most") + 1e-6, F.lit(True))).select("source", "node", "km", "path")
+
+    found = shortest_paths(directed(edges), asked.select(F.col("start").alias("id")).distinct(), max_hops, blocked, prune)
     routes = requests.join(found.select(F.col("source").alias("start"), F.col("node").alias("goal"), F.col("km").alias("distance_km"), "path"), ["start", "goal"], "left")
     names = routes.select("start", "goal", F.posexplode("path").alias("_i", "id")).join(nodes.select("id", "name", "lat", "lng"), "id")
     named = names.groupBy("start", "goal").agg(F.transform(F.array_sort(F.collect_set(F.struct("_i", "name", "lat", "lng"))), lambda x: F.struct(x["name"].alias("name"), x["lat"].alias("lat"), x["lng"].alias("lng"))).alias("path"))
@@ -111,6 +148,8 @@ def match_pattern(triples: DataFrame, predicates: list[str]) -> DataFrame:
 
 
 def degree(edges: DataFrame) -> DataFrame:
-    """(id, n, rank): neighbours of each node, most first."""
-    n = directed(edges).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n"))
-    return n.withColumn("rank", F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"))))
+    """(id, n, rank): neighbours of each node, most first. The few distinct numbers of neighbours are ranked, not the nodes."""
+    n = directed(edges).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n")).checkpoint()
+    before = F.sum("_c").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = n.groupBy("n").agg(F.count("*").alias("_c")).select("n", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias("rank"))
+    return n.join(ranks, "n").select("id", "n", "rank")

@@ -198,58 +198,116 @@ def equal_sets(df: DataFrame, id_: str, tokens: str) -> tuple[DataFrame, DataFra
     return owned.filter("_id = _o").dropDuplicates(["_id"]).select("_id", "_t"), owned.filter("_id <> _o").select(F.col("_o").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("jaccard"))
 
 
+#: Longs of a set's parity bits.
+PARITY = 8
+
+
 def token_join(df: DataFrame, *, id_: str, tokens: str, least: float) -> DataFrame:
     """(a, b, jaccard), a < b, of token sets at least ``least`` similar, exactly.
 
     Equal sets meet as one row first: their smallest id stands for all in the pairs with other sets, and has a pair of similarity 1 with each of the others,
-    so n copies give n - 1 pairs. Tokens are compared by 64-bit hashes, ordered by rarity, and only a row's rarest ones are
-    indexed: two sets this similar must share one of them. Rows with no tokens match nothing.
+    so n copies give n - 1 pairs. Tokens are compared by 64-bit hashes, ordered by rarity, and only a row's rarest ones are indexed: two sets this similar must share
+    one of them. Rows that meet there are held against three bounds before the sets are: their sizes, what they can still share after the
+    places of the common token, and the bits in which the parities of their tokens differ. Rows with no tokens match nothing.
     """
+    met, rows, same = token_candidates(df, id_=id_, tokens=tokens, least=least)
+    joined = met.join(rows.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(rows.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
+    shared = F.size(F.array_intersect("_ta", "_tb"))
+    near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
+    return near.unionByName(same)
+
+
+def token_candidates(df: DataFrame, *, id_: str, tokens: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs a, b that no bound of :func:`token_join` rules out; distinct sets ``_id, _t``; pairs of equal sets)."""
     rows, same = equal_sets(df, id_, tokens)
     rows = rows.checkpoint()
     long = rows.select("_id", F.size("_t").alias("_n"), F.explode("_t").alias("_w"))
-    ordered = long.join(long.groupBy("_w").agg(F.count("*").alias("_f")), "_w").withColumn("_p", F.row_number().over(Window.partitionBy("_id").orderBy("_f", "_w")))
-    prefix = ordered.filter(F.col("_p") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).filter("_f > 1").select("_id", "_n", "_w").checkpoint()
+    own = Window.partitionBy("_id")
+    bit = F.expr("shiftleft(1L, cast(pmod(_w, 64) as int))")
+    parity = [F.bit_xor(F.when(F.pmod(F.shiftright("_w", 6), F.lit(PARITY)) == i, bit).otherwise(F.lit(0).cast("long"))).over(own) for i in range(PARITY)]
+    ordered = long.join(long.groupBy("_w").agg(F.count("*").alias("_f")), "_w").withColumn("_p", F.row_number().over(own.orderBy("_f", "_w"))).withColumn("_bits", F.array(*parity))
+    prefix = ordered.filter(F.col("_p") <= F.col("_n") - F.ceil(F.lit(least) * F.col("_n") - 1e-9) + 1).filter("_f > 1").select("_id", "_n", "_w", "_p", "_bits").checkpoint()
     x, y = prefix.alias("x"), prefix.alias("y")
     close = F.least("x._n", "y._n") >= F.lit(least) * F.greatest("x._n", "y._n") - 1e-9
-    met = x.join(y, (F.col("x._w") == F.col("y._w")) & (F.col("x._id") < F.col("y._id")) & close).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
-    joined = met.join(rows.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(rows.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
-    shared = F.size(F.array_intersect("_ta", "_tb"))
-    near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
-    return near.unionByName(same)
+    both = F.col("x._n") + F.col("y._n")
+    wanted = F.ceil(F.lit(least / (1 + least)) * both - 1e-9)  # tokens that sets of these sizes must share
+    reach = F.least("x._p", "y._p") + F.least(F.col("x._n") - F.col("x._p"), F.col("y._n") - F.col("y._p")) >= wanted
+    apart = sum((F.bit_count(F.element_at("x._bits", i).bitwiseXOR(F.element_at("y._bits", i))) for i in range(1, PARITY + 1)), F.lit(0)) <= both - 2 * wanted
+    met = x.join(y, (F.col("x._w") == F.col("y._w")) & (F.col("x._id") < F.col("y._id")) & close & reach & apart).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    return met, rows, same
+
+
+#: Terms of a transcript, those that can add most, that choose the cases which give its floor; cases scored for it, in multiples of k.
+LEAD_TERMS, LEAD_CASES = 8, 4
 
 
 def transcript_candidates(transcripts: DataFrame, cases: DataFrame, k: int, *, query_id: str, case_id: str, tokens: str = "tokens") -> DataFrame:
     """(query_id, case_id, score, rank): cases by TF-IDF cosine to each transcript (E11). Frequencies are counted over all cases.
 
-    The cases' words are stored once. Every case keeps its norm; only the words that a transcript has meet the transcripts.
+    Cases that cannot be among the k best are not scored. The terms that can add most to a transcript's scores choose a few cases, and the k-th of their scores is
+    a floor. Cases are blocked by norm, and each block knows the most that a term adds there: terms that together stay under the floor name no
+    candidates of the block, and a case under the other terms is kept if what it has and the most that the terms left out can
+    add reach the floor. The rows are those of scoring all cases.
     """
+    candidates, mine, weighed, qnorms = _may_reach(transcripts, cases, k, query_id, case_id, tokens)
+    more = candidates.join(mine.filter("_late").select("_q", "_b", "_w", "_y"), ["_q", "_b"]).join(weighed, ["_w", "_c", "_b"]).groupBy("_q", "_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("_more"))
+    dots = candidates.join(more, ["_q", "_c"], "left").withColumn("_d", F.col("_part") + F.coalesce("_more", F.lit(0.0)))
+    scored = dots.join(qnorms, "_q").withColumn("score", F.round(F.try_divide(F.col("_d"), F.col("_qn")), 6)).filter("score > 0")
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_c"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), F.col("_c").alias(case_id), "score", "rank")
+
+
+def _may_reach(transcripts: DataFrame, cases: DataFrame, k: int, query_id: str, case_id: str, tokens: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates ``_q, _c, _b, _part``; terms of transcripts by block with ``_late``, those that name no candidates; weights over norm of cases; norms of transcripts)."""
     terms = cases.select(F.col(case_id).alias("_c"), F.explode(tokens).alias("_w")).groupBy("_c", "_w").agg(F.count("*").alias("_tf")).checkpoint()
     n = cases.agg(F.count("*").alias("_n"))
     idf = terms.groupBy("_w").agg(F.count("*").alias("_df")).crossJoin(F.broadcast(n)).select("_w", F.ln((F.col("_n") + 1) / (F.col("_df") + 1)).alias("_idf"))
     asked = transcripts.select(F.col(query_id).alias("_q"), F.explode(tokens).alias("_w")).groupBy("_q", "_w").agg(F.count("*").alias("_qf"))
     known = asked.select("_w").distinct().withColumn("_in", F.lit(True))
-    weighed = terms.join(idf.join(known, "_w", "left"), "_w").select("_c", "_w", "_in", (F.col("_tf") * F.col("_idf")).alias("_x")).checkpoint()
-    norms = weighed.groupBy("_c").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_cn"), F.max("_in").alias("_in")).filter("_in").drop("_in")
-    mine = asked.join(idf, "_w").select("_q", "_w", (F.col("_qf") * F.col("_idf")).alias("_y"))
+    all_ = terms.join(idf.join(known, "_w", "left"), "_w").select("_c", "_w", "_in", (F.col("_tf") * F.col("_idf")).alias("_x"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy("_c")))
+    weighed = all_.withColumn("_cn", norm).filter("_in and _x > 0").select("_c", "_w", (F.col("_x") / F.col("_cn")).alias("_x"), F.floor(2 * F.log2("_cn")).alias("_b")).checkpoint()
+    most = weighed.groupBy("_w", "_b").agg(F.max("_x").alias("_top"))
+    mine = asked.join(idf, "_w").select("_q", "_w", (F.col("_qf") * F.col("_idf")).alias("_y")).checkpoint()
     qnorms = mine.groupBy("_q").agg(F.sqrt(F.sum(F.col("_y") * F.col("_y"))).alias("_qn"))
-    dots = mine.join(weighed.filter("_in").select("_c", "_w", "_x"), "_w").groupBy("_q", "_c").agg(F.sum(F.col("_x") * F.col("_y")).alias("_d"))
-    scored = dots.join(norms, "_c").join(qnorms, "_q").withColumn("score", F.round(F.try_divide(F.col("_d"), F.col("_cn") * F.col("_qn")), 6)).filter("score > 0")
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_c"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), F.col("_c").alias(case_id), "score", "rank")
+    summed = F.sum(F.col("_x") * F.col("_y"))
+
+    best = lambda df, score, m: df.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc(score), "_c"))).filter(F.col("_r") <= m)
+    gain = mine.join(most.groupBy("_w").agg(F.max("_top").alias("_top")), "_w").withColumn("_i", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc(F.col("_y") * F.col("_top")), "_w")))
+    lead = best(gain.filter(F.col("_i") <= LEAD_TERMS).join(weighed, "_w").groupBy("_q", "_c").agg(summed.alias("_part")), "_part", LEAD_CASES * k).select("_q", "_c")
+    sure = lead.join(mine, "_q").join(weighed, ["_w", "_c"]).groupBy("_q", "_c").agg(summed.alias("_d"))
+    # scores are rounded to six digits, so the floor is a little lower than the k-th of these
+    floors = best(sure, "_d", k).filter(F.col("_r") == k).join(qnorms, "_q").select("_q", (F.col("_d") - 2e-6 * F.col("_qn")).alias("_floor"))
+
+    # the most that a term and all that can add less may give, in each block
+    rest = F.sum(F.col("_y") * F.col("_top")).over(Window.partitionBy("_q", "_b").orderBy(F.desc(F.col("_y") * F.col("_top")), "_w").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    blocked = mine.join(most, "_w").withColumn("_rest", rest).join(floors, "_q", "left").withColumn("_late", F.coalesce(F.col("_rest") < F.col("_floor"), F.lit(False))).checkpoint()
+    left_out = blocked.groupBy("_q", "_b").agg(F.coalesce(F.max(F.when(F.col("_late"), F.col("_rest"))), F.lit(0.0)).alias("_add"), F.max("_floor").alias("_floor"))
+    parts = blocked.filter("not _late").select("_q", "_w", "_b", "_y").join(weighed, ["_w", "_b"]).groupBy("_q", "_c", "_b").agg(summed.alias("_part"))
+    candidates = parts.join(left_out, ["_q", "_b"]).filter(F.coalesce(F.col("_part") + F.col("_add") >= F.col("_floor"), F.lit(True))).select("_q", "_c", "_b", "_part").checkpoint()
+    return candidates, blocked, weighed, qnorms
+
+
+def usable_vector(v: str) -> Column:
+    """Whether a vector has a direction: not null, not all zero, no component null, infinite or undefined."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.coalesce(F.exists(v, lambda x: x != 0) & ~F.exists(v, odd), F.lit(False))
 
 
-def embedding_topk(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, *, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", query_block: int = QUERY_BLOCK, gallery_block: int = GALLERY_BLOCK) -> DataFrame:
+def embedding_topk(queries: DataFrame, gallery: DataFrame, k: int, least: float = -1.0, *, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", others: bool = False, query_block: int = QUERY_BLOCK, gallery_block: int = GALLERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, score, rank) by exact cosine (E12, I2): queries and gallery are dealt to blocks, each pair of blocks meets in one task and keeps its own best, the best of all are kept.
 
-    Null and zero vectors and such with null components take no part; ties go by the smaller id. Only the two row counts reach the driver.
+    Null and zero vectors, such with null, infinite or undefined components, and such of another length than most of the gallery (the longest, on a
+    tie) take no part; ties go by the smaller id. With ``others``, a gallery vector of the query's own id is left out. Only counts reach the driver.
     """
     spark = gallery.sparkSession
-    usable = lambda c: F.exists(c, lambda x: x != 0) & ~F.exists(c, lambda x: x.isNull() | F.isnan(x))
-    q = queries.select(F.col(query_id).alias("_q"), F.col(embedding).cast("array<double>").alias("_v")).filter(F.coalesce(usable("_v"), F.lit(False)))
-    g = gallery.select(F.col(vec_id).alias("_g"), F.col(embedding).cast("array<double>").alias("_v")).filter(F.coalesce(usable("_v"), F.lit(False)))
+    q = queries.select(F.col(query_id).alias("_q"), F.col(embedding).cast("array<double>").alias("_v")).filter(usable_vector("_v"))
+    g = gallery.select(F.col(vec_id).alias("_g"), F.col(embedding).cast("array<double>").alias("_v")).filter(usable_vector("_v"))
+    sizes = g.groupBy(F.size("_v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    dim, n_gallery = (sizes[0]["dim"], sizes[0]["n"]) if sizes else (0, 0)
+    q, g = q.filter(F.size("_v") == dim), g.filter(F.size("_v") == dim)
     deal = lambda n: F.array(*[F.lit(i) for i in range(n)]) if n <= 64 else F.sequence(F.lit(0), F.lit(n - 1))
-    nq, ng = max(1, -(-q.count() // query_block)), max(1, -(-g.count() // gallery_block), min(spark.sparkContext.defaultParallelism, 64))
+    nq, ng = max(1, -(-q.count() // query_block)), max(1, -(-n_gallery // gallery_block), min(spark.sparkContext.defaultParallelism, 64))
     q = q.withColumn("_a", F.pmod(F.xxhash64("_q"), F.lit(nq)).cast("int")).withColumn("_b", F.explode(deal(ng)))
     g = g.withColumn("_b", F.pmod(F.xxhash64("_g"), F.lit(ng)).cast("int")).withColumn("_a", F.explode(deal(nq)))
 
@@ -261,8 +319,10 @@ def embedding_topk(queries: DataFrame, gallery: DataFrame, k: int, least: float
         parts = []
         for lo in range(0, len(asked), 256):
             s = np.round(unit(asked["_v"].iloc[lo : lo + 256]) @ x.T, 6)
+            if others:
+                s[ids[lo : lo + 256, None] == v] = -2  # below any cosine
             cut = -np.partition(-s, k - 1, axis=1)[:, k - 1] if k < len(v) else s.min(axis=1)
-            row, hit = np.nonzero(s >= np.maximum(cut, least)[:, None])
+            row, hit = np.nonzero(s >= np.maximum(cut, max(least, -1))[:, None])
             order = np.lexsort((v[hit], -s[row, hit], row))
             row, hit = row[order], hit[order]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k

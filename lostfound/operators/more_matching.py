@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import equal_sets
+from lostfound.operators.matching import equal_sets, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
@@ -42,7 +42,8 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
     """(a, b, score) of vectors that share the signs of ``planes`` random hyperplanes in one of ``tables`` tables, with an exact cosine of ``least`` or more.
 
     Without ``tables``, :func:`tables_for` chooses their number. Equal vectors meet through their smallest id, so copies cost a row each.
-    Buckets of more than ``BUCKET`` vectors are dealt to blocks, and each pair of blocks meets on its own.
+    Buckets of more than ``BUCKET`` vectors are dealt to blocks, and each pair of blocks meets on its own. Vectors of another length than ``dim``, zero ones
+    and such with null, infinite or undefined components have no partners.
     """
     tables = tables_for(planes, least) if tables is None else tables
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
@@ -52,7 +53,7 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
         bits = (np.array(v.tolist(), dtype=float).reshape(-1, dim) @ normals.T > 0).reshape(-1, tables, planes)
         return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2)))
 
-    df = df.filter(F.size(embedding) == dim)
+    df = df.filter((F.size(embedding) == dim) & usable_vector(embedding))
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
     keyed = own.select("_id", F.posexplode(signatures("_v")).alias("_table", "_bits"))
     popular = keyed.groupBy("_table", "_bits").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_m")).filter("_m > 1")
@@ -70,10 +71,11 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
     return near.unionByName(same)
 
 
-def route_matches(matches: DataFrame, cameras: DataFrame, stations: DataFrame, *, camera: str, station: str) -> DataFrame:
-    """Matches with the camera's position and the nearest station."""
+def route_matches(matches: DataFrame, cameras: DataFrame, stations: DataFrame, *, camera: str, station: str, cases: DataFrame | None = None, case: str = "case_id", name: str = "name") -> DataFrame:
+    """Matches with the camera's position and the nearest station, and with ``cases`` the ``matched_name`` of the case, null where it is not known."""
     near = nearest_k(cameras, stations, 1, id_=camera, place=station).select(camera, station, "km")
-    return matches.join(cameras.select(camera, "lat", "lng"), camera).join(near, camera)
+    out = matches.join(cameras.select(camera, "lat", "lng"), camera).join(near, camera)
+    return out if cases is None else out.join(cases.select(case, F.col(name).alias("matched_name")), case, "left")
 
 
 def duplicate_share(cases: DataFrame, clusters: DataFrame, *, id_: str, center: str) -> DataFrame:

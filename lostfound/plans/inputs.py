@@ -14,6 +14,7 @@ from lostfound.operators import matching as M
 from lostfound.plans.streams import shared_dir
 from lostfound.sources import files as S
 
+# Age bands of the two kinds of records and the states of a case.
 BANDS = ("0-12", "13-17", "18-40", "41-60", "61-70", "71-80", "80+")
 OTHER_BANDS = ("0-12", "13-25", "26-40", "41-60", "61-70", "71-80", "80+")
 STATES = ("Reunited", "Pending", "Transferred to hospital", "Unresolved")
@@ -45,11 +46,11 @@ def report_files(s: SparkSession, d: str) -> str:
         F.concat(F.lit('Ghat "'), (i % 11).cast("string"), F.lit('"')).alias("last_seen_location"),
         F.concat(F.lit("Center "), (u % 10).cast("string")).alias("reporting_center"),
         F.when(i % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("+91 98"), F.lpad(u.cast("string"), 8, "0"))).alias("reporter_mobile"),
-        F.lit("red saree, old bag").alias("physical_description"),
+        F.when(i % 4 == 1, F.lit('red saree,\n"old" bag')).otherwise(F.lit("red saree, old bag")).alias("physical_description"),
         pick(STATES, i % 4).alias("status"),
         F.when(i % 4 == 0, F.col("value")).alias("resolution_hours"),
         pick(("true", "false"), i % 2).alias("is_duplicate_report"),
-        F.lit(None).cast("string").alias("remarks"),
+        F.when(i % 6 == 0, F.concat(F.lit("seen\nnear gate "), (i % 9).cast("string"))).alias("remarks"),
     )
     path = f"{shared_dir(s)}/reports"
     rows.write.option("header", True).option("escape", '"').csv(path)
@@ -61,7 +62,7 @@ STATUS = picked(STATES, "event_id % 4")
 
 
 def a1_read_cases(s, d):
-    return S.read_cases(s, report_files(s, d)).select("case_id", "reported_at", "missing_person_name", "last_seen_location", "status", F.col("_corrupt_record").isNull().alias("whole"))
+    return S.read_cases(s, report_files(s, d)).select("case_id", "reported_at", "missing_person_name", "last_seen_location", "physical_description", "remarks", "status", F.col("_corrupt_record").isNull().alias("whole"))
 
 
 def b1_to_case(s, d):
@@ -78,9 +79,9 @@ def b2_unify_registry(s, d):
 
 def b3_blank_to_null(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    text = F.when(F.col("event_id") % 3 == 0, F.lit(" \t ")).when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("event_type"))).otherwise(F.lit(""))
-    blanks = F.when(F.col("event_id") % 3 == 0, F.lit("   ")).otherwise(text)
-    return C.blank_to_null(e.select("event_id", blanks.alias("remarks")), ["remarks"])
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.lit(" \t ")).when(kind == 1, F.concat(F.lit(" \n"), F.col("event_type"), F.lit("\t "))).when(kind == 2, F.lit("\r\n")).when(kind == 3, F.lit("\u00a0\u3000")).otherwise(F.lit(""))
+    return C.blank_to_null(e.select("event_id", text.alias("remarks")), ["remarks"])
 
 
 def b8_ids(s, d):
@@ -125,8 +126,14 @@ def a3_read_placemarks(s, d):
 
 
 def a4_list_media(s, d):
-    c = s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "photos/region.parquet").when(F.col("c_custkey") % 3 == 1, "photos/gone.jpg").alias("photo_path"))
-    return S.list_media(s, f"{d}/region.parquet", c).select("c_custkey", "photo_path")
+    """Each center has a folder of files with the same names; every third report names its center's file in the folder of a center that has none."""
+    e = s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("user_id") % 10).alias("center"))
+    path = f"{shared_dir(s)}/media"
+    e.select("center").distinct().select(F.lit("a picture").alias("value"), "center").coalesce(1).write.partitionBy("center").text(path)
+    name = S.list_media(s, path).agg(F.min(F.element_at(F.split("file", "/"), -1)).alias("name"))
+    folder = F.concat(F.lit("center="), (F.col("center") + F.when(F.col("event_id") % 3 == 0, 10).otherwise(0)).cast("string"))
+    cases = e.crossJoin(F.broadcast(name)).select("event_id", F.when(F.col("event_id") % 7 != 0, F.concat(F.when(F.col("event_id") % 2 == 0, "/").otherwise(""), folder, F.lit("/"), F.col("name"))).alias("photo_path"))
+    return S.list_media(s, path, cases).select("event_id", F.regexp_extract("photo_path", "(center=[0-9]+)", 1).alias("folder"))
 
 
 def a5_write_registry(s, d):
@@ -141,13 +148,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _NAME = "CASE WHEN event_id % 7 <> 0 THEN 'Lakshmi, W' || user_id % 13 END"
 ORACLE = {
-    "a1_read_cases": f"""SELECT {CASE_ID} AS case_id, CASE WHEN event_id % 50 = 0 THEN 'not known' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS reported_at, {_NAME} AS missing_person_name, 'Ghat "' || event_id % 11 || '"' AS last_seen_location, {STATUS} AS status, true AS whole FROM events""",
+    "a1_read_cases": f"""SELECT {CASE_ID} AS case_id, CASE WHEN event_id % 50 = 0 THEN 'not known' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS reported_at, {_NAME} AS missing_person_name, 'Ghat "' || event_id % 11 || '"' AS last_seen_location, CASE WHEN event_id % 4 = 1 THEN 'red saree,' || chr(10) || '"old" bag' ELSE 'red saree, old bag' END AS physical_description, CASE WHEN event_id % 6 = 0 THEN 'seen' || chr(10) || 'near gate ' || event_id % 9 END AS remarks, {STATUS} AS status, true AS whole FROM events""",
     "b1_to_case": f"""SELECT {CASE_ID} AS case_id, CASE WHEN event_type = 'signup' THEN 'found' ELSE 'missing' END AS type, {_NAME} AS name, CASE WHEN event_id % 7 <> 0 THEN 'laxmi v' || user_id % 13 END AS name_normalized, {picked(("Male", "Female", "Unknown"), "event_id % 3")} AS gender,
         regexp_extract({picked(BANDS, "user_id % 7")}, '^\\d+')::INT AS low, nullif(regexp_extract({picked(BANDS, "user_id % 7")}, '-(\\d+)$', 1), '')::INT AS high, {picked(("Marathi", "Hindi", "Gujarati"), "user_id % 3")} AS language, 'District ' || user_id % 5 AS district, 'Center ' || user_id % 10 AS reporting_center,
         CASE WHEN event_id % 5 <> 0 THEN '98' || lpad(user_id::VARCHAR, 8, '0') END AS reporter_mobile, CASE WHEN event_id % 4 = 0 THEN 'Reunited' ELSE 'Active' END AS status, CASE WHEN event_id % 50 <> 0 THEN date_trunc('minute', ts) END AS reported_at, {STATUS} AS source_status,
         CASE WHEN event_id % 4 = 0 THEN round(value, 6) END AS resolution_hours, event_id % 2 = 0 AS is_duplicate_report FROM events""",
     "b2_unify_registry": f"SELECT {CASE_ID} AS case_id, CASE WHEN event_id % 2 = 1 THEN 'District ' || user_id % 5 END AS district, CASE WHEN event_id % 4 = 0 THEN 'Reunited' ELSE 'Active' END AS status FROM events",
-    "b3_blank_to_null": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN event_type END AS remarks FROM events",
+    "b3_blank_to_null": "SELECT event_id, CASE WHEN event_id % 5 = 1 THEN event_type END AS remarks FROM events",
     "b8_ids": "SELECT c_custkey, (c_custkey % 32 + 1)::INT AS camera_zone, c_custkey::INT AS camera_no, CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 32 + 1)::INT END AS zone_no FROM customer",
     "b9_place_aliases": "SELECT c_custkey, unnest(CASE WHEN c_custkey % 4 = 0 THEN ['Ghat ' || c_custkey, 'Old ghat', c_mktsegment] ELSE [c_name] END) AS alias FROM customer",
     "a2_read_places": """SELECT 'camera' AS kind, 'Z1-C' || c_custkey AS name, 19.5::DOUBLE + c_custkey % 7 AS lat, 73.25::DOUBLE + c_custkey % 5 AS lng FROM customer
@@ -155,6 +162,6 @@ ORACLE = {
         UNION ALL SELECT 'station', c_name || ', station', 19.5::DOUBLE + c_custkey % 7, 73.25::DOUBLE + c_custkey % 5 FROM customer WHERE c_custkey % 3 = 0
         UNION ALL SELECT 'point', c_name, 19.5::DOUBLE + c_custkey % 7, 73.25::DOUBLE + c_custkey % 5 FROM customer WHERE c_custkey % 3 = 1""",
     "a3_read_placemarks": """SELECT c_name AS name, 19.5::DOUBLE + c_custkey % 8 AS lat, 73.5::DOUBLE + c_custkey % 4 AS lng, c_mktsegment AS category, CASE WHEN c_custkey % 2 = 0 THEN 'open' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'high' END AS risk, NULL::VARCHAR AS source, CASE WHEN c_custkey % 2 = 1 THEN 'narrow' END AS note FROM customer""",
-    "a4_list_media": "SELECT c_custkey, 'photos/gone.jpg' AS photo_path FROM customer WHERE c_custkey % 3 = 1",
+    "a4_list_media": "SELECT event_id, 'center=' || user_id % 10 + 10 AS folder FROM events WHERE event_id % 3 = 0 AND event_id % 7 <> 0",
     "a5_write_registry": f"SELECT {CASE_ID} AS case_id, CASE WHEN event_id % 50 <> 0 THEN ts::DATE END AS report_date, CASE WHEN event_id % 4 = 0 THEN 'Reunited' ELSE 'Active' END AS status FROM events",
 }

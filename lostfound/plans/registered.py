@@ -6,6 +6,7 @@ zones, documents descriptions, embeddings faces. Each query runs over whole tabl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -311,6 +312,7 @@ def e5_one_to_one(s, d):
     return M.one_to_one(flagship_match(s, d))
 
 
+# First and last year of each age band.
 LOW, HIGH = (0, 13, 18, 41, 61, 71, 80), (12, 17, 40, 60, 70, 80, 200)
 LOW2, HIGH2 = (0, 13, 26, 41, 61, 71, 80), (12, 25, 40, 60, 70, 80, 200)
 
@@ -408,13 +410,13 @@ def e11_transcripts(s, d):
     return M.transcript_candidates(asked, described(s, d), 3, query_id="item_id", case_id="doc_id")
 
 
-_COS = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), j AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM j) SELECT query_id, vec_id, score, rank::INT AS rank FROM k WHERE rank <= 3"
+_COS = "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), j AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS score FROM q, embeddings e WHERE e.vec_id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM j) SELECT query_id, vec_id, score, rank::INT AS rank FROM k WHERE rank <= 3"
 
 
 @query(_COS)
 def e12_embedding_topk(s, d):
     e = t(s, d, "embeddings")
-    return M.embedding_topk(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 3)
+    return M.embedding_topk(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e, 3, others=True)
 
 
 @query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, v FROM e UNION ALL SELECT vec_id + 1000000000, list_transform(v, lambda x, i: x + 0.25 * v[i % 64 + 1]) FROM e)
@@ -435,10 +437,12 @@ def e14_fuse(s, d):
 
 
 @query(f"""WITH {P}, {S}, x AS ({_COS}), j AS (SELECT point, station, {km('p', 's')} AS km FROM p, s), o AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY km, station) AS n FROM j)
-SELECT query_id, x.vec_id AS point, score, rank, p.lat, p.lng, o.station, o.km FROM x JOIN p ON p.point = x.vec_id JOIN o ON o.point = x.vec_id AND n = 1""")
+SELECT query_id, x.vec_id AS point, x.vec_id + 1 AS case_id, score, rank, p.lat, p.lng, o.station, o.km, c_name AS matched_name FROM x JOIN p ON p.point = x.vec_id JOIN o ON o.point = x.vec_id AND n = 1 LEFT JOIN customer ON c_custkey = x.vec_id + 1 AND c_custkey % 5 <> 0""")
 def e15_route_matches(s, d):
-    found = e12_embedding_topk(s, d).withColumnRenamed("vec_id", "point")
-    return MM.route_matches(found, points(s, d), stations(s, d), camera="point", station="station")
+    """A face was seen by the camera of its own number and belongs to the case after it; every fifth case has no name."""
+    found = e12_embedding_topk(s, d).withColumnRenamed("vec_id", "point").withColumn("case_id", F.col("point") + 1)
+    named = t(s, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("long").alias("case_id"), F.col("c_name").alias("name"))
+    return MM.route_matches(found, points(s, d), stations(s, d), camera="point", station="station", cases=named)
 
 
 @query(f"WITH {R}, e AS (SELECT max(reported_at) AS now FROM r) SELECT case_id, reported_at, zone FROM r, e WHERE floor(epoch(now)) - floor(epoch(reported_at)) > 72 * 3600 AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 100)")
@@ -555,13 +559,15 @@ def f9_project_load(s, d):
     return A.project_load(profile, 1_000_000, 0.001, 48).withColumn("expected", F.round("expected", 6))
 
 
-_STEPS = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for b, k in ((0.36787944117144233, 0), (0.7357588823428847, 1), (0.9196986029286058, 2), (0.9810118431238462, 3), (0.9963401531726563, 4), (0.9994058151824183, 5), (0.9999167588507119, 6), (0.9999897508033253, 7))) + " ELSE 8 END"
+_LN_FACTORIAL = f"CASE WHEN k >= 10 THEN k * ln(k::DOUBLE) - k + 0.5 * ln({2 * math.pi!r} * k) + 1 / (12 * k::DOUBLE) - 1 / (360 * power(k::DOUBLE, 3)) + 1 / (1260 * power(k::DOUBLE, 5)) ELSE ln(factorial(least(k, 9)::INT)::DOUBLE) END"
 
 
-@query(f"""WITH {R}, g AS (SELECT zone, ('0x' || substr(md5('1:' || case_id || ':' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, rep FROM r, (SELECT unnest(range(1, 21)) AS rep)),
-n AS (SELECT zone, rep, sum({_STEPS}) AS n FROM g GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY n DESC, zone) <= 5 AS top FROM n) SELECT zone, round(quantile_cont(n, 0.05), 6)::DOUBLE AS p05, round(quantile_cont(n, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95, round(avg(top::INT), 6)::DOUBLE AS in_top FROM k GROUP BY 1""")
+@query(f"""WITH {R}, c AS (SELECT zone, count(*) AS n FROM r GROUP BY 1), s AS (SELECT zone, n, unnest(range(greatest(0, floor(n - 10 * sqrt(n) - 10))::BIGINT, ceil(n + 10 * sqrt(n) + 10)::BIGINT + 1)) AS k FROM c),
+p AS (SELECT zone, k, sum(exp(k * ln(n::DOUBLE) - n - {_LN_FACTORIAL})) OVER (PARTITION BY zone ORDER BY k) AS upto FROM s), q AS (SELECT *, lag(upto, 1, 0.0::DOUBLE) OVER (PARTITION BY zone ORDER BY k) AS below FROM p),
+g AS (SELECT zone, rep, ('0x' || substr(md5('1:' || zone || ':' || rep), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM c, (SELECT unnest(range(1, 21)) AS rep)), n AS (SELECT g.zone, rep, k AS n FROM g JOIN q ON g.zone = q.zone AND u >= below AND u < upto),
+t AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY n DESC, zone) <= 5 AS top FROM n) SELECT zone, round(quantile_cont(n, 0.05), 6)::DOUBLE AS p05, round(quantile_cont(n, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n, 0.95), 6)::DOUBLE AS p95, round(avg(top::INT), 6)::DOUBLE AS in_top FROM t GROUP BY 1""")
 def f10_bootstrap(s, d):
-    return A.bootstrap_hotspots(reports(s, d), "zone", "case_id", 20, 5).withColumns({c: F.round(c, 6) for c in ("p05", "p50", "p95", "in_top")})
+    return A.bootstrap_hotspots(reports(s, d), "zone", 20, 5).withColumns({c: F.round(c, 6) for c in ("p05", "p50", "p95", "in_top")})
 
 
 @query(f"""WITH {R}, e AS (SELECT center, reported_at AS "at", 1 AS d FROM r UNION ALL SELECT center, reported_at + INTERVAL 1 HOUR * (case_id % 48), -1 FROM r WHERE event_type = 'signup'), n AS (SELECT center, "at", sum(d)::BIGINT AS d FROM e GROUP BY 1, 2), o AS (SELECT center, "at", sum(d) OVER (PARTITION BY center ORDER BY "at")::BIGINT AS open FROM n)
@@ -676,13 +682,14 @@ def g4_avoid(s, d):
     return N.avoid(N.proximity_edges(v, 1.0, 2), v.filter("kind = 'zone'"))
 
 
-def _shortest(rounds: int) -> str:
-    """Distances from every zone, one round of relaxing at a time; nodes 4 km apart or less are joined, so paths are short."""
+def _shortest(rounds: int, closed: str | None = None) -> str:
+    """Distances from every zone, one round of relaxing at a time; nodes 4 km apart or less are joined, so paths are short. Those of the view ``closed`` are left by their own paths only."""
+    leave = f" AND (node = source OR node NOT IN (SELECT id FROM {closed}))" if closed else ""
     raw = km("x", "y").removeprefix("round(").removesuffix(", 6)")
     near = f"a AS MATERIALIZED (SELECT x.id, y.id AS dst, {km('x', 'y')} AS km, {raw} AS raw FROM v x, v y), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, dst) AS n FROM a), e AS MATERIALIZED (SELECT least(id, dst) AS src, greatest(id, dst) AS dst, min(raw) AS km FROM b WHERE id <> dst AND (km <= 4 OR n <= 3) GROUP BY 1, 2)"
     out = [near, "w AS MATERIALIZED (SELECT src, dst, km FROM e UNION ALL SELECT dst, src, km FROM e)", "d0 AS MATERIALIZED (SELECT id AS source, id AS node, 0.0::DOUBLE AS km FROM v WHERE kind = 'zone')"]
     for i in range(1, rounds + 1):
-        out.append(f"d{i} AS MATERIALIZED (SELECT source, node, min(km) AS km FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, d{i - 1}.km + w.km FROM d{i - 1} JOIN w ON src = node) GROUP BY 1, 2)")
+        out.append(f"d{i} AS MATERIALIZED (SELECT source, node, min(km) AS km FROM (SELECT * FROM d{i - 1} UNION ALL SELECT source, dst, d{i - 1}.km + w.km FROM d{i - 1} JOIN w ON src = node{leave}) GROUP BY 1, 2)")
     return ", ".join(out)
 
 
@@ -693,17 +700,26 @@ def g5_shortest(s, d):
     return N.shortest_paths(edges, v.filter("kind = 'zone'")).select("source", "node", F.round("km", 6).alias("km"))
 
 
-@query(f"WITH {V}, {_shortest(24)}, g AS (SELECT min(id) AS goal FROM v WHERE kind = 'zone') SELECT id AS start, goal, round(d24.km, 6) AS distance_km, d24.km IS NOT NULL AS whole FROM v, g LEFT JOIN d24 ON source = v.id AND node = goal WHERE kind = 'zone'")
+#: Places that routes avoid: two thirds of the stations and every third zone.
+_BLOCKED = "(kind = 'station' AND name::INT % 3 <> 0) OR (kind = 'zone' AND name::INT % 3 = 0)"
+
+
+@query(f"WITH {V}, k AS (SELECT id FROM v WHERE {_BLOCKED}), {_shortest(24, 'k')}, g AS (SELECT unnest([min(id), max(id)]) AS goal FROM v WHERE kind = 'zone') SELECT id AS start, goal, round(d24.km, 6) AS distance_km, d24.km IS NOT NULL AS whole, d24.km IS NOT NULL AS clear FROM v, g LEFT JOIN d24 ON source = v.id AND node = goal WHERE kind = 'zone'")
 def g6_routes(s, d):
-    """Starts and goal are zones, so no zone is blocked for them. A whole route begins at its start, ends at its goal, and has a step for each place."""
+    """From every zone to two of them, some of them blocked. A whole route begins at its start, ends at its goal, has a step for each place, and its ways add up; a clear one passes through no blocked place."""
     v = nodes(s, d)
+    shut = v.filter("(kind = 'station' and cast(name as int) % 3 <> 0) or (kind = 'zone' and cast(name as int) % 3 = 0)")
     z = v.filter("kind = 'zone'")
-    ends = z.agg(F.min("id").alias("goal"))
+    ends = z.agg(F.array(F.min("id"), F.max("id")).alias("_g")).select(F.explode("_g").alias("goal"))
     asked = z.select(F.col("id").alias("start")).crossJoin(F.broadcast(ends))
-    found = N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2, exact=True), blocked=z)
+    found = N.best_routes(asked, v, N.proximity_edges(v, 4.0, 2, exact=True), blocked=shut)
     name = lambda c: F.substring_index(c, ":", -1)
-    whole = (F.element_at("path", 1)["name"] == name(F.col("start"))) & (F.element_at("path", -1)["name"] == name(F.col("goal"))) & (F.size("steps") == F.size("path"))
-    return found.select("start", "goal", F.round("distance_km", 6).alias("distance_km"), F.coalesce(whole, F.lit(False)).alias("whole"))
+    far = F.aggregate(F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(1))), F.slice("path", 2, F.size("path")), lambda a, b: F.coalesce(C.haversine_km(a["lat"], a["lng"], b["lat"], b["lng"]), F.lit(0.0))), F.lit(0.0), lambda x, y: x + y)
+    whole = (F.element_at("path", 1)["name"] == name(F.col("start"))) & (F.element_at("path", -1)["name"] == name(F.col("goal"))) & (F.size("steps") == F.size("path")) & (F.abs(far - F.col("distance_km")) < 1e-6)
+    # places between the ends, by their coordinates, as stations and zones share names
+    through = found.select("start", "goal", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("_p"))
+    met = through.join(shut.select("name", "lat", "lng"), (F.col("_p.name") == F.col("name")) & (F.col("_p.lat") == F.col("lat")) & (F.col("_p.lng") == F.col("lng"))).select("start", "goal").distinct().withColumn("_met", F.lit(True))
+    return found.join(met, ["start", "goal"], "left").select("start", "goal", F.round("distance_km", 6).alias("distance_km"), F.coalesce(whole, F.lit(False)).alias("whole"), (F.col("distance_km").isNotNull() & F.col("_met").isNull()).alias("clear"))
 
 
 @query(f"WITH {V}, {T} SELECT x.subject AS n0, x.object AS n1, y.object AS n2 FROM t x JOIN t y ON x.object = y.subject WHERE x.predicate = 'near' AND y.predicate = 'located_in'")

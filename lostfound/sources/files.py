@@ -20,8 +20,11 @@ REPORT_SCHEMA = ", ".join(f"{c} string" for c in REPORT_COLUMNS) + ", _corrupt_r
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """The report CSV as text columns; rows that do not fit keep their line in ``_corrupt_record`` (A1)."""
-    return spark.read.schema(REPORT_SCHEMA).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", quote='"', escape='"')
+    """The report CSV as text columns; rows that do not fit keep their line in ``_corrupt_record`` (A1).
+
+    A quoted description or remark may hold line breaks. So a file is read by one task, and files are the units to deal out: a center's upload is one.
+    """
+    return spark.read.schema(REPORT_SCHEMA).csv(path, header=True, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", quote='"', escape='"')
 
 
 def read_places(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -40,12 +43,19 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_media(spark: SparkSession, path: str, cases: DataFrame | None = None, column: str = "photo_path") -> DataFrame:
-    """Files under ``path`` by name and length, contents unread; with ``cases``, the cases whose file is not there (A4)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    """Files under the folder ``path`` by their path in it, ``file``, and length, contents unread; with ``cases``, the cases whose file is not there (A4).
+
+    Cases name a file by its path below the folder, so equal names in two folders are two files; a leading ``/`` or ``./`` doesn't count.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath().rstrip("/")
+    # paths come with or without the name of the store; what follows the folder's own path is the file's
+    below = F.substr(F.col("path"), F.locate(root + "/", F.col("path")) + F.lit(len(root) + 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", below.alias("file"), "length", "modificationTime")
     if cases is None:
         return files
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    return cases.filter(F.col(column).isNotNull()).withColumn("_f", name(F.col(column))).join(files.select(name(F.col("path")).alias("_f")).distinct(), "_f", "left_anti").drop("_f")
+    named = F.regexp_replace(F.col(column), r"^(\./|/)+", "")
+    return cases.filter(F.col(column).isNotNull()).withColumn("_f", named).join(files.select(F.col("file").alias("_f")).distinct(), "_f", "left_anti").drop("_f")
 
 
 def to_case(reports: DataFrame) -> DataFrame:

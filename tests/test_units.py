@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lostfound.functions import columns as C
 from lostfound.functions.scripts import latin
+from lostfound.operators import analytics as A
 from lostfound.operators import geo as G
 from lostfound.operators import graph as N
 from lostfound.operators import matching as M
@@ -58,8 +59,6 @@ def test_files(spark, tmp_path):
     for _ in range(2):
         S.write_registry(S.to_case(S.read_cases(spark, str(tmp_path / "r.csv"))), out)
     assert spark.read.parquet(out).count() == 2
-    media = S.list_media(spark, str(tmp_path / "r.csv"), spark.createDataFrame([("a/r.csv",), ("b/gone.jpg",)], "photo_path string"))
-    assert [r[0] for r in media.select("photo_path").collect()] == ["b/gone.jpg"]
 
 
 def test_radius_equals_all_pairs(spark):
@@ -161,12 +160,246 @@ def test_scores_need_two_fields(spark):
     assert sorted(got) == [0.0, 1.0]
 
 
-def test_late_reports(spark):
-    df = spark.createDataFrame([(1, "2027-01-01 00:00:00"), (2, "2027-01-02 00:00:00")], "case_id long, t string").select("case_id", F.to_timestamp("t").alias("reported_at"))
-    seen = {}
-    keep = lambda k: lambda b, n: seen.setdefault(k, [r["case_id"] for r in b.collect()])
-    H.late_reports(keep("now"), keep("late"), 6)(df, 0)
-    assert seen == {"now": [2], "late": [1]}
+def reported(spark, rows):
+    return spark.createDataFrame(rows, "case_id long, t string").select("case_id", F.to_timestamp("t").alias("reported_at"))
+
+
+def test_late_reports_by_the_newest_of_earlier_batches(spark, tmp_path):
+    now, late = {}, {}
+    keep = lambda d: lambda b, n: d.__setitem__(n, sorted((r["case_id"], r["delay_hours"] if "delay_hours" in b.columns else None) for r in b.collect()))
+    split = H.late_reports(keep(now), keep(late), 6, str(tmp_path / "marks"))
+    batches = [
+        [(1, "2027-01-01 00:00:00"), (2, "2027-01-10 00:00:00")],
+        [(3, "2027-01-01 00:00:00"), (4, "2027-01-02 00:00:00")],  # a center's catch-up: all of it is late
+        [(5, "2027-01-09 19:00:00"), (6, "2027-01-09 17:00:00"), (7, "2027-01-11 00:00:00"), (8, None)],
+        [],
+        [(9, "2027-01-10 12:00:00"), (10, "2027-01-10 20:00:00")],
+    ]
+    for n, rows in enumerate(batches):
+        split(reported(spark, rows), n)
+    assert now == {0: [(1, None), (2, None)], 1: [], 2: [(5, None), (7, None), (8, None)], 3: [], 4: [(10, None)]}
+    assert late == {1: [(3, 216.0), (4, 192.0)], 2: [(6, 7.0)], 3: [], 4: [(9, 12.0)]}
+    split(reported(spark, batches[2]), 2)  # a batch that runs again is split alike
+    assert late[2] == [(6, 7.0)]
+    stats = H.delay_statistics(spark.createDataFrame([("a", 7.0), ("a", 9.0), ("b", 8.0)], "center string, delay_hours double"), "center")
+    assert {r["center"]: (r["reports"], r["mean_hours"], r["p50_hours"], r["max_hours"]) for r in stats.collect()} == {"a": (2, 8.0, 8.0, 9.0), "b": (1, 8.0, 8.0, 8.0)}
+
+
+def test_case_tracker_goes_on_over_uploads(spark, tmp_path):
+    """Centers add up over batches, the newest report has the status whenever it comes, and a timer ends the case."""
+    from lostfound.plans.streams import drained
+
+    uploads = [
+        [(1, "2027-01-01 00:00:00", "a", "Active"), (1, "2027-01-01 01:00:00", "b", "Moved"), (2, "2027-01-01 00:00:00", "a", "Reunited")],
+        [(1, "2027-01-01 00:30:00", "c", "Active"), (1, "2027-01-01 00:40:00", "a", "Active")],
+        [(3, "2027-01-05 00:00:00", "a", "Active")],
+    ]
+    out = None
+    for rows in uploads:
+        df = spark.createDataFrame(rows, "case_id long, t string, center string, status string").select("case_id", F.to_timestamp("t").alias("reported_at"), "center", "status")
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        out = drained(H.case_tracker(stream, 24, "2 hours"), path=str(tmp_path))
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, 2, "Moved", False), (1, 3, "Moved", False), (1, 3, "Moved", True), (2, 1, "Reunited", False), (3, 1, "Active", False)]
+
+
+def test_blank_is_all_white_space(spark):
+    df = spark.createDataFrame([(" \t ",), ("\n",), ("\u00a0\u3000",), (" a b\t\r\n",), ("",), (None,)], "x string")
+    assert [r["x"] for r in C.blank_to_null(df, ["x"]).collect()] == [None, None, None, "a b", None, None]
+    assert A.completeness(df, ["x"]).first()["blanks"] == 5
+
+
+def test_reports_with_line_breaks_are_whole(spark, tmp_path):
+    values = ["KMP-2027-00001", "2027-08-02 05:10", "Ram", "Male", "61-70", "MH", "Pune", "Marathi", "Ghat", "C1", "+919876543210", '"old man,\nred ""cap"" "', "Reunited", "3.5", "true", '"line one\nline two"']
+    (tmp_path / "r.csv").write_text(",".join(S.REPORT_COLUMNS) + "\n" + ",".join(values) + "\n" + "FOUND-0001,,,,,,,,,,,,,,,\n")
+    rows = {r["case_id"]: r for r in S.read_cases(spark, str(tmp_path / "r.csv")).collect()}
+    assert set(rows) == {"KMP-2027-00001", "FOUND-0001"} and all(r["_corrupt_record"] is None for r in rows.values())
+    r = rows["KMP-2027-00001"]
+    assert (r["physical_description"], r["remarks"], r["status"]) == ('old man,\nred "cap" ', "line one\nline two", "Reunited")
+
+
+def test_media_of_two_folders(spark, tmp_path):
+    for name in ("c1/1.jpg", "c2/deep/2.jpg", "it's.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted((r["file"], r["length"]) for r in S.list_media(spark, str(tmp_path)).collect()) == [("c1/1.jpg", 1), ("c2/deep/2.jpg", 1), ("it's.jpg", 1)]
+    paths = ["c1/1.jpg", "c2/1.jpg", "/c2/deep/2.jpg", "./it's.jpg", "2.jpg", None]
+    gone = S.list_media(spark, str(tmp_path), spark.createDataFrame([(p,) for p in paths], "photo_path string"))
+    assert sorted(r["photo_path"] for r in gone.collect()) == ["2.jpg", "c2/1.jpg"]
+
+
+def test_geocode_equals_brute_force_and_has_no_bound(spark):
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice("abdgklmnrstz ") for _ in range(rng.choice((2, 3, 6, 9, 14, 60)))).strip() or "q"
+    names = sorted({name() for _ in range(150)})
+    edit = lambda x: "".join(c if rng.random() > 0.1 else rng.choice(["", "k", c + "m"]) for c in x)
+    texts = [edit(rng.choice(names)) for _ in range(250)] + [name() for _ in range(60)] + ["z" * 4_000, "", None]
+    places = spark.createDataFrame([(n, float(i), 0.0) for i, n in enumerate(names)], "name string, lat double, lng double")
+    cases = spark.createDataFrame(list(enumerate(texts)), "i long, last_seen_location string")
+    got = {r["i"]: (r["place"], r["method"]) for r in G.geocode(cases, places).collect()}
+    pairs = cases.crossJoin(places).select("i", "name", C.normalize_name(F.col("last_seen_location")).alias("n"), C.normalize_name(F.col("name")).alias("a"), C.name_key(F.col("last_seen_location")).alias("nk"), C.name_key(F.col("name")).alias("ak")).withColumn("d", F.levenshtein("n", "a"))
+    want = {i: (None, None) for i in range(len(texts))}
+    for r in pairs.filter("n = a or nk = ak or d <= 2").collect():
+        best = (0, 0, r["name"]) if r["n"] == r["a"] else (1, 0, r["name"]) if r["nk"] == r["ak"] else (2, r["d"], r["name"])
+        old = want[r["i"]]
+        want[r["i"]] = min(best, old) if old[0] is not None else best
+    assert got == {i: (w[2], ("exact", "skeleton", "edit")[w[0]]) if w[0] is not None else (None, None) for i, w in want.items()}
+    assert sum(m == "edit" for _, m in got.values()) > 20
+    many = spark.range(60_000).select(F.concat(F.lit("ghat "), F.col("id").cast("string")).alias("name"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lng"))
+    asked = spark.createDataFrame([("GHAT 17",), ("gat 4x4x1",), ("nowhere at all",)], "last_seen_location string")
+    assert {r["last_seen_location"]: r["method"] for r in G.geocode(asked, many).collect()} == {"GHAT 17": "exact", "gat 4x4x1": None, "nowhere at all": None}
+
+
+def test_routes_of_many_requests_avoid_blocked_places(spark):
+    """What one request may enter stays closed to the others, with and without landmarks."""
+    rng = random.Random(11)
+    names = [f"n{i:02d}" for i in range(30)]
+    at = {n: (rng.random(), rng.random()) for n in names}
+    edges = {}
+    for n in names:
+        for m in sorted(names, key=lambda m: (at[n][0] - at[m][0]) ** 2 + (at[n][1] - at[m][1]) ** 2)[1:4]:
+            edges[tuple(sorted((n, m)))] = round(1 + rng.random(), 3)
+    edges |= {("x1", "x2"): 1.0}
+    blocked = set(names[::3])
+    every = [*names, "x1", "x2"]
+    asked = [(a, b) for a in names[:9] for b in names[4:24:4]] + [("n00", "x1"), ("n01", "n01"), ("n01", "nobody")]
+
+    def way(a, b):
+        best, front = {a: 0.0}, [a]
+        while front:
+            n = front.pop(0)
+            if n in blocked and n != a:
+                continue
+            for e, w in edges.items():
+                if n in e:
+                    m = e[e[0] == n]
+                    if best[n] + w < best.get(m, 1e9) - 1e-12:
+                        best[m] = best[n] + w
+                        front.append(m)
+        return best.get(b)
+
+    nodes = spark.createDataFrame([(n, n, *at.get(n, (5.0, 5.0))) for n in every], "id string, name string, lat double, lng double")
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src string, dst string, km double")
+    wanted = {x: way(*x) for x in asked}
+    for landmarks in (False, True):
+        got = {(r["start"], r["goal"]): r for r in N.best_routes(spark.createDataFrame(asked, "start string, goal string"), nodes, links, nodes.filter(F.col("id").isin(*blocked)), landmarks=landmarks).collect()}
+        for (a, b), want in wanted.items():
+            r = got[a, b]
+            assert (r["distance_km"] is None) == (want is None), (a, b)
+            if want is not None:
+                path = [p["name"] for p in r["path"]]
+                assert abs(r["distance_km"] - want) < 1e-9 and path[0] == a and path[-1] == b and not blocked & set(path[1:-1])
+                assert abs(sum(edges[tuple(sorted(x))] for x in zip(path, path[1:])) - want) < 1e-9
+    assert sum(v is None for v in wanted.values()) >= 2
+    both = N.best_routes(spark.createDataFrame([("A", "B"), ("A", "C")], "start string, goal string"), spark.createDataFrame([(n, n, 0.0, 0.0) for n in "ABCD"], "id string, name string, lat double, lng double"), spark.createDataFrame([("A", "C", 1.0), ("C", "B", 1.0), ("A", "D", 5.0), ("D", "B", 5.0)], "src string, dst string, km double"), spark.createDataFrame([("C",)], "id string"))
+    assert {r["goal"]: (r["distance_km"], [p["name"] for p in r["path"]]) for r in both.collect()} == {"B": (10.0, ["A", "D", "B"]), "C": (1.0, ["A", "C"])}
+
+
+def test_equally_long_paths_keep_fewer_steps(spark):
+    edges = spark.createDataFrame([("S", "A", 0.5), ("A", "B", 0.5), ("B", "T", 1.0), ("S", "Z", 1.0), ("Z", "T", 1.0), ("S", "Y", 1.0), ("Y", "T", 1.0)], "src string, dst string, km double")
+    got = {r["node"]: r["path"] for r in N.shortest_paths(edges, spark.createDataFrame([("S",)], "id string")).collect()}
+    assert got["T"] == ["S", "Y", "T"]
+
+
+def test_odd_vectors_have_no_partners(spark):
+    inf = float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, [inf, 1.0]), (4, [1.0]), (5, [1.0, 0.0, 0.0]), (6, None), (7, [float("nan"), 1.0]), (8, [None, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r["a"], r["b"]) for r in MM.embedding_lsh_pairs(df, 2, 8, 0.9, dim=2).collect()] == [(0, 1)]
+    got = M.embedding_topk(df.withColumnRenamed("vec_id", "query_id"), df, 3, others=True).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["rank"]) for r in got) == [(0, 1, 1), (1, 0, 1)]
+    assert M.embedding_topk(df.limit(0).withColumnRenamed("vec_id", "query_id"), df.limit(0), 3).count() == 0
+
+
+def test_help_points_equal_the_plain_greedy_choice(spark):
+    rng = random.Random(12)
+    d = spark.createDataFrame([(i, 20 + rng.random() * 0.2, 73 + rng.random() * 0.2) for i in range(300)], "i long, lat double, lng double")
+    c = spark.createDataFrame([(j, 20 + rng.random() * 0.2, 73 + rng.random() * 0.2) for j in range(60)], "c long, lat double, lng double")
+    covers = {}
+    for r in G.within_radius(d, c, 2.5, id_="i", other="c").collect():
+        covers.setdefault(r["c"], set()).add(r["i"])
+    want, done = [], set()
+    while True:
+        best = min(((-len(v - done), k) for k, v in covers.items()), default=(0, 0))
+        if not best[0]:
+            break
+        want.append((len(want) + 1, best[1], -best[0]))
+        done |= covers[best[1]]
+    for top in (3, 100):
+        got = [tuple(r) for r in G.place_help_points(d, c, 2.5, 12, id_="i", candidate="c", top=top).orderBy("step").collect()]
+        assert got == want[:12]
+
+
+def test_backlog_over_days_equals_a_plain_scan(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), d := rng.randrange(0, 6 * 86400, 1800), d + rng.randrange(0, 3 * 86400, 1800) if rng.random() < 0.7 else None) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, o long, c long")
+    got = sorted((tuple(r) for r in A.open_backlog(df, "g", F.timestamp_seconds("o"), F.timestamp_seconds("c")).select("g", F.unix_seconds("at").alias("at"), "open", "peak").collect()), key=repr)
+    want = []
+    for g in ("a", "b", None):
+        net = {}
+        for x, o, c in rows:
+            if x == g:
+                net[o] = net.get(o, 0) + 1
+                if c is not None:
+                    net[c] = net.get(c, 0) - 1
+        now, peak = 0, -(10**9)
+        for t in sorted(net):
+            now += net[t]
+            peak = max(peak, now)
+            want.append((g, t, now, peak))
+    assert got == sorted(want, key=repr)
+
+
+def test_bootstrap_counts_have_the_spread_of_resampled_cases(spark):
+    """Against a weight drawn for every case: percentiles within sampling error."""
+    sizes = {"a": 400, "b": 40, "c": 1}
+    df = spark.createDataFrame([(z,) for z, n in sizes.items() for _ in range(n)], "zone string")
+    got = {r["zone"]: r for r in A.bootstrap_hotspots(df, "zone", 400, 1).collect()}
+    rng = np.random.default_rng(1)
+    for z, n in sizes.items():
+        draws = rng.poisson(1, (4000, n)).sum(axis=1)
+        for p, c in ((5, "p05"), (50, "p50"), (95, "p95")):
+            assert abs(got[z][c] - np.percentile(draws, p)) <= max(1, 0.35 * np.sqrt(n))
+    assert got["a"]["in_top"] == 1.0
+
+
+@pytest.mark.parametrize("k", (1, 4))
+def test_nearest_of_clustered_and_far_places(spark, k):
+    """Cells with many places, cells with none, rows far from all places."""
+    rng = random.Random(14)
+    places = [(j, 20 + rng.gauss(0, 0.002), 73 + rng.gauss(0, 0.002)) for j in range(80)] + [(100 + j, rng.uniform(-60, 60), rng.uniform(-180, 180)) for j in range(20)] + [(200, 20.0, 73.0), (201, 20.0, 73.0)]
+    rows = [(i, 20 + rng.gauss(0, 0.05), 73 + rng.gauss(0, 0.05)) for i in range(150)] + [(500 + i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(40)]
+    p, r = spark.createDataFrame(places, "j long, lat double, lng double"), spark.createDataFrame(rows, "i long, lat double, lng double")
+    got = {(x["i"], x["rank"]): (x["j"], x["km"]) for x in G.nearest_k(r, p, k, id_="i", place="j").collect()}
+    far = r.alias("x").crossJoin(p.alias("y")).select("i", "j", F.round(C.haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")), 6).alias("km")).collect()
+    by = {}
+    for x in far:
+        by.setdefault(x["i"], []).append((x["km"], x["j"]))
+    assert got == {(i, n + 1): (j, km) for i, v in by.items() for n, (km, j) in enumerate(sorted(v)[:k])}
+
+
+def test_transcript_candidates_equal_all_scores(spark):
+    rng = random.Random(15)
+    words = [f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(4000)]
+    cases = [(i, [rng.choice(words) for _ in range(rng.choice((3, 20, 80)))]) for i in range(250)] + [(900, []), (901, None), (902, ["only"])]
+    asked = [(i, [rng.choice(words) for _ in range(12)]) for i in range(15)] + [(50, cases[7][1]), (51, []), (52, ["nowhere"]), (53, ["only", "only"])]
+    c, q = spark.createDataFrame(cases, "c long, t array<string>"), spark.createDataFrame(asked, "q long, t array<string>")
+    df, n = {}, len(cases)
+    for _, t in cases:
+        for w in set(t or []):
+            df[w] = df.get(w, 0) + 1
+    vec = lambda t: {w: t.count(w) * np.log((n + 1) / (df[w] + 1)) for w in set(t or []) if w in df}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for i, t in asked:
+        v = vec(t)
+        scores = sorted((-round(sum(x * u[w] for w, x in v.items() if w in u) / (norm(v) * norm(u)), 6), j) for j, u in ((j, vec(s)) for j, s in cases) if v and u and norm(v) and norm(u))
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate([x for x in scores if x[0] < 0][:4])}
+    got = {(r["q"], r["rank"]): (r["c"], r["score"]) for r in M.transcript_candidates(q, c, 4, query_id="q", case_id="c", tokens="t").collect()}
+    assert set(got) == set(want) and all(abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    assert sum(got[x][0] != want[x][0] for x in want) <= 1
 
 
 def test_help_points_and_lsh(spark):
