@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import forget, n_parts, written
 
 #: Bytes of text that a task works on at once; n-gram occurrences of a hash partition on average; bits of all survivors' filter (16 MB).
-RUN_BYTES, PART_MASS, FILTER_BITS = 4 << 20, 4_000_000, 27
+RUN_BYTES, PART_MASS, FILTER_BITS = 3 << 20, 4_000_000, 27
 #: Bits of a hash inside its partition that the first pass keeps.
 LOW = 32
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
@@ -190,8 +190,10 @@ def survivors(own: DataFrame, least: int, most: int, *, part_mass: int = PART_MA
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
     filter_ = np.zeros((1 << bits, (1 << own_bits) // 8), dtype=np.uint8)
-    for r in own.mapInArrow(blocks, "part int, low binary, n binary").groupBy("part").applyInPandas(summary, "part int, bits binary").collect():  # 2^filter_bits bits in all
+    summaries = written(own.mapInArrow(blocks, "part int, low binary, n binary").groupBy("part").applyInPandas(summary, "part int, bits binary"), "phrase-bits")
+    for r in summaries.collect():  # 2^filter_bits bits in all
         filter_[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    forget(summaries)
     return filter_.ravel()
 
 
