@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if driver and executors are one process (tests); an error otherwise."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
@@ -39,11 +41,13 @@ _folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary(
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to Python at once; whole texts go there, so they are fewer than Spark's own 10,000.
 PYTHON_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that go to Python at once, or one row if it is longer.
+PYTHON_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows of a partition that the driver sees to choose the bounds of ranges.
 RANGE_ROWS = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 #: Bytes of a row group of stored tables, which a task holds while it writes.
 BLOCK_BYTES = 32 << 20
-STORING = {FREE_SHUFFLES: "true", PYTHON_ROWS: "2000", RANGE_ROWS: "20"}
+STORING = {FREE_SHUFFLES: "true", PYTHON_ROWS: "2000", PYTHON_BYTES: str(4 << 20), RANGE_ROWS: "20"}
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
