@@ -16,7 +16,8 @@ from lostfound.llm.common import count_words, fresh_names, scratch, table, writt
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go; null and blank texts have the share of good rows as score and stay with it."""
     model = compression.fit(docs, table(spark, sf_dir, "labels"))
-    return compression.score(docs, model).filter("predicted = 1").select(*docs.columns)
+    # stored here, as few texts at once go to Python while a table is stored
+    return written(compression.score(docs, model).filter("predicted = 1").select(*docs.columns), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
