@@ -4,12 +4,13 @@ All words of the labelled sample are terms, and so are all words of a text that
 over all documents; a word whose share of toxic rows stands out in the sample (likelihood ratio G) weighs 1 + log(1 + G) times as much.
 
 The examples stand in blocks. Short postings are summed as they are; of the frequent words the index has the largest weight in each block, which
-bounds the cosines there. The blocks with the largest bounds are measured first, then all others whose bound reaches the k-th best.
+bounds the cosines there. A curve fitted on rows held back turns votes into a probability. The blocks with the largest bounds are measured first, then all others whose bound reaches the k-th best.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +30,9 @@ NEIGHBOURS, COMMON = 15, 0.1
 #: Examples in a block, and blocks that are measured first.
 BLOCK, FIRST = 32, 3
 #: Added to a neighbour's distance before its inverse is its vote; and the weight of the sample's share among the votes.
-SOFTEN, PRIOR_VOTES = 0.05, 1.0
+SOFTEN, PRIOR_VOTES = 0.3, 1.0
+#: Parts of the sample that are held back in turn to calibrate the votes, and rows of a class that are scored in each at most.
+PARTS, PART_ROWS = 4, 300
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,6 +71,8 @@ class Index:
         self.places, self.weights = row[by_term], weights[by_term]
         self.starts = np.concatenate([[0], np.cumsum(frequency)]).astype(np.int64)
         self.share = self.bare = 0.0
+        #: What a vote for each label weighs, and the curve from votes to a probability.
+        self.rates, self.curve = np.ones(2), None
         self._rows: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -142,20 +147,26 @@ class Index:
         """(places, cosines) of the k nearest examples, nearest first, ties to the smaller doc_id."""
         return self.best(self.cosines([(own, weights)], k)[0], k)
 
-    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[int, float, int]], list[str]]]:
-        """(score, evidence as (doc_id, cosine, label) of the neighbours, toxic words of the text) of each text."""
-        asked = [self.vector(t) for t in texts]
+    def votes(self, asked: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """(toxic share of the votes, places and cosines of the neighbours) of each vector; without a term the share of the rows without one."""
         out = []
         for (own, _), cosines in zip(asked, self.cosines(asked, k), strict=True):
-            if not len(own):
-                out.append((self.bare, [], []))
-                continue
-            places, near = self.best(cosines, k)
+            places, near = self.best(cosines, k) if len(own) else (np.zeros(0, dtype=np.int64), np.zeros(0))
             votes = 1 / (np.maximum(0, 1 - near) + SOFTEN)
             votes /= votes.max() if len(votes) else 1
-            p = (float((votes * self.labels[places]).sum()) + PRIOR_VOTES * self.share) / (float(votes.sum()) + PRIOR_VOTES)
+            votes *= self.rates[self.labels[places].astype(int)]
+            out.append((min(1.0, (float((votes * self.labels[places]).sum()) + PRIOR_VOTES * self.share) / (float(votes.sum()) + PRIOR_VOTES)) if len(own) else self.bare, places, near))
+        return out
+
+    def scores(self, texts: list[str | None], k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[int, float, int]], list[str]]]:
+        """(score, evidence as (doc_id, cosine, label) of the neighbours, toxic words of the text) of each text."""
+        asked = [self.vector(t) for t in texts]
+        out = []
+        for (own, _), (p, places, near) in zip(asked, self.votes(asked, k), strict=True):
+            if len(own) and self.curve is not None:
+                p = float(np.interp(p, *self.curve))
             evidence = [(int(self.ids[i]), float(min(1.0, c)), int(self.labels[i])) for i, c in zip(places, near, strict=True)]
-            out.append((min(1.0, p), evidence, [self.terms[t] for t in own if t in self.named]))
+            out.append((p, evidence, [self.terms[t] for t in own if t in self.named]))
         return out
 
     def score(self, text: str | None, k: int = NEIGHBOURS) -> tuple[float, list[tuple[int, float, int]], list[str]]:
@@ -167,37 +178,97 @@ def standing_out(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     if not (n1 and n0):
         return np.zeros(len(a))
     p1 = n1 / (n1 + n0)
-    part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1) / ((a + b) * p)), 0.0)
+    part = lambda x, p: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum((a + b) * p, 1e-300)), 0.0)
     return np.where(a * n0 > b * n1, np.maximum(0.0, 2 * (part(a, p1) + part(b, 1 - p1))), 0.0)
 
 
+class Sample:
+    """Labelled rows as numbers of their words, tokenized once: ``rows`` are (doc_id, numbers of terms, 1 + log of their counts, label)."""
+
+    def __init__(self, samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs: int) -> None:
+        number: dict[str, int] = {}
+        self.rows = []
+        for i, text, y in samples:
+            tf = Counter(terms_of(text))
+            own = np.fromiter((number.setdefault(w, len(number)) for w in tf), dtype=np.int32, count=len(tf))
+            self.rows.append((i, own, 1 + np.log(np.fromiter(tf.values(), dtype=np.float32, count=len(tf))), y))
+        self.terms = sorted(number)
+        rank = np.empty(len(number), dtype=np.int32)
+        rank[np.fromiter((number[t] for t in self.terms), dtype=np.int64, count=len(number))] = np.arange(len(number), dtype=np.int32)
+        for k, (i, own, times, y) in enumerate(self.rows):
+            own = rank[own]
+            order = np.argsort(own)
+            self.rows[k] = (i, own[order], times[order], y)
+        self.idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in self.terms], dtype=float) + 1)) + 1
+
+    def index(self, shares: dict[int, int], use: Iterable[int] | None = None) -> Index:
+        """The index of the rows, or of those at the places ``use``."""
+        rows = self.rows if use is None else [self.rows[i] for i in use]
+        seen = Counter(r[3] for r in rows)
+        of = lambda y: np.bincount(np.concatenate([r[1] for r in rows if r[3] == y] or [np.zeros(0, dtype=np.int32)]), minlength=len(self.terms)).astype(float)
+        a, b = of(1), of(0)
+        g = standing_out(a, b, seen[1], seen[0])
+        # words of rows that are left out are no terms
+        weights, named = self.idf * (1 + np.log1p(g)) * (a + b > 0), np.flatnonzero(g >= TERM_G).tolist()
+        n = sum(shares.values())
+        prior = shares.get(1, 0) / n if n else 0.0
+        kept = [r for r in rows if len(r[1])]
+        built = Index(self.terms, weights, [r[0] for r in kept], [(r[1], unit(r[2] * weights[r[1]])) for r in kept], [r[3] for r in kept], named)
+        # rows of a class in the sample stand for so many rows of the table
+        weight = {y: shares.get(y, 0) / seen[y] for y in seen}
+        mass = lambda rs: (sum(weight[r[3]] for r in rs if r[3]), sum(weight[r[3]] for r in rs))
+        one, all_ = mass([r for r in rows if not len(r[1])])
+        built.bare = one / all_ if all_ else prior
+        one, all_ = mass(kept)
+        built.share = one / all_ if all_ else prior
+        built.rates = np.array([weight.get(y, 1.0) for y in (0, 1)]) / max([*weight.values(), 1e-12])
+        return built
+
+
+def unit(w: np.ndarray) -> np.ndarray:
+    return w / np.sqrt((w * w).sum()) if len(w) else w
+
+
 def build(samples: list[tuple[int, str, int]], frequency: dict[str, int], n_docs: int, shares: dict[int, int]) -> Index:
-    """The index of labelled (doc_id, text, label) samples; votes are weighed so that the classes' true shares hold."""
-    seen = Counter(y for _, _, y in samples)
-    by_class: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for _, t, y in samples:
-        by_class[y].update(set(terms_of(t)))
-    terms = sorted(set(by_class[0]) | set(by_class[1]))
-    a, b = (np.array([by_class[y][t] for t in terms], dtype=float) for y in (1, 0))
-    by_class.clear()
-    g = standing_out(a, b, seen[1], seen[0])
-    idf = np.log((n_docs + 1) / (np.array([frequency.get(t, 0) for t in terms], dtype=float) + 1)) + 1
-    weights, named = idf * (1 + np.log1p(g)), np.flatnonzero(g >= TERM_G).tolist()
-    words = Index(terms, weights, [], [], [])
-    rows = [(i, own.astype(np.int32), w, y) for i, t, y in samples for own, w in (words.vector(t),)]
-    del words
-    n = sum(shares.values())
-    prior = shares.get(1, 0) / n if n else 0.0
-    kept = [r for r in rows if len(r[1])]
-    built = Index(terms, weights, [r[0] for r in kept], [(r[1], r[2]) for r in kept], [r[3] for r in kept], named)
-    # rows of a class in the sample stand for so many rows of the table
-    weight = {y: shares.get(y, 0) / seen[y] for y in seen}
-    mass = lambda rs: (sum(weight[r[3]] for r in rs if r[3]), sum(weight[r[3]] for r in rs))
-    one, all_ = mass([r for r in rows if not len(r[1])])
-    built.bare = one / all_ if all_ else prior
-    one, all_ = mass(kept)
-    built.share = one / all_ if all_ else prior
-    return built
+    """The index of labelled (doc_id, text, label) samples. Of a class with fewer rows in the sample than in the table each votes for as many as it stands for."""
+    return Sample(samples, frequency, n_docs).index(shares)
+
+
+def rising(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and heights of the rising curve nearest to the weighted points (pool adjacent violators), drawn a little towards their mean, from 0 to 1."""
+    mean = float((y * w).sum() / w.sum())
+    blocks: list[list[float]] = []
+    for i in np.lexsort((y, x)):
+        blocks.append([x[i] * w[i], y[i] * w[i], w[i]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    sx, sy, sw = np.array(blocks).T
+    heights = np.maximum.accumulate((sy + mean) / (sw + 1))
+    return np.concatenate([[0.0], sx / sw, [1.0]]), np.concatenate([[heights[0] / 2], heights, [(1 + heights[-1]) / 2]])
+
+
+def calibration(sample: Sample, shares: dict[int, int]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The curve from votes to a probability: parts of the sample are held back in turn, and their rows scored by an index of the others. None if a class is missing."""
+    part = np.array([zlib.crc32(f"part {r[0]}".encode()) % PARTS for r in sample.rows])
+    label = np.array([r[3] for r in sample.rows])
+    votes, labels = [], []
+    for p in range(PARTS):
+        own = np.concatenate([np.flatnonzero((part == p) & (label == y))[:PART_ROWS] for y in (0, 1)])
+        if len(own) and len(set(label[part != p])) == 2:
+            index = sample.index(shares, np.flatnonzero(part != p))
+            asked = []
+            for _, terms, times, _ in (sample.rows[i] for i in own):
+                known = index.idf[terms] > 0
+                asked.append((terms[known].astype(np.int64), unit(times[known] * index.idf[terms[known]])))
+            votes += [v for lo in range(0, len(asked), 128) for v, _, _ in index.votes(asked[lo : lo + 128])]
+            labels += label[own].tolist()
+            del index
+    if len(set(labels)) < 2:
+        return None
+    scored = Counter(labels)
+    w = np.array([shares.get(y, scored[y]) / scored[y] for y in labels])
+    return rising(np.array(votes), np.array(labels, dtype=float), w * len(labels) / w.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", folds: int = 5, class_rows: int = CLASS_ROWS) -> Index:
@@ -228,7 +299,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     frequency = dict(zip(counts["term"].to_pylist(), counts["n"].to_pylist(), strict=True))
     del counts
     wanted.unpersist()
-    return build(rows, frequency, frequency.get("", 0), shares)
+    tokenized = Sample(rows, frequency, frequency.get("", 0))
+    del rows, frequency
+    curve = calibration(tokenized, shares)
+    index = tokenized.index(shares)
+    index.curve = curve
+    return index
 
 
 def score(docs: DataFrame, index: Index, *, doc_id: str = "doc_id", text: str = "text", cut: float = 0.5, neighbours: int = NEIGHBOURS) -> DataFrame:

@@ -226,6 +226,70 @@ def test_toxicity_sees_all_words():
     assert far[1][0][0] == 11 and far[1][0][1] > 0.999 and {w for _, t, _ in samples for w in toxicity.terms_of(t)} == set(index.terms)
 
 
+def test_toxicity_votes_and_curve_equal_brute_force():
+    rng = random.Random(21)
+    vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(3, 40)) + (["vile", "awful"] if y and rng.random() < 0.8 else [])), y) for i in range(160) for y in (int(i % 4 == 0),)] + [(900, "", 0)]
+    frequency = {w: sum(w in t.split() for _, t, _ in rows) for w in [*vocabulary, "vile", "awful"]}
+    shares = {0: 1_210, 1: 40}  # the sample holds one in ten of the others, all toxic ones
+    index = toxicity.build(rows, frequency, 5_000, shares)
+    n1, n0 = 40, 121
+    seen = {w: [sum(w in t.split() for _, t, y in rows if y == c) for c in (0, 1)] for w in frequency}
+
+    def weight(w):
+        b, a = seen[w]
+        g = 0.0
+        if a * n0 > b * n1:
+            g = 2 * sum(x * np.log(x / ((a + b) * p)) for x, p in ((a, n1 / (n1 + n0)), (b, n0 / (n1 + n0))) if x)
+        return (np.log(5_001 / (frequency[w] + 1)) + 1) * (1 + np.log1p(g))
+
+    def vector(text):
+        v = {w: (1 + np.log(text.split().count(w))) * weight(w) for w in set(text.split()) if w in seen and sum(seen[w])}
+        n = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / n for w, x in v.items()}
+
+    vectors = [(i, y, vector(t)) for i, t, y in rows if t]
+    share = 40 / (40 + 120 * 10)  # of what the rows with words stand for: 40 toxic, 120 others ten times each
+    for _ in range(25):
+        text = " ".join(rng.choices([*vocabulary, "vile", "unknown"], k=12))
+        v = vector(text)
+        near = sorted(((-round(sum(x * u.get(w, 0.0) for w, x in v.items()), 12), i, y) for i, y, u in vectors))[: toxicity.NEIGHBOURS]
+        near = [(-c, i, y) for c, i, y in near if c < 0]
+        votes = np.array([1 / (max(0, 1 - c) + toxicity.SOFTEN) for c, _, _ in near])
+        votes = votes / votes.max() * np.array([0.1 if y else 1.0 for _, _, y in near])
+        want = (sum(w for w, (_, _, y) in zip(votes, near) if y) + toxicity.PRIOR_VOTES * share) / (votes.sum() + toxicity.PRIOR_VOTES)
+        p, evidence, _ = index.score(text)
+        assert abs(p - want) < 1e-6 and [e[0] for e in evidence] == [i for _, i, _ in near]
+    curve = toxicity.calibration(toxicity.Sample(rows, frequency, 5_000), shares)
+    assert (np.diff(curve[0]) >= 0).all() and (np.diff(curve[1]) >= 0).all() and 0 <= curve[1][0] <= curve[1][-1] <= 1
+    assert toxicity.calibration(toxicity.Sample(rows[1:4], frequency, 5_000), shares) is None
+    index.curve = curve
+    raw = [toxicity.build(rows, frequency, 5_000, shares).score(t)[0] for _, t, _ in rows]
+    assert np.allclose([index.score(t)[0] for _, t, _ in rows[:-1]], np.interp(raw[:-1], *curve))
+    assert index.score("")[0] == index.score(None)[0] == raw[-1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rising_curve_is_the_best_of_all(seed):
+    """No partition of the points into runs with rising means fits better than the curve before it is drawn towards the mean."""
+    rng = np.random.default_rng(seed)
+    n = 9
+    x, y, w = np.sort(rng.random(n)), rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float)
+    best = None
+    for cuts in itertools.product([0, 1], repeat=n - 1):
+        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
+        means = [np.average(y[a:b], weights=w[a:b]) for a, b in zip(edges, edges[1:])]
+        if all(p < q for p, q in zip(means, means[1:])):
+            loss = sum((w[a:b] * (y[a:b] - m) ** 2).sum() for (a, b), m in zip(zip(edges, edges[1:]), means))
+            if best is None or loss < best[0] - 1e-12:
+                best = (loss, edges, means)
+    places, heights = toxicity.rising(x, y, w)
+    sums = [(w[a:b] * x[a:b]).sum() / w[a:b].sum() for a, b in zip(best[1], best[1][1:])]
+    mean = np.average(y, weights=w)
+    drawn = np.maximum.accumulate([(m * w[a:b].sum() + mean) / (w[a:b].sum() + 1) for (a, b), m in zip(zip(best[1], best[1][1:]), best[2])])
+    assert np.allclose(places[1:-1], sums) and np.allclose(heights[1:-1], drawn)
+
+
 # 5 suffix arrays
 
 
