@@ -28,8 +28,8 @@ SWITCH = 6.0
 SCRIPT_SHARE = 0.01
 #: Distinct words whose scores a Python worker remembers.
 CACHE_WORDS = 300_000
-#: Documents that the path search handles side by side.
-SIDE_BY_SIDE = 512
+#: Texts that the path search handles side by side, and scores (words x languages) that it holds at once: a longer text is searched stretch by stretch.
+SIDE_BY_SIDE, CELLS = 512, 2_000_000
 
 # Ranges of the Unicode scripts told apart, as first and last code point.
 SCRIPTS = (
@@ -182,6 +182,44 @@ def paths(scores: list[np.ndarray], prior: np.ndarray, switch: float = SWITCH) -
     return out
 
 
+def long_path(model: Model, words: list[str], switch: float = SWITCH, cells: int | None = None) -> np.ndarray:
+    """:func:`paths` of one text, whose scores are made a stretch at a time; of each word only the way back is kept, two bytes a language."""
+    k = len(model.langs)
+    step = max(1, (cells or CELLS) // k)
+    own = np.arange(k, dtype=np.int16)
+    back = np.empty((len(words), k), dtype=np.int16)
+    v = None
+    for lo in range(0, len(words), step):
+        for t, s in enumerate(model.scores_of(words[lo : lo + step]), lo):
+            if v is None:
+                v, back[0] = model.prior + s, own
+                continue
+            best = int(v.argmax())
+            jump = v[best] - switch
+            stay = v >= jump
+            back[t] = np.where(stay, own, best)
+            v = np.where(stay, v, jump) + s
+    out = np.empty(len(words), dtype=np.int16)
+    now = int(v.argmax())
+    for t in range(len(words) - 1, -1, -1):
+        out[t] = now
+        now = int(back[t, now])
+    return out
+
+
+def _side_by_side(sizes: list[int], k: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts with at most ``CELLS`` scores and ``SIDE_BY_SIDE`` texts; a longer text stands alone."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and (total + n * k > CELLS or i - lo >= SIDE_BY_SIDE):
+            yield lo, i
+            lo = i
+            total = 0
+        total += n * k
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def label(texts: list[str | None], model: Model | None, switch: float = SWITCH) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """(lang, share of letters, spans of (lang, first character, end)) of each text; ``und`` without letters or model."""
     found: list = [("und", 0.0, [])] * len(texts)
@@ -189,13 +227,13 @@ def label(texts: list[str | None], model: Model | None, switch: float = SWITCH)
         return found
     own = [(i, LETTERS.findall(t)) for i, t in enumerate(texts) if isinstance(t, str)]
     own = [(i, w) for i, w in own if w]
-    for lo in range(0, len(own), SIDE_BY_SIDE):
-        part = own[lo : lo + SIDE_BY_SIDE]
+    for lo, hi in _side_by_side([len(ws) for _, ws in own], len(model.langs)):
+        part = own[lo:hi]
         words = [w for _, ws in part for w in ws]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         cuts = np.cumsum([len(ws) for _, ws in part])[:-1]
-        scores = np.split(model.scores_of(words), cuts)
-        for (i, _), path, n in zip(part, paths(scores, model.prior, switch), np.split(lengths, cuts), strict=True):
+        found_paths = [long_path(model, words, switch)] if len(words) * len(model.langs) > CELLS else paths(np.split(model.scores_of(words), cuts), model.prior, switch)
+        for (i, _), path, n in zip(part, found_paths, np.split(lengths, cuts), strict=True):
             edges = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]])
             if len(edges) > 2:
                 at = [m.span() for m in LETTERS.finditer(texts[i])]

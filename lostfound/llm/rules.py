@@ -24,7 +24,7 @@ STOPS = frozenset(".,;:?!'\"-()")
 SIGNS = frozenset("#*$%&|<>")
 #: Common words of a language: its most frequent ones in the corpus.
 COMMON = 50
-#: Languages that have a reference at most: those with most text. Any other is compared with the nearest one.
+#: Languages whose references go to all tasks: those with most text. Texts of the others are joined with their own.
 LANGS = 256
 #: Least characters and words for the two measures, and their largest distances.
 LEAST_CHARS, LEAST_WORDS = 200, 100
@@ -124,15 +124,20 @@ class References:
         n = sum(words.values())
         found = []
         for x in [lang] if lang in self.chars else self.chars:
-            own = np.zeros(len(self.index[x]) + 1)
-            for w, i in self.index[x].items():
-                own[i] = words.get(w, 0)
-            own[-1] = n - own.sum()
-            found.append((divergence(counts, self.chars[x]), divergence(own, self.counts[x])))
+            found.append((divergence(counts, self.chars[x]), divergence(self.histogram(words, n, x), self.counts[x])))
         c, w = min(found, key=lambda d: d[0] + d[1], default=(0.0, 0.0))
         return c, w, int(counts.sum()), n
 
 
+    def histogram(self, words: Counter, n: int, lang: str) -> np.ndarray:
+        """Counts of the language's common words in a text, and of its other words."""
+        own = np.zeros(len(self.index[lang]) + 1)
+        for w, i in self.index[lang].items():
+            own[i] = words.get(w, 0)
+        own[-1] = n - own.sum()
+        return own
+
+
 def representative(counts: np.ndarray) -> bool:
     """Whether a text with these character classes may stand for its language."""
     return counts[5] <= REFERENCE_SIGNS * counts.sum() and counts[0] <= REFERENCE_UPPER * (counts[0] + counts[1])
@@ -160,11 +165,16 @@ def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows()
 
 
-def references(docs: DataFrame, *, common: int = COMMON) -> References:
-    """The references of ``docs`` (``_t, _lang, _ok``): sums over all its rows with ``_ok``. The driver gets ``common`` words and the class counts of each of at most ``LANGS`` languages."""
+def references(docs: DataFrame, *, common: int = COMMON, langs: int | None = None) -> tuple[References, DataFrame | None]:
+    """The references of ``docs`` (``_t, _lang, _ok``): sums over all its rows with ``_ok``; those of the ``langs`` languages with most text, and a table (_own, _chars, _words, _counts) of all others, None if there are none.
+
+    The driver gets ``common`` words and the class counts of each of the first.
+    """
+    langs = LANGS if langs is None else langs
     sums = written(docs.mapInPandas(_sums, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "rule-sums")
-    most = sums.filter("kind = 'c'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
-    sums = sums.filter(F.col("lang").isin([r["lang"] for r in most.collect()]))
+    most = [r["lang"] for r in sums.filter("kind = 'c'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(langs + 1).collect()]
+    others = _other_references(sums.filter(~F.col("lang").isin(most[:langs])), common) if len(most) > langs else None
+    sums = sums.filter(F.col("lang").isin(most[:langs]))
     chars, words, totals = {}, {}, {}
     for r in sums.filter("kind = 'c'").collect():
         chars.setdefault(r["lang"], np.zeros(CLASSES))[int(r["key"])] = r["n"]
@@ -173,15 +183,28 @@ def references(docs: DataFrame, *, common: int = COMMON) -> References:
     top = sums.filter("kind = 'w'").withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("_r") <= common)
     for r in top.orderBy("lang", "_r").collect():
         words.setdefault(r["lang"], []).append((r["key"], r["n"]))
-    return References(chars, words, totals)
+    return References(chars, words, totals), others
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", common: int = COMMON, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS) -> DataFrame:
+def _other_references(sums: DataFrame, common: int) -> DataFrame:
+    """(_own, _chars, _words, _counts) by language: class counts, the common words, their counts and that of all other words."""
+    chars = sums.filter("kind = 'c'").groupBy(F.col("lang").alias("_own")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("key") == str(i), F.col("n"))), F.lit(0)) for i in range(CLASSES)]).alias("_chars"))
+    words = sums.filter("kind = 'w'")
+    top = words.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).filter(F.col("_r") <= common)
+    listed = top.groupBy(F.col("lang").alias("_own")).agg(F.array_sort(F.collect_list(F.struct("_r", "key", "n"))).alias("_w"))
+    total = words.groupBy(F.col("lang").alias("_own")).agg(F.sum("n").alias("_n"))
+    out = chars.join(listed, "_own", "left").join(total, "_own", "left")
+    counts = F.coalesce(F.col("_w.n"), F.array().cast("array<bigint>"))
+    left = F.coalesce("_n", F.lit(0)) - F.aggregate(counts, F.lit(0).cast("long"), lambda x, y: x + y)
+    return out.select("_own", "_chars", F.coalesce(F.col("_w.key"), F.array().cast("array<string>")).alias("_words"), F.concat(counts, F.array(left)).alias("_counts"))
+
+
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", common: int = COMMON, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, least_chars: int = LEAST_CHARS, least_words: int = LEAST_WORDS, langs: int | None = None) -> DataFrame:
     """One row per document: the base figures, ``base_failed``, both distances and ``kept``.
 
     A text under ``least_chars`` characters is not held to the character distance, one under ``least_words`` words not to the
-    word distance. A null text counts as none: it fails the base rules. A null or unknown language is compared with the nearest
-    reference; without any reference only the base rules count. Rows that repeat are judged one by one; an empty table
+    word distance. A null text counts as none: it fails the base rules. A null language, or one without a reference, is compared with the nearest
+    of the ``langs`` languages with most text; texts of languages beyond these are joined with the reference of their own; without any reference only the base rules count. Rows that repeat are judged one by one; an empty table
     gives no rows. Other columns are not read.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"), F.col(lang).alias("_lang"))
@@ -203,18 +226,33 @@ def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 ok.append(len(words) >= BASE_WORDS and 100 * repeated_words(words) <= BASE_REPEAT_PERCENT * len(words))
             yield pdf.assign(_ok=ok)
 
-    known = references(plain.select("_t", "_lang").mapInPandas(passing, "_t string, _lang string, _ok boolean"), common=common)
+    known, others = references(plain.select("_t", "_lang").mapInPandas(passing, "_t string, _lang string, _ok boolean"), common=common, langs=langs)
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
-    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verdicts(batches: Iterator[pd.DataFrame], ref: References | None = None) -> Iterator[pd.DataFrame]:
+        ref = ref or sent.value
         for pdf in figures(batches):
             bad = base_failed(pdf["n_words"].to_numpy(dtype=np.int64), pdf["n_repeat_words"].to_numpy(dtype=np.int64)) if len(pdf) else np.zeros(0, dtype=bool)
-            got = [(None, None, False) if b else _verdict(sent.value, t, x) for b, t, x in zip(bad, pdf["_t"], pdf["_lang"], strict=True)]
+            got = [(None, None, False) if b else _verdict(ref, t, x) for b, t, x in zip(bad, pdf["_t"], pdf["_lang"], strict=True)]
             yield pdf.drop(columns=["_t", "_lang"]).assign(base_failed=bad, char_distance=pd.array([g[0] for g in got], dtype="Float64"), word_distance=pd.array([g[1] for g in got], dtype="Float64"), kept=np.array([g[2] for g in got], dtype=bool))
 
     def _verdict(ref: References, t: str, x: str | None) -> tuple[float, float, bool]:
         c, w, chars, words = ref.distances(t, x if isinstance(x, str) else None)
         return c, w, (chars < least_chars or c <= most_char) and (words < least_words or w <= most_word)
 
+    def own_verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """As ``verdicts``, each text by the reference in its row."""
+        for pdf in batches:
+            for lang, part in pdf.groupby("_own", sort=False):
+                r = part.iloc[0]
+                ref = References({lang: np.array(r["_chars"], dtype=float)}, {lang: list(zip(r["_words"], r["_counts"], strict=False))}, {lang: int(sum(r["_counts"]))})
+                for out in verdicts(iter([part.drop(columns=["_own", "_chars", "_words", "_counts"])]), ref):
+                    yield out
+
     out = columns.replace("_t string, _lang string, ", "") + ", base_failed boolean, char_distance double, word_distance double, kept boolean"
-    return plain.mapInPandas(verdicts, out)
+    if others is None:
+        return plain.mapInPandas(verdicts, out)
+    # each of these languages has less text than any of the others, so none is a hot key
+    apart = plain.join(others, plain["_lang"] == others["_own"])
+    rest = plain.join(others.select("_own"), plain["_lang"] == F.col("_own"), "left_anti")
+    return rest.mapInPandas(verdicts, out).unionByName(apart.mapInPandas(own_verdicts, out))

@@ -155,6 +155,21 @@ def test_rules_distances_equal_brute_force(spark):
         assert got[i]["kept"] == ((len(t) < 20 or best[0] <= 0.2) and (len(words_) < 5 or best[1] <= 0.3))
 
 
+def test_rules_join_references_of_rare_languages(spark):
+    """With references for one language in all tasks, the others come by a join; the verdicts are those with all of them in all tasks."""
+    pools = {"en": "the of and to in is that it was for on are as with his they at be this from".split(), "xx": "zu mo ka ri tel bon sa wi nu per".split(), "yy": "ubu ruk olo tat mim".split()}
+    rng = random.Random(41)
+    rows = [(i, " ".join(rng.choices(pools[g], k=150)), g, "s", 1) for i, g in enumerate(["en"] * 30 + ["xx"] * 12 + ["yy"] * 8)]
+    rows += [(100, " ".join(rng.choices(pools["en"], k=150)), "xx", "s", 1), (101, rows[3][1], "zz", "s", 1), (102, rows[35][1], None, "s", 1), (103, None, "yy", "s", 1), (104, "###", "yy", "s", 1), (None, rows[45][1], "yy", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    key = lambda n: sorted((tuple(r) for r in rules.judge(df, langs=n).collect()), key=repr)
+    every, few = key(256), key(1)
+    same = lambda r: r[0] not in (101, 102)
+    assert list(filter(same, every)) == list(filter(same, few)) and len(few) == len(rows)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(df, langs=1).collect()}
+    assert kept[100] is False and kept[101] is True
+
+
 def test_rules_keep_clean_and_drop_junk(spark, odd):
     clean = [" ".join(words(150, i, 60)) + "." for i in range(60)]
     junk = [" ".join(w.upper() + "!!$$" for w in words(150, 900 + i, 60)) for i in range(4)]
@@ -608,6 +623,44 @@ def test_mix_meets_targets(spark, odd):
 # 10 languages
 
 
+def test_language_paths_of_long_texts_stretch_by_stretch(monkeypatch):
+    from lostfound.llm import langid
+
+    rng = random.Random(31)
+    pools = {"aa": ["tana", "rasa", "lima", "nasal"], "bb": ["wort", "durch", "schloss", "zwei"], "cc": ["мир", "дом", "река"]}
+    model = langid.learn([(" ".join(rng.choices(p, k=40)), g) for g, p in pools.items() for _ in range(6)])
+    texts = [" ".join(w for g in rng.choices(list(pools), k=rng.randrange(1, 6)) for w in rng.choices(pools[g], k=rng.randrange(1, 30))) for _ in range(30)] + [None, "", "42"]
+    whole = langid.label(texts, model)
+    words = langid.LETTERS.findall(" ".join(t for t in texts if t))
+    path = langid.long_path(model, words)
+    assert (path == langid.paths([model.scores_of(words)], model.prior)[0]).all() and (path == langid.long_path(model, words, cells=21)).all()
+    for cells in (9, 60, 300):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert langid.label(texts, model) == whole
+
+
+def test_language_scores_equal_brute_force():
+    """A word's score: twice the mean over its letters and the four n-gram lengths of the smoothed log-probability, less the best language's."""
+    from lostfound.llm import langid
+
+    samples = [("tana rasa lima", "aa"), ("wort durch zwei", "bb"), ("мир дом", "cc"), ("rasa tana", "aa")]
+    model = langid.learn(samples)
+    langs = ["aa", "bb", "cc"]
+    grams = lambda w: langid._grams([w])[0].ravel().tolist()
+    counts = {g: {} for g in langs}
+    for t, g in samples:
+        words = langid.LETTERS.findall(t)
+        for k, row in enumerate(langid._grams(words)[0]):
+            for slot in row:
+                counts[g][slot] = counts[g].get(slot, 0) + 1
+    logp = lambda g, s: np.log((counts[g].get(s, 0) + 0.5) / (sum(counts[g].values()) + 0.5 * langid.SLOTS))
+    for w in ("tana", "zwei", "ra", "мир", "q"):
+        cyrillic = w == "мир"
+        want = np.array([sum(logp(g, s) for s in grams(w)) / 4 * 2 for g in langs])
+        want = np.where([(g == "cc") == cyrillic for g in langs], want - want.max(), -40.0)
+        assert np.allclose(model.word_scores([w])[0], want, atol=1e-3), w
+
+
 def test_language_spans_and_viterbi(spark, odd):
     en = ["the cat and the dog of this house with that thing", "other words are there when they think about it"]
     de = ["der hund und die katze sind nicht über das haus", "schöne wörter gehören auch zu dieser sprache"]
