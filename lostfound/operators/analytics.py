@@ -81,6 +81,28 @@ def resolution_summary(cases: DataFrame, by: str, *, status: str, hours: str, re
     return cases.groupBy(by).agg(F.count("*").alias("cases"), F.avg(done.cast("double")).alias("resolved_share"), F.avg(h).alias("mean_hours"), F.percentile(h, F.lit(0.5)).alias("p50_hours"), F.percentile(h, F.lit(0.9)).alias("p90_hours"))
 
 
+#: Exponent of the sketches: KLL keeps some 2^k values (rank error about 1.7 / 2^k), HLL has 2^k registers (error about 1.04 / sqrt(2^k)).
+SKETCH_K, REGISTERS_K = 200, 12
+
+
+def daily_sketches(cases: DataFrame, by: str, *, at: str, status: str, hours: str, person: str, resolved: tuple[str, ...] = ("Reunited",)) -> DataFrame:
+    """(by, day, cases, known (with a status), resolved, total_hours, hours_sketch, persons_sketch): what a day adds to :func:`resolution_summary` and :func:`distinct_persons`, to be stored and merged.
+
+    Sketches have a bounded size whatever the day holds.
+    """
+    done = F.col(status).isin(*resolved)
+    h = F.when(done, F.col(hours)).cast("double")
+    per = [F.count("*").alias("cases"), F.count(status).alias("known"), F.sum(F.coalesce(done, F.lit(False)).cast("long")).alias("resolved"), F.sum(h).alias("total_hours"), F.kll_sketch_agg_double(h, SKETCH_K).alias("hours_sketch"), F.hll_sketch_agg(person, REGISTERS_K).alias("persons_sketch")]
+    return cases.groupBy(by, F.to_date(at).alias("day")).agg(*per)
+
+
+def summary_of_days(sketches: DataFrame, by: str) -> DataFrame:
+    """(by, cases, resolved_share, mean_hours, p50_hours, p90_hours, persons) of any days of :func:`daily_sketches`, from their rows alone (F4, F13). Hours are null where no case is resolved."""
+    out = sketches.groupBy(by).agg(F.sum("cases").alias("cases"), F.sum("known").alias("_known"), F.sum("resolved").alias("_done"), F.sum("total_hours").alias("_hours"), F.kll_merge_agg_double("hours_sketch").alias("_h"), F.hll_union_agg("persons_sketch").alias("_p"))
+    at = lambda q: F.when(F.kll_sketch_get_n_double("_h") > 0, F.kll_sketch_get_quantile_double("_h", F.lit(q)))
+    return out.select(by, "cases", F.try_divide(F.col("_done"), F.col("_known")).alias("resolved_share"), F.try_divide(F.col("_hours"), F.col("_done")).alias("mean_hours"), at(0.5).alias("p50_hours"), at(0.9).alias("p90_hours"), F.hll_sketch_estimate("_p").alias("persons"))
+
+
 def center_overlap(pairs: DataFrame, a: str = "center_a", b: str = "center_b") -> DataFrame:
     """(center, other, shared): persons that two centers share, both directions."""
     both = pairs.select(F.col(a).alias("center"), F.col(b).alias("other")).unionAll(pairs.select(F.col(b).alias("center"), F.col(a).alias("other")))

@@ -28,24 +28,50 @@ def merge_reports(registry: DataFrame, batch: DataFrame, key: str = "case_id", v
     return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_b")
 
 
-def candidate_pairs(cases: DataFrame, keys: list[Column], *, id_: str, center: str, max_block: int | None = None) -> DataFrame:
+#: Rows of a block that meet in one task.
+BLOCK_ROWS = 1_000
+
+
+def block_keys(keys: list[Column]) -> Column:
+    """The block keys of a row as texts, told apart by their number; null ones are left out."""
+    return F.array_compact(F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys)]))
+
+
+def dealt(long: DataFrame, keys: list[str], id_: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``long`` with ``_m``, the parts of its block, and ``_s``, its own part: one for each ``rows`` rows of the block, by a hash of the id."""
+    hot = long.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_m")).filter("_m > 1")
+    m = F.coalesce(F.col("_m"), F.lit(1))
+    return long.join(hot, keys, "left").withColumn("_m", m).withColumn("_s", F.pmod(F.xxhash64(id_), F.col("_m")).cast("int"))
+
+
+def met_in_blocks(long: DataFrame, keys: list[str], rows: int = BLOCK_ROWS) -> tuple[DataFrame, Column]:
+    """(rows of blocks, the condition under which an aliased x and y of them meet, x._id < y._id): each pair of a block once.
+
+    A block of more than ``rows`` rows is dealt to parts, and each pair of parts is a block of its own, so a hot key is many tasks.
+    """
+    own = dealt(long, keys, "_id", rows).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    own = own.withColumn("_lo", F.least("_s", "_o")).withColumn("_hi", F.greatest("_s", "_o")).drop("_m", "_o")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*keys, "_lo", "_hi")]
+    once = (F.col("x._s") != F.col("y._s")) | (F.col("x._lo") == F.col("x._hi"))
+    return own, reduce(lambda p, q: p & q, [*same, F.col("x._id") < F.col("y._id"), once])
+
+
+def candidate_pairs(cases: DataFrame, keys: list[Column], *, id_: str, center: str, max_block: int | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b), a < b, of cases at different centers that share a block key (E2). Null keys block nothing.
 
-    ``max_block`` drops keys with more cases than that (report them with :func:`block_sizes`); by default none is dropped.
+    Hot keys are dealt to parts of ``rows`` cases. ``max_block`` drops keys with more cases than that (report them with :func:`block_sizes`); by default none is dropped.
     """
-    tagged = F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys)])
-    long = cases.select(F.col(id_).alias("_id"), F.col(center).alias("_c"), F.explode(F.array_compact(tagged)).alias("_k"))
+    long = cases.select(F.col(id_).alias("_id"), F.col(center).alias("_c"), F.explode(block_keys(keys)).alias("_k"))
     if max_block:
         long = long.join(long.groupBy("_k").count().filter(F.col("count") <= max_block).select("_k"), "_k", "left_semi")
-    x, y = long.alias("x"), long.alias("y")
-    met = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._id") < F.col("y._id")) & (F.col("x._c") != F.col("y._c")))
+    own, meet = met_in_blocks(long, ["_k"], rows)
+    met = own.alias("x").join(own.alias("y"), meet & (F.col("x._c") != F.col("y._c")))
     return met.select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
 
 
 def block_sizes(cases: DataFrame, keys: list[Column], least: int) -> DataFrame:
     """(key, n) of block keys with more than ``least`` cases."""
-    tagged = F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys)])
-    return cases.select(F.explode(F.array_compact(tagged)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    return cases.select(F.explode(block_keys(keys)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > least)
 
 
 def score_pairs(pairs: DataFrame, fields: list[tuple[str, str, float]], least: int = 2) -> DataFrame:
@@ -97,13 +123,22 @@ def match_found(missing: DataFrame, found: DataFrame, *, block: list[str], hours
 
 
 def _next_in_time(m: DataFrame, f: DataFrame, block: list[str], k: int) -> DataFrame:
-    """Pairs of each missing case with the k found ones of its block up to its time and the k after it."""
-    w = Window.partitionBy(*block)
+    """Pairs of each missing case with the k found ones of its block up to its time and the k after it.
+
+    Found cases are numbered by day first and then by the counts of the days before, so a task holds a day of a block.
+    """
+    day = lambda c: F.floor(F.col(c) / 86_400)
+    kind = dict(m.dtypes)["missing_id"]
+    both = f.select(*block, F.col("_tf").alias("_t"), F.lit(None).cast(kind).alias("missing_id"), F.lit(1).alias("_is")).unionByName(m.select(*block, F.col("_tm").alias("_t"), "missing_id", F.lit(0).alias("_is"))).withColumn("_d", day("_t"))
+    earlier = Window.partitionBy(*block).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = both.groupBy(*block, "_d").agg(F.sum("_is").alias("_c")).select(*block, "_d", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(*block, "_d")
     # of equal times the smallest id is nearest: it comes last before and first after
-    numbered = f.withColumn("_up", F.row_number().over(w.orderBy("_tf", F.desc("found_id")))).withColumn("_down", F.row_number().over(w.orderBy("_tf", "found_id")))
-    both = numbered.select(*block, F.col("_tf").alias("_t"), F.lit(None).cast(dict(m.dtypes)["missing_id"]).alias("missing_id"), F.lit(1).alias("_is")).unionByName(m.select(*block, F.col("_tm").alias("_t"), "missing_id", F.lit(0).alias("_is")))
+    place = lambda *by: F.col("_before") + F.row_number().over(w.orderBy(*by))
+    numbered = f.withColumn("_d", day("_tf")).join(days, [*block, "_d"]).withColumn("_up", place("_tf", F.desc("found_id"))).withColumn("_down", place("_tf", "found_id"))
     # number of found cases up to the time, those of the same second included
-    passed = both.withColumn("_n", F.sum("_is").over(w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter("_is = 0").select(*block, "missing_id", F.col("_t").alias("_tm"), "_n")
+    own = F.sum("_is").over(w.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    passed = both.withColumn("_own", own).filter("_is = 0").join(days, [*block, "_d"]).select(*block, "missing_id", F.col("_t").alias("_tm"), (F.col("_before") + F.col("_own")).alias("_n"))
     before = passed.withColumn("_up", F.explode(F.sequence(F.col("_n") - (k - 1), F.col("_n")))).filter("_up > 0")
     after = passed.withColumn("_down", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k)))
     take = lambda x, c: x.join(numbered.select(*block, c, "found_id", "_tf"), [*block, c]).select("missing_id", "found_id", "_tm", "_tf")
@@ -125,12 +160,29 @@ def agreeing(gender: str | None = "gender", age: str | None = "age") -> Callable
     return agree
 
 
-def search_registry(queries: DataFrame, cases: DataFrame, *, block: list[str], fields: list[tuple[str, str, float]], k: int, id_: str = "case_id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, case_id, score, rank): family queries against all centers' cases of the same block."""
+def store_blocks(cases: DataFrame, table: str, path: str, keys: list[Column], fields: list[str], *, id_: str = "case_id", rows: int = BLOCK_ROWS, buckets: int = 64) -> DataFrame:
+    """The registry as a table of block keys for :func:`search_registry`, written under ``path`` in buckets by key (E1): a row for each case and key, with the fields to compare.
+
+    Keys of more than ``rows`` cases are dealt to parts, which are in buckets of their own.
+    """
+    own = cases.select(F.col(id_).alias("_c"), *[F.col(n).alias(f"b_{n}") for n in fields], block_keys(keys).alias("_ks"))
+    long = dealt(own.withColumn("_k", F.explode("_ks")), ["_k"], "_c", rows)
+    long.write.mode("overwrite").bucketBy(buckets, "_k", "_s").sortBy("_k", "_s").option("path", path).saveAsTable(table)
+    return cases.sparkSession.table(table)
+
+
+def search_registry(queries: DataFrame, blocks: DataFrame, *, keys: list[Column], fields: list[tuple[str, str, float]], k: int, id_: str = "case_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, case_id, score, rank): family queries against all centers' cases that share a key with them.
+
+    ``blocks`` is the table of :func:`store_blocks`, made with keys of the same meaning and the same fields. A null key of a query finds nothing, the others still do; a query
+    and a case that share several keys are compared once, at the first. Only queries are shuffled, and a query of a hot key goes to each of its parts.
+    """
     names = [n for n, _, _ in fields]
-    q = queries.select(F.col(query_id).alias("_q"), *block, *[F.col(n).alias(f"a_{n}") for n in names])
-    c = cases.select(F.col(id_).alias("_c"), *block, *[F.col(n).alias(f"b_{n}") for n in names])
-    scored = score_pairs(q.join(c, block), fields).filter("score > 0")
+    q = queries.select(F.col(query_id).alias("_q"), *[F.col(n).alias(f"a_{n}") for n in names], block_keys(keys).alias("_mine")).withColumn("_k", F.explode("_mine"))
+    parts = blocks.filter("_m > 1").select("_k", "_m").distinct()
+    asked = q.join(parts, "_k", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
+    first = F.element_at(F.array_intersect("_mine", "_ks"), 1) == F.col("_k")
+    scored = score_pairs(asked.join(blocks.drop("_m"), ["_k", "_s"]).filter(first), fields).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_c"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("_q").alias(query_id), F.col("_c").alias(id_), "score", "rank")
 

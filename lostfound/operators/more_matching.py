@@ -10,22 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import equal_sets, usable_vector
+from lostfound.operators.matching import equal_sets, met_in_blocks, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
 
 
 def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; of equal sets the smallest id stands for all and has a pair with each of the others."""
+    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; of equal sets the smallest id stands for all and has a pair with each of the others. Buckets of more than ``BUCKET`` sets are dealt to parts."""
     own, same = equal_sets(df, id_, tokens)
     own = own.checkpoint()
     least_hash = lambda seed: F.array_min(F.transform("_t", lambda w: F.xxhash64(F.lit(seed), w)))
     hashes = F.array(*[least_hash(seed) for seed in range(bands * rows)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("_m", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
     keyed = own.withColumn("_m", hashes).select("_id", F.explode(keys).alias("_k")).checkpoint()
-    x, y = keyed.alias("x"), keyed.alias("y")
-    met = x.join(y, (F.col("x._k") == F.col("y._k")) & (F.col("x._id") < F.col("y._id"))).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    dealt, meet = met_in_blocks(keyed, ["_k"], BUCKET)
+    met = dealt.alias("x").join(dealt.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
     shared = F.size(F.array_intersect("_ta", "_tb"))
     near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
@@ -56,14 +56,8 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
     df = df.filter((F.size(embedding) == dim) & usable_vector(embedding))
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
     keyed = own.select("_id", F.posexplode(signatures("_v")).alias("_table", "_bits"))
-    popular = keyed.groupBy("_table", "_bits").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("_m")).filter("_m > 1")
-    m = F.coalesce(F.col("_m"), F.lit(1))
-    dealt = keyed.join(popular, ["_table", "_bits"], "left").withColumn("_s", F.pmod(F.xxhash64("_id"), m).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), m - 1))).select("_id", "_table", "_bits", "_s", F.least("_s", "_o").alias("_lo"), F.greatest("_s", "_o").alias("_hi"))
-    x, y = dealt.alias("x"), dealt.alias("y")
-    same_key = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("_table", "_bits", "_lo", "_hi")]
-    once = (F.col("x._s") != F.col("y._s")) | (F.col("x._lo") == F.col("x._hi"))
-    met = x.join(y, [*same_key, F.col("x._id") < F.col("y._id"), once]).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    own_bits, meet = met_in_blocks(keyed, ["_table", "_bits"], BUCKET)
+    met = own_bits.alias("x").join(own_bits.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), "a").join(own.select(F.col("_id").alias("b"), F.col("_v").alias("_vb")), "b")
     near = joined.withColumn("score", F.round(dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb")), 6)).filter(F.col("score") >= least).select("a", "b", "score")

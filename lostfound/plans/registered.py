@@ -7,6 +7,7 @@ zones, documents descriptions, embeddings faces. Each query runs over whole tabl
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from lostfound.operators import graph as N
 from lostfound.operators import matching as M
 from lostfound.operators import more_matching as MM
 from lostfound.plans import inputs as I
-from lostfound.plans.streams import STREAM_ORACLE, STREAM_QUERIES
+from lostfound.plans.streams import STREAM_ORACLE, STREAM_QUERIES, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -291,11 +292,15 @@ def d7_help_points(s, d):
 # --- search, matching, duplicates ---
 
 
-@query(f"""WITH {R}, j AS (SELECT q.case_id AS query_id, c.case_id AS case_id, round((CASE WHEN q.center = c.center THEN 1.0 ELSE 0.0 END * 2 + greatest(0.0, 1 - abs(floor(epoch(q.reported_at)) - floor(epoch(c.reported_at))) / 172800.0) * 1) / 3, 9)::DOUBLE AS score
-FROM r q JOIN r c ON q.zone = c.zone AND q.age = c.age WHERE q.event_type = 'error' AND c.event_type = 'signup'), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM j WHERE score > 0) SELECT query_id, case_id, score, rank::INT AS rank FROM k WHERE rank <= 3""")
+@query(f"""WITH {R}, u AS (SELECT *, CASE WHEN case_id % 4 <> 0 THEN zone END AS z FROM r), j AS (SELECT q.case_id AS query_id, c.case_id AS case_id, round((CASE WHEN q.center = c.center THEN 1.0 ELSE 0.0 END * 2 + greatest(0.0, 1 - abs(floor(epoch(q.reported_at)) - floor(epoch(c.reported_at))) / 172800.0) * 1) / 3, 9)::DOUBLE AS score
+FROM u q JOIN r c ON (q.z = c.zone AND q.age = c.age) OR q.user_id = c.user_id WHERE q.event_type = 'error' AND c.event_type = 'signup'), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank FROM j WHERE score > 0) SELECT query_id, case_id, score, rank::INT AS rank FROM k WHERE rank <= 3""")
 def e1_search(s, d):
+    """By zone and age or by the reporter; every fourth query has no zone."""
     r = reports(s, d)
-    return M.search_registry(r.filter("event_type = 'error'").withColumnRenamed("case_id", "query_id"), r.filter("event_type = 'signup'"), block=["zone", "age"], fields=[("center", "equal", 2.0), ("reported_at", "hours", 1.0)], k=3)
+    keys = [F.concat(F.col("zone").cast("string"), F.lit("/"), F.col("age").cast("string")), F.col("user_id")]
+    blocks = M.store_blocks(r.filter("event_type = 'signup'"), f"blocks_{uuid.uuid4().hex[:12]}", f"{shared_dir(s)}/blocks", keys, ["center", "reported_at"])
+    asked = r.filter("event_type = 'error'").withColumnRenamed("case_id", "query_id").withColumn("zone", F.when(F.col("query_id") % 4 != 0, F.col("zone")))
+    return M.search_registry(asked, blocks, keys=keys, fields=[("center", "equal", 2.0), ("reported_at", "hours", 1.0)], k=3)
 
 
 @query(f"""WITH {R}, x AS (SELECT * FROM r WHERE event_type = 'error') SELECT DISTINCT a.case_id AS a, b.case_id AS b FROM x a JOIN x b ON a.case_id < b.case_id AND a.center <> b.center
@@ -493,6 +498,23 @@ def f4_resolution(s, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean_hours", "p50_hours", "p90_hours")})
 
 
+@query(f"""WITH {R}, w AS (SELECT * FROM r WHERE reported_at::DATE >= (SELECT min(reported_at)::DATE + 3 FROM r) AND reported_at::DATE < (SELECT min(reported_at)::DATE + 10 FROM r)) SELECT center, count(*) AS cases, avg((event_type = 'signup')::INT)::DOUBLE AS resolved_share, round(avg(resolution_hours) FILTER (event_type = 'signup'), 6) AS mean_hours, true AS near_p50, true AS near_p90, true AS near_persons FROM w GROUP BY 1""")
+def f4_week_from_days(s, d):
+    """A week from seven stored days: exact counts and mean, ranks of the percentiles within 5 % of the week's cases and persons within 5 % of those that reading all its reports gives."""
+    r = reports(s, d).withColumn("day", F.to_date("reported_at"))
+    start = F.broadcast(r.agg(F.date_add(F.min("day"), 3).alias("_from")))
+    in_week = (F.col("day") >= F.col("_from")) & (F.col("day") < F.date_add("_from", 7))
+    days = A.daily_sketches(r, "center", at="reported_at", status="event_type", hours="resolution_hours", person="user_id", resolved=("signup",)).checkpoint()
+    week = A.summary_of_days(days.crossJoin(start).filter(in_week), "center")
+    own = r.crossJoin(start).filter(in_week)
+    signup = F.col("event_type") == "signup"
+    below = lambda q: F.avg(F.when(signup, (F.col("resolution_hours") <= F.col(f"p{q}_hours")).cast("double")))
+    upto = lambda q: F.avg(F.when(signup, (F.col("resolution_hours") < F.col(f"p{q}_hours")).cast("double")))
+    held = own.join(week.select("center", "p50_hours", "p90_hours"), "center").groupBy("center").agg(below(50).alias("b50"), upto(50).alias("u50"), below(90).alias("b90"), upto(90).alias("u90"), F.countDistinct("user_id").alias("n"))
+    near = lambda q: (F.col(f"u{q}") <= q / 100 + 0.05) & (F.col(f"b{q}") >= q / 100 - 0.05)
+    return week.join(held, "center").select("center", "cases", "resolved_share", F.round("mean_hours", 6).alias("mean_hours"), near(50).alias("near_p50"), near(90).alias("near_p90"), (F.abs(F.col("persons") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near_persons"))
+
+
 @query("WITH x AS (SELECT doc_id, source, min(doc_id) OVER (PARTITION BY text) AS a FROM documents), p AS (SELECT y.source AS s1, x.source AS s2 FROM x JOIN documents y ON y.doc_id = x.a WHERE x.doc_id <> x.a), b AS (SELECT s1 AS center, s2 AS other FROM p UNION ALL SELECT s2, s1 FROM p) SELECT center, other, count(*) AS shared FROM b GROUP BY 1, 2")
 def f5_center_overlap(s, d):
     x, pairs = _equal_texts(s, d)

@@ -460,3 +460,64 @@ def test_nearest_in_rings_equals_the_array(spark):
         assert one == two and len(one) == 41 * k and one[50, 1] == (60, 0.0)
     assert G.nearest_k(left, places.limit(2), 5, id_="i", place="j", rows=1).count() == 80
     assert G.nearest_k(left, places.limit(0), 1, id_="i", place="j").count() == 0
+
+
+def test_hot_blocks_are_dealt_and_no_pair_is_lost(spark):
+    rng = random.Random(16)
+    rows = [(i, rng.choice("abc"), rng.choice(["hot"] * 6 + ["x", None]), rng.choice(["p", "q", None])) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, c string, k string, l string")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and ((a[2] and a[2] == b[2]) or (a[3] and a[3] == b[3]))}
+    for n in (7, 1000):
+        got = [(r["a"], r["b"]) for r in M.candidate_pairs(df, [F.col("k"), F.col("l")], id_="i", center="c", rows=n).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert M.candidate_pairs(df, [F.col("k")], id_="i", center="c", max_block=3).count() < len(want)
+
+
+def test_search_over_stored_blocks(spark, tmp_path):
+    """Null keys of a query find nothing and hide nothing; hot keys are whole; the registry isn't shuffled."""
+    rng = random.Random(17)
+    cases = [(i, rng.choice(["z1"] * 8 + ["z2", None]), rng.choice([None, *map(str, range(30))]), rng.choice(["a", "b", "c"]), rng.randrange(5)) for i in range(200)]
+    asked = [(1000 + i, rng.choice(["z1", "z2", None]), rng.choice([None, *map(str, range(30))]), rng.choice(["a", "b", "c", None]), rng.randrange(5)) for i in range(40)]
+    c = spark.createDataFrame(cases, "case_id long, zone string, mobile string, g string, n long")
+    q = spark.createDataFrame(asked, "query_id long, zone string, mobile string, g string, n long")
+    keys, fields = [F.col("zone"), F.col("mobile")], [("g", "equal", 2.0), ("n", "equal", 1.0)]
+    blocks = M.store_blocks(c, "blocks_of_test", str(tmp_path / "blocks"), keys, ["g", "n"], rows=20, buckets=4)
+    found = M.search_registry(q, blocks, keys=keys, fields=fields, k=5)
+    want = {}
+    for i, z, m, g, n in asked:
+        scores = []
+        for j, z2, m2, g2, n2 in cases:
+            if (z and z == z2) or (m and m == m2):
+                agree = [(2.0, g == g2)] * (g is not None) + [(1.0, n == n2)]
+                s = round(sum(w for w, ok in agree if ok) / sum(w for w, _ in agree), 9) if len(agree) > 1 else 0.0
+                if s > 0:
+                    scores.append((-s, j))
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(sorted(scores)[:5])}
+    assert {(r["query_id"], r["rank"]): (r["case_id"], r["score"]) for r in found.collect()} == want and len(want) > 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = M.search_registry(q, blocks, keys=keys, fields=fields, k=5)._jdf.queryExecution().sparkPlan().toString()
+        full = M.search_registry(q, blocks, keys=keys, fields=fields, k=5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [_k" in plan
+    join = full[full.index("SortMergeJoin [_k") :]
+    registry = join[join.rindex("Scan parquet") - 400 :]
+    assert "Bucketed: true" in full and "Exchange" not in registry.split("Scan parquet")[0].rsplit("Sort [", 1)[-1]
+
+
+def test_days_are_summed_up_without_their_reports(spark):
+    rng = np.random.default_rng(3)
+    rows = [(["a", "b"][i % 2], f"2027-01-{1 + i % 9:02d}", "Reunited" if i % 3 else "Active", float(rng.gamma(2, 10)), int(rng.integers(700))) for i in range(4_000)] + [("c", "2027-01-02", "Active", 5.0, 1), ("c", "2027-01-02", None, None, None)]
+    df = spark.createDataFrame(rows, "center string, day string, status string, hours double, person long").withColumn("reported_at", F.to_timestamp("day"))
+    days = A.daily_sketches(df, "center", at="reported_at", status="status", hours="hours", person="person")
+    got = {r["center"]: r for r in A.summary_of_days(days.filter("day between '2027-01-02' and '2027-01-07'"), "center").collect()}
+    for center in "ab":
+        own = [r for r in rows if r[0] == center and "2027-01-02" <= r[1] <= "2027-01-07"]
+        hours = np.sort([r[3] for r in own if r[2] == "Reunited"])
+        r = got[center]
+        assert r["cases"] == len(own) and abs(r["mean_hours"] - hours.mean()) < 1e-9 and abs(r["resolved_share"] - len(hours) / len(own)) < 1e-12
+        assert abs(np.searchsorted(hours, r["p50_hours"]) / len(hours) - 0.5) < 0.03 and abs(np.searchsorted(hours, r["p90_hours"]) / len(hours) - 0.9) < 0.03
+        assert abs(r["persons"] - len({x[4] for x in own})) <= 0.06 * len({x[4] for x in own})
+    assert (got["c"]["cases"], got["c"]["p50_hours"], got["c"]["mean_hours"], got["c"]["persons"]) == (2, None, None, 1)
