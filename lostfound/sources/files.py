@@ -81,7 +81,18 @@ def to_case(reports: DataFrame) -> DataFrame:
     )
 
 
-def write_registry(cases: DataFrame, path: str) -> None:
-    """The registry by report date; only the dates of ``cases`` are replaced, so a rerun gives the same table (A5)."""
+#: Cases of a date in a file of the registry, on average.
+FILE_ROWS = 500_000
+
+
+def write_registry(cases: DataFrame, path: str, rows: int = FILE_ROWS) -> None:
+    """The registry by report date; only the dates of ``cases`` are replaced, so a rerun gives the same table (A5).
+
+    A date is one file, a busy one, as that of the cases without a date, a file for each ``rows`` cases.
+    """
     dated = cases.withColumn("report_date", F.to_date("reported_at"))
-    dated.repartition("report_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(path)
+    day = F.coalesce(F.col("report_date").cast("string"), F.lit("none"))
+    busy = dated.groupBy(day.alias("_day")).agg(F.ceil(F.count("*") / rows).cast("int").alias("_m")).filter("_m > 1")
+    part = F.pmod(F.xxhash64("case_id"), F.coalesce(F.col("_m"), F.lit(1)))
+    dealt = dated.withColumn("_day", day).join(F.broadcast(busy), "_day", "left").withColumn("_part", part)  # a row for each busy date
+    dealt.repartition("_day", "_part").drop("_day", "_m", "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(path)
