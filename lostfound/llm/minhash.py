@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, forget, written
+from .common import WORDS, forget, tidied, written
 
 #: Registers by band and bands: at similarity 0.8 a pair shares no band with probability 3e-6.
 ROWS, BANDS = 5, 32
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame, *, doc_id: str, text: str, size: int) -> DataFrame
             out.insert(0, "_id", pdf["_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).mapInPandas(sketched, "_id long, _n long, _key binary, _reg binary")
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_t")).mapInPandas(tidied(sketched), "_id long, _n long, _key binary, _reg binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def linked(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     forget(both)
     # only texts that share a key are shuffled on to full sets, once for all rounds
     wanted = reps.select("_id", "_key").join(met.select("_id").distinct(), "_id", "left_semi")
-    full = written(texts.join(wanted, "_id").mapInPandas(_full_sets(size), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
+    full = written(texts.join(wanted, "_id").mapInPandas(tidied(_full_sets(size)), "_id long, _set binary").dropDuplicates(["_id"]), "mh-full")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     links = known = used = first_heads = None
     for _ in range(HEADS):
@@ -213,7 +213,7 @@ def open_pairs(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["_h", "_id", "_label", "_n", "_w", "_hw", "_all"])
 
     both = members.join(full.select(F.col("_id").alias("_h"), F.col("_set").alias("sh")), "_h").join(full.select("_id", F.col("_set").alias("sx")), "_id")
-    apart = written(both.mapInPandas(differ, "_h long, _id long, _label long, _n long, _w long, _hw long, _all array<long>"), "mh-apart")
+    apart = written(both.mapInPandas(tidied(differ), "_h long, _id long, _label long, _n long, _w long, _hw long, _all array<long>"), "mh-apart")
     apart = apart.withColumn("_e", F.explode("_all")).drop("_all")
     often = apart.groupBy("_h", "_e").agg(F.count("*").alias("_f")).filter("_f > 1")
     place = (F.row_number().over(Window.partitionBy("_h", "_id").orderBy("_f", "_e")) - 1).cast("long")
@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -
 
     left = reps.select(F.col("_id").alias("a"), F.col("_n").alias("na"), F.col("_reg").alias("ra"))
     right = reps.select(F.col("_id").alias("b"), F.col("_n").alias("nb"), F.col("_reg").alias("rb"))
-    wanted = written(pairs.join(left, "a").join(right, "b").mapInPandas(likely, "a long, b long"), "mh-likely")
+    wanted = written(pairs.join(left, "a").join(right, "b").mapInPandas(tidied(likely), "a long, b long"), "mh-likely")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -262,4 +262,4 @@ def verified(pairs: DataFrame, reps: DataFrame, full: DataFrame, percent: int) -
             yield pd.DataFrame(out, columns=["a", "b", "similarity", "linked"])
 
     sa, sb = full.select(F.col("_id").alias("a"), F.col("_set").alias("sa")), full.select(F.col("_id").alias("b"), F.col("_set").alias("sb"))
-    return wanted.join(sa, "a").join(sb, "b").mapInPandas(compare, "a long, b long, similarity double, linked boolean")
+    return wanted.join(sa, "a").join(sb, "b").mapInPandas(tidied(compare), "a long, b long, similarity double, linked boolean")

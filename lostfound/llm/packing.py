@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, rank_within, written
+from .common import WORDS, rank_within, tidied, written
 
 CAPACITY = 2048
 #: Distinct runs or words whose ids a Python worker keeps; beyond it the memory is emptied and filled anew.
@@ -119,7 +119,7 @@ def tokenize_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                 out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
                 yield out
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, columns)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(tidied(cut), columns)
 
 
 def solve(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:

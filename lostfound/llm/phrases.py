@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, n_parts, written
+from .common import forget, n_parts, tidied, written
 
 #: Bytes of text that a task works on at once; n-gram occurrences of a hash partition on average; bits of all survivors' filter (16 MB).
 RUN_BYTES, PART_MASS, FILTER_BITS = 3 << 20, 4_000_000, 27
@@ -190,7 +190,7 @@ def survivors(own: DataFrame, least: int, most: int, *, part_mass: int = PART_MA
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
     filter_ = np.zeros((1 << bits, (1 << own_bits) // 8), dtype=np.uint8)
-    summaries = written(own.mapInArrow(blocks, "part int, low binary, n binary").groupBy("part").applyInPandas(summary, "part int, bits binary"), "phrase-bits")
+    summaries = written(own.mapInArrow(tidied(blocks), "part int, low binary, n binary").groupBy("part").applyInPandas(summary, "part int, bits binary"), "phrase-bits")
     for r in summaries.collect():  # 2^filter_bits bits in all
         filter_[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     forget(summaries)
@@ -217,7 +217,7 @@ def counted(own: DataFrame, bits: np.ndarray, most: int, run_bytes: int = RUN_BY
                 for size, phrase, n in parts:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, dtype=np.int32)), phrase, pa.array(n.astype(np.int64))], schema=kinds)
 
-    rows = own.mapInArrow(count, "lang string, size int, phrase string, n long")
+    rows = own.mapInArrow(tidied(count), "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 

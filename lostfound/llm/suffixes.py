@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, forget, fresh_names, n_parts, written
+from .common import WORDS, forget, fresh_names, n_parts, tidied, written
 
 #: Least words of a repeated passage; words of a k-gram.
 LEAST, GRAM = 50, 8
@@ -133,7 +133,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     texts = docs.select(text_key(F.col(text)).alias("_t"), _ordered(F.col(doc_id)).alias("_id"), F.col(text).alias("_x")).filter(F.col("_x").isNotNull())
     owners = written(texts.groupBy("_t").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last")), "sa-owners")
-    light = written(texts.select("_t", "_x").mapInPandas(sparse, "_h long, _t long, _n int"), "sa-sparse")
+    light = written(texts.select("_t", "_x").mapInPandas(tidied(sparse), "_h long, _t long, _n int"), "sa-sparse")
     # k-grams that occur more than once; no task sees all occurrences of one
     twice = light.groupBy("_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.max("_n").alias("_n")).filter("_a <> _b or _n > 1").select("_h")
     twice = written(twice, "sa-twice")
@@ -158,12 +158,12 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 own = which[part]
                 yield pa.RecordBatch.from_arrays([s, pa.array(pdf["_t"].to_numpy()[own]), pa.array(pdf["_id"].to_numpy()[own]), pa.array(at[part].astype(np.int32))], schema=kind)
 
-    found = texts.join(wanted, ["_t", "_id"]).mapInArrow(contexts, "_s binary, _t long, _id long, _at int")
+    found = texts.join(wanted, ["_t", "_id"]).mapInArrow(tidied(contexts), "_s binary, _t long, _id long, _at int")
     found = written(found, "sa-contexts")
     forget(wanted)
     order = ["_s", "_id", "_t", "_at"]  # by all columns, so that no number of equal surroundings has to fit a task
     ordered = found.repartitionByRange(n_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-    opened = written(ordered.mapInPandas(open_windows(least, gram), "_w long, _t long, _id long, _at int, _from int, _to int, _late boolean"), "sa-windows")
+    opened = written(ordered.mapInPandas(tidied(open_windows(least, gram)), "_w long, _t long, _id long, _at int, _from int, _to int, _late boolean"), "sa-windows")
     forget(found)
     windows = opened.filter("_w is not null").select("_w", "_t", "_id", "_at", "_from", "_to")
     # windows that different surroundings share, with their first occurrence
