@@ -31,7 +31,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     done = suffixes.clean(docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast("long"))
-    return done.select(*docs.columns)
+    return written(done.select(*docs.columns), "cleaned")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
