@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import equal_sets, met_in_blocks, usable_vector
+from lostfound.operators.matching import dealt, equal_sets, met_in_blocks, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
@@ -24,40 +24,68 @@ def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str
     hashes = F.array(*[least_hash(seed) for seed in range(bands * rows)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("_m", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
     keyed = own.withColumn("_m", hashes).select("_id", F.explode(keys).alias("_k")).checkpoint()
-    dealt, meet = met_in_blocks(keyed, ["_k"], BUCKET)
-    met = dealt.alias("x").join(dealt.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    parts, meet = met_in_blocks(keyed, ["_k"], BUCKET)
+    met = parts.alias("x").join(parts.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
     shared = F.size(F.array_intersect("_ta", "_tb"))
     near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
     return near.unionByName(same)
 
 
-def tables_for(planes: int, least: float, missed: float = MISSED) -> int:
-    """The tables of ``planes`` hyperplanes after which a pair at cosine ``least`` shares none with probability ``missed`` at most."""
-    met = (1 - math.acos(least) / math.pi) ** planes
-    return 1 if met >= 1 else math.ceil(math.log(missed) / math.log1p(-met))
-
-
-def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: float, *, vec_id: str = "vec_id", embedding: str = "embedding", dim: int = 64, seed: int = 5) -> DataFrame:
-    """(a, b, score) of vectors that share the signs of ``planes`` random hyperplanes in one of ``tables`` tables, with an exact cosine of ``least`` or more.
-
-    Without ``tables``, :func:`tables_for` chooses their number. Equal vectors meet through their smallest id, so copies cost a row each.
-    Buckets of more than ``BUCKET`` vectors are dealt to blocks, and each pair of blocks meets on its own. Vectors of another length than ``dim``, zero ones
-    and such with null, infinite or undefined components have no partners.
+#: Hash tables of vectors, and the planes nearest to a vector that its probes may cross.
+TABLES, NEAR_PLANES = 12, 6
+
+
+def sides(v: np.ndarray, normals: np.ndarray, tables: int, planes: int, probes: int) -> np.ndarray:
+    """(vectors x tables x probes + 1): the bucket of each vector, and those it would be in if it stood beyond some of the planes nearest to it, likeliest first."""
+    margin = (v @ normals.T).reshape(len(v), tables, planes)
+    own = ((margin > 0) * (1 << np.arange(planes))).sum(axis=2)
+    near = min(NEAR_PLANES, planes)
+    order = np.argsort(np.abs(margin), axis=2)[:, :, :near]
+    cost = np.take_along_axis(margin, order, axis=2) ** 2
+    crossed = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1
+    best = np.argsort(cost @ crossed.T, axis=2, kind="stable")[:, :, : probes + 1]  # crossing none costs nothing and comes first
+    flips = (crossed[best] * (1 << order)[:, :, None, :]).sum(axis=3)
+    return own[:, :, None] ^ flips
+
+
+def probes_for(planes: int, tables: int, least: float, dim: int, seed: int, missed: float = MISSED) -> int:
+    """The fewest probes with which at most ``missed`` of pairs at cosine ``least`` meet in no table, on 2,000 random pairs."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.standard_normal((2, 2_000, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = least * a + math.sqrt(max(0.0, 1 - least**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    normals = rng.standard_normal((tables * planes, dim))
+    most = (1 << min(NEAR_PLANES, planes)) - 1
+    x, y = sides(a, normals, tables, planes, most), sides(b, normals, tables, planes, most)
+    first = np.minimum(np.where(x == y[:, :, :1], np.arange(most + 1), most + 1).min(axis=(1, 2)), np.where(y == x[:, :, :1], np.arange(most + 1), most + 1).min(axis=(1, 2)))
+    return int(min(most, np.quantile(first, 1 - missed, method="inverted_cdf")))
+
+
+def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: float, *, probes: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding", dim: int = 64, seed: int = 5) -> DataFrame:
+    """(a, b, score) of vectors with an exact cosine of ``least`` or more, found by the sides of random planes they stand on.
+
+    Each vector is in one bucket of every table and looks into the buckets beyond the planes it is nearest to, too; :func:`probes_for` tells how many, so that at most
+    ``MISSED`` of the pairs at the threshold are missed. Equal vectors meet through their smallest id, so copies cost a row each. Buckets of more than ``BUCKET`` vectors
+    are dealt to parts, each of which meets all that look in. Vectors of another length than ``dim``, zero ones and such with null, infinite or
+    undefined components have no partners.
     """
-    tables = tables_for(planes, least) if tables is None else tables
+    tables = TABLES if tables is None else tables
+    probes = probes_for(planes, tables, least, dim, seed) if probes is None else probes
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
 
-    @F.pandas_udf("array<long>")
-    def signatures(v: pd.Series) -> pd.Series:
-        bits = (np.array(v.tolist(), dtype=float).reshape(-1, dim) @ normals.T > 0).reshape(-1, tables, planes)
-        return pd.Series(list((bits * (1 << np.arange(planes))).sum(axis=2)))
+    @F.pandas_udf("array<array<long>>")
+    def buckets(v: pd.Series) -> pd.Series:
+        return pd.Series([list(x) for x in sides(np.array(v.tolist(), dtype=float).reshape(-1, dim), normals, tables, planes, probes)])
 
     df = df.filter((F.size(embedding) == dim) & usable_vector(embedding))
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
-    keyed = own.select("_id", F.posexplode(signatures("_v")).alias("_table", "_bits"))
-    own_bits, meet = met_in_blocks(keyed, ["_table", "_bits"], BUCKET)
-    met = own_bits.alias("x").join(own_bits.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    looked = own.select("_id", F.posexplode(buckets("_v")).alias("_table", "_all")).checkpoint()
+    keyed = dealt(looked.select("_id", "_table", F.col("_all")[0].alias("_bits")), ["_table", "_bits"], "_id", BUCKET)
+    parts = keyed.filter("_m > 1").select("_table", "_bits", "_m").distinct()
+    asked = looked.select(F.col("_id").alias("_x"), "_table", F.explode("_all").alias("_bits")).join(parts, ["_table", "_bits"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
+    met = asked.join(keyed.drop("_m"), ["_table", "_bits", "_s"]).filter("_x <> _id").select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct()
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), "a").join(own.select(F.col("_id").alias("b"), F.col("_v").alias("_vb")), "b")
     near = joined.withColumn("score", F.round(dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb")), 6)).filter(F.col("score") >= least).select("a", "b", "score")

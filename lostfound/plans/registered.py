@@ -430,7 +430,7 @@ def e13_embedding_lsh(s, d):
     """The vectors and a turned copy of each, at a cosine of some 0.97: the vectors themselves have no near pairs."""
     e = t(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     turned = F.transform("embedding", lambda x, i: x + F.lit(0.25) * F.get(F.col("embedding"), (i + 1) % 64))
-    return MM.embedding_lsh_pairs(e.unionByName(e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), turned.alias("embedding"))), 18, None, 0.9)
+    return MM.embedding_lsh_pairs(e.unionByName(e.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), turned.alias("embedding"))), 14, None, 0.9)
 
 
 @query("""WITH a AS (SELECT doc_id AS query_id, n_chars AS case_id, (doc_id % 10) / 10.0 AS score FROM documents), b AS (SELECT conv_id AS query_id, turn AS case_id, max((turn % 5) / 5.0) AS score FROM conversations GROUP BY 1, 2)
