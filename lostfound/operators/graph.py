@@ -14,6 +14,8 @@ from lostfound.operators.geo import nearest_k, within_radius
 
 #: Goals of a start up to which its search is bounded by landmarks; starts x nodes from which that pays.
 MOST_GOALS, MANY_STATES = 64, 2_000_000
+#: Rounds of a search that are kept apart.
+MOST_PARTS = 4
 
 
 def graph_nodes(**kinds: DataFrame) -> DataFrame:
@@ -73,27 +75,29 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_hops: int | None =
 
     ``edges`` are directed (see :func:`directed`). Paths within 1e-9 km of each other tie: that with fewer steps is kept, of two found in one round the shorter, then
     the smaller. A node of ``closed`` (id) ends every path that reaches it, but for paths from itself. ``prune`` (offers, best so far) may
-    drop offers (source, node, km, path) that nobody asks for. One checkpoint a round. Raises if nodes still improve after ``max_hops``
+    drop offers (source, node, km, path) that nobody asks for. Each round writes the nodes that improved, and every ``MOST_PARTS`` rounds these are put together. Raises if nodes still improve after ``max_hops``
     rounds; without ``max_hops`` there is no such bound.
     """
     edges = edges.select("src", "dst", "km")
     shut = edges.sparkSession.createDataFrame([], f"src {dict(edges.dtypes)['src']}") if closed is None else closed.select(F.col("id").alias("src")).distinct()
     edges = edges.join(shut.withColumn("_shut", F.lit(True)), "src", "left").select(F.col("src").alias("node"), "dst", F.col("km").alias("_e"), F.coalesce("_shut", F.lit(False)).alias("_shut")).checkpoint()
-    best = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("km"), F.array("id").alias("path")).distinct()
-    front = best
+    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("km"), F.array("id").alias("path")).distinct().checkpoint()
+    parts, front = [start], start
+    # of a node that improved in several rounds the shortest row counts
+    best = lambda: reduce(DataFrame.unionByName, parts).groupBy("source", "node").agg(F.min(F.struct("km", "path")).alias("_b")).select("source", "node", "_b.km", "_b.path")
     for _ in itertools.count() if max_hops is None else range(max_hops):
         step = front.join(edges, "node").filter(~F.col("_shut") | (F.col("node") == F.col("source"))).select("source", F.col("dst").alias("node"), (F.col("km") + F.col("_e")).alias("km"), F.concat("path", F.array("dst")).alias("path"))
         offer = step.groupBy("source", "node").agg(F.min(F.struct("km", "path")).alias("_n"))
         if prune is not None:
-            offer = prune(offer.select("source", "node", "_n.km", "_n.path"), best).select("source", "node", F.struct("km", "path").alias("_n"))
-        old = best.select("source", "node", F.struct("km", "path").alias("_o"))
-        both = old.join(offer, ["source", "node"], "full_outer").withColumn("_better", F.col("_o").isNull() | F.coalesce(F.col("_n.km") < F.col("_o.km") - 1e-9, F.lit(False)))
-        pick = F.when(F.col("_better"), F.col("_n")).otherwise(F.col("_o"))
-        merged = both.select("source", "node", pick["km"].alias("km"), pick["path"].alias("path"), "_better").checkpoint()
-        best = merged.drop("_better")
-        front = merged.filter("_better").drop("_better")
+            offer = prune(offer.select("source", "node", "_n.km", "_n.path"), best()).select("source", "node", F.struct("km", "path").alias("_n"))
+        old = reduce(DataFrame.unionByName, [p.select("source", "node", F.col("km").alias("_o")) for p in parts])
+        held = offer.join(old, ["source", "node"], "left").groupBy("source", "node").agg(F.first("_n").alias("_n"), F.min("_o").alias("_o"))
+        front = held.filter(F.col("_o").isNull() | (F.col("_n.km") < F.col("_o") - 1e-9)).select("source", "node", "_n.km", "_n.path").checkpoint()
         if not front.limit(1).count():
-            return best
+            return best()
+        parts.append(front)
+        if len(parts) > MOST_PARTS:
+            parts = [best().checkpoint()]
     raise ValueError(f"nodes still improve after {max_hops} rounds; paths have more edges than max_hops")
 
 
