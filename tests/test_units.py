@@ -365,6 +365,21 @@ def test_bootstrap_counts_have_the_spread_of_resampled_cases(spark):
     assert got["a"]["in_top"] == 1.0
 
 
+def test_bootstrap_draws_a_weight_for_every_case(spark):
+    """Counts are the sums of the cases' own weights, so they depend on which cases there are, not only on how many."""
+    import hashlib
+    import math
+
+    def weight(case, rep):
+        u = int(hashlib.md5(f"1:{case}:{rep}".encode()).hexdigest()[:8], 16) / 2**32
+        return sum(u >= sum(math.exp(-1) / math.factorial(i) for i in range(n)) for n in range(1, 9))
+
+    for ids in (range(30), range(100, 130)):
+        df = spark.createDataFrame([(i,) for i in ids], "case_id long").withColumn("zone", F.lit("a"))
+        got = A.bootstrap_hotspots(df, "zone", 5, 1, key="case_id").first()
+        assert got["p50"] == np.median([sum(weight(i, r) for i in ids) for r in range(1, 6)])
+
+
 @pytest.mark.parametrize("k", (1, 4))
 def test_nearest_of_clustered_and_far_places(spark, k):
     """Cells with many places, cells with none, rows far from all places."""
