@@ -44,15 +44,15 @@ def proximity_edges(nodes: DataFrame, km: float, k: int, exact: bool = False) ->
 
     Distances have six digits; with ``exact`` they are not rounded, so that on a straight line many short steps are never shorter than a long one.
     """
+    nodes = nodes.groupBy("id").agg(F.min(F.struct("lat", "lng")).alias("_x")).select("id", "_x.*")
     other = nodes.select(F.col("id").alias("dst"), "lat", "lng")
-    near = within_radius(nodes, other, km, id_="id", other="dst").filter("id <> dst")
-    close = nearest_k(nodes, other, k + 1, id_="id", place="dst").filter("id <> dst").select("id", "dst", "km")
-    both = near.select("id", "dst", "km").unionByName(close)
-    edges = both.select(F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"), "km").dropDuplicates(["src", "dst"])
-    if not exact:
-        return edges
-    at = lambda end: nodes.select(F.col("id").alias(end), F.col("lat").alias(f"_{end}a"), F.col("lng").alias(f"_{end}o"))
-    return edges.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", haversine_km(F.col("_srca"), F.col("_srco"), F.col("_dsta"), F.col("_dsto")).alias("km"))
+    near = within_radius(nodes, other, km, id_="id", other="dst", exact=exact).filter("id < dst").select(F.col("id").alias("src"), "dst", "km")
+    # pairs within the radius are there once already; only farther ones may be found from both ends
+    close = nearest_k(nodes, other, k + 1, id_="id", place="dst").filter(F.col("km") > km).select(F.least("id", "dst").alias("src"), F.greatest("id", "dst").alias("dst"), "km").dropDuplicates(["src", "dst"])
+    if exact:
+        at = lambda end: nodes.select(F.col("id").alias(end), F.col("lat").alias(f"_{end}a"), F.col("lng").alias(f"_{end}o"))
+        close = close.join(at("src"), "src").join(at("dst"), "dst").select("src", "dst", haversine_km(F.col("_srca"), F.col("_srco"), F.col("_dsta"), F.col("_dsto")).alias("km"))
+    return near.unionByName(close)
 
 
 def directed(edges: DataFrame) -> DataFrame:

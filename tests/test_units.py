@@ -536,3 +536,60 @@ def test_days_are_summed_up_without_their_reports(spark):
         assert abs(np.searchsorted(hours, r["p50_hours"]) / len(hours) - 0.5) < 0.03 and abs(np.searchsorted(hours, r["p90_hours"]) / len(hours) - 0.9) < 0.03
         assert abs(r["persons"] - len({x[4] for x in own})) <= 0.06 * len({x[4] for x in own})
     assert (got["c"]["cases"], got["c"]["p50_hours"], got["c"]["mean_hours"], got["c"]["persons"]) == (2, None, None, 1)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_does_not_hold_rows_against_all_places(spark):
+    """Places in a dense strip, rows far from it and on it; more places than go to all tasks."""
+    rng = random.Random(21)
+    places = [(j, 20 + rng.random() * 0.2, 73 + rng.random() * 0.002) for j in range(400)] + [(1000 + j, 20.05, 73.001) for j in range(8)]
+    rows = [(i, 20 + rng.random() * 0.2, 73 + rng.random() * 0.3) for i in range(120)] + [(500 + i, 20.05, 73.001) for i in range(5)] + [(900, -20.0, -107.0)]
+    a, b = spark.createDataFrame(rows, "i long, lat double, lng double"), spark.createDataFrame(places, "j long, lat double, lng double")
+    out = G.nearest_k(a, b, 3, id_="i", place="j")
+    assert "BroadcastNestedLoopJoin" not in planned(out)
+    d = F.round(C.haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")), 6)
+    all_ = {}
+    for r in a.alias("x").crossJoin(b.alias("y")).select("i", "j", d.alias("km")).collect():
+        all_.setdefault(r["i"], []).append((r["km"], r["j"]))
+    want = {(i, n + 1): x for i, v in all_.items() for n, x in enumerate(sorted(v)[:3])}
+    assert {(r["i"], r["rank"]): (r["km"], r["j"]) for r in out.collect()} == want
+
+
+def test_radius_pairs_of_a_small_file_are_many_tasks(spark, monkeypatch):
+    """Neither side is broadcast, and a crowded cell is dealt to parts."""
+    a = spark.range(300).select("id", (F.lit(20.0) + F.col("id") * 1e-6).alias("lat"), F.lit(73.0).alias("lng")).coalesce(1)
+    b = a.withColumnRenamed("id", "j")
+    monkeypatch.setattr(G, "PAIR_ROWS", 5_000)
+    out = G.within_radius(a, b, 1.0, id_="id", other="j")
+    assert out.rdd.getNumPartitions() > 10 and "SortMergeJoin" in planned(out)
+    assert out.select("id", "j").distinct().count() == out.count() == 90_000
+
+
+def test_edges_within_the_radius_are_not_gathered_again(spark):
+    """Only the edges beyond the radius are freed of repeats; distances are those of both directions."""
+    v = spark.createDataFrame([(f"n{i:02d}", f"n{i}", 20 + (i % 7) * 0.003, 73 + (i // 7) * 0.004) for i in range(40)] + [("far", "far", 21.0, 74.0)], "id string, name string, lat double, lng double")
+    for exact in (False, True):
+        got = {(r["src"], r["dst"]): r["km"] for r in N.proximity_edges(v, 1.0, 2, exact).collect()}
+        at = {r["id"]: (r["lat"], r["lng"]) for r in v.collect()}
+        d = {(r["s"], r["t"]): r["d"] for r in v.alias("x").crossJoin(v.alias("y")).select(F.col("x.id").alias("s"), F.col("y.id").alias("t"), C.haversine_km(F.col("x.lat"), F.col("x.lng"), F.col("y.lat"), F.col("y.lng")).alias("d")).collect()}
+        near = {s: sorted((round(d[s, t], 6), t) for t in at)[:3] for s in at}
+        want = {(s, t) for s in at for t in at if s < t and (round(d[s, t], 6) <= 1 or t in [x for _, x in near[s]] or s in [x for _, x in near[t]])}
+        assert set(got) == want and all(abs(got[e] - d[e]) <= (1e-12 if exact else 6e-7) for e in want)
+
+
+def test_a_large_gazetteer_is_not_broadcast(spark):
+    places = spark.createDataFrame([(f"Ghat {i}", 20.0, 73.0 + i / 100) for i in range(20)], "name string, lat double, lng double")
+    cases = spark.createDataFrame([(1, "GHAT 3"), (2, "nowhere")], "i long, last_seen_location string")
+    out = G.geocode(cases, places)
+    assert "Broadcast" not in planned(out)
+    assert {r["i"]: r["place"] for r in out.collect()} == {1: "Ghat 3", 2: None}
+
+
+def test_help_points_count_ids_of_one_position(spark):
+    """Ids at the same positions are one row with a weight; an id with several positions counts once."""
+    d = spark.createDataFrame([(i, 20.0, 73.0) for i in range(6)] + [(i, 20.5, 73.5) for i in range(4, 11)] + [(20, None, 73.0)], "i long, lat double, lng double")
+    c = spark.createDataFrame([(1, 20.0, 73.001), (2, 20.5, 73.5)], "c long, lat double, lng double")
+    assert [tuple(r) for r in G.place_help_points(d, c, 1.0, 3, id_="i", candidate="c").orderBy("step").collect()] == [(1, 2, 7), (2, 1, 4)]
