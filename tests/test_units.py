@@ -593,3 +593,23 @@ def test_help_points_count_ids_of_one_position(spark):
     d = spark.createDataFrame([(i, 20.0, 73.0) for i in range(6)] + [(i, 20.5, 73.5) for i in range(4, 11)] + [(20, None, 73.0)], "i long, lat double, lng double")
     c = spark.createDataFrame([(1, 20.0, 73.001), (2, 20.5, 73.5)], "c long, lat double, lng double")
     assert [tuple(r) for r in G.place_help_points(d, c, 1.0, 3, id_="i", candidate="c").orderBy("step").collect()] == [(1, 2, 7), (2, 1, 4)]
+
+
+def test_agreeing_matches_in_growing_spans(spark, monkeypatch):
+    """Whatever the first span, the nearest agreeing cases are the same; many stand in the same second."""
+    rng = random.Random(31)
+    rows = [(i, "a", f"2027-08-0{rng.randrange(1, 4)} {rng.randrange(24):02d}:{rng.randrange(60):02d}:00", rng.choice(["Male", "Female", None])) for i in range(150)] + [(1000 + i, "a", "2027-08-02 10:00:00", "Male") for i in range(20)]
+    df = spark.createDataFrame(rows, "case_id long, z string, t string, gender string").withColumn("reported_at", F.to_timestamp("t"))
+    m, f = df.filter("case_id % 3 = 0"), df.filter("case_id % 3 <> 0")
+    out = []
+    for cases in (0, 2, 10_000):
+        monkeypatch.setattr(M, "SLOT_CASES", cases)
+        out.append(sorted(tuple(r) for r in M.match_found(m, f, block=["z"], hours=12, k=3, agree=M.agreeing(age=None), compare=("gender",)).collect()))
+    assert out[0] == out[1] == out[2] and len(out[0]) > 100
+
+
+def test_pairs_of_one_key_are_not_gathered(spark):
+    df = spark.createDataFrame([(1, 1, "k"), (2, 2, "k"), (3, 1, "k"), (3, 2, "k"), (4, None, "k"), (5, 1, None), (2, 2, "k")], "i long, c int, z string")
+    out = M.candidate_pairs(df, [F.col("z")], id_="i", center="c")
+    assert "HashAggregate(keys=[a#" not in planned(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2), (1, 3), (2, 3)]
