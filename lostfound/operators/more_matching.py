@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import dealt, equal_sets, met_in_blocks, usable_vector
+from lostfound.operators.matching import dealt, equal_sets, met_in_blocks, similar_sets, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
@@ -26,10 +26,7 @@ def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str
     keyed = own.withColumn("_m", hashes).select("_id", F.explode(keys).alias("_k")).checkpoint()
     parts, meet = met_in_blocks(keyed, ["_k"], BUCKET)
     met = parts.alias("x").join(parts.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
-    joined = met.join(own.select(F.col("_id").alias("a"), F.col("_t").alias("_ta")), "a").join(own.select(F.col("_id").alias("b"), F.col("_t").alias("_tb")), "b")
-    shared = F.size(F.array_intersect("_ta", "_tb"))
-    near = joined.withColumn("jaccard", shared / (F.size("_ta") + F.size("_tb") - shared)).filter(F.col("jaccard") >= least - 1e-9).select("a", "b", "jaccard")
-    return near.unionByName(same)
+    return similar_sets(met, own, least).unionByName(same)
 
 
 #: Hash tables of vectors, and the planes nearest to a vector that its probes may cross.

@@ -613,3 +613,25 @@ def test_pairs_of_one_key_are_not_gathered(spark):
     out = M.candidate_pairs(df, [F.col("z")], id_="i", center="c")
     assert "HashAggregate(keys=[a#" not in planned(out)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_near_sets_go_to_blocks_not_to_pairs(spark, monkeypatch):
+    """Of many near copies each set is read in a few blocks; parts of a leader lose no pair, and nothing is read once for each pair."""
+    rng = random.Random(41)
+    data = []
+    for g in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        data += [(g * 100 + i, [w for w in base if rng.random() > 0.06] + [f"own{g}/{i}"]) for i in range(40)]
+    df, sets = spark.createDataFrame(data, "id long, t array<string>"), {i: set(t) for i, t in data}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    assert len(want) > 1000
+    met, rows, _ = M.token_candidates(df, id_="id", tokens="t", least=0.8)
+    pairs, members = M.dealt_sets(met, rows, 1_500)
+    assert pairs.count() == pairs.select("a", "b").distinct().count() >= len(want) and members.count() < len(want) / 2
+    for tokens in (500, 1_000_000):
+        monkeypatch.setattr(M, "BLOCK_TOKENS", tokens)
+        for out in (MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8),):
+            assert "FlatMapCoGroupsInPandas" in planned(out) and "array_intersect" not in planned(out)
+            assert {(r["a"], r["b"]): r["jaccard"] for r in out.collect()} == want
+    none = df.filter("id < 0")
+    assert MM.minhash_pairs(none, 25, 4, id_="id", tokens="t", least=0.8).count() == 0
