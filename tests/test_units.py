@@ -630,8 +630,8 @@ def test_near_sets_go_to_blocks_not_to_pairs(spark, monkeypatch):
     assert pairs.count() == pairs.select("a", "b").distinct().count() >= len(want) and members.count() < len(want) / 2
     for tokens in (500, 1_000_000):
         monkeypatch.setattr(M, "BLOCK_TOKENS", tokens)
-        for out in (MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8),):
+        for out in (M.token_join(df, id_="id", tokens="t", least=0.8), MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8)):
             assert "FlatMapCoGroupsInPandas" in planned(out) and "array_intersect" not in planned(out)
             assert {(r["a"], r["b"]): r["jaccard"] for r in out.collect()} == want
     none = df.filter("id < 0")
-    assert MM.minhash_pairs(none, 25, 4, id_="id", tokens="t", least=0.8).count() == 0
+    assert M.token_join(none, id_="id", tokens="t", least=0.8).count() == MM.minhash_pairs(none, 25, 4, id_="id", tokens="t", least=0.8).count() == 0
