@@ -31,6 +31,8 @@ def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str
 
 #: Hash tables of vectors, and the planes nearest to a vector that its probes may cross.
 TABLES, NEAR_PLANES = 12, 6
+#: Axes of the sketch that goes with a vector to its buckets.
+SKETCH = 24
 
 
 def sides(v: np.ndarray, normals: np.ndarray, tables: int, planes: int, probes: int) -> np.ndarray:
@@ -65,24 +67,35 @@ def embedding_lsh_pairs(df: DataFrame, planes: int, tables: int | None, least: f
 
     Each vector is in one bucket of every table and looks into the buckets beyond the planes it is nearest to, too; :func:`probes_for` tells how many, so that at most
     ``MISSED`` of the pairs at the threshold are missed. Equal vectors meet through their smallest id, so copies cost a row each. Buckets of more than ``BUCKET`` vectors
-    are dealt to parts, each of which meets all that look in. Vectors of another length than ``dim``, zero ones and such with null, infinite or
+    are dealt to parts, each of which meets all that look in. A sketch of each vector (its length along ``SKETCH`` axes, and the length left) bounds the cosine of a pair
+    where it meets; only pairs within reach are gathered and measured. Vectors of another length than ``dim``, zero ones and such with null, infinite or
     undefined components have no partners.
     """
     tables = TABLES if tables is None else tables
     probes = probes_for(planes, tables, least, dim, seed) if probes is None else probes
     normals = np.random.default_rng(seed).standard_normal((tables * planes, dim))
 
-    @F.pandas_udf("array<array<long>>")
-    def buckets(v: pd.Series) -> pd.Series:
-        return pd.Series([list(x) for x in sides(np.array(v.tolist(), dtype=float).reshape(-1, dim), normals, tables, planes, probes)])
+    axes = np.linalg.qr(np.random.default_rng(seed + 1).standard_normal((dim, min(SKETCH, dim))))[0]
+
+    @F.pandas_udf("struct<all: array<array<long>>, sketch: array<float>>")
+    def looks(v: pd.Series) -> pd.DataFrame:
+        x = np.array(v.tolist(), dtype=float).reshape(-1, dim)
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of any finite vector are finite
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        p = x @ axes
+        rest = np.sqrt(np.maximum(0.0, 1 - (p * p).sum(axis=1, keepdims=True)))
+        return pd.DataFrame({"all": [list(b) for b in sides(x, normals, tables, planes, probes)], "sketch": list(np.concatenate([p, rest], axis=1).astype(np.float32))})
 
     df = df.filter((F.size(embedding) == dim) & usable_vector(embedding))
     own = df.groupBy(F.col(embedding).alias("_v")).agg(F.min(vec_id).alias("_id"))
-    looked = own.select("_id", F.posexplode(buckets("_v")).alias("_table", "_all")).checkpoint()
-    keyed = dealt(looked.select("_id", "_table", F.col("_all")[0].alias("_bits")), ["_table", "_bits"], "_id", BUCKET)
-    parts = keyed.filter("_m > 1").select("_table", "_bits", "_m").distinct()
-    asked = looked.select(F.col("_id").alias("_x"), "_table", F.explode("_all").alias("_bits")).join(parts, ["_table", "_bits"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
-    met = asked.join(keyed.drop("_m"), ["_table", "_bits", "_s"]).filter("_x <> _id").select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct()
+    flat = lambda mark: [F.col("_look.sketch")[i].alias(f"_{mark}{i}") for i in range(axes.shape[1] + 1)]
+    looked = own.select("_id", looks("_v").alias("_look")).select("_id", F.posexplode("_look.all").alias("_table", "_all"), "_look").withColumn("_look", F.struct("_look.sketch")).checkpoint()
+    keyed = dealt(looked.select("_id", "_table", F.col("_all")[0].alias("_bits"), *flat("y")), ["_table", "_bits"], "_id", BUCKET)
+    parts = keyed.filter("_m > 1").select("_table", "_bits", "_m").distinct()  # one row for each ``BUCKET`` vectors of a table at most
+    asked = looked.select(F.col("_id").alias("_x"), "_table", F.explode("_all").alias("_bits"), *flat("x")).join(F.broadcast(parts), ["_table", "_bits"], "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_m"), F.lit(1)) - 1))).drop("_m")
+    # what the sketches have in common and the lengths left out bound the cosine, so most pairs end where they meet; sketches have seven digits
+    reach = sum((F.col(f"_x{i}").cast("double") * F.col(f"_y{i}") for i in range(axes.shape[1] + 1)), F.lit(0.0))
+    met = asked.join(keyed.drop("_m").hint("merge"), ["_table", "_bits", "_s"]).filter((F.col("_x") != F.col("_id")) & (reach >= least - 1e-5)).select(F.least("_x", "_id").alias("a"), F.greatest("_x", "_id").alias("b")).distinct()
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s.cast("double") * t.cast("double")), F.lit(0.0), lambda s, t: s + t)
     joined = met.join(own.select(F.col("_id").alias("a"), F.col("_v").alias("_va")), "a").join(own.select(F.col("_id").alias("b"), F.col("_v").alias("_vb")), "b")
     near = joined.withColumn("score", F.round(dot("_va", "_vb") / F.sqrt(dot("_va", "_va") * dot("_vb", "_vb")), 6)).filter(F.col("score") >= least).select("a", "b", "score")

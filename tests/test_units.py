@@ -635,3 +635,20 @@ def test_near_sets_go_to_blocks_not_to_pairs(spark, monkeypatch):
             assert {(r["a"], r["b"]): r["jaccard"] for r in out.collect()} == want
     none = df.filter("id < 0")
     assert M.token_join(none, id_="id", tokens="t", least=0.8).count() == MM.minhash_pairs(none, 25, 4, id_="id", tokens="t", least=0.8).count() == 0
+
+
+def test_vector_pairs_out_of_reach_end_where_they_meet(spark):
+    """The sketches' bound is part of the join of the buckets, and no pair at the threshold is beyond it; short vectors too."""
+    rng = np.random.default_rng(43)
+    for dim in (64, 5):
+        base = rng.standard_normal((60, dim))
+        v = np.concatenate([base, base + rng.standard_normal((60, dim)) * 0.45, base[:5] * 1e100])
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        out = MM.embedding_lsh_pairs(df, 1, 16, 0.9, dim=dim)
+        assert "SortMergeJoin" in planned(out) and all(f"{mark}{MM.SKETCH if dim > MM.SKETCH else dim}" in planned(out) for mark in ("_x", "_y"))
+        u = v / np.abs(v).max(axis=1, keepdims=True)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        cos = u @ u.T
+        want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if round(cos[i, j], 6) >= 0.9}
+        got = {(r["a"], r["b"]) for r in out.collect()}
+        assert got == want and len(want) > 30
