@@ -652,3 +652,19 @@ def test_vector_pairs_out_of_reach_end_where_they_meet(spark):
         want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if round(cos[i, j], 6) >= 0.9}
         got = {(r["a"], r["b"]) for r in out.collect()}
         assert got == want and len(want) > 30
+
+
+def test_searches_without_stored_edges_equal_those_along_them(spark, monkeypatch):
+    """Crowded and lonely places, equal positions, a place without one, closed places; cells are dealt to parts."""
+    rng = random.Random(31)
+    at = {f"n{i:02}": (20 + rng.random() * 0.06, 73 + rng.random() * 0.06) for i in range(30)} | {"far1": (20.9, 73.0), "far2": (20.9, 74.0), "lost": (None, None)}
+    at |= {"twin": at["n03"]} | {f"line{i}": (20.05 + i * 0.01, 73.1 + i * i * 0.001) for i in range(4)}
+    nodes = spark.createDataFrame([(n, n, *x) for n, x in at.items()], "id string, name string, lat double, lng double")
+    shut, start = nodes.filter(F.col("id").isin("n01", "n05", "n09", "line2")), nodes.filter(F.col("id").isin("n01", "twin", "lost", "line0"))
+    edges = N.proximity_edges(nodes, 2.5, 2, exact=True).checkpoint()
+    monkeypatch.setattr(N, "MEET_ROWS", 5)
+    monkeypatch.setattr(N, "proximity_edges", lambda *_, **__: pytest.fail("edges are written"))
+    rows_of = lambda df: {(r["source"], r["node"]): (round(r["km"], 8), r["path"]) for r in df.collect()}
+    graph = N.Nearby(nodes, 2.5, 2)
+    want = rows_of(N.shortest_paths(N.directed(edges), start, closed=shut))
+    assert rows_of(N.shortest_paths(graph, start, closed=shut)) == want and len(want) > 60
