@@ -2,8 +2,8 @@
 
 Of all suffixes (by word) only those at minimiser positions are kept: in every window of k-grams the one with the smallest hash.
 Two equal passages of ``least`` words or more keep a suffix at the same place inside. Suffixes whose k-gram occurs once in the
-corpus go at once. The others are sorted with ``least`` words to both sides. Neighbours that are equal as far as that repeat each other
-and go on as one; what a suffix shares with a neighbour of other surroundings bounds which windows of ``least`` words
+corpus go at once. The others are taken with ``least`` words to both sides; those of a batch of texts that are equal as far as that go on as one.
+They are sorted, and neighbours that are equal as far as that repeat each other and go on as one; what a suffix shares with a neighbour of other surroundings bounds which windows of ``least`` words
 around it can be repeated. Each such window has one smallest k-gram and is counted there by its hash, so every repeated window
 is found, however its occurrences are ordered. Equal texts meet first, by the hash of the text, and go on as one.
 """
@@ -140,30 +140,14 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     by_text = light.join(twice, "_h").groupBy("_t").agg(F.collect_set("_h").alias("_hs"))
     wanted = written(by_text.join(owners.select("_t", "_id"), "_t"), "sa-wanted")
     forget(light, twice)
-    kind = pa.schema([("_s", pa.binary()), ("_t", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32())])
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = np.lib.stride_tricks.sliding_window_view
-        wide = 2 * least * CODE
-        for pdf in _known_once(b.to_pandas() for b in batches):
-            codes, which, at, places, h = sparse_suffixes(list(pdf["_x"]), least, gram)
-            use = np.isin(h.astype(np.int64), np.concatenate(list(pdf["_hs"])))
-            which, at, places = which[use], at[use], places[use]
-            for lo in range(0, len(at), 8192):
-                part = slice(lo, lo + 8192)
-                both = np.concatenate([view(codes, least)[places[part]], view(codes, least)[places[part] - least][:, ::-1]], axis=1)
-                data = np.ascontiguousarray(both.astype(">u4").view(np.uint8).reshape(-1, 2 * least, 4)[:, :, 4 - CODE :])
-                n = len(data)
-                s = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * wide).tobytes()), pa.py_buffer(data.tobytes())])
-                own = which[part]
-                yield pa.RecordBatch.from_arrays([s, pa.array(pdf["_t"].to_numpy()[own]), pa.array(pdf["_id"].to_numpy()[own]), pa.array(at[part].astype(np.int32))], schema=kind)
-
-    found = texts.join(wanted, ["_t", "_id"]).mapInArrow(tidied(contexts), "_s binary, _t long, _id long, _at int")
+    found = texts.join(wanted, ["_t", "_id"]).mapInArrow(tidied(contexts(least, gram)), "_s binary, _t long, _id long, _at int, _from int, _to int, _late boolean")
     found = written(found, "sa-contexts")
     forget(wanted)
     order = ["_s", "_id", "_t", "_at"]  # by all columns, so that no number of equal surroundings has to fit a task
-    ordered = found.repartitionByRange(n_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-    opened = written(ordered.mapInPandas(tidied(open_windows(least, gram)), "_w long, _t long, _id long, _at int, _from int, _to int, _late boolean"), "sa-windows")
+    ordered = found.filter("_s is not null").select(*order).repartitionByRange(n_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
+    opened = ordered.mapInPandas(tidied(open_windows(least, gram)), "_w long, _t long, _id long, _at int, _from int, _to int, _late boolean")
+    met = found.filter("_s is null").select(F.lit(None).cast("long").alias("_w"), "_t", "_id", "_at", "_from", "_to", "_late")
+    opened = written(opened.unionByName(met), "sa-windows")
     forget(found)
     windows = opened.filter("_w is not null").select("_w", "_t", "_id", "_at", "_from", "_to")
     # windows that different surroundings share, with their first occurrence
@@ -182,6 +166,53 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     return out
 
 
+def first_of_equals(s: np.ndarray, t: np.ndarray, doc_id: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+    """(places of the rows that go on, passages ``_t, _id, _at, _from, _to, _late``) of suffixes with surroundings ``s``, bytes of one width.
+
+    Of rows with equal surroundings the first goes on, by id, text and place. All of them are repeated, and all but the first are late, whatever else the
+    corpus holds, so they are passages at once. Those of a text that overlap are one, so a word that is said n times in a row gives a row and not n.
+    """
+    _, key = np.unique(np.ascontiguousarray(s).view(f"S{s.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((at, t, doc_id, key))
+    late = np.zeros(len(order), dtype=bool)
+    late[order[1:]] = key[order[1:]] == key[order[:-1]]
+    whole = np.flatnonzero(np.bincount(key)[key] > 1)
+    whole = whole[np.lexsort((at[whole], t[whole], late[whole]))]  # by place, so beginnings and ends grow
+    apart = np.ones(len(whole), dtype=bool)
+    apart[1:] = (late[whole[1:]] != late[whole[:-1]]) | (t[whole[1:]] != t[whole[:-1]]) | (begin[whole[1:]] > end[whole[:-1]])
+    a = whole[apart]
+    b = whole[np.roll(apart, -1)]  # the last row of a passage stands before the first of the next
+    return np.flatnonzero(~late), pd.DataFrame({"_t": t[a], "_id": doc_id[a], "_at": at[a], "_from": begin[a], "_to": end[b], "_late": late[a]})
+
+
+def contexts(least: int, gram: int):
+    """The pass over texts ``_x`` with their repeated k-grams ``_hs``: kept suffixes with ``least`` words to both sides, and without ``_s`` the passages of :func:`first_of_equals`."""
+    kind = pa.schema([("_s", pa.binary()), ("_t", pa.int64()), ("_id", pa.int64()), ("_at", pa.int32()), ("_from", pa.int32()), ("_to", pa.int32()), ("_late", pa.bool_())])
+    view = np.lib.stride_tricks.sliding_window_view
+    wide = 2 * least * CODE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _known_once(b.to_pandas() for b in batches):
+            codes, which, at, places, h = sparse_suffixes(list(pdf["_x"]), least, gram)
+            use = np.isin(h.astype(np.int64), np.concatenate(list(pdf["_hs"])))
+            which, at, places = which[use], at[use], places[use]
+            for lo in range(0, len(at), 8192):
+                part = slice(lo, lo + 8192)
+                both = np.concatenate([view(codes, least)[places[part]], view(codes, least)[places[part] - least][:, ::-1]], axis=1)
+                data = np.ascontiguousarray(both.astype(">u4").view(np.uint8).reshape(-1, 2 * least, 4)[:, :, 4 - CODE :]).reshape(-1, wide)
+                t, own_id, place = pdf["_t"].to_numpy()[which[part]], pdf["_id"].to_numpy()[which[part]], at[part].astype(np.int32)
+                begin, end = place - (both[:, least:] > 0).sum(axis=1), place + (both[:, :least] > 0).sum(axis=1)
+                on, met = first_of_equals(data, t, own_id, place, begin.astype(np.int32), end.astype(np.int32))
+                n = len(on)
+                s = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * wide).tobytes()), pa.py_buffer(data[on].tobytes())])
+                none = [pa.nulls(n, kind.field(c).type) for c in ("_from", "_to", "_late")]
+                yield pa.RecordBatch.from_arrays([s, pa.array(t[on]), pa.array(own_id[on]), pa.array(place[on]), *none], schema=kind)
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(met), pa.binary()), *[pa.array(met[c].to_numpy()) for c in kind.names[1:]]], schema=kind)
+
+    return run
+
+
 def open_windows(least: int, gram: int):
     """The pass over sorted suffixes.
 

@@ -5,8 +5,11 @@ import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -465,6 +468,26 @@ def test_suffixes_of_long_texts_in_pieces(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, suffixes.sparse_suffixes(texts, 50, 8))) and len(whole[1]) > 100
 
 
+def test_suffixes_of_equal_surroundings_go_on_once():
+    """A common passage and a word said again and again give a row a text and not one for each kept suffix."""
+    passage = words(400, 31, 10**6)
+    texts = [" ".join(words(60, 1200 + i, 10**6) + passage + ["again"] * 300) for i in range(20)]
+    _, which, at, _, h = suffixes.sparse_suffixes(texts, 50, 8)
+    often = np.unique(h[np.isin(h, [x for x, n in Counter(h.tolist()).items() if n > 1])]).astype(np.int64)
+    batch = pa.RecordBatch.from_pydict({"_t": list(range(20)), "_id": list(range(100, 120)), "_x": texts, "_hs": [often.tolist()] * 20})
+    rows = pd.concat([b.to_pandas() for b in suffixes.contexts(50, 8)(iter([batch]))])
+    kept = np.isin(h.astype(np.int64), often)
+    assert kept.sum() > 20 * 250 and len(rows) < 20 * 60
+    assert rows["_s"].dropna().is_unique
+    spans, late = first_windows(texts, 50)
+    met = rows[rows["_s"].isna()]
+    for i in range(20):
+        own = met[met["_t"] == i]
+        cover = lambda df: {x for a, b in zip(df["_from"].astype(int), df["_to"].astype(int)) for x in range(a, b)}
+        assert cover(own) <= spans[i] and cover(own[own["_late"].astype(bool)]) <= late[i]
+        assert (own["_id"] == 100 + i).all() and len(cover(own)) > 500 and (not i or len(cover(own[own["_late"].astype(bool)])) > 500)
+
+
 def test_suffixes_odd_rows(spark, odd):
     more = odd
     for c in ("_row", "removed", "_spans", "_cut", "_key", "_key_first"):
