@@ -1,5 +1,6 @@
 """Hand-written edge rows: names, ages, mobiles, files, distances, clusters, routes, scripts, late reports."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -522,6 +523,38 @@ def test_search_over_stored_blocks(spark, tmp_path):
     assert "Bucketed: true" in full and "Exchange" not in registry.split("Scan parquet")[0].rsplit("Sort [", 1)[-1]
 
 
+def test_search_by_time_meets_few_cases(spark, tmp_path):
+    """Equal fields and hours: the rows of scoring all pairs, over ties, nulls and gaps beyond 48 hours, and a hot key isn't multiplied out."""
+    rng = random.Random(19)
+    hour = lambda: rng.choice([None, *[f"2027-01-{1 + rng.randrange(9):02d} {rng.randrange(24):02d}:{rng.choice((0, 30)):02d}:00" for _ in range(9)]])
+    some = lambda *x: rng.choice([None, *x])
+    cases = [(i, rng.choice(["z1"] * 8 + ["z2", "z3", None]), some(*map(str, range(60))), some("a", "b", "c"), some(1, 2), hour()) for i in range(600)]
+    asked = [(1000 + i, rng.choice(["z1", "z2", "z3", None]), some(*map(str, range(60))), some("a", "b", "d"), some(1, 2, 3), hour()) for i in range(120)]
+    schema = "zone string, mobile string, g string, h int, at string"
+    c, q = (spark.createDataFrame(rows, f"{i} long, {schema}").withColumn("at", F.to_timestamp("at")) for rows, i in ((cases, "case_id"), (asked, "query_id")))
+    keys = [F.col("zone"), F.col("mobile")]
+    when = lambda t: dt.datetime.fromisoformat(t) if t else None
+    for name, fields in (("one", [("g", "equal", 2.0), ("at", "hours", 1.0)]), ("two", [("at", "hours", 1.0), ("g", "equal", 0.3), ("h", "equal", 0.5)])):
+        blocks = M.store_blocks(c, f"blocks_by_time_{name}", str(tmp_path / name), keys, [n for n, *_ in fields], rows=50, buckets=4)
+        want = {}
+        for i, z, mob, g, h, t in asked:
+            scores = []
+            for j, z2, mob2, g2, h2, t2 in cases:
+                if (z and z == z2) or (mob and mob == mob2):
+                    both = {"g": (g, g2), "h": (h, h2), "at": (when(t), when(t2))}
+                    parts = [(w, max(0.0, 1 - abs((a - b).total_seconds()) / 172800.0) if n == "at" else float(a == b)) for n, _, w in fields for a, b in [both[n]] if a is not None and b is not None]
+                    score = round(sum(w * x for w, x in parts) / sum(w for w, _ in parts), 9) if len(parts) > 1 else 0.0
+                    if score > 0:
+                        scores.append((-score, j))
+            want |= {(i, r + 1): (j, -x) for r, (x, j) in enumerate(sorted(scores)[:3])}
+        got = M.search_registry(q, blocks, keys=keys, fields=fields, k=3).collect()
+        assert len(got) == len(want) and {(r["query_id"], r["rank"]): (r["case_id"], r["score"]) for r in got} == want
+    fields = [("g", "equal", 2.0), ("at", "hours", 1.0)]
+    exploded = q.select(F.col("query_id").alias("_q"), F.col("g").alias("a_g"), F.col("at").alias("a_at"), F.explode(M.block_keys(keys)).alias("_k"))
+    few = M._timely(exploded, spark.table("blocks_by_time_one"), fields, 3).count()
+    assert few < exploded.join(spark.table("blocks_by_time_one"), "_k").count() / 4
+
+
 def test_days_are_summed_up_without_their_reports(spark):
     rng = np.random.default_rng(3)
     rows = [(["a", "b"][i % 2], f"2027-01-{1 + i % 9:02d}", "Reunited" if i % 3 else "Active", float(rng.gamma(2, 10)), int(rng.integers(700))) for i in range(4_000)] + [("c", "2027-01-02", "Active", 5.0, 1), ("c", "2027-01-02", None, None, None)]
