@@ -10,23 +10,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import dealt, equal_sets, met_in_blocks, similar_sets, usable_vector
+from lostfound.operators.matching import PARITY, chunks, dealt, equal_sets, forget, may_be_similar, met_in_blocks, mixed, parities, similar_sets, stored, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
 
 
 def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; of equal sets the smallest id stands for all and has a pair with each of the others. Buckets of more than ``BUCKET`` sets are dealt to parts."""
-    own, same = equal_sets(df, id_, tokens)
-    own = own.checkpoint()
-    least_hash = lambda seed: F.array_min(F.transform("_t", lambda w: F.xxhash64(F.lit(seed), w)))
-    hashes = F.array(*[least_hash(seed) for seed in range(bands * rows)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.element_at("_m", b * rows + r + 1) for r in range(rows)]) for b in range(bands)])
-    keyed = own.withColumn("_m", hashes).select("_id", F.explode(keys).alias("_k")).checkpoint()
-    parts, meet = met_in_blocks(keyed, ["_k"], BUCKET)
-    met = parts.alias("x").join(parts.alias("y"), meet).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
-    return similar_sets(met, own, least).unionByName(same)
+    """(a, b, jaccard) of near token sets by min-hash bands, verified by the exact measure (E10). Blank sets are left out; of equal sets the smallest id stands for all and has a pair with each of the others.
+
+    Buckets of more than ``BUCKET`` sets are dealt to parts. Sizes and parity bits go with a set to its buckets and rule out most pairs where they meet: pairs of sets that share a bucket by chance grow
+    with the square of the sets, and are never written.
+    """
+    sets, first, same = equal_sets(df, id_, tokens)
+
+    @F.pandas_udf("struct<keys: array<long>, bits: array<long>>")
+    def signed(t: pd.Series) -> pd.DataFrame:
+        keys, bits = [np.zeros((0, bands), dtype=np.int64)], [np.zeros((0, PARITY), dtype=np.int64)]
+        for flat, starts in chunks(t):
+            own = []
+            for b in range(bands):
+                key = np.full(len(starts), b, dtype=np.uint64)
+                for r in range(rows):
+                    key = mixed(key ^ np.minimum.reduceat(mixed(flat, 1 + b * rows + r), starts), 0)
+                own.append(key.view(np.int64))
+            keys.append(np.stack(own, axis=1))
+            bits.append(parities(flat, starts))
+        return pd.DataFrame({"keys": list(np.concatenate(keys)), "bits": list(np.concatenate(bits))})
+
+    own = sets.withColumn("_x", signed("_t")).select("_id", "_n", "_k", F.col("_x.keys").alias("_keys"), *[F.col("_x.bits")[i].alias(f"_p{i}") for i in range(PARITY)])
+    own = stored(own.join(first.select("_id", "_k"), ["_id", "_k"], "left_semi").dropDuplicates(["_id"]).drop("_k"))
+    parts, meet = met_in_blocks(own.select("_id", F.explode("_keys").alias("_k")), ["_k"], BUCKET, lone=False)
+    parts = parts.join(own.drop("_keys"), "_id")
+    met = parts.alias("x").join(parts.alias("y").hint("merge"), meet & may_be_similar("x", "y", least)).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
+    out = similar_sets(met, sets, first, least).unionByName(same)
+    forget(sets, first, own)
+    return out
 
 
 #: Hash tables of vectors, and the planes nearest to a vector that its probes may cross.

@@ -701,3 +701,44 @@ def test_searches_without_stored_edges_equal_those_along_them(spark, monkeypatch
     graph = N.Nearby(nodes, 2.5, 2)
     want = rows_of(N.shortest_paths(N.directed(edges), start, closed=shut))
     assert rows_of(N.shortest_paths(graph, start, closed=shut)) == want and len(want) > 60
+
+
+def chance_sets(seed: int) -> list[tuple[int, list[str]]]:
+    """Sets that share a third of their tokens with all others, and near copies of some."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(60)]
+    data = [(i, common + [f"own{i}/{j}" for j in range(30 + i % 7)]) for i in range(150)]
+    return data + [(200 + i, [w for w in data[i][1] if rng.random() > 0.04]) for i in range(40)] + [(300 + i, list(data[i][1])) for i in range(5)]
+
+
+def test_sets_that_share_a_bucket_by_chance_are_no_pairs(spark, monkeypatch):
+    """Pairs that sizes and parity bits rule out end where they meet, and no true pair does."""
+    data = chance_sets(51)
+    df = spark.createDataFrame(data, "id long, t array<string>")
+    sets = {i: set(t) for i, t in data if i < 300}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.8} | {(i, 300 + i) for i in range(5)}
+    assert len(want) >= 40
+    met, similar = [], M.similar_sets
+    monkeypatch.setattr(MM, "similar_sets", lambda pairs, *rest: met.append(pairs.count()) or similar(pairs, *rest))
+    got = [(r["a"], r["b"]) for r in MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert met[0] < 3 * len(want)
+
+
+def test_blocks_of_near_sets_are_filled_in_rounds(spark, monkeypatch):
+    """What the blocks hold together grows with the square of a group; only a round of them is on disk at a time, and sets without partners are in none."""
+    data = [(i, [f"w{j}" for j in range(60)] + [f"own{i}"]) for i in range(40)] + [(100 + i, [f"x{i}/{j}" for j in range(30)]) for i in range(200)]
+    df = spark.createDataFrame(data, "id long, t array<string>")
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(M, "ROUND_TOKENS", 1)
+    rounds, kept = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda x: (rounds.append(x.columns), kept(x))[1])
+    for near in (lambda: M.token_join(df, id_="id", tokens="t", least=0.8), lambda: MM.minhash_pairs(df, 25, 4, id_="id", tokens="t", least=0.8)):
+        out = near()
+        assert rounds.count(["a", "b", "jaccard"]) >= 4  # one of them is that of equal sets
+        assert sorted((r["a"], r["b"]) for r in out.collect()) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+        rounds.clear()
+    rows, first, _ = M.equal_sets(df, "id", "t")
+    some = {r["_id"] for r in M.those_of(rows, first.filter("_id < 40")).collect()}
+    assert set(range(40)) <= some and len(some) < 80
+    assert "Exchange" not in planned(M.those_of(rows, first.filter("_id < 40"))).split("BroadcastExchange")[0]
