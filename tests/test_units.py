@@ -1,6 +1,7 @@
 """Hand-written edge rows: names, ages, mobiles, files, distances, clusters, routes, scripts, late reports."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -742,3 +743,39 @@ def test_blocks_of_near_sets_are_filled_in_rounds(spark, monkeypatch):
     some = {r["_id"] for r in M.those_of(rows, first.filter("_id < 40")).collect()}
     assert set(range(40)) <= some and len(some) < 80
     assert "Exchange" not in planned(M.those_of(rows, first.filter("_id < 40"))).split("BroadcastExchange")[0]
+
+
+def test_pairs_are_scored_where_they_meet(spark, monkeypatch):
+    """No pair is shuffled for its fields, with few combinations of fields or many; nulls are values of their own, and a case with several rows of fields keeps them all."""
+    rng = random.Random(52)
+    data = [(i, rng.choice("abc"), rng.choice(["hot"] * 4 + ["x", None]), rng.choice(["p", "q", None]), rng.choice([1, 2, None]), rng.choice([1, 2, None])) for i in range(60)]
+    cases = spark.createDataFrame(data, "i long, c string, k string, l string, u int, v int")
+    own = cases.select("i", "u", "v").unionAll(cases.filter("i < 5").select("i", "u", "v")).filter("i <> 7")
+    fields = [("u", "equal", 2.0), ("v", "equal", 1.0)]
+    table = {r[0]: r for r in data}
+    times = {i: 0 if i == 7 else 2 if i < 5 else 1 for i in table}
+
+    def scored(a, b):
+        both = [(w, table[a][n] == table[b][n]) for w, n in ((2.0, 4), (1.0, 5)) if table[a][n] is not None and table[b][n] is not None]
+        return (a, b, round(sum(w for w, same in both if same) / 3.0, 9) if len(both) == 2 else 0.0, len(both))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (["k"], ["k", "l"]):
+            place = {"k": 2, "l": 3}
+            met = [(a, b) for a in table for b in table if a < b and table[a][1] != table[b][1] and any(table[a][place[x]] and table[a][place[x]] == table[b][place[x]] for x in keys)]
+            want = sorted(scored(a, b) for a, b in met for _ in range(times[a] * times[b]))
+            assert len(want) > 500
+            for kinds in (300, 2):
+                monkeypatch.setattr(M, "KINDS", kinds)
+                out = M.scored_candidates(cases, [F.col(x) for x in keys], own, fields, id_="i", center="c")
+                assert sorted(tuple(r) for r in out.collect()) == want
+                if len(keys) == 1:
+                    assert "hashpartitioning(a#" not in planned(out) and "hashpartitioning(b#" not in planned(out)
+        from lostfound.plans import registered as R
+
+        asked = R.QUERIES["e3_score_pairs"](spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else None
+        assert asked is None or "hashpartitioning(a#" not in planned(asked)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
