@@ -779,3 +779,20 @@ def test_pairs_are_scored_where_they_meet(spark, monkeypatch):
         assert asked is None or "hashpartitioning(a#" not in planned(asked)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_sets_meet_by_size(spark, monkeypatch):
+    """Long sets share rare tokens by chance and their few parity bits are all alike; those of several sizes and blocks lose no pair."""
+    rng = random.Random(53)
+    words = [f"w{i}" for i in range(3000)]
+    data = [(i, rng.sample(words, 850 + 60 * (i % 9))) for i in range(45)]
+    data += [(100 + i, [w for w in t if rng.random() > 0.06] + [f"own{i}/{j}" for j in range(i % 3 * 20)]) for i, t in data[:30]] + [(200 + i, t[:700]) for i, t in data[:9]]
+    df = spark.createDataFrame(data, "id long, t array<string>")
+    sets = {i: set(t) for i, t in data}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+    assert len(want) > 25 and any(min(len(sets[a]), len(sets[b])) <= 800 < max(len(sets[a]), len(sets[b])) for a, b in want)
+    for block in (2_500, 4):
+        monkeypatch.setattr(M, "LONG_BLOCK", block, raising=False)
+        met = [(r["a"], r["b"]) for r in M.token_candidates(df, id_="id", tokens="t", least=0.8)[0].collect()]
+        assert len(met) == len(set(met)) and set(want) <= set(met) and len(met) < 2 * len(want)
+    assert {(r["a"], r["b"]): r["jaccard"] for r in M.token_join(df, id_="id", tokens="t", least=0.8).collect()} == want
