@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lostfound.operators.geo import nearest_k
-from lostfound.operators.matching import PARITY, chunks, dealt, equal_sets, forget, may_be_similar, met_in_blocks, mixed, parities, seen_before, similar_sets, stored, usable_vector
+from lostfound.operators.matching import PARITY, chosen, chunks, dealt, equal_sets, forget, may_be_similar, met_in_blocks, mixed, parities, seen_before, similar_sets, stored, usable_vector
 
 #: Share of pairs at the threshold that LSH tables may miss; vectors of a bucket that meet in one block.
 MISSED, BUCKET = 0.005, 1_000
@@ -39,12 +39,12 @@ def minhash_pairs(df: DataFrame, bands: int, rows: int, *, id_: str, tokens: str
         return pd.DataFrame({"keys": list(np.concatenate(keys)), "bits": list(np.concatenate(bits))})
 
     own = sets.withColumn("_x", signed("_t")).select("_id", "_n", "_k", F.col("_x.keys").alias("_keys"), *[F.col("_x.bits")[i].alias(f"_p{i}") for i in range(PARITY)])
-    own = stored(own.join(first.select("_id", "_k"), ["_id", "_k"], "left_semi").dropDuplicates(["_id"]).drop("_k"))
+    own = stored(chosen(own, first).dropDuplicates(["_id"]))
     parts, meet = met_in_blocks(own.select("_id", F.posexplode("_keys").alias("_i", "_k")), ["_k"], BUCKET, lone=False)
     parts = parts.join(own, "_id").withColumns({f"_q{back}": F.get("_keys", F.col("_i") - back) for back in (1, 2)}).drop("_keys", "_i")
     met = parts.alias("x").join(parts.alias("y").hint("merge"), meet & ~seen_before(("_q1", "_q1"), ("_q2", "_q2")) & may_be_similar("x", "y", least)).select(F.col("x._id").alias("a"), F.col("y._id").alias("b")).distinct()
     out = similar_sets(met, sets, first, least).unionByName(same)
-    forget(sets, first, own)
+    forget(first, own)
     return out
 
 
